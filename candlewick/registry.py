@@ -86,3 +86,193 @@ for _iv, _off in ((60, 15), (60, 0), (30, 15), (15, 0), (60, 45)):
         fx.with_sql(fx.K1_SQL, resample_sql("k1", _iv, _off, f"open_time BETWEEN {ts(ALL_BEGIN)} AND {ts(ALL_END)}")
                     + "\nORDER BY resample_time, symbol"),
     )(_make())
+
+
+# ---------------------------------------------------------------------- Q2 get_symbol, F1/F3, edge cases
+
+SYMBOL = "U3USDT"
+
+
+@register("get_symbol_60m_off0", fx.with_sql(fx.K1_SQL, resample_sql(
+    "k1", 60, 0, f"open_time BETWEEN {ts(ALL_BEGIN)} AND {ts(ALL_END)} AND symbol = '{SYMBOL}'")
+    + "\nORDER BY resample_time, symbol"))
+def q_get_symbol(spark, sf_dir):
+    return dense_store(spark, sf_dir).get_symbol(fx.MARKET, SYMBOL, 60, 0, ALL_BEGIN, ALL_END)
+
+
+@register("get_market_inverted_range", fx.with_sql(fx.K1_SQL, resample_sql(
+    "k1", 60, 15, f"open_time BETWEEN {ts(ALL_END)} AND {ts(ALL_BEGIN)}")))
+def q_inverted(spark, sf_dir):
+    return dense_store(spark, sf_dir).get_market(fx.MARKET, 60, 15, ALL_END, ALL_BEGIN)
+
+
+# ---------------------------------------------------------------------- Q4/Q5 tiers and the hybrid merge
+
+def hybrid_sql(interval: int, offset: int, begin: str, end: str, clip: bool = False) -> str:
+    r = "INTERVAL '1 hour'"
+    thr = "(SELECT max(open_time) FROM archive)"
+    a = resample_sql("archive", interval, offset,
+                     f"open_time >= {ts(begin)} - {r} AND open_time < least({ts(end)}, {thr}) + {r}")
+    b = resample_sql("recent", interval, offset,
+                     f"open_time >= greatest({ts(begin)}, {thr}) - {r} AND open_time <= {ts(end)} + {r}")
+    cols = "resample_time, open, high, low, close, volume, quote_volume, trade_num, " \
+           "taker_buy_base_asset_volume, taker_buy_quote_asset_volume, avg_price, symbol"
+    where = f" AND resample_time BETWEEN {ts(begin)} AND {ts(end)}" if clip else ""
+    return fx.with_sql(fx.TIERS_SQL, f""",
+a_res AS ({a}),
+r_res AS ({b}),
+u AS (SELECT *, 1 AS priority FROM a_res UNION ALL SELECT *, 2 AS priority FROM r_res),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY symbol, resample_time ORDER BY priority DESC) AS rn FROM u)
+SELECT {cols} FROM ranked WHERE rn = 1{where}
+ORDER BY resample_time, symbol""")
+
+
+# straddling window: begin and end both fall inside the data, so the redundancy
+# hours beyond each end show up unless clipped
+STRADDLE_BEGIN = "2024-01-18 10:00:00"
+STRADDLE_END = "2024-01-21 13:00:00"
+
+for _name, _iv, _off, _b, _e, _clip in (
+        ("hybrid_60m_off15", 60, 15, ALL_BEGIN, ALL_END, False),
+        ("hybrid_30m_off0", 30, 0, ALL_BEGIN, ALL_END, False),
+        ("hybrid_straddle_60m_off15", 60, 15, STRADDLE_BEGIN, STRADDLE_END, False),
+        ("hybrid_straddle_60m_off15_clip", 60, 15, STRADDLE_BEGIN, STRADDLE_END, True)):
+    def _make_h(iv=_iv, off=_off, b=_b, e=_e, clip=_clip):
+        def q(spark, sf_dir):
+            return tier_store(spark, sf_dir).get_market(fx.MARKET, iv, off, b, e, clip=clip)
+        return q
+    register(_name, hybrid_sql(_iv, _off, _b, _e, _clip))(_make_h())
+
+ARCHIVE_END = "2024-01-19 23:00:00"
+RECENT_BEGIN = "2024-01-20 01:00:00"
+
+
+@register("get_market_archive_tier", fx.with_sql(fx.TIERS_SQL, resample_sql(
+    "archive", 60, 15, f"open_time BETWEEN {ts(ALL_BEGIN)} AND {ts(ARCHIVE_END)}")))
+def q_archive_tier(spark, sf_dir):
+    return tier_store(spark, sf_dir).get_market(fx.MARKET, 60, 15, ALL_BEGIN, ARCHIVE_END)
+
+
+@register("get_market_recent_tier", fx.with_sql(fx.TIERS_SQL, resample_sql(
+    "recent", 60, 15, f"open_time BETWEEN {ts(RECENT_BEGIN)} AND {ts(ALL_END)}")))
+def q_recent_tier(spark, sf_dir):
+    return tier_store(spark, sf_dir).get_market(fx.MARKET, 60, 15, RECENT_BEGIN, ALL_END)
+
+
+# ---------------------------------------------------------------------- A2 completeness audit
+
+@register("bucket_audit_60m_off15", fx.with_sql(fx.K1_SQL, f""",
+b AS (SELECT symbol, {bucket_sql(60, 15)} AS resample_time, count(open_time) AS bar_count FROM k1 GROUP BY ALL)
+SELECT symbol, count(*) FILTER (WHERE bar_count = 4) AS complete_buckets,
+       count(*) FILTER (WHERE bar_count <> 4) AS partial_buckets, sum(bar_count) AS bars
+FROM b GROUP BY symbol"""))
+def q_bucket_audit(spark, sf_dir):
+    from candlewick.operators.resample import bucket_audit
+    return bucket_audit(fx.dense_bars(spark, sf_dir), 60, 15, fx.BASE_MINUTES)
+
+
+# ---------------------------------------------------------------------- quality: W1, W6, A7, A8, J1, F8, A10, T3-T5, F11
+
+from candlewick.operators import quality as Q  # noqa: E402
+
+
+@register("find_gaps", fx.with_sql(fx.K1_SQL, """,
+l AS (SELECT symbol, lag(open_time) OVER (PARTITION BY symbol ORDER BY open_time) AS prev_open_time, open_time FROM k1)
+SELECT symbol, prev_open_time, open_time, CAST(date_diff('minute', prev_open_time, open_time) AS BIGINT) AS gap_minutes
+FROM l WHERE prev_open_time IS NOT NULL AND open_time - prev_open_time > INTERVAL '15 minutes'"""))
+def q_find_gaps(spark, sf_dir):
+    return Q.find_gaps(fx.dense_bars(spark, sf_dir), fx.BASE_MINUTES)
+
+
+@register("missing_days", fx.with_sql(fx.K0_SQL, """,
+d AS (SELECT DISTINCT symbol, CAST(open_time AS DATE) AS day FROM k0),
+s AS (SELECT symbol, min(day) AS d0, max(day) AS d1 FROM d GROUP BY symbol),
+e AS (SELECT symbol, CAST(unnest(generate_series(d0, d1, INTERVAL '1 day')) AS DATE) AS day FROM s)
+SELECT symbol, day FROM e WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.symbol = e.symbol AND d.day = e.day)"""))
+def q_missing_days(spark, sf_dir):
+    return Q.missing_days(fx.event_bars(spark, sf_dir))
+
+
+@register("trading_range", fx.with_sql(fx.K1_SQL, """
+SELECT symbol, min(open_time) AS first_candle, max(open_time) AS last_candle FROM k1 WHERE volume > 0 GROUP BY symbol"""))
+def q_trading_range(spark, sf_dir):
+    return Q.trading_range(fx.dense_bars(spark, sf_dir))
+
+
+@register("dead_symbols", fx.with_sql(fx.K1_SQL, """
+SELECT symbol, sum(volume) AS total_volume FROM k1 GROUP BY symbol HAVING sum(volume) = 0"""))
+def q_dead_symbols(spark, sf_dir):
+    return Q.dead_symbols(fx.dense_bars(spark, sf_dir))
+
+
+@register("clip_to_trading_range", fx.with_sql(fx.K1_SQL, """,
+r AS (SELECT symbol, min(open_time) AS f, max(open_time) AS l FROM k1 WHERE volume > 0 GROUP BY symbol)
+SELECT k1.* FROM k1 JOIN r USING (symbol) WHERE k1.open_time BETWEEN r.f AND r.l"""))
+def q_clip(spark, sf_dir):
+    return Q.clip_to_trading_range(fx.dense_bars(spark, sf_dir))
+
+
+CLOSED_AT = _dt.datetime(2024, 1, 30, 12, 7, 30)
+
+
+@register("closed_bars", fx.with_sql(fx.K1_SQL, """
+SELECT * FROM k1 WHERE open_time < TIMESTAMP '2024-01-30 12:00:00'"""))
+def q_closed_bars(spark, sf_dir):
+    return Q.closed_bars(fx.dense_bars(spark, sf_dir), CLOSED_AT, fx.BASE_MINUTES)
+
+
+@register("fetch_summary", fx.with_sql(fx.K1_SQL, """
+SELECT symbol, count(*) AS num, min(open_time) AS begin_time FROM k1 GROUP BY symbol"""))
+def q_fetch_summary(spark, sf_dir):
+    return Q.fetch_summary(fx.dense_bars(spark, sf_dir))
+
+
+# a page of 40 bars ending 12:00 spans 02:00-11:45: full unless a symbol was idle through
+# a maintenance hour inside it, so the page size itself decides who needs another page
+PAGE_END = _dt.datetime(2024, 1, 25, 12, 0, 0)
+PAGE_START = _dt.datetime(2024, 1, 10, 0, 0, 0)
+PAGE_LIMIT = 40
+
+
+@register("next_page", fx.with_sql(fx.K1_SQL, f""",
+p AS (SELECT * FROM k1 WHERE open_time >= {ts(PAGE_END)} - INTERVAL '{PAGE_LIMIT * 15} minutes' AND open_time < {ts(PAGE_END)}),
+s AS (SELECT symbol, count(*) AS num, min(open_time) AS begin_time FROM p GROUP BY symbol)
+SELECT symbol, num, begin_time, begin_time - INTERVAL '15 minutes' AS next_end_time
+FROM s WHERE begin_time > {ts(PAGE_START)} AND num = {PAGE_LIMIT}"""))
+def q_next_page(spark, sf_dir):
+    page = Q.rest_page(fx.dense_bars(spark, sf_dir), PAGE_END, PAGE_LIMIT, fx.BASE_MINUTES)
+    return Q.next_page(Q.fetch_summary(page), PAGE_START, PAGE_LIMIT, fx.BASE_MINUTES)
+
+
+@register("backfill_plan", fx.with_sql(fx.K0_SQL, """,
+w AS (SELECT symbol, max(open_time) + INTERVAL '15 minutes' AS watermark FROM k0 GROUP BY symbol),
+n AS (SELECT max(open_time) + INTERVAL '15 minutes' AS now FROM k0)
+SELECT symbol, watermark, CAST(date_diff('minute', watermark, now) AS BIGINT) AS gap_minutes,
+       CASE WHEN date_diff('minute', watermark, now) <= 99 * 15 THEN 99
+            WHEN date_diff('minute', watermark, now) <= 499 * 15 THEN 499 END AS page_size
+FROM w, n"""))
+def q_backfill_plan(spark, sf_dir):
+    k0 = fx.event_bars(spark, sf_dir)
+    step = _dt.timedelta(minutes=fx.BASE_MINUTES)
+    now = k0.agg(F.max("open_time")).first()[0] + step
+    wm = k0.groupBy("symbol").agg((F.max("open_time") + F.expr("INTERVAL 15 MINUTES")).alias("watermark"))
+    return Q.backfill_plan(wm, now, fx.BASE_MINUTES)
+
+
+@register("remediation_needed", fx.with_sql(fx.K0_SQL, """,
+b AS (SELECT symbol, open_time, open_time + INTERVAL '15 minutes' AS batch_time FROM k0),
+l AS (SELECT *, lag(batch_time) OVER (PARTITION BY symbol ORDER BY open_time) AS watermark FROM b)
+SELECT symbol, open_time, batch_time, watermark,
+       coalesce(date_diff('minute', watermark, batch_time) > 15, TRUE) AS needs_backfill FROM l"""))
+def q_remediation(spark, sf_dir):
+    return Q.remediation_needed(Q.bar_batches(fx.event_bars(spark, sf_dir), fx.BASE_MINUTES), fx.BASE_MINUTES)
+
+
+@register("suspended_bars_idle_day", fx.with_sql(fx.K1_SQL, """,
+t AS (SELECT symbol, open_time, lag(open_time) OVER (PARTITION BY symbol ORDER BY open_time) AS prev FROM k1 WHERE volume > 0),
+w AS (SELECT symbol, prev + INTERVAL '1 microsecond' AS ws, open_time - INTERVAL '1 microsecond' AS we
+      FROM t WHERE prev IS NOT NULL AND open_time - prev > INTERVAL '1 day')
+SELECT * FROM k1 WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.symbol = k1.symbol AND k1.open_time BETWEEN w.ws AND w.we)"""))
+def q_suspended(spark, sf_dir):
+    k1 = fx.dense_bars(spark, sf_dir)
+    return Q.suspended_bars(k1, Q.idle_windows(k1, 24 * 60))
