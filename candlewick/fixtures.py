@@ -190,3 +190,134 @@ recent AS (
 def with_sql(ctes: str, body: str) -> str:
     """Compose a full DuckDB statement: WITH <fixture CTEs>[, more] <body>."""
     return f"WITH {ctes.strip()}\n{body.strip()}"
+
+
+# ---------------------------------------------------------------------------
+# Exchange payloads from ``part`` (one JSON document per part row)
+# ---------------------------------------------------------------------------
+#
+# Rules: base asset 'P<partkey>' plus 'UP' for names 'hot ...' and 'BEAR' for
+# 'old ...' (leveraged tokens); quote USDC for PROMO parts, BTC for SMALL,
+# else USDT; status BREAK when p_size > 45; contract type by brand number
+# (<= 4 current quarter, <= 8 next quarter, else perpetual); the price filter
+# is absent for '... rod' and has an empty tickSize for '... ring'; the lot
+# filter is absent for '... plate'; 'blue ...' parts are pre-market on spot.
+
+# Extra spot listings that the symbol rules must recognise.
+SPECIAL_SPOT_SYMBOLS = ("JUPUSDT", "USDCUSDT", "FDUSDUSDT", "EURUSDT", "USDSBUSDT")
+
+
+def _part_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read_table(spark, sf_dir, "part")
+    name = F.col("p_name")
+    suffix = F.when(name.startswith("hot "), "UP").when(name.startswith("old "), "BEAR").otherwise("")
+    brand_no = F.substring("p_brand", 7, 3).cast("int")
+    return p.select(
+        F.concat(F.lit("P"), F.col("p_partkey").cast("string"), suffix).alias("base"),
+        F.when(F.col("p_type") == "PROMO", "USDC").when(F.col("p_type") == "SMALL", "BTC")
+         .otherwise("USDT").alias("quote"),
+        F.when(F.col("p_size") > 45, "BREAK").otherwise("TRADING").alias("status"),
+        F.when(brand_no <= 4, "CURRENT_QUARTER").when(brand_no <= 8, "NEXT_QUARTER")
+         .otherwise("PERPETUAL").alias("contract_type"),
+        F.when(name.endswith(" rod"), F.lit(None)).when(name.endswith(" ring"), "")
+         .when(F.col("p_size") <= 10, "0.0001").when(F.col("p_size") <= 30, "0.001")
+         .otherwise("0.01000000").alias("tick"),
+        F.when(name.endswith(" plate"), F.lit(None)).when(F.col("p_type") == "LARGE", "0.1")
+         .otherwise("1.00000000").alias("step"),
+        F.col("p_size").cast("string").alias("notional"),
+        (F.col("p_size") * 10).alias("contract_size"),
+        name.startswith("blue ").alias("pre"),
+        F.col("p_size"),
+        name.startswith("hot ").alias("no_rate"),
+    )
+
+
+def _filters(minimum_type: str, minimum_field: str):
+    def one(ftype, **kv):
+        fields = {"filterType": F.lit(ftype)}
+        for k in ("tickSize", "stepSize", "notional", "minNotional"):
+            fields[k] = kv.get(k, F.lit(None).cast("string"))
+        return F.struct(*[v.alias(k) for k, v in fields.items()])
+    return F.array_compact(F.array(
+        F.when(F.col("tick").isNotNull(), one("PRICE_FILTER", tickSize=F.col("tick"))),
+        F.when(F.col("step").isNotNull(), one("LOT_SIZE", stepSize=F.col("step"))),
+        one(minimum_type, **{minimum_field: F.col("notional")}),
+    ))
+
+
+def _doc(info) -> DataFrame:
+    return F.to_json(F.struct(F.array(info).alias("symbols"))).alias("value")
+
+
+def exchange_info_docs(spark: SparkSession, sf_dir: str, market: str) -> DataFrame:
+    """Exchange-info JSON documents (column ``value``) for one market."""
+    pf = _part_fields(spark, sf_dir)
+    if market == "usdt_perp":
+        info = F.struct(F.concat("base", "quote").alias("symbol"), F.col("status"),
+                        F.col("base").alias("baseAsset"), F.col("quote").alias("quoteAsset"),
+                        F.col("contract_type").alias("contractType"), F.col("quote").alias("marginAsset"),
+                        _filters("MIN_NOTIONAL", "notional").alias("filters"))
+        return pf.select(_doc(info))
+    if market == "coin_perp":
+        sym = F.concat("base", F.lit("USD_"), F.when(F.col("contract_type") == "PERPETUAL", "PERP").otherwise("QTR"))
+        info = F.struct(sym.alias("symbol"), F.col("status").alias("contractStatus"),
+                        F.col("base").alias("baseAsset"), F.lit("USD").alias("quoteAsset"),
+                        F.col("contract_type").alias("contractType"), F.col("base").alias("marginAsset"),
+                        F.col("contract_size").alias("contractSize"),
+                        _filters("MIN_NOTIONAL", "notional").alias("filters"))
+        return pf.select(_doc(info))
+    perms = F.when(F.col("pre"), F.array(F.array(F.lit("SPOT")), F.array(F.lit("PRE_MARKET")))) \
+             .otherwise(F.array(F.array(F.lit("SPOT"), F.lit("MARGIN"))))
+    info = F.struct(F.concat("base", "quote").alias("symbol"), F.col("status"),
+                    F.col("base").alias("baseAsset"), F.col("quote").alias("quoteAsset"),
+                    _filters("NOTIONAL", "minNotional").alias("filters"), perms.alias("permissionSets"))
+    docs = pf.select(_doc(info))
+    specials = spark.createDataFrame([(s,) for s in SPECIAL_SPOT_SYMBOLS], "symbol string").select(
+        F.to_json(F.struct(F.array(F.struct(
+            F.col("symbol"), F.lit("TRADING").alias("status"),
+            F.regexp_replace("symbol", "USDT$", "").alias("baseAsset"), F.lit("USDT").alias("quoteAsset"),
+            F.array().cast("array<struct<filterType:string>>").alias("filters"),
+            F.array(F.array(F.lit("SPOT"))).alias("permissionSets"))).alias("symbols"))).alias("value"))
+    return docs.unionByName(specials)
+
+
+def funding_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Premium-index JSON documents: symbol and lastFundingRate text ('n/a' for 'hot ...' parts)."""
+    pf = _part_fields(spark, sf_dir)
+    rate = F.when(F.col("no_rate"), F.lit("n/a")).otherwise(F.concat(F.lit("0.000"), F.col("p_size").cast("string")))
+    return pf.select(F.to_json(F.array(F.struct(F.concat("base", "quote").alias("symbol"),
+                                                rate.alias("lastFundingRate")))).alias("value"))
+
+
+PART_SQL = """
+pf AS (
+  SELECT 'P' || CAST(p_partkey AS VARCHAR) || CASE WHEN p_name LIKE 'hot %' THEN 'UP' WHEN p_name LIKE 'old %' THEN 'BEAR' ELSE '' END AS base,
+         CASE p_type WHEN 'PROMO' THEN 'USDC' WHEN 'SMALL' THEN 'BTC' ELSE 'USDT' END AS quote,
+         CASE WHEN p_size > 45 THEN 'BREAK' ELSE 'TRADING' END AS status,
+         CASE WHEN CAST(substr(p_brand, 7) AS INTEGER) <= 4 THEN 'CURRENT_QUARTER'
+              WHEN CAST(substr(p_brand, 7) AS INTEGER) <= 8 THEN 'NEXT_QUARTER' ELSE 'PERPETUAL' END AS contract_type,
+         CASE WHEN p_name LIKE '% rod' THEN NULL WHEN p_name LIKE '% ring' THEN ''
+              WHEN p_size <= 10 THEN '0.0001' WHEN p_size <= 30 THEN '0.001' ELSE '0.01000000' END AS tick,
+         CASE WHEN p_name LIKE '% plate' THEN NULL WHEN p_type = 'LARGE' THEN '0.1' ELSE '1.00000000' END AS step,
+         CAST(p_size AS VARCHAR) AS notional, CAST(p_size * 10 AS VARCHAR) AS contract_size,
+         p_name LIKE 'blue %' AS pre, p_size, p_name LIKE 'hot %' AS no_rate
+  FROM part),
+perp AS (
+  SELECT 'usdt_perp' AS market, base || quote AS symbol, status, base AS base_asset, quote AS quote_asset,
+         coalesce(nullif(tick, ''), '0.01') AS price_tick, coalesce(nullif(step, ''), '0.001') AS lot_size,
+         notional AS min_notional_value, contract_type, quote AS margin_asset, CAST(NULL AS BOOLEAN) AS pre_market
+  FROM pf),
+coin AS (
+  SELECT 'coin_perp' AS market, base || 'USD_' || CASE WHEN contract_type = 'PERPETUAL' THEN 'PERP' ELSE 'QTR' END AS symbol,
+         status, base AS base_asset, 'USD' AS quote_asset, tick AS price_tick, contract_size AS lot_size,
+         CAST(NULL AS VARCHAR) AS min_notional_value, contract_type, base AS margin_asset, CAST(NULL AS BOOLEAN) AS pre_market
+  FROM pf),
+spot AS (
+  SELECT 'usdt_spot' AS market, base || quote AS symbol, status, base AS base_asset, quote AS quote_asset,
+         coalesce(nullif(tick, ''), '0.01') AS price_tick, coalesce(nullif(step, ''), '0.001') AS lot_size,
+         notional AS min_notional_value, CAST(NULL AS VARCHAR) AS contract_type, CAST(NULL AS VARCHAR) AS margin_asset,
+         pre AS pre_market
+  FROM pf
+  UNION ALL
+  SELECT 'usdt_spot', s, 'TRADING', regexp_replace(s, 'USDT$', ''), 'USDT', '0.01', '0.001', '10', NULL, NULL, FALSE
+  FROM (VALUES ('JUPUSDT'), ('USDCUSDT'), ('FDUSDUSDT'), ('EURUSDT'), ('USDSBUSDT')) AS t(s))"""

@@ -276,3 +276,113 @@ SELECT * FROM k1 WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.symbol = k1.symbol AN
 def q_suspended(spark, sf_dir):
     k1 = fx.dense_bars(spark, sf_dir)
     return Q.suspended_bars(k1, Q.idle_windows(k1, 24 * 60))
+
+
+# ---------------------------------------------------------------------- instruments: S6, S7, F4-F7, J4, J5, J7, Q3
+
+from candlewick.operators import symbols as SY  # noqa: E402
+from candlewick.sources import exchange as EX  # noqa: E402
+
+INSTRUMENT_SELECT = ("market, symbol, status, base_asset, quote_asset, price_tick, lot_size, "
+                     "min_notional_value, contract_type, margin_asset, pre_market")
+
+
+def instruments(spark, sf_dir, market):
+    return EX.parse_instruments(fx.exchange_info_docs(spark, sf_dir, market), market)
+
+
+for _m, _cte in (("usdt_perp", "perp"), ("coin_perp", "coin"), ("usdt_spot", "spot")):
+    register(f"parse_instruments_{_m}", fx.with_sql(fx.PART_SQL, f"SELECT {INSTRUMENT_SELECT} FROM {_cte}"))(
+        (lambda m: (lambda spark, sf_dir: instruments(spark, sf_dir, m)))(_m))
+
+
+@register("parse_funding", fx.with_sql(fx.PART_SQL, """
+SELECT base || quote AS symbol, TRY_CAST(CASE WHEN no_rate THEN 'n/a' ELSE '0.000' || CAST(p_size AS VARCHAR) END AS DOUBLE) AS funding_rate
+FROM pf"""))
+def q_funding(spark, sf_dir):
+    return EX.parse_funding(fx.funding_docs(spark, sf_dir))
+
+
+_STABLE_SQL = ", ".join(f"'{s}'" for s in __import__("candlewick.schema", fromlist=["x"]).STABLECOINS)
+_SPOT_STABLE_SQL = ", ".join(f"'{a}USDT'" for a in __import__("candlewick.schema", fromlist=["x"]).SPOT_STABLE_ASSETS)
+_LEV_SQL = ("(symbol LIKE '%UPUSDT' OR symbol LIKE '%DOWNUSDT' OR symbol LIKE '%BULLUSDT' OR symbol LIKE '%BEARUSDT')")
+
+for _mt, _src, _pred in (
+        ("usdt_perp", "perp", "quote_asset = 'USDT' AND contract_type IN ('PERPETUAL')"),
+        ("usdt_deli", "perp", "quote_asset = 'USDT' AND contract_type IN ('CURRENT_QUARTER', 'NEXT_QUARTER')"),
+        ("usdc_perp", "perp", "quote_asset = 'USDC' AND contract_type IN ('PERPETUAL')"),
+        ("coin_perp", "coin", "contract_type IN ('PERPETUAL')"),
+        ("coin_deli", "coin", "contract_type IN ('CURRENT_QUARTER', 'NEXT_QUARTER')"),
+        ("usdt_spot", "spot", f"quote_asset = 'USDT' AND symbol NOT IN ({_STABLE_SQL})"),
+        ("usdc_spot", "spot", f"quote_asset = 'USDC' AND symbol NOT IN ({_STABLE_SQL})"),
+        ("btc_spot", "spot", f"quote_asset = 'BTC' AND symbol NOT IN ({_STABLE_SQL})")):
+    _market = {"perp": "usdt_perp", "coin": "coin_perp", "spot": "usdt_spot"}[_src]
+    register(f"trading_symbols_{_mt}", fx.with_sql(
+        fx.PART_SQL, f"SELECT {INSTRUMENT_SELECT} FROM {_src} WHERE status = 'TRADING' AND {_pred}"))(
+        (lambda mt, m: (lambda spark, sf_dir: SY.trading_instruments(instruments(spark, sf_dir, m), mt)))(_mt, _market))
+
+
+@register("usdt_symbols", fx.with_sql(fx.PART_SQL, "SELECT symbol FROM spot WHERE symbol LIKE '%USDT'"))
+def q_usdt_symbols(spark, sf_dir):
+    return SY.usdt_symbols(instruments(spark, sf_dir, "usdt_spot").select("symbol"))
+
+
+@register("spot_symbols", fx.with_sql(fx.PART_SQL, f"""
+SELECT symbol FROM spot WHERE symbol = 'JUPUSDT' OR (NOT {_LEV_SQL} AND symbol NOT IN ({_SPOT_STABLE_SQL}))"""))
+def q_spot_symbols(spark, sf_dir):
+    return SY.spot_symbols(instruments(spark, sf_dir, "usdt_spot").select("symbol"))
+
+
+@register("tradable_universe", fx.with_sql(fx.PART_SQL, f"""
+SELECT DISTINCT symbol FROM spot
+WHERE symbol LIKE '%USDT' AND NOT ({_LEV_SQL} AND symbol <> 'JUPUSDT') AND symbol NOT IN ({_STABLE_SQL})
+ORDER BY symbol"""))
+def q_tradable(spark, sf_dir):
+    return SY.tradable_universe(instruments(spark, sf_dir, "usdt_spot"))
+
+
+@register("trading_members_usdt_perp", fx.with_sql(fx.PART_SQL, f"""
+SELECT {INSTRUMENT_SELECT} FROM perp
+WHERE symbol IN (SELECT symbol FROM perp WHERE status = 'TRADING' AND quote_asset = 'USDT' AND contract_type = 'PERPETUAL')"""))
+def q_members(spark, sf_dir):
+    inst = instruments(spark, sf_dir, "usdt_perp")
+    return SY.members(inst, SY.trading_instruments(inst, "usdt_perp"))
+
+
+@register("delisted_symbols", fx.with_sql(fx.TIERS_SQL, """
+SELECT DISTINCT symbol FROM archive WHERE symbol NOT IN (SELECT symbol FROM recent)"""))
+def q_delisted(spark, sf_dir):
+    a, r = fx.tiers(spark, sf_dir)
+    return SY.delisted(a, r)
+
+
+@register("onboarded_symbols", fx.with_sql(fx.TIERS_SQL, """
+SELECT DISTINCT symbol FROM recent WHERE symbol NOT IN (SELECT symbol FROM archive)"""))
+def q_onboarded(spark, sf_dir):
+    a, r = fx.tiers(spark, sf_dir)
+    return SY.onboarded(a, r)
+
+
+@register("symbols_at_archive_watermark", fx.with_sql(fx.TIERS_SQL, """
+SELECT DISTINCT symbol FROM archive WHERE open_time = (SELECT max(open_time) FROM archive)"""))
+def q_snapshot(spark, sf_dir):
+    store = tier_store(spark, sf_dir)
+    wm = store.archive_watermark(fx.MARKET)
+    return SY.symbols_at(store.tier("archive", fx.MARKET), wm)
+
+
+@register("symbols_at_recent_watermark", fx.with_sql(fx.TIERS_SQL, """
+SELECT DISTINCT symbol FROM recent WHERE open_time = (SELECT max(open_time) FROM recent)"""))
+def q_snapshot_recent(spark, sf_dir):
+    # the recent watermark is the exclusive bound: last bar + one interval
+    store = tier_store(spark, sf_dir)
+    rec = store.tier("recent", fx.MARKET)
+    wm = rec.agg(F.max("open_time")).first()[0] + _dt.timedelta(minutes=fx.BASE_MINUTES)
+    return SY.symbols_at(rec, wm - _dt.timedelta(minutes=fx.BASE_MINUTES))
+
+
+@register("get_instruments_usdt_spot", fx.with_sql(fx.PART_SQL, f"SELECT {INSTRUMENT_SELECT} FROM spot"))
+def q_get_instruments(spark, sf_dir):
+    frames = {"instruments": instruments(spark, sf_dir, "usdt_spot").unionByName(
+        instruments(spark, sf_dir, "usdt_perp"))}
+    return BarStore(spark, frames=frames).get_instruments("usdt_spot")
