@@ -386,3 +386,125 @@ def q_get_instruments(spark, sf_dir):
     frames = {"instruments": instruments(spark, sf_dir, "usdt_spot").unionByName(
         instruments(spark, sf_dir, "usdt_perp"))}
     return BarStore(spark, frames=frames).get_instruments("usdt_spot")
+
+
+# ---------------------------------------------------------------------- calendar: X5-X8, X12
+
+from candlewick.functions import timegrid as TG  # noqa: E402
+from candlewick.functions.scalars import strip_zeros  # noqa: E402
+
+
+def _nb_sql(iv_min: int) -> str:
+    s = iv_min * 60
+    day = "CAST(CAST(ts AS DATE) AS TIMESTAMP)"
+    return (f"least({day} + to_seconds(CAST((floor((hour(ts) * 3600 + minute(ts) * 60) / {s}) + 1) * {s} AS BIGINT)), "
+            f"{day} + INTERVAL '1 day')")
+
+
+def _months_sql(expr: str) -> str:
+    return f"((year({expr}) - 2019) * 12 + month({expr}) - 1)"
+
+
+def _period_sql(expr: str, p: int) -> str:
+    return f"DATE '2019-01-01' + to_months(CAST(floor({_months_sql(expr)} / {p}) * {p} AS INTEGER))"
+
+
+def _lcp_sql(p: int) -> str:
+    m = _months_sql("ts")
+    k = f"(floor({m} / {p}) - 1 - CASE WHEN {m} % {p} = 0 AND day(ts) = 1 THEN 1 ELSE 0 END)"
+    start = f"CAST(DATE '2019-01-01' + to_months(CAST({k} * {p} AS INTEGER)) AS DATE)"
+    return start, k
+
+
+_LCP_START, _LCP_K = _lcp_sql(1)
+
+
+@register("calendar_functions", f"""
+SELECT event_id, ts,
+       {_nb_sql(15)} AS next_15m, {_nb_sql(7)} AS next_7m, {_nb_sql(480)} AS next_8h,
+       strftime({_period_sql('ts', 3)}, '%Y-%m') AS period_3m,
+       CASE WHEN {_LCP_K} >= 0 THEN {_LCP_START} END AS complete_start,
+       CASE WHEN {_LCP_K} >= 0 THEN CAST({_LCP_START} + INTERVAL '1 month' AS DATE) END AS complete_end,
+       CAST({_period_sql("CAST(ts AS DATE) - INTERVAL '30 days'", 1)} AS DATE) AS cutoff_30d,
+       ts + INTERVAL '15 minutes' AS batch_time
+FROM events""")
+def q_calendar(spark, sf_dir):
+    ev = fx.read_table(spark, sf_dir, "events")
+    lcp = TG.latest_complete_period("ts", 1)
+    return ev.select(
+        "event_id", "ts",
+        TG.next_boundary("ts", 15).alias("next_15m"), TG.next_boundary("ts", 7).alias("next_7m"),
+        TG.next_boundary("ts", 480).alias("next_8h"), TG.period_label("ts", 3).alias("period_3m"),
+        lcp["period_start"].alias("complete_start"), lcp["period_end"].alias("complete_end"),
+        TG.period_cutoff("ts", 30, 1).alias("cutoff_30d"), TG.batch_time("ts", 15).alias("batch_time"))
+
+
+@register("instrument_sizes_normalized", fx.with_sql(fx.PART_SQL, """
+SELECT symbol,
+       CASE WHEN contains(price_tick, '.') THEN regexp_replace(price_tick, '\\.?0+$', '') ELSE price_tick END AS price_tick,
+       CASE WHEN contains(lot_size, '.') THEN regexp_replace(lot_size, '\\.?0+$', '') ELSE lot_size END AS lot_size
+FROM perp"""))
+def q_strip_zeros(spark, sf_dir):
+    inst = instruments(spark, sf_dir, "usdt_perp")
+    return inst.select("symbol", strip_zeros("price_tick").alias("price_tick"), strip_zeros("lot_size").alias("lot_size"))
+
+
+# ---------------------------------------------------------------------- state and watermarks: K3, A5, A6, Q9, A9/Q8
+
+from candlewick.plans.store import latest_state  # noqa: E402
+
+
+def _state_log(spark, sf_dir):
+    """One state write per symbol and day: '<symbol>_last_bar' -> that day's last bar time."""
+    k1 = fx.dense_bars(spark, sf_dir)
+    daily = k1.groupBy("symbol", F.to_date("open_time").alias("day")).agg(F.max("open_time").alias("t"))
+    return daily.select(F.concat("symbol", F.lit("_last_bar")).alias("key"), F.col("t").cast("string").alias("value"),
+                        F.col("t").alias("updated_at"))
+
+
+@register("state_latest", fx.with_sql(fx.K1_SQL, """
+SELECT symbol || '_last_bar' AS key, CAST(max(open_time) AS VARCHAR) AS value, max(open_time) AS updated_at
+FROM k1 GROUP BY symbol"""))
+def q_state_latest(spark, sf_dir):
+    return latest_state(_state_log(spark, sf_dir))
+
+
+@register("state_keep_first", fx.with_sql(fx.K1_SQL, """,
+d AS (SELECT symbol, max(open_time) AS t FROM k1 GROUP BY symbol, CAST(open_time AS DATE))
+SELECT symbol || '_last_bar' AS key, CAST(min(t) AS VARCHAR) AS value, min(t) AS updated_at FROM d GROUP BY symbol"""))
+def q_state_first(spark, sf_dir):
+    return latest_state(_state_log(spark, sf_dir), keep_first=True)
+
+
+@register("archive_watermark", fx.with_sql(fx.TIERS_SQL, f"""
+SELECT '{fx.MARKET}' AS market, coalesce(max(open_time), TIMESTAMP '2009-01-03 00:00:00') AS watermark FROM archive"""))
+def q_archive_watermark(spark, sf_dir):
+    wm = tier_store(spark, sf_dir).archive_watermark(fx.MARKET)
+    return spark.createDataFrame([(fx.MARKET, wm)], "market string, watermark timestamp_ntz")
+
+
+@register("ready_recent_watermark", fx.with_sql(fx.TIERS_SQL, f"""
+SELECT '{fx.MARKET}' AS market, CAST(max(open_time) + INTERVAL '15 minutes' AS VARCHAR) AS ready FROM recent"""))
+def q_ready(spark, sf_dir):
+    """Recent watermark recorded per committed day, then read back as the API does."""
+    _, rec = fx.tiers(spark, sf_dir)
+    daily = rec.groupBy(F.to_date("open_time")).agg(F.max("open_time").alias("t"))
+    log_df = daily.select(F.lit(f"{fx.MARKET}_recent_time").alias("key"),
+                          (F.col("t") + F.expr("INTERVAL 15 MINUTES")).cast("string").alias("value"),
+                          F.col("t").alias("updated_at"))
+    last = log_df.agg(F.max("updated_at")).first()[0]
+    store = BarStore(spark, frames={"state": log_df, "recent": rec}, as_of=last)
+    return spark.createDataFrame([(fx.MARKET, store.ready(fx.MARKET))], "market string, ready string")
+
+
+@register("table_counts", fx.with_sql(fx.TIERS_SQL, f"""
+SELECT 'archive' AS "table", '{fx.MARKET}' AS market, count(*) AS "rows" FROM archive
+UNION ALL SELECT 'recent', '{fx.MARKET}', count(*) FROM recent"""))
+def q_table_counts(spark, sf_dir):
+    return tier_store(spark, sf_dir).describe_tables()
+
+
+@register("table_schema_recent")
+def q_table_schema(spark, sf_dir):
+    """Column names and true types of a stored table (Q8); no oracle, rows-only."""
+    return tier_store(spark, sf_dir).table_schema("recent")
