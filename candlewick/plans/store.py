@@ -333,15 +333,14 @@ class BarStore:
         _write_partitioned(x.withColumn("market", F.lit(market))
                            .withColumn("interval", F.lit(self.interval_label)), self.path("archive"))
 
-    def append_recent(self, new: DataFrame, market: str) -> DataFrame:
+    def append_recent(self, new: DataFrame, market: str) -> None:
         """Insert bars into the recent tier; on (open_time, symbol) conflict the
-        stored bar stays (K2). Returns the rows that were inserted."""
+        stored bar stays (K2)."""
         existing = self.tier("recent", market)
         fresh = rows_to_insert(new, existing, self.period_months)
         fresh = fresh.withColumn("period", period_label("open_time", self.period_months))
         fresh = fresh.withColumn("market", F.lit(market)).withColumn("interval", F.lit(self.interval_label))
         fresh.write.mode("append").partitionBy("market", "interval", "period").parquet(self.path("recent"))
-        return fresh
 
     def commit_batch(self, bars: DataFrame, market: str, watermark: _dt.datetime) -> None:
         """Bars first, watermark last (K9). Plain Parquet has no multi-table
@@ -378,14 +377,27 @@ class BarStore:
         return {"period_start": start, "period_end": end, "exported": not have}
 
     def expire_recent(self, market: str, period_end: _dt.datetime) -> None:
-        """Drop recent rows with open_time < period_end - 1 day; only affected
-        period partitions are rewritten (K7). The day of overlap keeps the
-        tiers overlapping, which the hybrid merge relies on."""
+        """Drop recent rows with open_time < period_end - 1 day (K7).
+
+        Only period partitions holding expired rows are touched: partitions
+        with survivors are rewritten (dynamic overwrite), partitions left
+        empty are deleted. The day of overlap keeps the tiers overlapping,
+        which the hybrid merge relies on."""
         limit = to_time(period_end) - _dt.timedelta(days=1)
-        affected = self.tier("recent", market).filter(F.col("period") <= F.lit(_period_text(limit, self.period_months)))
-        keep = affected.filter(F.col("open_time") >= F.lit(limit))
-        keep = materialize_to(self.spark, keep, self.path("_staging_recent"))
-        _write_partitioned(keep, self.path("recent"))
+        last_label = _period_text(limit, self.period_months)
+        recent = self.tier("recent", market)
+        affected_periods = sorted(r["period"] for r in recent.filter(F.col("period") <= F.lit(last_label))
+                                  .select("period").distinct().collect())
+        if not affected_periods:
+            return
+        affected = recent.filter(F.col("period").isin(*affected_periods))
+        keep = materialize_to(self.spark, affected.filter(F.col("open_time") >= F.lit(limit)),
+                              self.path("_staging_recent"))
+        survivors = {r["period"] for r in keep.select("period").distinct().collect()}
+        if survivors:
+            _write_partitioned(keep, self.path("recent"))
+        _delete_partitions(self.spark, self.path("recent"), market, self.interval_label,
+                           [p for p in affected_periods if p not in survivors])
 
     def bootstrap_recent(self, market: str, as_of: _dt.datetime | None = None, days: int = 30) -> _dt.datetime:
         """Seed the recent tier from the archive (K8): rows at or after the
@@ -402,10 +414,7 @@ class BarStore:
         self.append_recent(seed, market)
         last = seed.agg(F.max("open_time")).first()[0]
         if newest is not None:
-            rest = self.tier("archive", market).filter(F.col("period") != F.lit(newest))
-            rest = materialize_to(self.spark, rest.select(*BAR_COLUMNS, "market", "interval", "period"),
-                                  self.path("_staging_archive"))
-            rest.write.mode("overwrite").partitionBy("market", "interval", "period").parquet(self.path("archive"))
+            _delete_partitions(self.spark, self.path("archive"), market, self.interval_label, [newest])
         watermark = (last + _dt.timedelta(minutes=self.base)) if last else SENTINEL_TIME
         self.put_state(f"{market}_recent_time", watermark.isoformat(sep=" "))
         return watermark
@@ -426,6 +435,18 @@ def _write_partitioned(df: DataFrame, path: str) -> None:
        .partitionBy("market", "interval", "period").parquet(path))
 
 
+def _delete_partitions(spark: SparkSession, base: str, market: str, interval: str, periods: list[str]) -> None:
+    """Remove whole period partitions through the Hadoop FileSystem API (works
+    the same on HDFS, object stores and local disks)."""
+    if not periods:
+        return
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in periods:
+        path = jvm.org.apache.hadoop.fs.Path(f"{base}/market={market}/interval={interval}/period={p}")
+        path.getFileSystem(conf).delete(path, True)
+
+
 def materialize_to(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
     """Write ``df`` to ``path`` and read it back: cuts lineage and lets a job
     overwrite the partitions it read from."""

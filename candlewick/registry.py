@@ -508,3 +508,96 @@ def q_table_counts(spark, sf_dir):
 def q_table_schema(spark, sf_dir):
     """Column names and true types of a stored table (Q8); no oracle, rows-only."""
     return tier_store(spark, sf_dir).table_schema("recent")
+
+
+# ---------------------------------------------------------------------- maintenance round trips: K1, K2, K5-K8
+# Each query writes into a fresh folder under the session's checkpoint root
+# and returns what a reader sees afterwards.
+
+from candlewick.session import scratch_path  # noqa: E402
+
+BAR_SELECT = ("open_time, symbol, open, high, low, close, volume, quote_volume, trade_num, "
+              "taker_buy_base_asset_volume, taker_buy_quote_asset_volume, avg_price")
+
+
+def fresh_store(spark, name: str, **kw) -> BarStore:
+    return BarStore(spark, scratch_path(spark, name), base_minutes=fx.BASE_MINUTES, **kw)
+
+
+@register("write_archive_roundtrip", fx.with_sql(fx.K1_SQL, f"SELECT {BAR_SELECT} FROM k1"))
+def q_write_archive(spark, sf_dir):
+    store = fresh_store(spark, "archive-roundtrip")
+    store.write_archive(fx.dense_bars(spark, sf_dir), fx.MARKET)
+    return store.scan("archive", fx.MARKET)
+
+
+@register("append_bars_conflict_keeps_stored", fx.with_sql(fx.TIERS_SQL, f"""
+SELECT {BAR_SELECT} FROM archive
+UNION ALL
+SELECT {BAR_SELECT} FROM recent r
+WHERE NOT EXISTS (SELECT 1 FROM archive a WHERE a.open_time = r.open_time AND a.symbol = r.symbol)"""))
+def q_append(spark, sf_dir):
+    archive, recent = fx.tiers(spark, sf_dir)
+    store = fresh_store(spark, "append")
+    store.append_recent(archive, fx.MARKET)
+    store.append_recent(recent, fx.MARKET)
+    return store.scan("recent", fx.MARKET)
+
+
+@register("rows_to_insert", fx.with_sql(fx.TIERS_SQL, f"""
+SELECT {BAR_SELECT} FROM recent r
+WHERE NOT EXISTS (SELECT 1 FROM archive a WHERE a.open_time = r.open_time AND a.symbol = r.symbol)"""))
+def q_rows_to_insert(spark, sf_dir):
+    from candlewick.plans.store import rows_to_insert
+    archive, recent = fx.tiers(spark, sf_dir)
+    return rows_to_insert(recent, archive)
+
+
+@register("replace_instruments_one_market", fx.with_sql(fx.PART_SQL, f"""
+SELECT {INSTRUMENT_SELECT} FROM perp
+UNION ALL SELECT {INSTRUMENT_SELECT} FROM spot WHERE status = 'TRADING'"""))
+def q_replace_instruments(spark, sf_dir):
+    store = fresh_store(spark, "instruments")
+    perp, spot = instruments(spark, sf_dir, "usdt_perp"), instruments(spark, sf_dir, "usdt_spot")
+    store.replace_instruments(perp, "usdt_perp")
+    store.replace_instruments(spot, "usdt_spot")
+    store.replace_instruments(SY.trading_instruments(spot, "usdt_spot").unionByName(
+        spot.filter(F.col("status") == "TRADING")).distinct(), "usdt_spot")
+    return store.instruments().select(*EX.INSTRUMENT_COLUMNS)
+
+
+EXPORT_AS_OF = _dt.datetime(2024, 2, 10, 0, 0, 0)
+
+
+def _exported_store(spark, sf_dir, name):
+    store = fresh_store(spark, name)
+    store.append_recent(fx.dense_bars(spark, sf_dir), fx.MARKET)
+    info = store.export_period(fx.MARKET, as_of=EXPORT_AS_OF, retention_days=7)
+    assert info and info["exported"], info
+    return store
+
+
+@register("export_period_archive", fx.with_sql(fx.K1_SQL, f"""
+SELECT {BAR_SELECT} FROM k1 WHERE open_time >= TIMESTAMP '2024-01-01 00:00:00' AND open_time < TIMESTAMP '2024-02-01 00:00:00'"""))
+def q_export(spark, sf_dir):
+    return _exported_store(spark, sf_dir, "export").scan("archive", fx.MARKET)
+
+
+@register("expire_recent_remaining", fx.with_sql(fx.K1_SQL, f"""
+SELECT {BAR_SELECT} FROM k1 WHERE open_time >= TIMESTAMP '2024-01-19 00:00:00'"""))
+def q_expire(spark, sf_dir):
+    """Expiry at a period end of 2024-01-20: rows before 2024-01-19 go, the
+    January partition is rewritten with the survivors."""
+    store = fresh_store(spark, "expire")
+    store.append_recent(fx.dense_bars(spark, sf_dir), fx.MARKET)
+    store.expire_recent(fx.MARKET, _dt.datetime(2024, 1, 20))
+    return store.scan("recent", fx.MARKET)
+
+
+@register("bootstrap_recent_seed", fx.with_sql(fx.K1_SQL, f"SELECT {BAR_SELECT} FROM k1"))
+def q_bootstrap(spark, sf_dir):
+    store = fresh_store(spark, "bootstrap")
+    store.write_archive(fx.dense_bars(spark, sf_dir), fx.MARKET)
+    store.bootstrap_recent(fx.MARKET, as_of=_dt.datetime(2024, 2, 15), days=30)
+    assert store.tier("archive", fx.MARKET).isEmpty()
+    return store.scan("recent", fx.MARKET)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from candlewick.functions.scalars import filter_field, has_permission
-from candlewick.schema import INSTRUMENT_COLUMNS, INSTRUMENT_DEFAULTS, INSTRUMENT_MARKETS
+from candlewick.schema import INSTRUMENT_COLUMNS, INSTRUMENT_DEFAULTS, INSTRUMENT_MARKETS  # noqa: F401
 
 _FILTER = T.StructType([T.StructField(n, T.StringType()) for n in
                         ("filterType", "tickSize", "stepSize", "notional", "minNotional")])
