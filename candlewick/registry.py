@@ -601,3 +601,118 @@ def q_bootstrap(spark, sf_dir):
     store.bootstrap_recent(fx.MARKET, as_of=_dt.datetime(2024, 2, 15), days=30)
     assert store.tier("archive", fx.MARKET).isEmpty()
     return store.scan("recent", fx.MARKET)
+
+
+# ---------------------------------------------------------------------- ingest: S3, S4, S5, S8, F9, F10, J8, J9, W2, X2, X3
+
+from candlewick import fixture_files as FF  # noqa: E402
+from candlewick.sources import bars as SB  # noqa: E402
+from candlewick.sources import listing as SL  # noqa: E402
+
+K0_SELECT = f"SELECT {BAR_SELECT} FROM k0"
+
+
+@register("parse_rest_bars", fx.with_sql(fx.K0_SQL, K0_SELECT))
+def q_rest(spark, sf_dir):
+    return SB.parse_rest_bars(FF.rest_pages(spark, sf_dir))
+
+
+@register("parse_stream_bars", fx.with_sql(fx.K0_SQL, K0_SELECT))
+def q_stream_parse(spark, sf_dir):
+    return SB.parse_stream_bars(FF.stream_messages(spark, sf_dir)).dropDuplicates(["open_time", "symbol"])
+
+
+def _zip_root(spark, sf_dir):
+    root = scratch_path(spark, "zips")
+    FF.write_zip_archive(spark, sf_dir, root).count()
+    return root
+
+
+_ZIP_EXPECTED_SQL = fx.with_sql(fx.K0_SQL, """,
+ld AS (SELECT symbol, max(CAST(open_time AS DATE)) AS day FROM k0 GROUP BY symbol)
+SELECT open_time, symbol, open, high, low,
+       CASE WHEN CAST(open_time AS DATE) = ld.day THEN close + 0.015625 ELSE close END AS close,
+       volume, quote_volume, trade_num, taker_buy_base_asset_volume, taker_buy_quote_asset_volume, avg_price
+FROM k0 JOIN ld USING (symbol)""")
+
+
+@register("ingest_zip_csv", _ZIP_EXPECTED_SQL)
+def q_zip(spark, sf_dir):
+    return SB.ingest_zip_csv(spark, _zip_root(spark, sf_dir))
+
+
+@register("verify_checksums", fx.with_sql(fx.K0_SQL, """,
+ld AS (SELECT symbol, max(CAST(open_time AS DATE)) AS day FROM k0 GROUP BY symbol)
+SELECT DISTINCT symbol, symbol || '-15m-' || strftime(open_time, '%Y-%m') || '.zip' AS file_name,
+       length(symbol) % 2 = 0 AS verified FROM k0
+UNION ALL
+SELECT symbol, symbol || '-15m-' || strftime(day, '%Y-%m-%d') || '.zip', TRUE FROM ld"""))
+def q_checksums(spark, sf_dir):
+    v = SB.verify_checksums(spark, _zip_root(spark, sf_dir))
+    return v.select(F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1).alias("symbol"),
+                    F.element_at(F.split("path", "/"), -1).alias("file_name"), "verified")
+
+
+_MANIFEST_SQL = fx.K0_SQL + """,
+days AS (SELECT DISTINCT symbol, CAST(open_time AS DATE) AS day FROM k0),
+dkeys AS (
+  SELECT 'data/futures/um/daily/klines/' || symbol || '/15m/' AS prefix, symbol,
+         'data/futures/um/daily/klines/' || symbol || '/15m/' || symbol || '-15m-' || strftime(day, '%Y-%m-%d') || '.zip' AS zip,
+         CAST(day AS TIMESTAMP) + INTERVAL '1 day' + INTERVAL '2 hours' AS last_modified, day
+  FROM days),
+mkeys AS (
+  SELECT DISTINCT 'data/futures/um/monthly/klines/' || symbol || '/15m/' AS prefix, symbol,
+         'data/futures/um/monthly/klines/' || symbol || '/15m/' || symbol || '-15m-' || strftime(day, '%Y-%m') || '.zip' AS zip,
+         CAST(date_trunc('month', day) AS TIMESTAMP) + INTERVAL '1 month' + INTERVAL '2 hours' AS last_modified
+  FROM days),
+manifest AS (
+  SELECT prefix, zip AS key, symbol, last_modified FROM dkeys
+  UNION ALL SELECT prefix, zip || '.CHECKSUM', symbol, last_modified FROM dkeys
+  UNION ALL SELECT prefix, zip, symbol, last_modified FROM mkeys
+  UNION ALL SELECT prefix, zip || '.CHECKSUM', symbol, last_modified FROM mkeys)"""
+
+
+def manifest(spark, sf_dir):
+    return SL.parse_listing(FF.listing_pages(spark, sf_dir))
+
+
+@register("parse_listing", fx.with_sql(_MANIFEST_SQL, "SELECT prefix, key, symbol, last_modified FROM manifest"))
+def q_listing(spark, sf_dir):
+    return manifest(spark, sf_dir)
+
+
+MARKER_DAY = _dt.date(2024, 1, 15)
+DAILY_START = _dt.date(2024, 1, 10)
+
+
+@register("select_daily_checksums", fx.with_sql(_MANIFEST_SQL, f"""
+SELECT prefix, key, symbol, last_modified FROM manifest
+WHERE prefix LIKE '%/daily/%' AND key LIKE '%CHECKSUM'
+  AND key > prefix || symbol || '-15m-{(MARKER_DAY - _dt.timedelta(days=1)).isoformat()}.zip.CHECKSUM'
+  AND CAST(regexp_extract(key, '(\\d{{4}}-\\d{{2}}-\\d{{2}})', 1) AS DATE) >= DATE '{DAILY_START.isoformat()}'"""))
+def q_select_daily(spark, sf_dir):
+    m = manifest(spark, sf_dir).filter(F.col("prefix").contains("/daily/"))
+    return SL.select_daily(m, MARKER_DAY, DAILY_START)
+
+
+@register("select_monthly_checksums", fx.with_sql(_MANIFEST_SQL, """
+SELECT prefix, key, symbol, last_modified FROM manifest
+WHERE key LIKE '%CHECKSUM' AND substr(key, length(key) - 19, 7) BETWEEN '2023-12' AND '2024-01'"""))
+def q_select_monthly(spark, sf_dir):
+    return SL.select_monthly(manifest(spark, sf_dir), "2023-12", "2024-01")
+
+
+@register("stale_or_missing", fx.with_sql(_MANIFEST_SQL, """,
+ld AS (SELECT symbol, max(day) AS day FROM days GROUP BY symbol)
+SELECT m.key, 'missing' AS reason FROM manifest m
+WHERE m.key LIKE '%CHECKSUM' AND m.prefix LIKE '%/daily/%'
+  AND NOT EXISTS (SELECT 1 FROM ld WHERE ld.symbol = m.symbol
+                  AND m.key LIKE '%-' || strftime(ld.day, '%Y-%m-%d') || '.zip.CHECKSUM')"""))
+def q_stale(spark, sf_dir):
+    root = _zip_root(spark, sf_dir)
+    local = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+             .option("pathGlobFilter", "*.CHECKSUM").load(root)
+             .select(F.element_at(F.split("path", "/"), -1).alias("file_name"),
+                     F.col("modificationTime").cast("timestamp_ntz").alias("local_mtime")))
+    m = manifest(spark, sf_dir).filter(F.col("key").endswith("CHECKSUM"))
+    return SL.stale_or_missing(m, local).select("key", "reason")
