@@ -716,3 +716,96 @@ def q_stale(spark, sf_dir):
                      F.col("modificationTime").cast("timestamp_ntz").alias("local_mtime")))
     m = manifest(spark, sf_dir).filter(F.col("key").endswith("CHECKSUM"))
     return SL.stale_or_missing(m, local).select("key", "reason")
+
+
+# ---------------------------------------------------------------------- streaming: T1, T2, T6, T7, T8
+# Streams read files landed in the scratch folder and run with an
+# availableNow trigger, so each query ends once the landed data is consumed.
+
+from candlewick.streaming import bars as ST  # noqa: E402
+
+LANDING_CHUNK_DAYS = 5
+
+
+def land_in_order(df: DataFrame, path: str, fmt: str = "parquet") -> str:
+    """Land ``df`` as one file per 5-day slice of open_time, written one after
+    another, so file arrival order follows event time as in a live feed."""
+    staged = scratch_path(df.sparkSession, "landing-src")
+    df.write.parquet(staged)
+    df = df.sparkSession.read.parquet(staged)
+    lo, hi = df.agg(F.min("open_time"), F.max("open_time")).first()
+    t = _dt.datetime.combine(lo.date(), _dt.time())
+    while t <= hi:
+        nxt = t + _dt.timedelta(days=LANDING_CHUNK_DAYS)
+        part = df.filter((F.col("open_time") >= F.lit(t)) & (F.col("open_time") < F.lit(nxt))).drop(
+            *(["open_time"] if fmt == "text" else []))
+        getattr(part.coalesce(1).write.mode("append"), fmt)(path)
+        t = nxt
+    return path
+
+
+def _stream_messages_landed(spark, sf_dir):
+    k0 = fx.event_bars(spark, sf_dir)
+    msgs = FF.stream_messages(spark, sf_dir)
+    # messages carry no open_time column; land them in one pass in several files
+    path = scratch_path(spark, "landing-msgs")
+    msgs.repartition(8).write.text(path)
+    del k0
+    return path
+
+
+@register("stream_closed_bars", fx.with_sql(fx.K0_SQL, K0_SELECT))
+def q_stream_closed(spark, sf_dir):
+    """T1 over landed messages in several micro-batches. Files arrive in no
+    time order here, so the watermark delay covers the whole fixture month."""
+    landing = _stream_messages_landed(spark, sf_dir)
+    out, ck = scratch_path(spark, "stream-bars"), scratch_path(spark, "stream-bars-ck")
+    s = ST.closed_bar_stream(spark, landing, delay="31 days", max_files_per_trigger=2)
+    ST.run_available_now(s.select(*fx.BAR_COLUMNS), out, ck)
+    return spark.read.parquet(out)
+
+
+@register("stream_resample_60m_off15", fx.with_sql(fx.K1_SQL, resample_sql("k1", 60, 15) + """
+AND resample_time + INTERVAL '60 minutes' <= (SELECT max(open_time) FROM k1)"""))
+def q_stream_resample(spark, sf_dir):
+    """Buckets come out once the watermark (latest bar, no delay) passes their end."""
+    k1 = fx.dense_bars(spark, sf_dir)
+    landing = land_in_order(k1, scratch_path(spark, "landing-bars"))
+    src = spark.readStream.schema(k1.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    out, ck = scratch_path(spark, "stream-resample"), scratch_path(spark, "stream-resample-ck")
+    ST.run_available_now(ST.resample_stream(src, 60, 15, fx.BASE_MINUTES, delay="0 minutes"), out, ck)
+    return spark.read.parquet(out)
+
+
+@register("collect_complete_batches", fx.with_sql(fx.K1_SQL, f""",
+n AS (SELECT count(DISTINCT symbol) AS total FROM k1),
+c AS (SELECT open_time + INTERVAL '15 minutes' AS run_time, count(DISTINCT symbol) AS got FROM k1 GROUP BY 1)
+SELECT {BAR_SELECT} FROM k1
+WHERE open_time + INTERVAL '15 minutes' IN (SELECT run_time FROM c, n WHERE got = total)"""))
+def q_collect(spark, sf_dir):
+    """T2 + T8: a batch (close time) is released only when every listed symbol
+    delivered its bar; the listed set is re-read each micro-batch."""
+    k1 = fx.dense_bars(spark, sf_dir)
+    listed = scratch_path(spark, "listed")
+    k1.select("symbol").distinct().write.parquet(listed)
+    landing = land_in_order(k1, scratch_path(spark, "landing-batches"))
+    src = spark.readStream.schema(k1.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    collector = ST.CompleteBatchCollector(spark, scratch_path(spark, "collector"),
+                                          lambda: spark.read.parquet(listed), fx.BASE_MINUTES)
+    q = (src.writeStream.foreachBatch(collector).option("checkpointLocation", scratch_path(spark, "collector-ck"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(collector.output).select(*fx.BAR_COLUMNS)
+
+
+@register("stream_sink_recent", fx.with_sql(fx.K0_SQL, K0_SELECT))
+def q_stream_sink(spark, sf_dir):
+    """T6 + K9: closed bars appended to the recent tier per micro-batch, the
+    watermark recorded after the bars."""
+    landing = _stream_messages_landed(spark, sf_dir)
+    store = fresh_store(spark, "sink-store")
+    s = ST.closed_bar_stream(spark, landing, delay="31 days", max_files_per_trigger=3)
+    q = (s.select(*fx.BAR_COLUMNS).writeStream.foreachBatch(ST.BarSink(store, fx.MARKET))
+         .option("checkpointLocation", scratch_path(spark, "sink-ck")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return store.scan("recent", fx.MARKET)
