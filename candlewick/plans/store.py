@@ -21,7 +21,7 @@ from __future__ import annotations
 import datetime as _dt
 import logging
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -115,12 +115,9 @@ class BarStore:
         schema = T.StructType(BAR_SCHEMA.fields + [
             T.StructField("market", T.StringType()), T.StructField("interval", T.StringType()),
             T.StructField("period", T.StringType())])
-        try:
-            df = (self.spark.read.schema(schema).option("basePath", self.path(tier))
-                  .parquet(self.path(tier)))
-        except Exception as e:  # noqa: BLE001 - an absent tier reads as empty
-            if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
-                raise
+        if path_exists(self.spark, self.path(tier)):
+            df = self.spark.read.schema(schema).option("basePath", self.path(tier)).parquet(self.path(tier))
+        else:  # an absent tier reads as empty
             df = self.spark.createDataFrame([], schema)
         return df.filter((F.col("market") == F.lit(market)) & (F.col("interval") == F.lit(self.interval_label)))
 
@@ -159,10 +156,22 @@ class BarStore:
         periods = [p.split("period=", 1)[1].split("/", 1)[0] for p in files if "period=" in p]
         return max(periods) if periods else None
 
+    def _archive_key(self, market: str) -> str:
+        return f"{market}_{self.interval_label}_archive_time"
+
     def archive_watermark(self, market: str) -> _dt.datetime:
         """max(open_time) of the archive, the sentinel when it holds nothing.
 
-        On Parquet only the newest period partition is scanned."""
+        Read per query (so fresh exports count) from the state table, where
+        every archive write records it; without a record only the newest
+        period partition is scanned."""
+        if self.root is not None and "archive" not in self.frames:
+            stored = self.get_state_value(self._archive_key(market))
+            if stored is not None:
+                return to_time(stored)
+        return self._scan_archive_watermark(market)
+
+    def _scan_archive_watermark(self, market: str) -> _dt.datetime:
         df = self.tier("archive", market)
         newest = self.latest_period("archive", market)
         if newest is not None:
@@ -277,10 +286,9 @@ class BarStore:
         return out
 
     def _raw(self, tier: str) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(self.path(tier))
-        except Exception:  # noqa: BLE001
+        if not path_exists(self.spark, self.path(tier)):
             return None
+        return self.spark.read.parquet(self.path(tier))
 
     def table_schema(self, table: str) -> DataFrame:
         """(column, type) rows of one stored table; unknown names raise."""
@@ -294,17 +302,25 @@ class BarStore:
     def state_log(self) -> DataFrame:
         if "state" in self.frames:
             return self.frames["state"]
-        try:
-            return self.spark.read.schema(STATE_SCHEMA).parquet(self.path("state"))
-        except Exception:  # noqa: BLE001
+        if self.root is None or not path_exists(self.spark, self.path("state")):
             return self.spark.createDataFrame([], STATE_SCHEMA)
+        return self.spark.read.schema(STATE_SCHEMA).parquet(self.path("state"))
 
     def put_state(self, key: str, value: str, when: _dt.datetime | None = None) -> None:
-        row = [(key, str(value), to_time(when or _dt.datetime.now(_dt.timezone.utc)))]
+        """Append one (key, value, updated_at) record; readers take the latest per key."""
+        stamp = when or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
+        row = [(key, str(value), stamp)]
         self.spark.createDataFrame(row, STATE_SCHEMA).coalesce(1).write.mode("append").parquet(self.path("state"))
 
+    def compact_state(self) -> None:
+        """Rewrite the state log as one record per key (keeps reads cheap)."""
+        current = materialize_to(self.spark, latest_state(self.state_log()), self.path("_staging_state"))
+        current.select("key", "value", "updated_at").coalesce(1).write.mode("overwrite").parquet(self.path("state"))
+
     def get_state_value(self, key: str, keep_first: bool = False):
-        row = latest_state(self.state_log().filter(F.col("key") == F.lit(key)), keep_first).first()
+        """Latest (or first) value of one key: a top-1 over that key's records."""
+        order = F.col("updated_at").asc() if keep_first else F.col("updated_at").desc()
+        row = self.state_log().filter(F.col("key") == F.lit(key)).orderBy(order).select("value").first()
         return None if row is None else row["value"]
 
     def check_base_interval(self) -> None:
@@ -330,8 +346,16 @@ class BarStore:
                 stored = (self.tier("archive", market).select("period").distinct()
                           .filter(F.col("period") != F.lit(newest)))
                 x = x.join(F.broadcast(stored), "period", "left_anti")
+        # the newest bar written is observed during the write itself (no extra pass)
+        obs = Observation("archive_write")
+        x = x.observe(obs, F.max("open_time").alias("max_time"))
         _write_partitioned(x.withColumn("market", F.lit(market))
                            .withColumn("interval", F.lit(self.interval_label)), self.path("archive"))
+        written = obs.get.get("max_time")
+        if written is not None:
+            before = self.get_state_value(self._archive_key(market))
+            top = max(written, to_time(before)) if before else written
+            self.put_state(self._archive_key(market), top.isoformat(sep=" "))
 
     def append_recent(self, new: DataFrame, market: str) -> None:
         """Insert bars into the recent tier; on (open_time, symbol) conflict the
@@ -415,6 +439,7 @@ class BarStore:
         last = seed.agg(F.max("open_time")).first()[0]
         if newest is not None:
             _delete_partitions(self.spark, self.path("archive"), market, self.interval_label, [newest])
+            self.put_state(self._archive_key(market), self._scan_archive_watermark(market).isoformat(sep=" "))
         watermark = (last + _dt.timedelta(minutes=self.base)) if last else SENTINEL_TIME
         self.put_state(f"{market}_recent_time", watermark.isoformat(sep=" "))
         return watermark
@@ -435,6 +460,12 @@ def _write_partitioned(df: DataFrame, path: str) -> None:
        .partitionBy("market", "interval", "period").parquet(path))
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
+
+
 def _delete_partitions(spark: SparkSession, base: str, market: str, interval: str, periods: list[str]) -> None:
     """Remove whole period partitions through the Hadoop FileSystem API (works
     the same on HDFS, object stores and local disks)."""
