@@ -148,13 +148,22 @@ class BarStore:
         return df.select(*BAR_COLUMNS)
 
     # ------------------------------------------------------------------ watermarks
+    def periods(self, tier: str, market: str) -> list[str]:
+        """Stored ``period`` partition values of a tier, from one directory glob
+        (one entry per period, never a per-file listing)."""
+        if tier in self.frames or self.root is None:
+            return []
+        jvm = self.spark.sparkContext._jvm
+        pattern = jvm.org.apache.hadoop.fs.Path(
+            f"{self.path(tier)}/market={market}/interval={self.interval_label}/period=*")
+        fs = pattern.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        found = fs.globStatus(pattern) or []
+        return sorted(st.getPath().getName().split("=", 1)[1] for st in found if st.isDirectory())
+
     def latest_period(self, tier: str, market: str) -> str | None:
-        """Newest ``period`` partition value, from the file listing only."""
-        if tier in self.frames:
-            return None
-        files = self.tier(tier, market).inputFiles()
-        periods = [p.split("period=", 1)[1].split("/", 1)[0] for p in files if "period=" in p]
-        return max(periods) if periods else None
+        """Newest ``period`` partition value."""
+        ps = self.periods(tier, market)
+        return ps[-1] if ps else None
 
     def _archive_key(self, market: str) -> str:
         return f"{market}_{self.interval_label}_archive_time"
@@ -341,11 +350,9 @@ class BarStore:
         """
         x = bars.select(*BAR_COLUMNS).withColumn("period", period_label("open_time", self.period_months))
         if skip_closed:
-            newest = self.latest_period("archive", market)
-            if newest is not None:
-                stored = (self.tier("archive", market).select("period").distinct()
-                          .filter(F.col("period") != F.lit(newest)))
-                x = x.join(F.broadcast(stored), "period", "left_anti")
+            closed = self.periods("archive", market)[:-1]
+            if closed:
+                x = x.filter(~F.col("period").isin(*closed))
         # the newest bar written is observed during the write itself (no extra pass)
         obs = Observation("archive_write")
         x = x.observe(obs, F.max("open_time").alias("max_time"))
@@ -393,7 +400,7 @@ class BarStore:
         start = _dt.datetime.combine(row["period_start"], _dt.time())
         end = _dt.datetime.combine(row["period_end"], _dt.time())
         label = _period_text(start, self.period_months)
-        have = self.tier("archive", market).filter(F.col("period") == F.lit(label)).limit(1).count() > 0
+        have = label in self.periods("archive", market)
         if not have:
             bars = self.scan("recent", market, start, end, closed=False)
             self.write_archive(bars, market, skip_closed=False)
@@ -410,8 +417,7 @@ class BarStore:
         limit = to_time(period_end) - _dt.timedelta(days=1)
         last_label = _period_text(limit, self.period_months)
         recent = self.tier("recent", market)
-        affected_periods = sorted(r["period"] for r in recent.filter(F.col("period") <= F.lit(last_label))
-                                  .select("period").distinct().collect())
+        affected_periods = [p for p in self.periods("recent", market) if p <= last_label]
         if not affected_periods:
             return
         affected = recent.filter(F.col("period").isin(*affected_periods))
@@ -454,7 +460,12 @@ def _period_text(t: _dt.datetime, period_months: int) -> str:
 
 
 def _write_partitioned(df: DataFrame, path: str) -> None:
-    (df.repartition("market", "interval", "period", "symbol")
+    """Range-partition on (market, interval, period, symbol) so each task
+    writes a contiguous run of one or two periods (files ~ tasks, not tasks x
+    periods), sorted by (symbol, open_time) inside each file for row-group
+    skipping on symbol and time. One (period, symbol) key is bounded by the
+    bars of one symbol in one period, so it cannot grow into a hot task."""
+    (df.repartitionByRange("market", "interval", "period", "symbol")
        .sortWithinPartitions("symbol", "open_time")
        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
        .partitionBy("market", "interval", "period").parquet(path))
