@@ -156,4 +156,9 @@ def idle_windows(bars: DataFrame, min_idle_minutes: int) -> DataFrame:
     return g.select("symbol", (F.col("prev_open_time") + one).alias("start"), (F.col("open_time") - one).alias("end"))
 
 
-__all__ = [n for n in dir() if not n.startswith("_")] + ["BAR_COLUMNS"]
+def suspension_windows(spark, market: str) -> DataFrame:
+    """The declared per-symbol suspension windows of ``market`` as (symbol, start, end)."""
+    from candlewick.schema import SUSPENSIONS
+    rows = [(sym, _dt.datetime.fromisoformat(a), _dt.datetime.fromisoformat(b))
+            for sym, (a, b) in SUSPENSIONS.get(market, {}).items()]
+    return spark.createDataFrame(rows, "symbol string, start timestamp_ntz, `end` timestamp_ntz")

@@ -809,3 +809,27 @@ def q_stream_sink(spark, sf_dir):
          .option("checkpointLocation", scratch_path(spark, "sink-ck")).trigger(availableNow=True).start())
     q.awaitTermination()
     return store.scan("recent", fx.MARKET)
+
+
+# ---------------------------------------------------------------------- J2, F11 (declared windows), W2
+
+@register("drop_dead_symbols", fx.with_sql(fx.K1_SQL, """
+SELECT * FROM k1 WHERE symbol NOT IN (SELECT symbol FROM k1 GROUP BY symbol HAVING sum(volume) = 0)"""))
+def q_drop_dead(spark, sf_dir):
+    k1 = fx.dense_bars(spark, sf_dir)
+    return Q.drop_symbols(k1, Q.dead_symbols(k1))
+
+
+@register("suspended_bars_declared", fx.with_sql(fx.K1_SQL, "SELECT * FROM k1"))
+def q_suspended_declared(spark, sf_dir):
+    """Declared suspension windows (none cover the fixture symbols; the row with
+    start after end is ignored)."""
+    return Q.suspended_bars(fx.dense_bars(spark, sf_dir), Q.suspension_windows(spark, "usdt_spot"))
+
+
+@register("dedup_daily_wins", _ZIP_EXPECTED_SQL)
+def q_dedup(spark, sf_dir):
+    """W2 on its own: the raw zip rows (monthly plus the re-published days)
+    reduced to one bar per key, the daily copy winning."""
+    raw = SB.read_zip_csv(spark, _zip_root(spark, sf_dir))
+    return SB.dedup_bars(raw)
