@@ -36,6 +36,9 @@ log = logging.getLogger(__name__)
 
 TIERS = ("archive", "recent")
 
+# A result proven to hold at most this many rows may be sorted in one task.
+SINGLE_TASK_SORT_ROWS = 2_000_000
+
 
 def to_time(value, default: _dt.datetime | None = None) -> _dt.datetime:
     """Naive UTC datetime with whole seconds from text, datetime or None."""
@@ -228,7 +231,16 @@ class BarStore:
         else:
             bars = self.scan(strategy, market, b, e, symbol, closed=True)
             out = resample(bars, interval, offset, self.base)
-        return out.orderBy("resample_time", "symbol") if order else out
+        if not order:
+            return out
+        if symbol is not None:
+            # one symbol: at most (span / interval + 1) rows (+ redundancy hours), a
+            # proven bound, so a single-task sort replaces the sampled range sort
+            span = (max(e, b) - min(e, b)) + 2 * self.redundancy
+            bound = int(span.total_seconds() // (60 * interval)) + 2
+            if bound <= SINGLE_TASK_SORT_ROWS:
+                return out.coalesce(1).sortWithinPartitions("resample_time", "symbol")
+        return out.orderBy("resample_time", "symbol")
 
     def get_symbol(self, market: str, symbol: str, interval: int, offset: int, begin=None, end=None,
                    order: bool = True) -> DataFrame:
@@ -326,11 +338,36 @@ class BarStore:
         current = materialize_to(self.spark, latest_state(self.state_log()), self.path("_staging_state"))
         current.select("key", "value", "updated_at").coalesce(1).write.mode("overwrite").parquet(self.path("state"))
 
+    def _state_signature(self):
+        """(file count, newest modification time) of the state folder: one
+        metadata call; every state write changes it."""
+        if self.root is None or "state" in self.frames:
+            return None
+        jvm = self.spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(self.path("state"))
+        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(p):
+            return (0, 0)
+        stats = fs.listStatus(p)
+        return (len(stats), max((st.getModificationTime() for st in stats), default=0))
+
     def get_state_value(self, key: str, keep_first: bool = False):
-        """Latest (or first) value of one key: a top-1 over that key's records."""
+        """Latest (or first) value of one key: a top-1 over that key's records.
+
+        Answers are cached against the state folder's signature, so an
+        unchanged state costs a listing instead of a Spark job, and any new
+        write is seen by the next call."""
+        sig = self._state_signature()
+        cache = self.__dict__.setdefault("_state_cache", {})
+        ck = (key, keep_first)
+        if sig is not None and cache.get(ck, (None, None))[0] == sig:
+            return cache[ck][1]
         order = F.col("updated_at").asc() if keep_first else F.col("updated_at").desc()
         row = self.state_log().filter(F.col("key") == F.lit(key)).orderBy(order).select("value").first()
-        return None if row is None else row["value"]
+        value = None if row is None else row["value"]
+        if sig is not None:
+            cache[ck] = (sig, value)
+        return value
 
     def check_base_interval(self) -> None:
         """Store the base interval on first use; refuse a different one later (K4)."""

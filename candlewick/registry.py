@@ -25,8 +25,14 @@ ALL_END = "2024-01-31 23:59:59"
 
 
 def register(name: str, sql: str | None = None):
+    """Register ``fn(spark, sf_dir)``; bar times are naive UTC, so the session
+    time zone is pinned to UTC before the plan is built."""
     def deco(fn):
-        QUERIES[name] = fn
+        def run(spark, sf_dir):
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return fn(spark, sf_dir)
+        run.__name__, run.__doc__ = fn.__name__, fn.__doc__
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return fn
