@@ -24,7 +24,7 @@ def epoch_to_time(epoch_text) -> Column:
 
 def coerce_double(c) -> Column:
     """Numeric text to DOUBLE; anything unparsable becomes NULL."""
-    return F.expr("try_cast(x AS DOUBLE)") if c == "x" else _col(c).try_cast("double")
+    return _col(c).try_cast("double")
 
 
 def has_permission(permission_sets, name: str) -> Column:

@@ -309,8 +309,10 @@ def q_funding(spark, sf_dir):
     return EX.parse_funding(fx.funding_docs(spark, sf_dir))
 
 
-_STABLE_SQL = ", ".join(f"'{s}'" for s in __import__("candlewick.schema", fromlist=["x"]).STABLECOINS)
-_SPOT_STABLE_SQL = ", ".join(f"'{a}USDT'" for a in __import__("candlewick.schema", fromlist=["x"]).SPOT_STABLE_ASSETS)
+from candlewick.schema import SPOT_STABLE_ASSETS, STABLECOINS  # noqa: E402
+
+_STABLE_SQL = ", ".join(f"'{s}'" for s in STABLECOINS)
+_SPOT_STABLE_SQL = ", ".join(f"'{a}USDT'" for a in SPOT_STABLE_ASSETS)
 _LEV_SQL = ("(symbol LIKE '%UPUSDT' OR symbol LIKE '%DOWNUSDT' OR symbol LIKE '%BULLUSDT' OR symbol LIKE '%BEARUSDT')")
 
 for _mt, _src, _pred in (
@@ -743,20 +745,16 @@ def land_in_order(df: DataFrame, path: str, fmt: str = "parquet") -> str:
     t = _dt.datetime.combine(lo.date(), _dt.time())
     while t <= hi:
         nxt = t + _dt.timedelta(days=LANDING_CHUNK_DAYS)
-        part = df.filter((F.col("open_time") >= F.lit(t)) & (F.col("open_time") < F.lit(nxt))).drop(
-            *(["open_time"] if fmt == "text" else []))
+        part = df.filter((F.col("open_time") >= F.lit(t)) & (F.col("open_time") < F.lit(nxt)))
         getattr(part.coalesce(1).write.mode("append"), fmt)(path)
         t = nxt
     return path
 
 
 def _stream_messages_landed(spark, sf_dir):
-    k0 = fx.event_bars(spark, sf_dir)
-    msgs = FF.stream_messages(spark, sf_dir)
-    # messages carry no open_time column; land them in one pass in several files
+    """Land the stream messages as several text files in one pass (no time order)."""
     path = scratch_path(spark, "landing-msgs")
-    msgs.repartition(8).write.text(path)
-    del k0
+    FF.stream_messages(spark, sf_dir).repartition(8).write.text(path)
     return path
 
 
