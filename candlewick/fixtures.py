@@ -100,15 +100,16 @@ def dense_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def tiers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def tiers(spark: SparkSession, sf_dir: str, dense: DataFrame | None = None,
+          events: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(archive, recent) cut from K1 around THRESHOLD, both with a ``market`` column.
 
     archive: open_time <= THRESHOLD, only symbols listed before ARCHIVE_LISTED_BEFORE.
     recent:  open_time >= THRESHOLD - 1 day, prices shifted by 1/64, only symbols
              with a real bar on or after RECENT_ACTIVE_SINCE.
     """
-    k1 = dense_bars(spark, sf_dir)
-    k0 = event_bars(spark, sf_dir)
+    k1 = dense if dense is not None else dense_bars(spark, sf_dir)
+    k0 = events if events is not None else event_bars(spark, sf_dir)
     life = k0.groupBy("symbol").agg(F.min("open_time").alias("first_bar"), F.max("open_time").alias("last_bar"))
     listed = life.filter(F.col("first_bar") < F.lit(ARCHIVE_LISTED_BEFORE)).select("symbol")
     active = life.filter(F.col("last_bar") >= F.lit(RECENT_ACTIVE_SINCE)).select("symbol")

@@ -10,16 +10,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candlewick.session import checkpoint_root
+from candlewick.session import scratch_path
 
 # Rows a broadcast side may hold (one row per symbol or per symbol-day is far below).
 BROADCAST_MAX_ROWS = 2_000_000
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage by a reliable checkpoint in the shared checkpoint folder."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df: DataFrame, name: str = "materialized") -> DataFrame:
+    """Cut lineage: write ``df`` once as a Parquet table under the shared
+    checkpoint folder and read it back. (A reliable ``checkpoint()`` computes
+    its input twice, once for the action and once for the checkpoint files,
+    unless the input is also cached.) The copy survives executor loss."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def bounded_side(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, bool]:

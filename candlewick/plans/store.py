@@ -378,7 +378,8 @@ class BarStore:
             raise ValueError(f"store holds {stored} bars, this session uses {self.interval_label}")
 
     # ------------------------------------------------------------------ maintenance (K1, K2, K5-K9)
-    def write_archive(self, bars: DataFrame, market: str, skip_closed: bool = True) -> None:
+    def write_archive(self, bars: DataFrame, market: str, skip_closed: bool = True,
+                      single_period: bool = False) -> None:
         """Write bars as period partitions of the archive (K1).
 
         Dynamic partition overwrite replaces only the periods present in
@@ -394,7 +395,7 @@ class BarStore:
         obs = Observation("archive_write")
         x = x.observe(obs, F.max("open_time").alias("max_time"))
         _write_partitioned(x.withColumn("market", F.lit(market))
-                           .withColumn("interval", F.lit(self.interval_label)), self.path("archive"))
+                           .withColumn("interval", F.lit(self.interval_label)), self.path("archive"), single_period)
         written = obs.get.get("max_time")
         if written is not None:
             before = self.get_state_value(self._archive_key(market))
@@ -440,7 +441,7 @@ class BarStore:
         have = label in self.periods("archive", market)
         if not have:
             bars = self.scan("recent", market, start, end, closed=False)
-            self.write_archive(bars, market, skip_closed=False)
+            self.write_archive(bars, market, skip_closed=False, single_period=True)
         self.expire_recent(market, end)
         return {"period_start": start, "period_end": end, "exported": not have}
 
@@ -496,14 +497,19 @@ def _period_text(t: _dt.datetime, period_months: int) -> str:
     return f"{y:04d}-{m:02d}"
 
 
-def _write_partitioned(df: DataFrame, path: str) -> None:
-    """Range-partition on (market, interval, period, symbol) so each task
-    writes a contiguous run of one or two periods (files ~ tasks, not tasks x
-    periods), sorted by (symbol, open_time) inside each file for row-group
-    skipping on symbol and time. One (period, symbol) key is bounded by the
-    bars of one symbol in one period, so it cannot grow into a hot task."""
-    (df.repartitionByRange("market", "interval", "period", "symbol")
-       .sortWithinPartitions("symbol", "open_time")
+def _write_partitioned(df: DataFrame, path: str, single_period: bool = False) -> None:
+    """Write period partitions, files sorted by (symbol, open_time) for
+    row-group skipping on symbol and time.
+
+    Input spanning many periods (bulk loads) is range-partitioned on
+    (market, interval, period, symbol), so each task writes a contiguous run
+    of one or two periods: files ~ tasks, not tasks x periods. A write known
+    to hold one period (an export) hashes on symbol instead and skips the
+    range sampling pass. Either way one key is bounded by the bars of one
+    symbol in one period, so it cannot grow into a hot task."""
+    keys = ("market", "interval", "period", "symbol")
+    parted = df.repartition(*keys) if single_period else df.repartitionByRange(*keys)
+    (parted.sortWithinPartitions("symbol", "open_time")
        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
        .partitionBy("market", "interval", "period").parquet(path))
 
