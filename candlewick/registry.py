@@ -837,3 +837,29 @@ def q_dedup(spark, sf_dir):
     reduced to one bar per key, the daily copy winning."""
     raw = SB.read_zip_csv(spark, _zip_root(spark, sf_dir))
     return SB.dedup_bars(raw)
+
+
+# ---------------------------------------------------------------------- more edges of Q1/Q2/Q5
+
+@register("get_market_20m_not_multiple_of_base", fx.with_sql(fx.K1_SQL, resample_sql(
+    "k1", 20, 0, f"open_time BETWEEN {ts(ALL_BEGIN)} AND {ts(ALL_END)}") + "\nORDER BY resample_time, symbol"))
+def q_not_multiple(spark, sf_dir):
+    """20-minute buckets over 15-minute bars: complete means floor(20/15) = 1 bar."""
+    return dense_store(spark, sf_dir).get_market(fx.MARKET, 20, 0, ALL_BEGIN, ALL_END)
+
+
+@register("get_market_60m_negative_offset", fx.with_sql(fx.K1_SQL, resample_sql(
+    "k1", 60, -15, f"open_time BETWEEN {ts(ALL_BEGIN)} AND {ts(ALL_END)}") + "\nORDER BY resample_time, symbol"))
+def q_negative_offset(spark, sf_dir):
+    """Offset -15 passes validation and behaves as offset 45."""
+    return dense_store(spark, sf_dir).get_market(fx.MARKET, 60, -15, ALL_BEGIN, ALL_END)
+
+
+def _hybrid_symbol_sql(symbol: str) -> str:
+    sql = hybrid_sql(60, 15, ALL_BEGIN, ALL_END)
+    return sql.replace("GROUP BY symbol, resample_time", f"AND symbol = '{symbol}'\nGROUP BY symbol, resample_time")
+
+
+@register("hybrid_get_symbol_60m_off15", _hybrid_symbol_sql(SYMBOL))
+def q_hybrid_symbol(spark, sf_dir):
+    return tier_store(spark, sf_dir).get_symbol(fx.MARKET, SYMBOL, 60, 15, ALL_BEGIN, ALL_END)
