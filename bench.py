@@ -26,7 +26,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from candlewick import fixtures as fx  # noqa: E402
 from candlewick.operators import quality as Q  # noqa: E402
 from candlewick.plans.store import BarStore  # noqa: E402
-from candlewick.session import build_session  # noqa: E402
+from candlewick.session import build_session, scratch_path  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
 CPUS = int(os.environ.get("BENCH_CPUS", "8"))
@@ -54,7 +54,7 @@ def main():
     spark.sparkContext.setLogLevel("ERROR")
     if not spark.conf.get("spark.checkpoint.dir", None):
         spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-ckpt-"))
-    root = tempfile.mkdtemp(prefix="bench-store-")
+    root = scratch_path(spark, "bench-store")     # shared folder from spark.checkpoint.dir
 
     # ---- store build: events -> bars -> archive (<= threshold) + recent tier
     from candlewick.plans.joins import materialize

@@ -105,14 +105,31 @@ def zip_files(spark: SparkSession, root: str) -> DataFrame:
             .option("recursiveFileLookup", "true").load(root))
 
 
-def read_zip_csv(spark: SparkSession, root: str) -> DataFrame:
+def checksum_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path of the zip, expected SHA-256) from every ``.CHECKSUM`` sidecar under ``root``."""
+    return (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.CHECKSUM").text(root)
+            .select(F.regexp_replace("_metadata.file_path", r"\.CHECKSUM$", "").alias("path"),
+                    F.lower(F.split(F.trim("value"), r"\s+").getItem(0)).alias("expected")))
+
+
+def read_zip_csv(spark: SparkSession, root: str, verified_only: bool = False) -> DataFrame:
     """All CSV bars from zips under ``root`` with source path, before de-duplication.
 
     The symbol is the folder holding the zip; daily files rank above monthly
     ones and, within a kind, later file dates rank higher (``source_rank``).
-    A header row (first field 'open_time') is dropped.
+    A header row (first field 'open_time') is dropped. With ``verified_only``
+    a zip is read only when its content hashes to its sidecar's checksum; the
+    hash is taken in the same scan, and the sidecar table (one row per file)
+    is joined through a size-checked broadcast, so the content column is never
+    shuffled.
     """
-    lines = zip_files(spark, root).select("path", "content").mapInPandas(_unzip_lines, _CSV_SCHEMA)
+    files = zip_files(spark, root).select("path", "content")
+    if verified_only:
+        from candlewick.plans.joins import bounded_side
+        sums, _ = bounded_side(checksum_files(spark, root))
+        files = (files.join(sums, "path", "inner")
+                 .filter(F.sha2("content", 256) == F.col("expected")).select("path", "content"))
+    lines = files.mapInPandas(_unzip_lines, _CSV_SCHEMA)
     lines = lines.filter(F.col("c0") != "open_time")
     fields = {name: F.col(f"c{i}") for i, name in enumerate(KLINE_FIELDS)}
     symbol = F.regexp_extract("path", r"/([^/]+)/[^/]+\.zip$", 1)
@@ -144,8 +161,5 @@ def verify_checksums(spark: SparkSession, root: str) -> DataFrame:
     against the first token of the ``.CHECKSUM`` sidecar (J8). A zip without
     a sidecar is unverified."""
     zips = zip_files(spark, root).select("path", F.sha2("content", 256).alias("actual"))
-    sums = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.CHECKSUM").text(root)
-            .select(F.regexp_replace("_metadata.file_path", r"\.CHECKSUM$", "").alias("path"),
-                    F.lower(F.split(F.trim("value"), r"\s+").getItem(0)).alias("expected")))
-    out = zips.join(sums, "path", "left")
+    out = zips.join(checksum_files(spark, root), "path", "left")
     return out.withColumn("verified", F.coalesce(F.col("expected") == F.col("actual"), F.lit(False)))
