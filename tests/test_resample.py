@@ -122,3 +122,37 @@ def test_empty_archive_falls_back_to_recent(spark):
     assert store.get_market("usdt_perp", 60, 0, "2023-12-31", "2024-01-02").count() == 2
     with pytest.raises(ValueError):
         store.get_market("usdt_perp", 60, 7, "2023-12-31", "2024-01-02")
+
+
+def _pandas_resample(rows, iv, off):
+    import pandas as pd
+    df = pd.DataFrame(rows, columns=["open_time", "symbol", "open", "high", "low", "close", "volume", "quote_volume",
+                                     "trade_num", "tb", "tq", "avg_price"])
+    minutes = (df["open_time"] - pd.Timestamp("1970-01-01")).dt.total_seconds() // 60
+    df["bucket"] = pd.to_datetime((minutes - (minutes - off) % iv) * 60, unit="s")
+    out = {}
+    for (sym, b), g in df.sort_values("open_time").groupby(["symbol", "bucket"]):
+        if len(g) == iv // 15:
+            out[(sym, b.to_pydatetime())] = (g["open"].iloc[0], g["high"].max(), g["low"].min(), g["close"].iloc[-1],
+                                            g["volume"].sum(), int(g["trade_num"].sum()))
+    return out
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["AUSDT", "BUSDT"]), st.integers(0, 200), st.integers(1, 64),
+                          st.integers(0, 3)), min_size=1, max_size=80,
+                unique_by=lambda x: (x[0], x[1])),
+       st.sampled_from([(30, 0), (60, 0), (60, 15), (60, 45), (15, 0)]))
+def test_resample_matches_pandas(spark, raw, iv_off):
+    iv, off = iv_off
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [bar(t0 + dt.timedelta(minutes=15 * slot), sym, o=p / 4, h=p / 4 + 1, lo=p / 4 - 1, c=p / 4 + 0.5, v=float(v), n=v)
+            for sym, slot, p, v in raw]
+    want = _pandas_resample(rows, iv, off)
+    got = {(r["symbol"], r["resample_time"]): (r["open"], r["high"], r["low"], r["close"], r["volume"], r["trade_num"])
+           for r in resample(bars_df(spark, rows), iv, off, 15).collect()}
+    assert got == want
