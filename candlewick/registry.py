@@ -890,3 +890,11 @@ def q_load_history(spark, sf_dir):
     store = fresh_store(spark, "load-history")
     load_history(spark, _zip_root(spark, sf_dir), store, fx.MARKET)
     return store.scan("archive", fx.MARKET)
+
+
+@register("dead_symbols_in_page", fx.with_sql(fx.K1_SQL, f""",
+p AS (SELECT * FROM k1 WHERE open_time >= {ts(PAGE_END)} - INTERVAL '{PAGE_LIMIT * 15} minutes' AND open_time < {ts(PAGE_END)})
+SELECT symbol, sum(volume) AS total_volume FROM p GROUP BY symbol HAVING sum(volume) = 0"""))
+def q_dead_in_page(spark, sf_dir):
+    """A8 over one fetched page: symbols without a single trade in it."""
+    return Q.dead_symbols(Q.rest_page(fx.dense_bars(spark, sf_dir), PAGE_END, PAGE_LIMIT, fx.BASE_MINUTES))
