@@ -170,7 +170,7 @@ def q_recent_tier(spark, sf_dir):
 @register("bucket_audit_60m_off15", fx.with_sql(fx.K1_SQL, f""",
 b AS (SELECT symbol, {bucket_sql(60, 15)} AS resample_time, count(open_time) AS bar_count FROM k1 GROUP BY ALL)
 SELECT symbol, count(*) FILTER (WHERE bar_count = 4) AS complete_buckets,
-       count(*) FILTER (WHERE bar_count <> 4) AS partial_buckets, sum(bar_count) AS bars
+       count(*) FILTER (WHERE bar_count <> 4) AS partial_buckets, CAST(sum(bar_count) AS BIGINT) AS bars
 FROM b GROUP BY symbol"""))
 def q_bucket_audit(spark, sf_dir):
     from candlewick.operators.resample import bucket_audit
