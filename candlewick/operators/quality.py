@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from candlewick.functions.timegrid import batch_time, next_boundary
 from candlewick.plans.joins import join_small
 from candlewick.plans.series import with_neighbour
-from candlewick.schema import BAR_COLUMNS, LONG_PAGE, SENTINEL_TIME, SHORT_PAGE
+from candlewick.schema import LONG_PAGE, SENTINEL_TIME, SHORT_PAGE
 
 
 def _minutes_between(later, earlier):

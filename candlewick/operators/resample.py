@@ -32,7 +32,7 @@ def required_bars(interval: int, base: int) -> int:
     return interval // base
 
 
-def _bucket_aggregates(time_col: str = "open_time") -> list:
+def bucket_aggregates(time_col: str = "open_time") -> list:
     return [
         F.min_by("open", time_col).alias("open"),
         F.max("high").alias("high"),
@@ -59,7 +59,7 @@ def resample(bars: DataFrame, interval: int, offset: int = 0, base: int = 15,
     """
     need = required_bars(int(interval), int(base))
     keyed = bars.withColumn("resample_time", bucket_start("open_time", int(interval), int(offset)))
-    out = keyed.groupBy("symbol", "resample_time").agg(*_bucket_aggregates())
+    out = keyed.groupBy("symbol", "resample_time").agg(*bucket_aggregates())
     if complete_only:
         out = out.filter(F.col("bar_count") == F.lit(need))
     cols = RESAMPLED_COLUMNS + (["bar_count"] if keep_count else [])

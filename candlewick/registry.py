@@ -898,3 +898,13 @@ SELECT symbol, sum(volume) AS total_volume FROM p GROUP BY symbol HAVING sum(vol
 def q_dead_in_page(spark, sf_dir):
     """A8 over one fetched page: symbols without a single trade in it."""
     return Q.dead_symbols(Q.rest_page(fx.dense_bars(spark, sf_dir), PAGE_END, PAGE_LIMIT, fx.BASE_MINUTES))
+
+
+@register("instruments_decimal_view", fx.with_sql(fx.PART_SQL, """
+SELECT symbol, TRY_CAST(price_tick AS DECIMAL(38,18)) AS price_tick, TRY_CAST(lot_size AS DECIMAL(38,18)) AS lot_size,
+       TRY_CAST(min_notional_value AS DECIMAL(38,18)) AS min_notional_value
+FROM spot"""))
+def q_decimal_view(spark, sf_dir):
+    """Stored text sizes as DECIMAL(38,18)."""
+    return EX.instruments_as_decimal(instruments(spark, sf_dir, "usdt_spot")).select(
+        "symbol", "price_tick", "lot_size", "min_notional_value")
