@@ -429,8 +429,14 @@ class BarStore:
                       retention_days: int = 7) -> dict | None:
         """Copy the last closed period before ``as_of - retention`` from the
         recent tier to the archive when the archive lacks it (K6), then expire
-        recent rows older than the period end minus one day (K7)."""
-        cutoff = to_time(as_of or self.now()) - _dt.timedelta(days=retention_days)
+        recent rows older than the period end minus one day (K7).
+
+        ``as_of`` defaults to the recent watermark (the newest committed bar),
+        falling back to now when none is recorded."""
+        if as_of is None:
+            wm = self.recent_watermark(market)
+            as_of = wm if wm != SENTINEL_TIME else self.now()
+        cutoff = to_time(as_of) - _dt.timedelta(days=retention_days)
         row = self.spark.range(1).select(
             latest_complete_period(F.lit(cutoff), self.period_months).alias("p")).first()["p"]
         if row is None:

@@ -103,3 +103,11 @@ def test_table_metadata(spark, tmp_store_root):
     assert cols["open_time"] == "timestamp_ntz" and cols["trade_num"] == "int"
     with pytest.raises(ValueError):
         s.table_schema("nope")
+
+
+def test_export_defaults_to_recent_watermark(spark, tmp_store_root):
+    s = BarStore(spark, tmp_store_root, base_minutes=15, as_of=dt.datetime(2024, 2, 26))
+    rows = series("2024-01-30 00:00", 4) + series("2024-02-20 00:00", 4)
+    s.commit_batch(bars_df(spark, rows), "usdt_perp", dt.datetime(2024, 2, 20, 1, 0))
+    info = s.export_period("usdt_perp", retention_days=7)     # 2024-02-20 01:00 - 7 days -> January closed
+    assert info["exported"] and str(info["period_start"].date()) == "2024-01-01"
