@@ -409,7 +409,10 @@ class BarStore:
         fresh = rows_to_insert(new, existing, self.period_months)
         fresh = fresh.withColumn("period", period_label("open_time", self.period_months))
         fresh = fresh.withColumn("market", F.lit(market)).withColumn("interval", F.lit(self.interval_label))
-        fresh.write.mode("append").partitionBy("market", "interval", "period").parquet(self.path("recent"))
+        # recent-tier files are read by time (latest bars, conflict checks), so each
+        # appended file is sorted by time: its row-group statistics prune on open_time
+        (fresh.sortWithinPartitions("open_time", "symbol")
+         .write.mode("append").partitionBy("market", "interval", "period").parquet(self.path("recent")))
 
     def commit_batch(self, bars: DataFrame, market: str, watermark: _dt.datetime) -> None:
         """Bars first, watermark last (K9). Plain Parquet has no multi-table
