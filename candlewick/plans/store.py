@@ -560,13 +560,17 @@ def latest_state(log_df: DataFrame, keep_first: bool = False) -> DataFrame:
 def rows_to_insert(new: DataFrame, existing: DataFrame, period_months: int = 1) -> DataFrame:
     """Rows of ``new`` whose (open_time, symbol) is not stored yet.
 
-    Duplicates inside ``new`` keep the first copy by value order. The stored
-    side is restricted to the time span of ``new`` so only those periods are
-    read; the join shuffles on the full key, which has no hot values.
+    Copies of one key inside ``new`` collapse to the copy with the smallest
+    row hash: a deterministic choice made by a hash aggregate, combined
+    map-side, so even a key repeated across a third of the batch never lands
+    in one task. The stored side is restricted to the time span of ``new``
+    so only those periods are read; the anti join shuffles on the full key,
+    which has no hot values.
     """
-    from pyspark.sql import Window
-    w = Window.partitionBy("open_time", "symbol").orderBy(*[F.col(c).asc_nulls_last() for c in BAR_COLUMNS[2:]])
-    uniq = new.select(*BAR_COLUMNS).withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    values = [c for c in BAR_COLUMNS if c not in ("open_time", "symbol")]
+    hashed = new.select(*BAR_COLUMNS).withColumn("_h", F.xxhash64(*BAR_COLUMNS))
+    uniq = hashed.groupBy("open_time", "symbol").agg(*[F.min_by(c, "_h").alias(c) for c in values])
+    uniq = uniq.select(*BAR_COLUMNS)
     span = new.agg(F.min("open_time").alias("lo"), F.max("open_time").alias("hi")).first()
     if span is None or span["lo"] is None:
         return uniq

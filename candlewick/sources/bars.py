@@ -84,19 +84,35 @@ def parse_stream_bars(messages: DataFrame, value_col: str = "value") -> DataFram
 _CSV_SCHEMA = "path string, " + ", ".join(f"c{i} string" for i in range(12))
 
 
+_CHUNK_LINES = 200_000
+
+
 def _unzip_lines(batches):
-    """Each input row is one zip file; yield its CSV lines split into 12 text fields."""
+    """Each input row is one zip file; yield its CSV lines split into 12 text
+    fields, in chunks of at most ``_CHUNK_LINES`` lines, so one large file
+    never has to fit in a task's memory as one frame."""
     cols = [f"c{i}" for i in range(12)]
+
+    def frame(path, rows):
+        out = pd.DataFrame([(r + [None] * 12)[:12] for r in rows], columns=cols)
+        out.insert(0, "path", path)
+        return out
+
     for pdf in batches:
         for path, content in zip(pdf["path"], pdf["content"]):
             with zipfile.ZipFile(io.BytesIO(content)) as zf:
                 for member in zf.namelist():
-                    text = zf.read(member).decode("utf-8")
-                    rows = [line.split(",") for line in text.splitlines() if line.strip()]
-                    rows = [(r + [None] * 12)[:12] for r in rows]
-                    out = pd.DataFrame(rows, columns=cols)
-                    out.insert(0, "path", path)
-                    yield out
+                    with zf.open(member) as fh:
+                        rows = []
+                        for raw in io.TextIOWrapper(fh, encoding="utf-8"):
+                            line = raw.strip()
+                            if line:
+                                rows.append(line.split(","))
+                            if len(rows) >= _CHUNK_LINES:
+                                yield frame(path, rows)
+                                rows = []
+                        if rows:
+                            yield frame(path, rows)
 
 
 def zip_files(spark: SparkSession, root: str) -> DataFrame:
