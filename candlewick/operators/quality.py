@@ -24,15 +24,18 @@ def _minutes_between(later, earlier):
             / F.lit(60_000_000)).cast("long")
 
 
-def find_gaps(bars: DataFrame, interval_minutes: int) -> DataFrame:
-    """Bars whose step from the previous bar of the same symbol exceeds the interval.
+def find_gaps(bars: DataFrame, interval_minutes: int, time_col: str = "open_time") -> DataFrame:
+    """Rows whose step from the previous row of the same symbol exceeds the
+    interval (W1). Works on base bars (``open_time``) and on resampled output
+    (``time_col="resample_time"``, where a gap is a missing complete bucket).
 
-    Columns: symbol, prev_open_time, open_time, gap_minutes.
+    Columns: symbol, prev_<time_col>, <time_col>, gap_minutes.
     """
-    x = with_neighbour(bars.select("symbol", "open_time"), ["symbol"], "open_time", "prev_open_time", "prev")
-    gap = _minutes_between(F.col("open_time"), F.col("prev_open_time"))
-    return (x.filter(F.col("prev_open_time").isNotNull() & (gap > F.lit(int(interval_minutes))))
-             .select("symbol", "prev_open_time", "open_time", gap.alias("gap_minutes")))
+    prev = f"prev_{time_col}"
+    x = with_neighbour(bars.select("symbol", time_col), ["symbol"], time_col, prev, "prev")
+    gap = _minutes_between(F.col(time_col), F.col(prev))
+    return (x.filter(F.col(prev).isNotNull() & (gap > F.lit(int(interval_minutes))))
+             .select("symbol", prev, time_col, gap.alias("gap_minutes")))
 
 
 def missing_days(bars: DataFrame) -> DataFrame:

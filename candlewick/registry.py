@@ -908,3 +908,16 @@ def q_decimal_view(spark, sf_dir):
     """Stored text sizes as DECIMAL(38,18)."""
     return EX.instruments_as_decimal(instruments(spark, sf_dir, "usdt_spot")).select(
         "symbol", "price_tick", "lot_size", "min_notional_value")
+
+
+@register("resampled_gaps_60m", fx.with_sql(fx.K1_SQL, f""",
+r AS ({resample_sql("k1", 60, 0, f"open_time BETWEEN {ts(ALL_BEGIN)} AND {ts(ALL_END)}")}),
+l AS (SELECT symbol, lag(resample_time) OVER (PARTITION BY symbol ORDER BY resample_time) AS prev_resample_time,
+             resample_time FROM r)
+SELECT symbol, prev_resample_time, resample_time,
+       CAST(date_diff('minute', prev_resample_time, resample_time) AS BIGINT) AS gap_minutes
+FROM l WHERE prev_resample_time IS NOT NULL AND resample_time - prev_resample_time > INTERVAL '60 minutes'"""))
+def q_resampled_gaps(spark, sf_dir):
+    """The integrity check run on resampled output: hours without a complete bucket."""
+    hourly = dense_store(spark, sf_dir).get_market(fx.MARKET, 60, 0, ALL_BEGIN, ALL_END, order=False)
+    return Q.find_gaps(hourly, 60, time_col="resample_time")
