@@ -60,3 +60,23 @@ def test_gap_finder_windows_by_symbol_day(spark):
 def test_fixture_plan_has_no_python(spark):
     p = plan(fx.dense_bars(spark, "/root/testdata/sf0.001"))
     assert "PythonUDF" not in p and "ArrowEvalPython" not in p
+
+
+def test_bounded_side_broadcasts_only_under_the_bound(spark):
+    from candlewick.plans.joins import bounded_side, join_small
+    big = bars_df(spark, series("2024-01-01 00:00", 50))
+    small = spark.createDataFrame([("AAAUSDT", 1)], "symbol string, k int")
+    side, is_broadcast = bounded_side(small, max_rows=10)
+    assert is_broadcast
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        side, is_broadcast = bounded_side(small, max_rows=0)
+        assert not is_broadcast
+        joined = join_small(big, small, "symbol", max_rows=0)
+        p = joined._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" not in p and ("SortMergeJoin" in p or "ShuffledHashJoin" in p)
+        assert joined.count() == 50
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
