@@ -103,7 +103,7 @@ def main():
         "queries": results,
         "build_store": round(build, 3),
         "build_steps": {k: round(v, 3) for k, v in steps.items()},
-        "sf": os.path.basename(SF_DIR).replace("sf", ""),
+        "sf": _sf_value(SF_DIR),
         "cpus": CPUS,
         "runs": RUNS,
         **rows,
@@ -113,6 +113,14 @@ def main():
     spark.stop()
 
 
+def _sf_value(sf_dir: str):
+    text = os.path.basename(sf_dir).replace("sf", "")
+    try:
+        return float(text)
+    except ValueError:
+        return text
+
+
 def duckdb_times(root: str) -> dict:
     """The same read path in DuckDB (one process) on the same stored Parquet,
     each result fully materialized as an Arrow table."""
