@@ -73,3 +73,26 @@ def _counter():
 
 
 _COUNTER = _counter()
+
+
+def recommended_conf(shuffle_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict:
+    """Settings for a large run, from the expected shuffle volume.
+
+    Initial shuffle partitions are sized so each holds about
+    ``target_partition_bytes`` (AQE coalesces small ones at run time) and
+    never fewer than two waves of the cluster's cores; scans split at 256 MB;
+    AQE's skew split kicks in for partitions five times the median and above
+    512 MB.
+    """
+    parts = max(2 * total_cores, -(-int(shuffle_bytes) // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(256 << 20),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 << 20),
+        "spark.sql.session.timeZone": "UTC",
+    }
