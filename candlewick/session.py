@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -60,19 +60,17 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared checkpoint folder for a written intermediate table."""
-    root = checkpoint_root(spark)
-    return f"{root}/{name}-{os.getpid()}-{next(_COUNTER)}"
+    """A new path under the shared checkpoint folder for a written intermediate table.
 
-
-def _counter():
-    n = 0
-    while True:
-        n += 1
-        yield n
+    The name is random, so two drivers that share the folder never meet.
+    """
+    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-_COUNTER = _counter()
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table that ``scratch_path`` named (any Hadoop file system)."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
 def recommended_conf(shuffle_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict:
