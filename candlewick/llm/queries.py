@@ -10,14 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from candlewick.llm.common import table
 from candlewick.llm.simhash import simhash_components
+from candlewick.llm.toxicity import score_toxicity
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 LLM_QUERIES = {
     "op1_simhash": op1_simhash,
+    "op10_toxicity": op10_toxicity,
 }
 
 LLM_ORACLES: dict[str, str] = {}
