@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from candlewick.llm import sharding
 from candlewick.llm.common import table
 from candlewick.llm.simhash import simhash_components
 from candlewick.llm.toxicity import score_toxicity
@@ -17,13 +18,20 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharding_digest(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 LLM_QUERIES = {
     "op1_simhash": op1_simhash,
+    "op4_sharding": op4_sharding,
     "op10_toxicity": op10_toxicity,
 }
 
-LLM_ORACLES: dict[str, str] = {}
+LLM_ORACLES: dict[str, str] = {
+    "op4_sharding": sharding.ORACLE,
+}
