@@ -10,10 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from candlewick.llm import sharding
 from candlewick.llm.common import table
+from candlewick.llm.token_files import token_digest
 from candlewick.llm.simhash import simhash_components
 from candlewick.llm.toxicity import score_toxicity
 
 
+def tokenizer_path() -> str:
+    """The vocabulary file of the installed public tokenizers (same place on every machine)."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
@@ -22,6 +29,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharding_digest(table(spark, sf_dir, "documents"))
 
 
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digest(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -29,6 +40,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES = {
     "op1_simhash": op1_simhash,
     "op4_sharding": op4_sharding,
+    "op6_token_output": op6_token_output,
     "op10_toxicity": op10_toxicity,
 }
 
