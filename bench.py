@@ -66,7 +66,7 @@ def main():
     steps["dense_bars"] = time.perf_counter() - t0 - sum(steps.values())
     archive, recent = fx.tiers(spark, SF_DIR, dense=k1, events=k0)
     store = BarStore(spark, root, base_minutes=fx.BASE_MINUTES)
-    store.write_archive(archive.drop("market"), fx.MARKET, skip_closed=False)
+    store.write_archive(archive.drop("market"), fx.MARKET)
     steps["write_archive"] = time.perf_counter() - t0 - sum(steps.values())
     store.append_recent(recent.drop("market"), fx.MARKET)
     steps["append_recent"] = time.perf_counter() - t0 - sum(steps.values())

@@ -88,6 +88,15 @@ def stream_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------------------- zipped CSV
 
+def _put(path: str, data: bytes) -> None:
+    """Write one object to the store that the path's scheme names (hdfs, s3, file)."""
+    from pyarrow import fs
+    store, name = fs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
+    store.create_dir(os.path.dirname(name), recursive=True)
+    with store.open_output_stream(name) as out:
+        out.write(data)
+
+
 def _write_zip_group(pdf: pd.DataFrame) -> pd.DataFrame:
     path = pdf["path"].iloc[0]
     lines = pdf.sort_values("open_time")["line"].tolist()
@@ -98,13 +107,10 @@ def _write_zip_group(pdf: pd.DataFrame) -> pd.DataFrame:
     with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
         zf.writestr(os.path.basename(path)[:-4] + ".csv", "\n".join(lines) + "\n")
     data = buf.getvalue()
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    with open(path, "wb") as fh:
-        fh.write(data)
+    _put(path, data)
     digest = hashlib.sha256(data).hexdigest()
     sidecar = digest if bool(pdf["good_sum"].iloc[0]) else hashlib.sha256(b"").hexdigest()
-    with open(path + ".CHECKSUM", "w", encoding="utf-8") as fh:
-        fh.write(f"{sidecar}  {os.path.basename(path)}\n")
+    _put(path + ".CHECKSUM", f"{sidecar}  {os.path.basename(path)}\n".encode())
     return pd.DataFrame({"path": [path], "sha256": [digest]})
 
 
@@ -139,8 +145,13 @@ def write_zip_archive(spark: SparkSession, sf_dir: str, root: str) -> DataFrame:
                  F.date_format("open_time", "yyyy-MM-dd"), F.lit(".zip")).alias("path"),
         "open_time", line(_ms("open_time"), F.col("close") + F.lit(SHIFT)).alias("line"),
         F.lit(False).alias("header"), F.lit(True).alias("good_sum"))
-    files = monthly.unionByName(daily).groupBy("path").applyInPandas(_write_zip_group, "path string, sha256 string")
-    return files
+    return write_zips(monthly.unionByName(daily))
+
+
+def write_zips(lines: DataFrame) -> DataFrame:
+    """Write (path, open_time, line, header, good_sum) rows as one zip and sidecar a path
+    (a symbol's month or day); returns (path, sha256) per file."""
+    return lines.groupBy("path").applyInPandas(_write_zip_group, "path string, sha256 string")
 
 
 # ---------------------------------------------------------------------------- listing pages

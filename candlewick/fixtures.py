@@ -33,6 +33,7 @@ THRESHOLD = _dt.datetime(2024, 1, 20, 0, 0, 0)
 ARCHIVE_LISTED_BEFORE = _dt.datetime(2024, 1, 2, 0, 0, 0)   # later listings are absent from the archive
 RECENT_ACTIVE_SINCE = _dt.datetime(2024, 1, 30, 0, 0, 0)    # symbols idle since then are absent from recent
 RECENT_PRICE_SHIFT = 1.0 / 64                                # makes tier precedence visible
+ORDER_YEARS = 28                                             # order dates move past the period anchor, leap days kept
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,6 +101,25 @@ def dense_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def order_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """KT: one bar per customer group and day from ``orders``, over several years of
+    periods (dates 28 years later). symbol 'C<custkey % 97>USDT'; prices in whole units; symbols
+    with custkey % 97 < 3 carry volume zero throughout (never traded)."""
+    o = read_table(spark, sf_dir, "orders")
+    group, price = F.col("o_custkey") % 97, F.floor("o_totalprice").cast("double")
+    qty = F.when(group < 3, 0.0).otherwise((F.col("o_orderkey") % 5 + 1).cast("double"))
+    x = o.select(F.concat(F.lit("C"), group.cast("string"), F.lit("USDT")).alias("symbol"),
+                 F.to_timestamp_ntz(F.add_months(F.to_date("o_orderdate"), 12 * ORDER_YEARS)).alias("open_time"),
+                 F.col("o_orderkey").alias("k"), price.alias("price"), qty.alias("qty"))
+    notional = F.col("price") * F.col("qty")
+    bars = x.groupBy("symbol", "open_time").agg(
+        F.min_by("price", "k").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
+        F.max_by("price", "k").alias("close"), F.sum("qty").alias("volume"), F.sum(notional).alias("quote_volume"),
+        F.count(F.lit(1)).cast("int").alias("trade_num"),
+        F.sum("qty").alias("taker_buy_base_asset_volume"), F.sum(notional).alias("taker_buy_quote_asset_volume"))
+    return bars.withColumn("avg_price", avg_price()).select(*BAR_COLUMNS)
+
+
 def tiers(spark: SparkSession, sf_dir: str, dense: DataFrame | None = None,
           events: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(archive, recent) cut from K1 around THRESHOLD, both with a ``market`` column.
@@ -150,6 +170,19 @@ k0 AS (
   SELECT open_time, symbol, {_BAR_VALUE_SQL}
   FROM k0_src GROUP BY symbol, open_time)"""
 
+KT_SQL = """
+kt_src AS (
+  SELECT 'C' || (o_custkey % 97) || 'USDT' AS symbol, CAST(CAST(o_orderdate AS DATE) + INTERVAL '28 years' AS TIMESTAMP) AS open_time,
+         o_orderkey AS k, CAST(floor(o_totalprice) AS DOUBLE) AS price,
+         CASE WHEN o_custkey % 97 < 3 THEN 0e0 ELSE CAST(o_orderkey % 5 + 1 AS DOUBLE) END AS qty
+  FROM orders),
+kt AS (
+  SELECT open_time, symbol, arg_min(price, k) AS open, max(price) AS high, min(price) AS low, arg_max(price, k) AS close,
+         sum(qty) AS volume, sum(price * qty) AS quote_volume, CAST(count(*) AS INTEGER) AS trade_num,
+         sum(qty) AS taker_buy_base_asset_volume, sum(price * qty) AS taker_buy_quote_asset_volume,
+         CASE WHEN sum(qty) = 0 THEN NULL ELSE sum(price * qty) / sum(qty) END AS avg_price
+  FROM kt_src GROUP BY symbol, open_time)"""
+
 K1_SQL = K0_SQL + """,
 k1_next AS (
   SELECT *, coalesce(lead(open_time) OVER (PARTITION BY symbol ORDER BY open_time),

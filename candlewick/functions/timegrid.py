@@ -115,3 +115,15 @@ def latest_complete_period(ts, period_months: int = 1, start: _dt.date = PERIOD_
     first = F.add_months(F.lit(start.replace(day=1)), (k * p).cast("int"))
     value = F.struct(first.alias("period_start"), F.add_months(first, p).alias("period_end"))
     return F.when((d >= F.lit(start)) & (k >= 0), value)
+
+
+def period_list(first, last, period_months: int = 1, anchor: _dt.date = PERIOD_ANCHOR) -> Column:
+    """Array of struct(label, period_start DATE, period_end DATE exclusive): the archive
+    periods from the one holding ``first`` to the one holding ``last``; the
+    first one starts at the first day of ``first``'s month, not before."""
+    p = int(period_months)
+    month = F.trunc(F.to_date(_col(first)), "month")
+    starts = F.sequence(period_start(first, p, anchor), period_start(last, p, anchor), F.expr(f"INTERVAL {p} MONTHS"))
+    return F.transform(starts, lambda s: F.struct(
+        F.date_format(s, "yyyy-MM").alias("label"), F.greatest(s, month).alias("period_start"),
+        F.add_months(s, p).alias("period_end")))

@@ -1,27 +1,33 @@
 """Bar audits and clean-ups: gaps, missing days, trading range, dead symbols,
 clipping, closed bars, fetch summaries and backfill paging.
 
-Per-symbol ordered steps use ``plans.series.with_neighbour`` (windows over
-symbol-day, not symbol), and per-symbol summaries are joined back through a
-size-checked broadcast, so one hot symbol never lands in a single task.
+Per-symbol ordered steps work on symbol-days, not symbols, and per-symbol
+summaries are joined back by plain joins that AQE broadcasts or splits, so one
+hot symbol never lands in a single task.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from candlewick.functions.timegrid import batch_time, next_boundary
-from candlewick.plans.joins import join_small
 from candlewick.plans.series import with_neighbour
 from candlewick.schema import LONG_PAGE, SENTINEL_TIME, SHORT_PAGE
 
 
+def _micros_between(later, earlier):
+    return F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))
+
+
 def _minutes_between(later, earlier):
-    return ((F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp")))
-            / F.lit(60_000_000)).cast("long")
+    """Whole minutes, for reports; comparisons use microseconds."""
+    return (_micros_between(later, earlier) / F.lit(_MINUTE)).cast("long")
+
+
+_MINUTE = 60_000_000
 
 
 def find_gaps(bars: DataFrame, interval_minutes: int, time_col: str = "open_time") -> DataFrame:
@@ -29,13 +35,32 @@ def find_gaps(bars: DataFrame, interval_minutes: int, time_col: str = "open_time
     interval (W1). Works on base bars (``open_time``) and on resampled output
     (``time_col="resample_time"``, where a gap is a missing complete bucket).
 
+    One scan and one shuffle of the bars: a symbol-day's sorted times (bounded
+    by a day's bars) give the gaps inside the day; gaps between days come from
+    a window over one row a symbol-day.
+
     Columns: symbol, prev_<time_col>, <time_col>, gap_minutes.
     """
-    prev = f"prev_{time_col}"
-    x = with_neighbour(bars.select("symbol", time_col), ["symbol"], time_col, prev, "prev")
-    gap = _minutes_between(F.col(time_col), F.col(prev))
-    return (x.filter(F.col(prev).isNotNull() & (gap > F.lit(int(interval_minutes))))
-             .select("symbol", prev, time_col, gap.alias("gap_minutes")))
+    prev, wide = f"prev_{time_col}", F.lit(int(interval_minutes) * _MINUTE)
+
+    def step(a, b):
+        return F.struct(a.alias("a"), b.alias("b"))
+
+    def too_wide(s):
+        return _micros_between(s["b"], s["a"]) > wide
+
+    times = F.sort_array(F.collect_list(time_col))
+    days = (bars.select("symbol", time_col).filter(F.col(time_col).isNotNull())
+            .groupBy("symbol", F.to_date(time_col).alias("_day")).agg(times.alias("_t"))
+            .select("symbol", "_day", F.col("_t")[0].alias("_first"), F.element_at("_t", -1).alias("_last"),
+                    F.filter(F.zip_with(F.slice("_t", 1, F.size("_t") - 1), F.slice("_t", 2, F.size("_t")), step),
+                             too_wide).alias("_steps")))
+    before = F.lag("_last").over(Window.partitionBy("symbol").orderBy("_day"))
+    edge = F.when(F.col("_before").isNotNull(), F.array(step(F.col("_before"), F.col("_first"))))
+    steps = F.concat(F.filter(F.coalesce(edge, F.slice("_steps", 1, 0)), too_wide), "_steps")
+    return (days.withColumn("_before", before).select("symbol", F.explode(steps).alias("_s"))
+            .select("symbol", F.col("_s.a").alias(prev), F.col("_s.b").alias(time_col),
+                    _minutes_between(F.col("_s.b"), F.col("_s.a")).alias("gap_minutes")))
 
 
 def missing_days(bars: DataFrame) -> DataFrame:
@@ -57,6 +82,14 @@ def trading_range(bars: DataFrame) -> DataFrame:
                 .agg(F.min("open_time").alias("first_candle"), F.max("open_time").alias("last_candle")))
 
 
+def symbol_activity(bars: DataFrame) -> DataFrame:
+    """Trading range and total volume of every symbol in one aggregate (A7 with A8):
+    (symbol, first_candle, last_candle, total_volume); a dead symbol has no range."""
+    traded = F.when(F.col("volume") > 0, F.col("open_time"))
+    return bars.groupBy("symbol").agg(F.min(traded).alias("first_candle"), F.max(traded).alias("last_candle"),
+                                      F.sum("volume").alias("total_volume"))
+
+
 def dead_symbols(bars: DataFrame) -> DataFrame:
     """Symbols whose total volume is zero."""
     return (bars.groupBy("symbol").agg(F.sum("volume").alias("total_volume"))
@@ -67,11 +100,9 @@ def clip_to_trading_range(bars: DataFrame) -> DataFrame:
     """Keep bars inside their symbol's trading range.
 
     A symbol without any traded bar has no range, so the inner join also
-    removes every dead symbol. The range table has one row per symbol; it is
-    broadcast only after its size is measured.
+    removes every dead symbol.
     """
-    ranges = trading_range(bars)
-    x = join_small(bars, ranges, "symbol", "inner")
+    x = bars.join(trading_range(bars), "symbol")
     return (x.filter(F.col("open_time").between(F.col("first_candle"), F.col("last_candle")))
              .select(*[c for c in bars.columns]))
 
@@ -113,9 +144,9 @@ def backfill_plan(watermarks: DataFrame, now: _dt.datetime, interval_minutes: in
     most 99 intervals fetches 99 bars, at most 499 (or no data yet) fetches
     499, anything longer is refused (NULL page_size)."""
     wm = F.col(watermark_col)
-    gap = _minutes_between(F.lit(now), wm)
-    short = gap <= F.lit(SHORT_PAGE * int(interval_minutes))
-    long_ = (gap <= F.lit(LONG_PAGE * int(interval_minutes))) | (wm == F.lit(SENTINEL_TIME))
+    gap, micros = _minutes_between(F.lit(now), wm), _micros_between(F.lit(now), wm)
+    short = micros <= F.lit(SHORT_PAGE * int(interval_minutes) * _MINUTE)
+    long_ = (micros <= F.lit(LONG_PAGE * int(interval_minutes) * _MINUTE)) | (wm == F.lit(SENTINEL_TIME))
     size = F.when(short, F.lit(SHORT_PAGE)).when(long_, F.lit(LONG_PAGE))
     return watermarks.withColumn("gap_minutes", gap).withColumn("page_size", size)
 
@@ -124,8 +155,8 @@ def remediation_needed(batches: DataFrame, interval_minutes: int, batch_col: str
                        watermark_col: str = "watermark") -> DataFrame:
     """Flag batches that arrive more than one interval after the watermark (T3):
     those need a backfill instead of a plain append."""
-    lag = _minutes_between(F.col(batch_col), F.col(watermark_col))
-    return batches.withColumn("needs_backfill", F.coalesce(lag > F.lit(int(interval_minutes)), F.lit(True)))
+    lag = _micros_between(F.col(batch_col), F.col(watermark_col))
+    return batches.withColumn("needs_backfill", F.coalesce(lag > F.lit(int(interval_minutes) * _MINUTE), F.lit(True)))
 
 
 def bar_batches(bars: DataFrame, interval_minutes: int) -> DataFrame:
@@ -140,14 +171,12 @@ def suspended_bars(bars: DataFrame, windows: DataFrame) -> DataFrame:
 
     ``windows`` (symbol, start, end) is small (a handful per symbol); rows with
     start after end are ignored. The range test runs as a join on symbol with
-    a between condition against the size-checked side.
+    a between condition.
     """
     w = windows.filter(F.col("start") <= F.col("end")).select(
         F.col("symbol").alias("_ws"), F.col("start").alias("_w0"), F.col("end").alias("_w1"))
-    from candlewick.plans.joins import bounded_side
-    side, _ = bounded_side(w)
     cond = (F.col("symbol") == F.col("_ws")) & F.col("open_time").between(F.col("_w0"), F.col("_w1"))
-    return bars.join(side, cond, "left_anti").select(*[c for c in bars.columns])
+    return bars.join(w, cond, "left_anti").select(*[c for c in bars.columns])
 
 
 def idle_windows(bars: DataFrame, min_idle_minutes: int) -> DataFrame:
@@ -157,11 +186,3 @@ def idle_windows(bars: DataFrame, min_idle_minutes: int) -> DataFrame:
     g = find_gaps(traded, min_idle_minutes)
     one = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(1))
     return g.select("symbol", (F.col("prev_open_time") + one).alias("start"), (F.col("open_time") - one).alias("end"))
-
-
-def suspension_windows(spark, market: str) -> DataFrame:
-    """The declared per-symbol suspension windows of ``market`` as (symbol, start, end)."""
-    from candlewick.schema import SUSPENSIONS
-    rows = [(sym, _dt.datetime.fromisoformat(a), _dt.datetime.fromisoformat(b))
-            for sym, (a, b) in SUSPENSIONS.get(market, {}).items()]
-    return spark.createDataFrame(rows, "symbol string, start timestamp_ntz, `end` timestamp_ntz")

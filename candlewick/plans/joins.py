@@ -1,20 +1,15 @@
-"""Size-checked broadcast joins.
+"""Intermediate tables under the shared checkpoint folder.
 
-A side is broadcast only after its row count has been measured against a
-limit; beyond the limit the join stays a shuffle join, where AQE's skew-join
-handling splits a hot key's partition on the big side.
+Joins of the library carry no broadcast decisions of their own: one plan for
+every size, and AQE broadcasts or splits from the sizes it measures.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from candlewick.session import scratch_path
 
-# Rows a broadcast side may hold (one row per symbol or per symbol-day is far below).
-BROADCAST_MAX_ROWS = 2_000_000
-
 
 def materialize(df: DataFrame, name: str = "materialized") -> DataFrame:
     """Cut lineage: write ``df`` once as a Parquet table under the shared
@@ -24,22 +19,3 @@ def materialize(df: DataFrame, name: str = "materialized") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
-
-
-def bounded_side(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, bool]:
-    """Materialize ``small``, count it and return (frame, broadcast?).
-
-    The frame comes back broadcast-hinted only when the measured count is
-    within ``max_rows``.
-    """
-    small = materialize(small)
-    n = small.count()
-    if n <= max_rows:
-        return F.broadcast(small), True
-    return small, False
-
-
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
-               max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    side, _ = bounded_side(small, max_rows)
-    return big.join(side, on, how)

@@ -27,17 +27,22 @@ from pyspark.sql import types as T
 
 from candlewick.functions.timegrid import latest_complete_period, period_label
 from candlewick.operators.resample import merge_tiers, resample
+from candlewick.plans.joins import materialize
 from candlewick.schema import (
     BAR_COLUMNS, BAR_SCHEMA, QUERY_MARKETS, REDUNDANCY_HOURS, RESAMPLED_SCHEMA, SENTINEL_TIME,
     STATE_SCHEMA,
 )
 
+from candlewick.session import drop_path, scratch_path
+
 log = logging.getLogger(__name__)
 
 TIERS = ("archive", "recent")
 
-# A result proven to hold at most this many rows may be sorted in one task.
-SINGLE_TASK_SORT_ROWS = 2_000_000
+# Files a period is written to: one per bucket of the symbol hash.
+FILES_PER_PERIOD = 8
+# The state log is compacted when it has grown to this many files.
+STATE_FILES = 200
 
 
 def to_time(value, default: _dt.datetime | None = None) -> _dt.datetime:
@@ -118,11 +123,13 @@ class BarStore:
         schema = T.StructType(BAR_SCHEMA.fields + [
             T.StructField("market", T.StringType()), T.StructField("interval", T.StringType()),
             T.StructField("period", T.StringType())])
-        if path_exists(self.spark, self.path(tier)):
-            df = self.spark.read.schema(schema).option("basePath", self.path(tier)).parquet(self.path(tier))
-        else:  # an absent tier reads as empty
-            df = self.spark.createDataFrame([], schema)
-        return df.filter((F.col("market") == F.lit(market)) & (F.col("interval") == F.lit(self.interval_label)))
+        folder = self._folder(tier, market)      # only this market and interval is listed
+        if path_exists(self.spark, folder):
+            return self.spark.read.schema(schema).option("basePath", self.path(tier)).parquet(folder)
+        return self.spark.createDataFrame([], schema)          # an absent tier reads as empty
+
+    def _folder(self, tier: str, market: str) -> str:
+        return f"{self.path(tier)}/market={market}/interval={self.interval_label}"
 
     def _period_filter(self, df: DataFrame, begin: _dt.datetime | None, end: _dt.datetime | None) -> DataFrame:
         if "period" not in df.columns:
@@ -156,12 +163,7 @@ class BarStore:
         (one entry per period, never a per-file listing)."""
         if tier in self.frames or self.root is None:
             return []
-        jvm = self.spark.sparkContext._jvm
-        pattern = jvm.org.apache.hadoop.fs.Path(
-            f"{self.path(tier)}/market={market}/interval={self.interval_label}/period=*")
-        fs = pattern.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        found = fs.globStatus(pattern) or []
-        return sorted(st.getPath().getName().split("=", 1)[1] for st in found if st.isDirectory())
+        return partition_values(self.spark, self._folder(tier, market), "period")
 
     def latest_period(self, tier: str, market: str) -> str | None:
         """Newest ``period`` partition value."""
@@ -233,13 +235,6 @@ class BarStore:
             out = resample(bars, interval, offset, self.base)
         if not order:
             return out
-        if symbol is not None:
-            # one symbol: at most (span / interval + 1) rows (+ redundancy hours), a
-            # proven bound, so a single-task sort replaces the sampled range sort
-            span = (max(e, b) - min(e, b)) + 2 * self.redundancy
-            bound = int(span.total_seconds() // (60 * interval)) + 2
-            if bound <= SINGLE_TASK_SORT_ROWS:
-                return out.coalesce(1).sortWithinPartitions("resample_time", "symbol")
         return out.orderBy("resample_time", "symbol")
 
     def get_symbol(self, market: str, symbol: str, interval: int, offset: int, begin=None, end=None,
@@ -291,14 +286,16 @@ class BarStore:
 
     # ------------------------------------------------------------------ metadata (Q8)
     def describe_tables(self) -> DataFrame:
-        """(table, market, rows) for every tier and market, as one DataFrame."""
+        """(table, market, rows) for every tier, the instruments and the state log
+        (which belongs to no market), as one DataFrame."""
         parts = []
-        for tier in TIERS:
-            src = self.frames[tier] if tier in self.frames else (self._raw(tier) if self.root else None)
+        for table in (*TIERS, "instruments", "state"):
+            src = self.frames[table] if table in self.frames else (self._raw(table) if self.root else None)
             if src is None:
                 continue
-            parts.append(src.groupBy(F.col("market")).agg(F.count(F.lit(1)).alias("rows"))
-                         .select(F.lit(tier).alias("table"), "market", "rows"))
+            market = F.col("market") if "market" in src.columns else F.lit(None).cast("string")
+            parts.append(src.groupBy(market.alias("market")).agg(F.count(F.lit(1)).alias("rows"))
+                         .select(F.lit(table).alias("table"), "market", "rows"))
         if not parts:
             return self.spark.createDataFrame([], "table string, market string, rows bigint")
         out = parts[0]
@@ -332,11 +329,22 @@ class BarStore:
         stamp = when or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
         row = [(key, str(value), stamp)]
         self.spark.createDataFrame(row, STATE_SCHEMA).coalesce(1).write.mode("append").parquet(self.path("state"))
+        if self._state_signature()[0] > STATE_FILES:
+            self.compact_state()
 
     def compact_state(self) -> None:
-        """Rewrite the state log as one record per key (keeps reads cheap)."""
-        current = materialize_to(self.spark, latest_state(self.state_log()), self.path("_staging_state"))
-        current.select("key", "value", "updated_at").coalesce(1).write.mode("overwrite").parquet(self.path("state"))
+        """Replace the state log's files by one that keeps each key's first and latest
+        record. The new file is added before the old ones go, so a failure in
+        between leaves records twice, which readers do not notice."""
+        jvm = self.spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(self.path("state"))
+        fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        old = [f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")]
+        records = self.spark.read.schema(STATE_SCHEMA).parquet(*[f.toString() for f in old])
+        kept = latest_state(records).union(latest_state(records, keep_first=True)).distinct()
+        materialize(kept, "state").coalesce(1).write.mode("append").parquet(self.path("state"))   # a few rows a key
+        for f in old:
+            fs.delete(f, False)
 
     def _state_signature(self):
         """(file count, newest modification time) of the state folder: one
@@ -378,24 +386,30 @@ class BarStore:
             raise ValueError(f"store holds {stored} bars, this session uses {self.interval_label}")
 
     # ------------------------------------------------------------------ maintenance (K1, K2, K5-K9)
-    def write_archive(self, bars: DataFrame, market: str, skip_closed: bool = True,
-                      single_period: bool = False) -> None:
-        """Write bars as period partitions of the archive (K1).
+    def write_archive(self, bars: DataFrame, market: str) -> None:
+        """Add bars to the archive, one partition a period (K1).
 
-        Dynamic partition overwrite replaces only the periods present in
-        ``bars``. With ``skip_closed`` a period already stored is left alone
-        unless it is the newest one (which may still be partial).
+        Periods that ``bars`` does not touch stay as they are. A touched period
+        that is already stored is merged: stored bars stay unless ``bars`` has
+        the same (open_time, symbol), which replaces them (a corrected reload).
+        Only touched periods are read and rewritten.
         """
-        x = bars.select(*BAR_COLUMNS).withColumn("period", period_label("open_time", self.period_months))
-        if skip_closed:
-            closed = self.periods("archive", market)[:-1]
-            if closed:
-                x = x.filter(~F.col("period").isin(*closed))
+        x = (bars.select(*BAR_COLUMNS).withColumn("period", period_label("open_time", self.period_months))
+             .withColumn("market", F.lit(market)).withColumn("interval", F.lit(self.interval_label)))
+        stored, staged = set(self.periods("archive", market)), None
+        if stored:
+            staged = scratch_path(self.spark, "archive-batch")
+            x.write.partitionBy("period").parquet(staged)      # computed once; its folders name the periods
+            touched = sorted(stored & set(partition_values(self.spark, staged, "period")))
+            x = self.spark.read.schema(x.schema).parquet(staged)
+            if touched:
+                before = self.tier("archive", market).filter(F.col("period").isin(*touched))
+                x = x.unionByName(before.join(x.select(*_KEY), list(_KEY), "left_anti"))
         # the newest bar written is observed during the write itself (no extra pass)
         obs = Observation("archive_write")
-        x = x.observe(obs, F.max("open_time").alias("max_time"))
-        _write_partitioned(x.withColumn("market", F.lit(market))
-                           .withColumn("interval", F.lit(self.interval_label)), self.path("archive"), single_period)
+        _write_partitioned(x.observe(obs, F.max("open_time").alias("max_time")), self.path("archive"))
+        if staged:
+            drop_path(self.spark, staged)
         written = obs.get.get("max_time")
         if written is not None:
             before = self.get_state_value(self._archive_key(market))
@@ -404,15 +418,31 @@ class BarStore:
 
     def append_recent(self, new: DataFrame, market: str) -> None:
         """Insert bars into the recent tier; on (open_time, symbol) conflict the
-        stored bar stays (K2)."""
-        existing = self.tier("recent", market)
-        fresh = rows_to_insert(new, existing, self.period_months)
-        fresh = fresh.withColumn("period", period_label("open_time", self.period_months))
-        fresh = fresh.withColumn("market", F.lit(market)).withColumn("interval", F.lit(self.interval_label))
-        # recent-tier files are read by time (latest bars, conflict checks), so each
-        # appended file is sorted by time: its row-group statistics prune on open_time
-        (fresh.sortWithinPartitions("open_time", "symbol")
-         .write.mode("append").partitionBy("market", "interval", "period").parquet(self.path("recent")))
+        stored bar stays (K2).
+
+        The batch is written once to a staging folder by period, so the stored
+        side of the conflict join reads the batch's periods only, however far
+        apart they lie."""
+        staged = scratch_path(self.spark, "recent-batch")
+        (one_bar_per_key(new).withColumn("period", period_label("open_time", self.period_months))
+         .write.partitionBy("period").parquet(staged))
+        periods = partition_values(self.spark, staged, "period")
+        if periods:
+            batch = self.spark.read.schema(T.StructType(
+                BAR_SCHEMA.fields + [T.StructField("period", T.StringType())])).parquet(staged)
+            stored = self.tier("recent", market).filter(F.col("period").isin(*periods))
+            fresh = (batch.join(stored.select(*_KEY), list(_KEY), "left_anti")
+                     .withColumn("market", F.lit(market)).withColumn("interval", F.lit(self.interval_label)))
+            # AQE sizes the files of a period; each is sorted by time (latest bars, conflict
+            # checks), so its row-group statistics prune on open_time
+            (fresh.hint("rebalance", F.col("period")).sortWithinPartitions("open_time", "symbol")
+             .write.mode("append").partitionBy("market", "interval", "period").parquet(self.path("recent")))
+        drop_path(self.spark, staged)
+
+    def compact_recent(self, market: str) -> None:
+        """Rewrite the recent tier's periods, many small appended files each, as files
+        sorted by (symbol, open_time), which prune on symbol as well."""
+        _write_partitioned(self.tier("recent", market), self.path("recent"))
 
     def commit_batch(self, bars: DataFrame, market: str, watermark: _dt.datetime) -> None:
         """Bars first, watermark last (K9). Plain Parquet has no multi-table
@@ -430,10 +460,12 @@ class BarStore:
 
     def export_period(self, market: str, as_of: _dt.datetime | None = None,
                       retention_days: int = 7) -> dict | None:
-        """Copy the last closed period before ``as_of - retention`` from the
-        recent tier to the archive when the archive lacks it (K6), then expire
-        recent rows older than the period end minus one day (K7).
+        """Bring the archive up to the last period closed before ``as_of - retention``
+        (K6), then expire recent rows older than its end minus one day (K7).
 
+        Every recent bar before the period's end that the archive lacks is
+        merged into it, whether the archive has none, a part or all of the
+        period, and bars of older periods too; bars it has stay as they are.
         ``as_of`` defaults to the recent watermark (the newest committed bar),
         falling back to now when none is recorded."""
         if as_of is None:
@@ -446,31 +478,39 @@ class BarStore:
             return None
         start = _dt.datetime.combine(row["period_start"], _dt.time())
         end = _dt.datetime.combine(row["period_end"], _dt.time())
-        label = _period_text(start, self.period_months)
-        have = label in self.periods("archive", market)
-        if not have:
-            bars = self.scan("recent", market, start, end, closed=False)
-            self.write_archive(bars, market, skip_closed=False, single_period=True)
+        missing = materialize(self._not_archived(self.tier("recent", market), market, end), "export")
+        exported = not missing.isEmpty()
+        if exported:
+            self.write_archive(missing, market)
         self.expire_recent(market, end)
-        return {"period_start": start, "period_end": end, "exported": not have}
+        return {"period_start": start, "period_end": end, "exported": exported}
+
+    def _not_archived(self, bars: DataFrame, market: str, end: _dt.datetime) -> DataFrame:
+        """Rows of ``bars`` before ``end`` whose (open_time, symbol) the archive lacks; the
+        archive is read in the recent tier's periods only."""
+        last = _period_text(end - _dt.timedelta(microseconds=1), self.period_months)
+        periods = [p for p in self.periods("recent", market) if p <= last]
+        old = bars.filter(F.col("period").isin(*periods) & (F.col("open_time") < F.lit(end)))
+        held = self.tier("archive", market).filter(F.col("period").isin(*periods))
+        return old.join(held.select(*_KEY), list(_KEY), "left_anti")
 
     def expire_recent(self, market: str, period_end: _dt.datetime) -> None:
-        """Drop recent rows with open_time < period_end - 1 day (K7).
+        """Drop recent rows with open_time < period_end - 1 day that the archive holds (K7).
 
-        Only period partitions holding expired rows are touched: partitions
-        with survivors are rewritten (dynamic overwrite), partitions left
-        empty are deleted. The day of overlap keeps the tiers overlapping,
-        which the hybrid merge relies on."""
+        A row that the archive lacks stays, whatever its age. Only period
+        partitions holding expired rows are touched: partitions with survivors
+        are rewritten (dynamic overwrite), partitions left empty are deleted.
+        The day of overlap keeps the tiers overlapping, which the hybrid merge
+        relies on. One writer at a time: nothing may append meanwhile."""
         limit = to_time(period_end) - _dt.timedelta(days=1)
         last_label = _period_text(limit, self.period_months)
-        recent = self.tier("recent", market)
         affected_periods = [p for p in self.periods("recent", market) if p <= last_label]
         if not affected_periods:
             return
-        affected = recent.filter(F.col("period").isin(*affected_periods))
-        keep = materialize_to(self.spark, affected.filter(F.col("open_time") >= F.lit(limit)),
-                              self.path("_staging_recent"))
-        survivors = {r["period"] for r in keep.select("period").distinct().collect()}
+        affected = self.tier("recent", market).filter(F.col("period").isin(*affected_periods))
+        keep = materialize(affected.filter(F.col("open_time") >= F.lit(limit))
+                           .unionByName(self._not_archived(affected, market, limit)), "keep")
+        survivors = {r["period"] for r in keep.select("period").distinct().collect()}      # one row a period
         if survivors:
             _write_partitioned(keep, self.path("recent"))
         _delete_partitions(self.spark, self.path("recent"), market, self.interval_label,
@@ -478,21 +518,27 @@ class BarStore:
 
     def bootstrap_recent(self, market: str, as_of: _dt.datetime | None = None, days: int = 30) -> _dt.datetime:
         """Seed the recent tier from the archive (K8): rows at or after the
-        period boundary ``days`` before ``as_of`` minus one day; the newest
-        (partial) archive period moves entirely to the recent tier. Returns the
-        recent watermark (exclusive bound = newest bar + one base interval)."""
+        period boundary ``days`` before ``as_of`` minus one day, and the whole
+        newest (partial) archive period, which moves to the recent tier however
+        old it is. Returns the recent watermark (exclusive bound = newest bar +
+        one base interval)."""
         from candlewick.functions.timegrid import period_cutoff
         now = to_time(as_of or self.now())
         cut = self.spark.range(1).select(period_cutoff(F.lit(now), days, self.period_months).alias("c")).first()["c"]
         cutoff = _dt.datetime.combine(cut, _dt.time()) - _dt.timedelta(days=1)
-        seed = self.scan("archive", market, cutoff, None)
         newest = self.latest_period("archive", market)
-        seed = materialize_to(self.spark, seed, self.path("_staging_seed"))
+        if newest is None:
+            self.put_state(f"{market}_recent_time", SENTINEL_TIME.isoformat(sep=" "))
+            return SENTINEL_TIME
+        first = min(newest, _period_text(cutoff, self.period_months))
+        seed = self.tier("archive", market).filter(
+            (F.col("period") >= F.lit(first))
+            & ((F.col("period") == F.lit(newest)) | (F.col("open_time") >= F.lit(cutoff))))
+        seed = materialize(seed.select(*BAR_COLUMNS), "seed")
         self.append_recent(seed, market)
         last = seed.agg(F.max("open_time")).first()[0]
-        if newest is not None:
-            _delete_partitions(self.spark, self.path("archive"), market, self.interval_label, [newest])
-            self.put_state(self._archive_key(market), self._scan_archive_watermark(market).isoformat(sep=" "))
+        _delete_partitions(self.spark, self.path("archive"), market, self.interval_label, [newest])
+        self.put_state(self._archive_key(market), self._scan_archive_watermark(market).isoformat(sep=" "))
         watermark = (last + _dt.timedelta(minutes=self.base)) if last else SENTINEL_TIME
         self.put_state(f"{market}_recent_time", watermark.isoformat(sep=" "))
         return watermark
@@ -506,23 +552,32 @@ def _period_text(t: _dt.datetime, period_months: int) -> str:
     return f"{y:04d}-{m:02d}"
 
 
-def _write_partitioned(df: DataFrame, path: str, single_period: bool = False) -> None:
-    """Write period partitions, files sorted by (symbol, open_time) for
-    row-group skipping on symbol and time.
+_KEY = ("period", "open_time", "symbol")
+
 
-    Input spanning many periods (bulk loads) is range-partitioned on
-    (market, interval, period, symbol), so each task writes a contiguous run
-    of one or two periods: files ~ tasks, not tasks x periods. A write known
-    to hold one period (an export) hashes on symbol instead and skips the
-    range sampling pass. Either way one key is bounded by the bars of one
-    symbol in one period, so it cannot grow into a hot task."""
-    keys = ("market", "interval", "period", "symbol")
-    parted = df.repartition(*keys) if single_period else df.repartitionByRange(*keys)
-    (parted.sortWithinPartitions("symbol", "open_time")
+def _write_partitioned(df: DataFrame, path: str) -> None:
+    """Replace the period partitions that ``df`` has rows for, files sorted by (symbol,
+    open_time) for row-group skipping on symbol and time.
+
+    A period is dealt to ``FILES_PER_PERIOD`` buckets of the symbol hash, so
+    files = periods x buckets without a range-sampling pass over the input;
+    one key holds one symbol's share of one period. A dynamic overwrite moves
+    new files in place only when the job is done, so ``df`` may read the
+    partitions that it replaces."""
+    bucket = F.pmod(F.hash("symbol"), F.lit(FILES_PER_PERIOD))
+    (df.repartition(F.col("market"), F.col("interval"), F.col("period"), bucket)
+       .sortWithinPartitions("period", "symbol", "open_time")
        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
        .partitionBy("market", "interval", "period").parquet(path))
 
 
+def partition_values(spark: SparkSession, folder: str, column: str) -> list[str]:
+    """Values of a folder's ``column=`` subfolders, from one directory glob."""
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{column}=*")
+    fs = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(st.getPath().getName().split("=", 1)[1] for st in (fs.globStatus(pattern) or []) if st.isDirectory())
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -541,13 +596,6 @@ def _delete_partitions(spark: SparkSession, base: str, market: str, interval: st
         path.getFileSystem(conf).delete(path, True)
 
 
-def materialize_to(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
-    """Write ``df`` to ``path`` and read it back: cuts lineage and lets a job
-    overwrite the partitions it read from."""
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
 def latest_state(log_df: DataFrame, keep_first: bool = False) -> DataFrame:
     """Current value per key of an append-only (key, value, updated_at) log;
     ``keep_first`` returns the first value ever written instead (K3)."""
@@ -557,25 +605,17 @@ def latest_state(log_df: DataFrame, keep_first: bool = False) -> DataFrame:
                                      edge("updated_at").alias("updated_at"))
 
 
-def rows_to_insert(new: DataFrame, existing: DataFrame, period_months: int = 1) -> DataFrame:
-    """Rows of ``new`` whose (open_time, symbol) is not stored yet.
-
-    Copies of one key inside ``new`` collapse to the copy with the smallest
-    row hash: a deterministic choice made by a hash aggregate, combined
-    map-side, so even a key repeated across a third of the batch never lands
-    in one task. The stored side is restricted to the time span of ``new``
-    so only those periods are read; the anti join shuffles on the full key,
-    which has no hot values.
-    """
+def one_bar_per_key(bars: DataFrame) -> DataFrame:
+    """Copies of one (open_time, symbol) collapse to the copy with the smallest row
+    hash: a deterministic choice made by a hash aggregate, combined map-side,
+    so even a key repeated across a third of the batch never lands in one task."""
     values = [c for c in BAR_COLUMNS if c not in ("open_time", "symbol")]
-    hashed = new.select(*BAR_COLUMNS).withColumn("_h", F.xxhash64(*BAR_COLUMNS))
-    uniq = hashed.groupBy("open_time", "symbol").agg(*[F.min_by(c, "_h").alias(c) for c in values])
-    uniq = uniq.select(*BAR_COLUMNS)
-    span = new.agg(F.min("open_time").alias("lo"), F.max("open_time").alias("hi")).first()
-    if span is None or span["lo"] is None:
-        return uniq
-    stored = existing.filter(F.col("open_time").between(F.lit(span["lo"]), F.lit(span["hi"])))
-    if "period" in existing.columns:
-        stored = stored.filter(F.col("period").between(F.lit(_period_text(span["lo"], period_months)),
-                                                       F.lit(_period_text(span["hi"], period_months))))
-    return uniq.join(stored.select("open_time", "symbol"), ["open_time", "symbol"], "left_anti")
+    hashed = bars.select(*BAR_COLUMNS).withColumn("_h", F.xxhash64(*BAR_COLUMNS))
+    return (hashed.groupBy("open_time", "symbol").agg(*[F.min_by(c, "_h").alias(c) for c in values])
+            .select(*BAR_COLUMNS))
+
+
+def rows_to_insert(new: DataFrame, existing: DataFrame) -> DataFrame:
+    """Rows of ``new``, one a key, whose (open_time, symbol) is not stored yet.
+    The anti join shuffles on the full key, which has no hot values."""
+    return one_bar_per_key(new).join(existing.select("open_time", "symbol"), ["open_time", "symbol"], "left_anti")

@@ -53,18 +53,18 @@ def tier_store(spark: SparkSession, sf_dir: str) -> BarStore:
 # ---------------------------------------------------------------------- SQL helpers
 
 RESAMPLE_VALUES_SQL = """
-  first(open ORDER BY open_time) AS open, max(high) AS high, min(low) AS low,
-  last(close ORDER BY open_time) AS close,
+  arg_min(open, open_time) AS open, max(high) AS high, min(low) AS low, arg_max(close, open_time) AS close,
   sum(volume) AS volume, sum(quote_volume) AS quote_volume, CAST(sum(trade_num) AS INTEGER) AS trade_num,
   sum(taker_buy_base_asset_volume) AS taker_buy_base_asset_volume,
   sum(taker_buy_quote_asset_volume) AS taker_buy_quote_asset_volume,
-  first(avg_price ORDER BY open_time) AS avg_price"""
+  arg_min_null(avg_price, open_time) AS avg_price"""
 
 
 def bucket_sql(interval: int, offset: int, col: str = "open_time") -> str:
-    # minute-truncate, then step back (minute(t - offset) mod interval) minutes
-    return (f"date_trunc('minute', {col} - (extract(minute FROM {col} - INTERVAL '{offset} minutes') % {interval})"
-            f" * INTERVAL '1 minute')")
+    """Start of the bucket: buckets of ``interval`` minutes that start ``offset`` minutes past the hour."""
+    step = f"INTERVAL '{interval} minutes'"
+    hour = f"date_trunc('hour', {col} - INTERVAL '{offset} minutes') + INTERVAL '{offset} minutes'"
+    return f"time_bucket({step}, {col}, {hour})"
 
 
 def resample_sql(src: str, interval: int, offset: int, where: str = "TRUE", base: int = 15) -> str:
@@ -487,8 +487,9 @@ def q_state_first(spark, sf_dir):
 @register("archive_watermark", fx.with_sql(fx.TIERS_SQL, f"""
 SELECT '{fx.MARKET}' AS market, coalesce(max(open_time), TIMESTAMP '2009-01-03 00:00:00') AS watermark FROM archive"""))
 def q_archive_watermark(spark, sf_dir):
-    wm = tier_store(spark, sf_dir).archive_watermark(fx.MARKET)
-    return spark.createDataFrame([(fx.MARKET, wm)], "market string, watermark timestamp_ntz")
+    bars = tier_store(spark, sf_dir).tier("archive", fx.MARKET)
+    return bars.agg(F.coalesce(F.max("open_time"), F.lit(SENTINEL_TIME).cast("timestamp_ntz")).alias("watermark")).select(
+        F.lit(fx.MARKET).alias("market"), "watermark")
 
 
 @register("ready_recent_watermark", fx.with_sql(fx.TIERS_SQL, f"""
@@ -596,8 +597,9 @@ SELECT {BAR_SELECT} FROM k1 WHERE open_time >= TIMESTAMP '2024-01-19 00:00:00'""
 def q_expire(spark, sf_dir):
     """Expiry at a period end of 2024-01-20: rows before 2024-01-19 go, the
     January partition is rewritten with the survivors."""
-    store = fresh_store(spark, "expire")
-    store.append_recent(fx.dense_bars(spark, sf_dir), fx.MARKET)
+    store, k1 = fresh_store(spark, "expire"), fx.dense_bars(spark, sf_dir)
+    store.append_recent(k1, fx.MARKET)
+    store.write_archive(k1.filter(F.col("open_time") < F.lit(_dt.datetime(2024, 1, 20))), fx.MARKET)
     store.expire_recent(fx.MARKET, _dt.datetime(2024, 1, 20))
     return store.scan("recent", fx.MARKET)
 
@@ -735,22 +737,28 @@ from candlewick.streaming import bars as ST  # noqa: E402
 LANDING_CHUNK_DAYS = 5
 
 
-def land_in_order(df: DataFrame, path: str, fmt: str = "parquet") -> str:
-    """Land ``df`` as one file per 5-day slice of open_time, written one after
-    another, so file arrival order follows event time as in a live feed."""
-    staged = scratch_path(df.sparkSession, "landing-src")
-    df.write.parquet(staged)
-    df = df.sparkSession.read.parquet(staged)
-    lo, hi = df.agg(F.min("open_time"), F.max("open_time")).first()
-    t = _dt.datetime.combine(lo.date(), _dt.time())
-    while t <= hi:
-        nxt = t + _dt.timedelta(days=LANDING_CHUNK_DAYS)
-        part = df.filter((F.col("open_time") >= F.lit(t)) & (F.col("open_time") < F.lit(nxt)))
-        getattr(part.coalesce(1).write.mode("append"), fmt)(path)
-        t = nxt
+def land_in_order(df: DataFrame, path: str) -> str:
+    """Land ``df`` as one folder per 5-day slice of open_time, all written by one job;
+    ``slices_in_order`` streams them in event-time order as a live feed arrives."""
+    days = F.floor(F.unix_micros(F.col("open_time").cast("timestamp")) / (86_400_000_000 * LANDING_CHUNK_DAYS))
+    df.withColumn("slice", days).repartition("slice", F.pmod(F.hash("symbol"), F.lit(4))) \
+        .write.partitionBy("slice").parquet(path)
     return path
 
 
+def stream_in_order(spark, schema, path: str, start) -> None:
+    """Run ``start(stream)`` once a landed slice, oldest first, each until it is consumed.
+
+    The runs share one checkpoint, so together they are one stream whose files
+    arrive slice by slice."""
+    from candlewick.plans.store import partition_values
+    for value in sorted(partition_values(spark, path, "slice"), key=int):
+        # a glob that grows by one slice a run: earlier files are remembered by the checkpoint
+        known = ",".join(v for v in partition_values(spark, path, "slice") if int(v) <= int(value))
+        stream = spark.readStream.schema(schema).parquet(f"{path}/slice={{{known}}}")
+        start(stream).awaitTermination()
+
+
 def _stream_messages_landed(spark, sf_dir):
     """Land the stream messages as several text files in one pass (no time order)."""
     path = scratch_path(spark, "landing-msgs")
@@ -775,9 +783,10 @@ def q_stream_resample(spark, sf_dir):
     """Buckets come out once the watermark (latest bar, no delay) passes their end."""
     k1 = fx.dense_bars(spark, sf_dir)
     landing = land_in_order(k1, scratch_path(spark, "landing-bars"))
-    src = spark.readStream.schema(k1.schema).option("maxFilesPerTrigger", 1).parquet(landing)
     out, ck = scratch_path(spark, "stream-resample"), scratch_path(spark, "stream-resample-ck")
-    ST.run_available_now(ST.resample_stream(src, 60, 15, fx.BASE_MINUTES, delay="0 minutes"), out, ck)
+    stream_in_order(spark, k1.schema, landing, lambda src: (
+        ST.resample_stream(src, 60, 15, fx.BASE_MINUTES, delay="0 minutes").writeStream.format("parquet")
+        .outputMode("append").option("checkpointLocation", ck).trigger(availableNow=True).start(out)))
     return spark.read.parquet(out)
 
 
@@ -793,12 +802,11 @@ def q_collect(spark, sf_dir):
     listed = scratch_path(spark, "listed")
     k1.select("symbol").distinct().write.parquet(listed)
     landing = land_in_order(k1, scratch_path(spark, "landing-batches"))
-    src = spark.readStream.schema(k1.schema).option("maxFilesPerTrigger", 1).parquet(landing)
     collector = ST.CompleteBatchCollector(spark, scratch_path(spark, "collector"),
                                           lambda: spark.read.parquet(listed), fx.BASE_MINUTES)
-    q = (src.writeStream.foreachBatch(collector).option("checkpointLocation", scratch_path(spark, "collector-ck"))
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    ck = scratch_path(spark, "collector-ck")
+    stream_in_order(spark, k1.schema, landing, lambda src: (
+        src.writeStream.foreachBatch(collector).option("checkpointLocation", ck).trigger(availableNow=True).start()))
     return spark.read.parquet(collector.output).select(*fx.BAR_COLUMNS)
 
 
@@ -808,7 +816,7 @@ def q_stream_sink(spark, sf_dir):
     watermark recorded after the bars."""
     landing = _stream_messages_landed(spark, sf_dir)
     store = fresh_store(spark, "sink-store")
-    s = ST.closed_bar_stream(spark, landing, delay="31 days", max_files_per_trigger=3)
+    s = ST.closed_bar_stream(spark, landing, max_files_per_trigger=3)      # no delay: late bars come through
     q = (s.select(*fx.BAR_COLUMNS).writeStream.foreachBatch(ST.BarSink(store, fx.MARKET))
          .option("checkpointLocation", scratch_path(spark, "sink-ck")).trigger(availableNow=True).start())
     q.awaitTermination()
@@ -824,11 +832,27 @@ def q_drop_dead(spark, sf_dir):
     return Q.drop_symbols(k1, Q.dead_symbols(k1))
 
 
-@register("suspended_bars_declared", fx.with_sql(fx.K1_SQL, "SELECT * FROM k1"))
+def declared_windows(spark, sf_dir):
+    """A table of declared suspensions: every supplier's nation key names a user, whose
+    symbol is suspended for the six hours that start at the supplier's key in hours
+    after 2024-01-05; every seventh row has its ends swapped and counts for nothing."""
+    sup = fx.read_table(spark, sf_dir, "supplier")
+    start = F.timestamp_add("HOUR", F.col("s_suppkey") % 600, F.lit(_dt.datetime(2024, 1, 5)))
+    end = F.timestamp_add("HOUR", F.lit(6), start)
+    swapped = F.col("s_suppkey") % 7 == 0
+    return sup.select(F.concat(F.lit("U"), F.col("s_nationkey").cast("string"), F.lit("USDT")).alias("symbol"),
+                      F.when(swapped, end).otherwise(start).cast("timestamp_ntz").alias("start"),
+                      F.when(swapped, start).otherwise(end).cast("timestamp_ntz").alias("end"))
+
+
+@register("suspended_bars_declared", fx.with_sql(fx.K1_SQL, """,
+w AS (SELECT 'U' || s_nationkey || 'USDT' AS symbol, TIMESTAMP '2024-01-05' + to_hours(CAST(s_suppkey % 600 AS INTEGER)) AS s,
+             s_suppkey % 7 = 0 AS swapped FROM supplier)
+SELECT * FROM k1 WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.symbol = k1.symbol AND NOT swapped
+  AND k1.open_time BETWEEN w.s AND w.s + INTERVAL '6 hours')"""))
 def q_suspended_declared(spark, sf_dir):
-    """Declared suspension windows (none cover the fixture symbols; the row with
-    start after end is ignored)."""
-    return Q.suspended_bars(fx.dense_bars(spark, sf_dir), Q.suspension_windows(spark, "usdt_spot"))
+    """F11 with declared windows given as a table."""
+    return Q.suspended_bars(fx.dense_bars(spark, sf_dir), declared_windows(spark, sf_dir))
 
 
 @register("dedup_daily_wins", _ZIP_EXPECTED_SQL)
@@ -921,3 +945,177 @@ def q_resampled_gaps(spark, sf_dir):
     """The integrity check run on resampled output: hours without a complete bucket."""
     hourly = dense_store(spark, sf_dir).get_market(fx.MARKET, 60, 0, ALL_BEGIN, ALL_END, order=False)
     return Q.find_gaps(hourly, 60, time_col="resample_time")
+
+
+# ---------------------------------------------------------------------- several periods: K1, K6-K8, W5, X6, load
+
+from candlewick.schema import SENTINEL_TIME  # noqa: E402
+from candlewick.plans.load import archive_clipped  # noqa: E402
+
+TRADE_SELECT = f"SELECT {BAR_SELECT} FROM kt"
+LAST_MONTH = "(SELECT date_trunc('month', max(open_time)) FROM kt)"
+
+
+def trades_split(spark, sf_dir):
+    """(all order bars, start of their last month): bars of several years."""
+    bars = fx.order_bars(spark, sf_dir)
+    last = bars.agg(F.date_trunc("month", F.max("open_time")).cast("timestamp_ntz")).first()[0]
+    return bars, last
+
+
+def both_tiers(store):
+    return store.scan("archive", fx.MARKET).unionByName(store.scan("recent", fx.MARKET)).distinct()
+
+
+@register("write_archive_two_loads", fx.with_sql(fx.KT_SQL, f"""
+SELECT open_time, symbol, open, high, low, close + CASE WHEN day(open_time) = 15 THEN 1e0 ELSE 0e0 END AS close, volume,
+       quote_volume, trade_num, taker_buy_base_asset_volume, taker_buy_quote_asset_volume, avg_price FROM kt"""))
+def q_two_loads(spark, sf_dir):
+    """K1: odd days first, then even days and corrected 15ths of the same periods; no bar is
+    lost and corrections replace what was stored, also in periods long closed."""
+    store, bars = fresh_store(spark, "two-loads"), fx.order_bars(spark, sf_dir)
+    odd = F.dayofmonth("open_time") % 2 == 1
+    store.write_archive(bars.filter(odd), fx.MARKET)
+    fixed = bars.filter(F.dayofmonth("open_time") == 15).withColumn("close", F.col("close") + 1.0)
+    store.write_archive(bars.filter(~odd).unionByName(fixed), fx.MARKET)
+    return store.scan("archive", fx.MARKET)
+
+
+@register("export_into_partial_period", fx.with_sql(fx.KT_SQL, TRADE_SELECT))
+def q_export_partial(spark, sf_dir):
+    """K6, K7: the archive ends within the month that is exported and the recent tier
+    starts before; both tiers together still hold every bar afterwards."""
+    bars, last = trades_split(spark, sf_dir)
+    store, middle = fresh_store(spark, "export-partial"), last - _dt.timedelta(days=12)
+    store.write_archive(bars.filter(F.col("open_time") < F.lit(middle)), fx.MARKET)
+    store.append_recent(bars.filter(F.col("open_time") >= F.lit(middle - _dt.timedelta(days=40))), fx.MARKET)
+    info = store.export_period(fx.MARKET, as_of=last + _dt.timedelta(days=12), retention_days=7)
+    assert info["exported"], info
+    return both_tiers(store)
+
+
+@register("export_leaves_recent", fx.with_sql(fx.KT_SQL, f"""
+{TRADE_SELECT} WHERE open_time >= {LAST_MONTH} - INTERVAL '1 day'"""))
+def q_export_recent(spark, sf_dir):
+    """K7 after K6: what remains in the recent tier begins one day before the exported month's end."""
+    bars, last = trades_split(spark, sf_dir)
+    store = fresh_store(spark, "export-recent")
+    store.append_recent(bars, fx.MARKET)
+    store.export_period(fx.MARKET, as_of=last + _dt.timedelta(days=12), retention_days=7)
+    return store.scan("recent", fx.MARKET)
+
+
+@register("bootstrap_stale_archive", fx.with_sql(fx.KT_SQL, f"""
+SELECT CASE WHEN open_time >= {LAST_MONTH} THEN 'recent' ELSE 'archive' END AS tier, {BAR_SELECT} FROM kt"""))
+def q_bootstrap_stale(spark, sf_dir):
+    """K8 with an archive that ended long before: its newest month moves whole, the rest stays."""
+    bars, last = trades_split(spark, sf_dir)
+    store = fresh_store(spark, "bootstrap-stale")
+    store.write_archive(bars, fx.MARKET)
+    store.bootstrap_recent(fx.MARKET, as_of=last + _dt.timedelta(days=400), days=30)
+    return (store.scan("archive", fx.MARKET).withColumn("tier", F.lit("archive"))
+            .unionByName(store.scan("recent", fx.MARKET).withColumn("tier", F.lit("recent"))))
+
+
+@register("load_history_two_loads", fx.with_sql(fx.K1_SQL, f""",
+r AS (SELECT symbol, min(open_time) AS f, max(open_time) AS l FROM k1 WHERE volume > 0 GROUP BY symbol)
+SELECT {BAR_SELECT} FROM k1 JOIN r USING (symbol) WHERE open_time BETWEEN f AND l"""))
+def q_load_two(spark, sf_dir):
+    """The clip of two loads, the later half first, is the clip of one load of everything."""
+    store, k1 = fresh_store(spark, "load-two"), fx.dense_bars(spark, sf_dir)
+    half = F.col("open_time") < F.lit(_dt.datetime(2024, 1, 16, 12))
+    archive_clipped(store, k1.filter(~half), fx.MARKET)
+    archive_clipped(store, k1.filter(half), fx.MARKET)
+    return store.scan("archive", fx.MARKET)
+
+
+@register("latest_stored_period", fx.with_sql(fx.KT_SQL, f"""
+SELECT '{fx.MARKET}' AS market, max(strftime(open_time, '%Y-%m')) AS latest, count(DISTINCT strftime(open_time, '%Y-%m')) AS periods
+FROM kt"""))
+def q_latest_period(spark, sf_dir):
+    """The newest of several years of stored periods, read from the partition column alone."""
+    store = fresh_store(spark, "latest")
+    store.write_archive(fx.order_bars(spark, sf_dir), fx.MARKET)
+    periods = store.tier("archive", fx.MARKET).select("period").distinct()
+    out = periods.agg(F.max("period").alias("latest"), F.count("*").alias("periods"))
+    assert out.first()["latest"] == store.latest_period("archive", fx.MARKET)
+    return out.select(F.lit(fx.MARKET).alias("market"), "latest", "periods")
+
+
+@register("archive_period_list", fx.with_sql(fx.KT_SQL, """,
+m AS (SELECT symbol, min(CAST(open_time AS DATE)) AS a, max(CAST(open_time AS DATE)) AS b FROM kt GROUP BY symbol)
+SELECT symbol, strftime(s, '%Y-%m') AS label, CAST(greatest(s, date_trunc('month', a)) AS DATE) AS period_start,
+       CAST(s + INTERVAL '3 months' AS DATE) AS period_end
+FROM (SELECT *, unnest(generate_series(CAST(date_trunc('quarter', a) AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL '3 months')) AS s FROM m)"""))
+def q_period_list(spark, sf_dir):
+    """The quarters between each symbol's first and last bar, the first clipped to its start month."""
+    days = fx.order_bars(spark, sf_dir).groupBy("symbol").agg(
+        F.to_date(F.min("open_time")).alias("a"), F.to_date(F.max("open_time")).alias("b"))
+    return (days.select("symbol", F.explode(TG.period_list("a", "b", 3)).alias("p"))
+            .select("symbol", "p.label", "p.period_start", "p.period_end"))
+
+
+@register("drop_dead_order_symbols", fx.with_sql(fx.KT_SQL, f"""
+{TRADE_SELECT} WHERE symbol NOT IN (SELECT symbol FROM kt GROUP BY symbol HAVING sum(volume) = 0)"""))
+def q_drop_dead_orders(spark, sf_dir):
+    """J2 with symbols that never trade (customers in the last market segment have volume zero)."""
+    bars = fx.order_bars(spark, sf_dir)
+    return Q.drop_symbols(bars, Q.dead_symbols(bars))
+
+
+@register("symbol_activity", fx.with_sql(fx.KT_SQL, """
+SELECT symbol, min(CASE WHEN volume > 0 THEN open_time END) AS first_candle,
+       max(CASE WHEN volume > 0 THEN open_time END) AS last_candle, sum(volume) AS total_volume FROM kt GROUP BY symbol"""))
+def q_activity(spark, sf_dir):
+    """A7 and A8 in one aggregate."""
+    return Q.symbol_activity(fx.order_bars(spark, sf_dir))
+
+
+@register("table_counts_all", fx.with_sql(fx.KT_SQL + "," + fx.PART_SQL, f"""
+SELECT 'archive' AS "table", '{fx.MARKET}' AS market, count(*) AS "rows" FROM kt
+UNION ALL SELECT 'recent', '{fx.MARKET}', count(*) FROM kt WHERE open_time >= {LAST_MONTH}
+UNION ALL SELECT 'instruments', 'usdt_perp', count(*) FROM perp
+UNION ALL SELECT 'state', NULL, 1"""))
+def q_counts_all(spark, sf_dir):
+    """A9 over every table of a store: both tiers, instruments and state."""
+    bars, last = trades_split(spark, sf_dir)
+    store = fresh_store(spark, "counts")
+    store.write_archive(bars, fx.MARKET)               # records its watermark: one state row
+    store.append_recent(bars.filter(F.col("open_time") >= F.lit(last)), fx.MARKET)
+    store.replace_instruments(instruments(spark, sf_dir, "usdt_perp"), "usdt_perp")
+    return store.describe_tables()
+
+
+@register("live_update_with_backfill", fx.with_sql(fx.K0_SQL, K0_SELECT))
+def q_live(spark, sf_dir):
+    """T1, T2, T6, T8 with T3-T5: messages in no time order go through the collector and the
+    sink while the expected set changes between micro-batches, and landed REST pages answer
+    the backfill requests; every closed bar ends up in the recent tier."""
+    landing, store = _stream_messages_landed(spark, sf_dir), fresh_store(spark, "live")
+    symbols = fx.event_bars(spark, sf_dir).select("symbol").distinct()
+    calls = []
+
+    def expected():
+        calls.append(1)                                 # delisted: symbols drop out one residue at a time
+        return symbols.filter(F.pmod(F.hash("symbol"), F.lit(5)) >= min(len(calls) - 1, 4))
+
+    live = ST.LiveUpdater(spark, store, fx.MARKET, expected)
+    (ST.closed_bar_stream(spark, landing, max_files_per_trigger=2).writeStream.foreachBatch(live)
+     .option("checkpointLocation", scratch_path(spark, "live-ck")).trigger(availableNow=True).start()).awaitTermination()
+    live.flush()
+    ST.serve_backfill(store, fx.MARKET, SB.parse_rest_bars(FF.rest_pages(spark, sf_dir)))
+    return store.scan("recent", fx.MARKET)
+
+
+@register("rejected_csv_lines", """
+SELECT event_id, event_id || ',' || user_id || ',' || event_type AS line FROM events WHERE event_id % 3 <> 0""")
+def q_rejects(spark, sf_dir):
+    """S3: lines of zipped CSV that are no kline records come back whole, with their file."""
+    ev = fx.read_table(spark, sf_dir, "events")
+    good = F.concat(F.lit("1704067200000,1,1,1,1,1,1704068099999,1,1,1,1,"), F.col("event_id").cast("string"))
+    line = F.when(F.col("event_id") % 3 == 0, good).otherwise(F.concat_ws(",", "event_id", "user_id", "event_type"))
+    root = scratch_path(spark, "rejects")
+    FF.write_zips(ev.select(F.concat(F.lit(f"{root}/daily_klines/X/X-15m-2024-01-"), F.date_format("ts", "dd"), F.lit(".zip"))
+                            .alias("path"), F.col("ts").alias("open_time"), line.alias("line"),
+                            F.lit(False).alias("header"), F.lit(True).alias("good_sum"))).count()
+    return SB.rejected_lines(spark, root).select(F.split("line", ",")[0].cast("long").alias("event_id"), "line")

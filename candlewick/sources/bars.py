@@ -81,38 +81,26 @@ def parse_stream_bars(messages: DataFrame, value_col: str = "value") -> DataFram
 
 # ---------------------------------------------------------------------------- S3, W2, J8
 
-_CSV_SCHEMA = "path string, " + ", ".join(f"c{i} string" for i in range(12))
+#: Characters of CSV text that leave the unzip step together.
+_CHUNK_CHARS = 4_000_000
 
 
-_CHUNK_LINES = 200_000
-
-
-def _unzip_lines(batches):
-    """Each input row is one zip file; yield its CSV lines split into 12 text
-    fields, in chunks of at most ``_CHUNK_LINES`` lines, so one large file
-    never has to fit in a task's memory as one frame."""
-    cols = [f"c{i}" for i in range(12)]
-
-    def frame(path, rows):
-        out = pd.DataFrame([(r + [None] * 12)[:12] for r in rows], columns=cols)
-        out.insert(0, "path", path)
-        return out
-
+def _unzip_text(batches):
+    """Each input row is one zip file; yield its text in chunks of whole lines, so one
+    large file never has to fit in a task's memory as one frame. Lines are cut
+    and parsed by Spark."""
     for pdf in batches:
         for path, content in zip(pdf["path"], pdf["content"]):
             with zipfile.ZipFile(io.BytesIO(content)) as zf:
                 for member in zf.namelist():
                     with zf.open(member) as fh:
-                        rows = []
-                        for raw in io.TextIOWrapper(fh, encoding="utf-8"):
-                            line = raw.strip()
-                            if line:
-                                rows.append(line.split(","))
-                            if len(rows) >= _CHUNK_LINES:
-                                yield frame(path, rows)
-                                rows = []
-                        if rows:
-                            yield frame(path, rows)
+                        text, rest = io.TextIOWrapper(fh, encoding="utf-8"), ""
+                        while chunk := text.read(_CHUNK_CHARS):
+                            whole, cut, rest = (rest + chunk).rpartition("\n")
+                            if cut:
+                                yield pd.DataFrame({"path": [path], "chunk": [whole]})
+                        if rest:
+                            yield pd.DataFrame({"path": [path], "chunk": [rest]})
 
 
 def zip_files(spark: SparkSession, root: str) -> DataFrame:
@@ -128,26 +116,40 @@ def checksum_files(spark: SparkSession, root: str) -> DataFrame:
                     F.lower(F.split(F.trim("value"), r"\s+").getItem(0)).alias("expected")))
 
 
+def zip_lines(spark: SparkSession, root: str, verified_only: bool = False) -> DataFrame:
+    """(path, line, fields) of every non-empty CSV line of the zips under ``root``,
+    header rows (first field 'open_time') left out.
+
+    With ``verified_only`` a zip is read only when its content hashes to its
+    sidecar's checksum; the hash is taken in the same scan."""
+    files = zip_files(spark, root).select("path", "content")
+    if verified_only:
+        files = (files.join(checksum_files(spark, root), "path")
+                 .filter(F.sha2("content", 256) == F.col("expected")).select("path", "content"))
+    lines = (files.mapInPandas(_unzip_text, "path string, chunk string")
+             .select("path", F.explode(F.split("chunk", "\n")).alias("line"))
+             .select("path", F.trim(F.regexp_replace("line", "\r$", "")).alias("line")).filter(F.col("line") != ""))
+    return (lines.withColumn("fields", F.split("line", ","))
+            .filter(F.col("fields")[0] != "open_time"))
+
+
+def rejected_lines(spark: SparkSession, root: str, verified_only: bool = False) -> DataFrame:
+    """(path, line) of CSV lines that do not have the twelve fields of a kline record:
+    what ``read_zip_csv`` leaves out."""
+    return (zip_lines(spark, root, verified_only).filter(F.size("fields") != len(KLINE_FIELDS))
+            .select("path", "line"))
+
+
 def read_zip_csv(spark: SparkSession, root: str, verified_only: bool = False) -> DataFrame:
     """All CSV bars from zips under ``root`` with source path, before de-duplication.
 
     The symbol is the folder holding the zip; daily files rank above monthly
     ones and, within a kind, later file dates rank higher (``source_rank``).
-    A header row (first field 'open_time') is dropped. With ``verified_only``
-    a zip is read only when its content hashes to its sidecar's checksum; the
-    hash is taken in the same scan, and the sidecar table (one row per file)
-    is joined through a size-checked broadcast, so the content column is never
-    shuffled.
+    Lines with another number of fields than a kline record are left to
+    ``rejected_lines``.
     """
-    files = zip_files(spark, root).select("path", "content")
-    if verified_only:
-        from candlewick.plans.joins import bounded_side
-        sums, _ = bounded_side(checksum_files(spark, root))
-        files = (files.join(sums, "path", "inner")
-                 .filter(F.sha2("content", 256) == F.col("expected")).select("path", "content"))
-    lines = files.mapInPandas(_unzip_lines, _CSV_SCHEMA)
-    lines = lines.filter(F.col("c0") != "open_time")
-    fields = {name: F.col(f"c{i}") for i, name in enumerate(KLINE_FIELDS)}
+    lines = zip_lines(spark, root, verified_only).filter(F.size("fields") == len(KLINE_FIELDS))
+    fields = {name: F.col("fields")[i] for i, name in enumerate(KLINE_FIELDS)}
     symbol = F.regexp_extract("path", r"/([^/]+)/[^/]+\.zip$", 1)
     daily = F.col("path").contains("/daily_klines/")
     date_key = F.regexp_replace(F.regexp_extract("path", r"-(\d{4}-\d{2}(-\d{2})?)\.zip$", 1), "-", "")

@@ -22,7 +22,7 @@ def test_state_latest_keep_first_and_base_interval(spark, tmp_store_root):
     assert latest_state(s.state_log()).count() == 2
 
 
-def test_archive_write_skip_and_watermark(spark, tmp_store_root):
+def test_archive_write_merges_and_watermark(spark, tmp_store_root):
     s = BarStore(spark, tmp_store_root, base_minutes=15)
     assert s.archive_watermark("usdt_perp") == SENTINEL_TIME
     dec = series("2023-12-31 22:00", 4)
@@ -30,16 +30,80 @@ def test_archive_write_skip_and_watermark(spark, tmp_store_root):
     s.write_archive(bars_df(spark, dec + jan), "usdt_perp")
     assert s.archive_watermark("usdt_perp") == dt.datetime(2024, 1, 1, 0, 45)
     assert s.latest_period("archive", "usdt_perp") == "2024-01"
-    # a closed period already stored is skipped; the newest one is rewritten
-    changed = [bar(r[0], o=99.0) for r in dec + jan]
-    s.write_archive(bars_df(spark, changed), "usdt_perp")
-    got = {r["open_time"].month: r["open"] for r in s.scan("archive", "usdt_perp").collect()}
-    assert got[12] != 99.0 and got[1] == 99.0
+    # corrected bars replace stored ones in any period; the others stay
+    s.write_archive(bars_df(spark, [bar(dec[0][0], o=99.0), bar(jan[1][0], o=98.0)]), "usdt_perp")
+    got = {r["open_time"]: r["open"] for r in s.scan("archive", "usdt_perp").collect()}
+    assert len(got) == 8 and got[dec[0][0]] == 99.0 and got[jan[1][0]] == 98.0 and got[jan[0][0]] == 1.0
+    # new bars of a stored period join it
+    s.write_archive(bars_df(spark, series("2024-01-02 00:00", 4)), "usdt_perp")
+    assert s.scan("archive", "usdt_perp").count() == 12
     # partition pruning: only the January partition is read for a January range
     q = s.scan("archive", "usdt_perp", "2024-01-01", "2024-01-01 01:00:00")
-    plan = q._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters" in plan or "period" in plan
     assert q.count() == 4
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(period" in plan
+    assert {f.rsplit("period=", 1)[1][:7] for f in q.inputFiles()} >= {"2024-01"}
+
+
+def test_append_reads_only_the_batch_periods(spark, tmp_store_root):
+    """One stray old bar does not widen the stored side to everything in between."""
+    s = BarStore(spark, tmp_store_root, base_minutes=15)
+    for month in (1, 2, 3, 4):
+        s.append_recent(bars_df(spark, series(f"2024-0{month}-10 00:00", 4)), "usdt_perp")
+    seen = []
+    real = s.tier
+    s.tier = lambda *a: seen.append(real(*a)) or seen[-1]
+    jan, apr = series("2024-01-10 00:00", 2), series("2024-04-10 00:00", 6)
+    s.append_recent(bars_df(spark, jan + apr), "usdt_perp")
+    assert s.scan("recent", "usdt_perp").count() == 18
+    assert s.periods("recent", "usdt_perp") == ["2024-01", "2024-02", "2024-03", "2024-04"]
+    s.compact_recent("usdt_perp")
+    assert s.scan("recent", "usdt_perp").count() == 18
+
+
+def test_nothing_leaves_both_tiers(spark, tmp_store_root):
+    """The archive ends inside the period that is exported."""
+    s = BarStore(spark, tmp_store_root, base_minutes=15)
+    days = [series(f"2024-01-{d:02d} 00:00", 96) for d in range(10, 32)] + [series(f"2024-02-{d:02d} 00:00", 96) for d in range(1, 13)]
+    rows = [r for d in days for r in d]
+    s.write_archive(bars_df(spark, [r for d in days[:11] for r in d]), "usdt_perp")       # to 20 January
+    s.append_recent(bars_df(spark, [r for d in days[9:] for r in d]), "usdt_perp")        # from 19 January
+    info = s.export_period("usdt_perp", as_of=dt.datetime(2024, 2, 12), retention_days=7)
+    assert info["exported"]
+    both = s.scan("archive", "usdt_perp").union(s.scan("recent", "usdt_perp")).select("open_time").distinct().count()
+    assert both == len(rows)
+    assert s.scan("archive", "usdt_perp").count() == 22 * 96
+    # expiry alone removes nothing that the archive lacks
+    s.expire_recent("usdt_perp", dt.datetime(2024, 2, 20))
+    assert s.scan("recent", "usdt_perp").count() == 12 * 96
+
+
+def test_bootstrap_of_a_stale_archive(spark, tmp_store_root):
+    s = BarStore(spark, tmp_store_root, base_minutes=15)
+    rows = series("2023-10-31 00:00", 96) + series("2023-11-05 00:00", 96)
+    s.write_archive(bars_df(spark, rows), "usdt_perp")
+    assert s.bootstrap_recent("usdt_perp", as_of=dt.datetime(2024, 2, 15)) == dt.datetime(2023, 11, 6)
+    assert s.scan("archive", "usdt_perp").count() == 96 and s.scan("recent", "usdt_perp").count() == 96
+
+
+def test_two_loads_clip_like_one(spark, tmp_store_root):
+    from candlewick.plans.load import archive_clipped
+    jan = series("2024-01-31 00:00", 96)
+    feb = [bar(r[0], v=0.0) for r in series("2024-02-01 00:00", 48)] + series("2024-02-01 12:00", 48)
+    for k, loads in enumerate(([jan, feb], [feb, jan], [jan + feb])):
+        s = BarStore(spark, f"{tmp_store_root}-{k}", base_minutes=15)
+        for rows in loads:
+            archive_clipped(s, bars_df(spark, rows), "usdt_perp")
+        assert s.scan("archive", "usdt_perp").count() == 192
+
+
+def test_state_compaction_keeps_first_and_latest(spark, tmp_store_root):
+    s = BarStore(spark, tmp_store_root)
+    for i in range(6):
+        s.put_state("k", str(i), dt.datetime(2024, 1, 1 + i))
+    s.compact_state()
+    assert s.state_log().count() == 2
+    assert s.get_state_value("k") == "5" and s.get_state_value("k", keep_first=True) == "0"
 
 
 def test_append_keeps_stored_and_commit_replay(spark, tmp_store_root):
@@ -98,7 +162,7 @@ def test_table_metadata(spark, tmp_store_root):
     s = BarStore(spark, tmp_store_root, base_minutes=15)
     s.write_archive(bars_df(spark, series("2024-01-01 00:00", 3)), "usdt_perp")
     counts = {(r["table"], r["market"]): r["rows"] for r in s.describe_tables().collect()}
-    assert counts == {("archive", "usdt_perp"): 3}
+    assert counts == {("archive", "usdt_perp"): 3, ("state", None): 1}
     cols = {r["column"]: r["type"] for r in s.table_schema("archive").collect()}
     assert cols["open_time"] == "timestamp_ntz" and cols["trade_num"] == "int"
     with pytest.raises(ValueError):

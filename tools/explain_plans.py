@@ -42,7 +42,7 @@ def main():
     spark.sparkContext.setLogLevel("ERROR")
     archive, recent = fx.tiers(spark, sf)
     store = BarStore(spark, scratch_path(spark, "plans-store"), base_minutes=fx.BASE_MINUTES)
-    store.write_archive(archive.drop("market"), fx.MARKET, skip_closed=False)
+    store.write_archive(archive.drop("market"), fx.MARKET)
     store.append_recent(recent.drop("market"), fx.MARKET)
     arch = store.scan("archive", fx.MARKET)
     cases = {
