@@ -80,7 +80,7 @@ def main():
         "get_symbol_60m": lambda: run(store.get_symbol(fx.MARKET, "U3USDT", 60, 0, BEGIN, END)),
         "clip_to_trading_range": lambda: run(Q.clip_to_trading_range(arch())),
         "find_gaps": lambda: run(Q.find_gaps(arch(), fx.BASE_MINUTES)),
-        "trading_range_dead": lambda: run(Q.trading_range(arch()).join(Q.dead_symbols(arch()), "symbol", "full")),
+        "trading_range_dead": lambda: run(Q.symbol_activity(arch())),
         "missing_days": lambda: run(Q.missing_days(arch())),
     }
     only = [q for q in os.environ.get("BENCH_ONLY", "").split(",") if q]
@@ -128,32 +128,34 @@ def duckdb_times(root: str) -> dict:
         import duckdb
     except ImportError:
         return {}
-    from candlewick.registry import RESAMPLE_VALUES_SQL, resample_sql
+    from candlewick.registry import resample_sql
     con = duckdb.connect()
     for t in ("archive", "recent"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{root}/{t}/**/*.parquet', hive_partitioning=true)")
     thr = "(SELECT max(open_time) FROM archive)"
     ts = lambda x: f"TIMESTAMP '{x}'"
-    hyb = f"""
-      WITH a AS ({resample_sql("archive", 60, 15, f"open_time >= {ts(BEGIN)} - INTERVAL 1 HOUR AND open_time < least({ts(END)}, {thr}) + INTERVAL 1 HOUR")}),
-           r AS ({resample_sql("recent", 60, 15, f"open_time >= greatest({ts(BEGIN)}, {thr}) - INTERVAL 1 HOUR AND open_time <= {ts(END)} + INTERVAL 1 HOUR")}),
+
+    def hybrid(interval, offset, more=""):
+        return f"""
+      WITH a AS ({resample_sql("archive", interval, offset, f"open_time >= {ts(BEGIN)} - INTERVAL 1 HOUR AND open_time < least({ts(END)}, {thr}) + INTERVAL 1 HOUR{more}")}),
+           r AS ({resample_sql("recent", interval, offset, f"open_time >= greatest({ts(BEGIN)}, {thr}) - INTERVAL 1 HOUR AND open_time <= {ts(END)} + INTERVAL 1 HOUR{more}")}),
            u AS (SELECT *, 1 AS pr FROM a UNION ALL SELECT *, 2 FROM r),
            k AS (SELECT *, row_number() OVER (PARTITION BY symbol, resample_time ORDER BY pr DESC) rn FROM u)
       SELECT * EXCLUDE (pr, rn) FROM k WHERE rn = 1 ORDER BY resample_time, symbol"""
-    del RESAMPLE_VALUES_SQL
+
     sqls = {
         "resample_60m_off15_archive": resample_sql("archive", 60, 15,
             f"open_time BETWEEN {ts(BEGIN)} AND TIMESTAMP '2024-01-19 23:00:00'") + " ORDER BY resample_time, symbol",
         "resample_60m_off15_recent": resample_sql("recent", 60, 15,
             f"open_time BETWEEN TIMESTAMP '2024-01-20 01:00:00' AND {ts(END)}") + " ORDER BY resample_time, symbol",
-        "hybrid_60m_off15": hyb,
-        "get_symbol_60m": resample_sql("recent", 60, 0, "symbol = 'U3USDT'") + " ORDER BY resample_time",
+        "hybrid_60m_off15": hybrid(60, 15),
+        "get_symbol_60m": hybrid(60, 0, " AND symbol = 'U3USDT'"),
         "clip_to_trading_range": """WITH r AS (SELECT symbol, min(open_time) f, max(open_time) l FROM archive WHERE volume > 0 GROUP BY 1)
             SELECT a.* FROM archive a JOIN r USING (symbol) WHERE a.open_time BETWEEN r.f AND r.l""",
         "find_gaps": """SELECT * FROM (SELECT symbol, lag(open_time) OVER (PARTITION BY symbol ORDER BY open_time) p, open_time
             FROM archive) WHERE open_time - p > INTERVAL '15 minutes'""",
-        "trading_range_dead": """SELECT * FROM (SELECT symbol, min(open_time) f, max(open_time) l FROM archive WHERE volume > 0 GROUP BY 1)
-            FULL JOIN (SELECT symbol, sum(volume) v FROM archive GROUP BY 1 HAVING sum(volume) = 0) USING (symbol)""",
+        "trading_range_dead": """SELECT symbol, min(open_time) FILTER (volume > 0) f, max(open_time) FILTER (volume > 0) l,
+            sum(volume) v FROM archive GROUP BY 1""",
         "missing_days": """WITH d AS (SELECT DISTINCT symbol, CAST(open_time AS DATE) AS day FROM archive),
             s AS (SELECT symbol, min(day) d0, max(day) d1 FROM d GROUP BY 1),
             e AS (SELECT symbol, CAST(unnest(generate_series(d0, d1, INTERVAL 1 DAY)) AS DATE) AS day FROM s)

@@ -316,6 +316,17 @@ class BarStore:
         rows = [(f.name, f.dataType.simpleString(), f.nullable) for f in src.schema.fields]
         return self.spark.createDataFrame(rows, "column string, type string, nullable boolean")
 
+    def table_profile(self, table: str) -> DataFrame:
+        """(column, type, non_null): every column of a table with its type and how many
+        values it holds, from one aggregate over the table."""
+        src = self.frames.get(table) if table in self.frames else (self._raw(table) if self.root else None)
+        if src is None:
+            raise ValueError(f"unknown table {table!r}")
+        counts = src.agg(*[F.count(f"`{c}`").alias(c) for c in src.columns])
+        types = F.array(*[F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"),
+                                   F.col(f"`{f.name}`").alias("non_null")) for f in src.schema.fields])
+        return counts.select(F.inline(types))
+
     # ------------------------------------------------------------------ state (K3, K4)
     def state_log(self) -> DataFrame:
         if "state" in self.frames:

@@ -319,6 +319,7 @@ for _mt, _src, _pred in (
         ("usdt_perp", "perp", "quote_asset = 'USDT' AND contract_type IN ('PERPETUAL')"),
         ("usdt_deli", "perp", "quote_asset = 'USDT' AND contract_type IN ('CURRENT_QUARTER', 'NEXT_QUARTER')"),
         ("usdc_perp", "perp", "quote_asset = 'USDC' AND contract_type IN ('PERPETUAL')"),
+        ("btc_perp", "perp", "quote_asset = 'BTC' AND contract_type IN ('PERPETUAL')"),
         ("coin_perp", "coin", "contract_type IN ('PERPETUAL')"),
         ("coin_deli", "coin", "contract_type IN ('CURRENT_QUARTER', 'NEXT_QUARTER')"),
         ("usdt_spot", "spot", f"quote_asset = 'USDT' AND symbol NOT IN ({_STABLE_SQL})"),
@@ -1119,3 +1120,36 @@ def q_rejects(spark, sf_dir):
                             .alias("path"), F.col("ts").alias("open_time"), line.alias("line"),
                             F.lit(False).alias("header"), F.lit(True).alias("good_sum"))).count()
     return SB.rejected_lines(spark, root).select(F.split("line", ",")[0].cast("long").alias("event_id"), "line")
+
+
+def _profile_sql() -> str:
+    from candlewick.schema import BAR_SCHEMA
+    rows = [(f.name, f.dataType.simpleString()) for f in BAR_SCHEMA.fields]
+    return fx.with_sql(fx.TIERS_SQL, "\nUNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", '{t}' AS type, count({c}) AS non_null FROM recent" for c, t in rows)
+        + f"\nUNION ALL SELECT 'market', 'string', count(*) FROM recent")
+
+
+@register("table_profile_recent", _profile_sql())
+def q_profile(spark, sf_dir):
+    """Q8: columns and types of a stored table, with how many values each column holds."""
+    return tier_store(spark, sf_dir).table_profile("recent")
+
+
+@register("list_symbols", fx.with_sql(fx.PART_SQL, "SELECT DISTINCT symbol FROM perp"))
+def q_list_symbols(spark, sf_dir):
+    """Symbols from the common prefixes of a paged folder listing."""
+    names = instruments(spark, sf_dir, "usdt_perp").select("symbol").distinct()
+    prefix = F.concat(F.lit("<CommonPrefixes><Prefix>data/futures/um/daily/klines/"), "symbol", F.lit("/</Prefix></CommonPrefixes>"))
+    pages = (names.groupBy(F.substring("symbol", 1, 3).alias("page"), F.pmod(F.hash("symbol"), F.lit(97)).alias("k"))
+             .agg(F.array_join(F.collect_list(prefix), "").alias("body"))
+             .select(F.concat(F.lit("<ListBucketResult><Prefix>data/futures/um/daily/klines/</Prefix>"), "body",
+                              F.lit("</ListBucketResult>")).alias("value")))
+    return SL.list_symbols(pages)
+
+
+@register("manifest_local_paths", fx.with_sql(_MANIFEST_SQL, """
+SELECT key, '/data/' || CASE WHEN prefix LIKE '%/daily/%' THEN 'daily' ELSE 'monthly' END || '_klines/' || symbol || '/'
+       || split_part(key, '/', -1) AS local_path FROM manifest"""))
+def q_local_paths(spark, sf_dir):
+    return SL.with_local_path(manifest(spark, sf_dir), "/data").select("key", "local_path")

@@ -32,6 +32,29 @@ def parse_listing(pages: DataFrame, value_col: str = "value") -> DataFrame:
     )
 
 
+SYMBOL_LISTING = T.StructType([
+    T.StructField("Prefix", T.StringType()),
+    T.StructField("CommonPrefixes", T.ArrayType(T.StructType([T.StructField("Prefix", T.StringType())]))),
+])
+
+
+def list_symbols(pages: DataFrame, value_col: str = "value") -> DataFrame:
+    """Distinct symbols of a folder listing (S8): the last part of each common prefix
+    ('.../klines/<SYMBOL>/'), over all pages of the listing."""
+    doc = pages.select(F.from_xml(F.col(value_col), SYMBOL_LISTING).alias("d"))
+    prefix = F.rtrim(F.col("p.Prefix"), F.lit("/"))
+    return (doc.select(F.explode("d.CommonPrefixes").alias("p"))
+            .select(F.element_at(F.split(prefix, "/"), -1).alias("symbol")).distinct())
+
+
+def with_local_path(manifest: DataFrame, root: str) -> DataFrame:
+    """Where a downloaded manifest entry belongs: ``<root>/<daily|monthly>_klines/<SYMBOL>/<file>``."""
+    kind = F.regexp_extract("prefix", r"/(daily|monthly)/", 1)
+    name = F.element_at(F.split("key", "/"), -1)
+    return manifest.withColumn("local_path", F.concat(
+        F.lit(root.rstrip("/") + "/"), kind, F.lit("_klines/"), F.col("symbol"), F.lit("/"), name))
+
+
 def select_daily(manifest: DataFrame, marker_day: _dt.date, start: _dt.date | None = None) -> DataFrame:
     """Daily CHECKSUM keys listed after the marker ``<prefix><SYM>-<iv>-<marker_day - 1>.zip.CHECKSUM``
     (listing order is key order) whose file date is on/after ``start``; keys

@@ -6,10 +6,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from candlewick.registry import ORACLES, QUERIES
 from tools.oracle_check import TABLES, digest
 
 SF = "/root/testdata/sf0.001"
-NAMES = sorted(entry.queries())
+NAMES = sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -30,14 +31,15 @@ def test_entry_smoke(spark):
 
 def test_every_query_has_an_oracle_or_is_listed():
     rows_only = {"table_schema_recent"}
-    assert set(entry.queries()) - set(entry.oracle_sql()) == rows_only
+    assert set(QUERIES) - set(ORACLES) == rows_only
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, duck, name):
-    df = entry.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     cols, rows = df.columns, [tuple(r) for r in df.collect()]
-    sql = entry.oracle_sql().get(name)
+    sql = ORACLES.get(name)
     if sql is None:
         assert len(rows) > 0
         return
