@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -18,24 +19,35 @@ def ids_of(text):
     return WHOLE.encode(text or "", add_special_tokens=False).ids + [0]
 
 
-@given(st.lists(st.integers(0, 2**32 - 1), max_size=60))
-def test_byte_coding_round_trip(ranks):
-    control, data = encode_ranks(np.array(ranks, np.uint32))
-    assert len(control) == -(-len(ranks) // 4)
-    assert decode_ranks(control, data, len(ranks)).tolist() == ranks
+@given(st.lists(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2**32 - 1)), max_size=30), max_size=6))
+def test_byte_coding_round_trip(docs):
+    counts, flat = [len(d) for d in docs], [x for d in docs for x in d]
+    control, data = encode_ranks(np.array(flat, np.uint32), counts)
+    assert [len(c) for c in control.to_pylist()] == [-(-n // 4) for n in counts]
+    assert [len(d) for d in data.to_pylist()] == [sum(max(1, -(-x.bit_length() // 8)) for x in d) for d in docs]
+    assert decode_ranks(control, data, np.array(counts, np.int64)).tolist() == flat
 
 
 WORDS = WordEncoder(PATH)
 ODD = [" ", "  ", "\n", " ", " ", "\x1c", "\x85", "'s", "don't", "42", "é", "日本", "!!", "a", "Zoë", "<|endoftext|>",
-       "\t", "x" * 70, "́", "\U0001f600"]
+       "\t", "x" * 70, "́", "\U0001f600", "Straße,", "word.\nNext", "a\n\nb", "it's", "x%%%\nY###", "ɏĀ", "я"]
 
 
 @settings(max_examples=400, deadline=None)
 @given(st.lists(st.one_of(st.sampled_from(ODD + [" "] * 8), st.text(max_size=4)), max_size=25))
 def test_word_memory_equals_whole_text(parts):
     text = "".join(parts).encode("utf-8", "ignore").decode()
-    got, = WORDS.encode([text])
-    assert np.frombuffer(got, WORDS.dtype).tolist() == ids_of(text)[:-1]
+    for texts in ([text], ["a b", text, None, "x  y", text + " z"]):
+        ids, counts = WORDS.encode(pa.array(texts, pa.string()))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [ids_of(t) for t in texts]
+
+
+def test_other_tokenizers_get_whole_texts():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    other, texts = Tokenizer.from_file(path), ["Hello  there, you", "one two", ""]
+    ids, counts = WordEncoder(path).encode(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == \
+        [other.encode(t, add_special_tokens=False).ids + [0] for t in texts]
 
 
 def expected(rows):
