@@ -2,8 +2,8 @@
 
 A vector's code has one bit per dimension, set where the value is positive;
 two vectors are as near as their codes differ in few bits (ties: smaller id).
-A code is cut into segments of about log2(number of codes) bits and every
-distinct code is indexed under each of its segments' values. A query probes
+A code is cut into segments of at most log2(number of codes) bits, so that a
+probe meets a code on average, and every distinct code is indexed under each of its segments' values. A query probes
 the segments' values at radius 0, then 1, and so on, segment by segment:
 once all segments up to the j-th were probed at radius r (and the later ones
 at r - 1), every code within ``segments * r + j`` bits has been met (pigeonhole),
@@ -39,7 +39,7 @@ def sign_code(vector: Column, bits: int = BITS) -> Column:
 
 def _segments(codes: int, bits: int) -> list[tuple[int, int]]:
     """(shift, width) of each segment."""
-    count = max(1, round(bits / max(1.0, math.log2(max(2, codes)))))
+    count = min(bits, max(1, math.ceil(bits / math.log2(max(2, codes)))))
     edges = [bits * i // count for i in range(count + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
@@ -93,14 +93,18 @@ def top_codes(queries: DataFrame, index: DataFrame, k: int, bits: int = BITS) ->
     best, best_path = written(queries.select(
         "q", F.lit(None).cast("long").alias("code"), F.lit(None).cast("long").alias("low"),
         F.lit(bits + 1).alias("distance"), F.lit(1).alias("place"), F.lit(bits + 1).alias("bound")), "best")
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
     done, radius, widest = [], 0, max(w for _, w in segments)
     while True:
-        opened = best.groupBy("q").agg(F.first("bound").alias("bound"))
+        # dealt out evenly before each query is multiplied by its probes (by a hash of q: a
+        # repartition by q itself would fold into the aggregate's and be coalesced)
+        opened = best.groupBy("q").agg(F.first("bound").alias("bound")).repartition(spread, F.xxhash64("q"))
         probes = _flipped(
             opened.select("q", "bound", F.inline(table))
             .where((F.col("width") >= radius) & (count * radius + F.col("segment") <= F.col("bound")))
             .select("q", "bound", "segment", "width", cut("q")), radius).drop("width")
-        hits = (probes.join(indexed, ["segment", "value"])
+        # Spark cannot see how far the probes grow, so it must not broadcast them
+        hits = (probes.join(indexed.hint("merge"), ["segment", "value"])
                 .withColumn("distance", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))))
                 .where((F.col("distance") <= F.col("bound")) & _first_meeting(segments, radius))
                 .select("q", "code", "low", "distance"))
