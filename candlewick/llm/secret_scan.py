@@ -5,7 +5,7 @@ Markov models over characters, one of random strings and one of ordinary
 identifiers and words, are compared: a run of token characters whose
 log-likelihood ratio favours the random model is a secret too (kind
 ``markov``). Both are trained on labelled samples that the patterns give:
-values of the base spans are random strings, other runs of letters are
+values of the base spans are random strings, words and numbers of the texts are
 ordinary. Transition counts cover all documents; only their sums (one number
 a character pair and class) reach the driver.
 """
@@ -38,8 +38,9 @@ _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-
 _SIZE = len(_ALPHABET) + 1                                  # the last class ends and begins a string
 _CLASS = np.full(256, _SIZE - 1, np.int64)
 _CLASS[[ord(c) for c in _ALPHABET]] = np.arange(_SIZE - 1)
-_LETTER = np.zeros(256, bool)
-_LETTER[[ord(c) for c in _ALPHABET if c.isalpha()]] = True
+_SORT = np.zeros(256, np.int8)                              # 1 letter, 2 digit
+_SORT[[ord(c) for c in _ALPHABET if c.isalpha()]] = 1
+_SORT[[ord(c) for c in _ALPHABET if c.isdigit()]] = 2
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -63,10 +64,13 @@ def _pairs(strings: list[str]) -> np.ndarray:
 
 
 def _ordinary_pairs(texts: list[str]) -> np.ndarray:
-    """Transitions inside the runs of ASCII letters of whole texts."""
-    raw = np.frombuffer("\n".join(texts).encode("latin-1", "replace"), np.uint8)
-    classes = np.where(_LETTER[raw], _CLASS[raw], _SIZE - 1)
-    keep = (classes[:-1] != _SIZE - 1) | (classes[1:] != _SIZE - 1)
+    """Transitions inside the words and the numbers of whole texts (runs of ASCII letters,
+    runs of digits), ends included; between a letter and a digit nothing is counted."""
+    raw = np.frombuffer("\n".join(["", *texts, ""]).encode("latin-1", "replace"), np.uint8)
+    sort = _SORT[raw]
+    classes = np.where(sort > 0, _CLASS[raw], _SIZE - 1)
+    a, b = sort[:-1], sort[1:]
+    keep = ((a == b) | (a == 0) | (b == 0)) & ((a > 0) | (b > 0))
     return np.bincount((classes[:-1] * _SIZE + classes[1:])[keep], minlength=_SIZE * _SIZE)
 
 
