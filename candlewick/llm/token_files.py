@@ -18,13 +18,17 @@ commit protocol keep them whole when executors are lost:
 
 from __future__ import annotations
 
+import gc
+import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,108 +37,243 @@ from candlewick.llm.common import drop, written
 from candlewick.session import scratch_path
 
 END_ID = 0
-#: Words whose ids a Python worker remembers: two generations of this many.
-CACHE_WORDS = 250_000
-#: Characters of text encoded at a time, and words joined for one call of the tokenizer.
-TEXT_RUN, WORD_RUN = 4_000_000, 20_000
+#: Words whose ids a Python worker remembers, behind a space and otherwise: two generations of this many.
+SPACED_WORDS, PLAIN_WORDS = 250_000, 50_000
+#: Characters of text whose words are looked up together; words, and ids, handled at a time
+#: (few enough for the arrays to stay in a core's cache).
+TEXT_RUN, WORD_RUN, ID_RUN = 8_000_000, 40_000, 100_000
 
 # ---------------------------------------------------------------- byte coding
 
 #: The four lengths (1 to 4) that each control byte stands for, lowest bits first.
-LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
-
-
-def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """(control bytes, data bytes) of unsigned 32-bit numbers."""
-    ranks = np.ascontiguousarray(ranks, "<u4")
-    size = 1 + (ranks > 0xFF) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    quads = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
-    quads[:len(ranks)] = size - 1
-    control = quads.reshape(-1, 4) @ np.array([1, 4, 16, 64], np.uint8)
-    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
-    return control.astype(np.uint8).tobytes(), data.tobytes()
-
-
-def decode_ranks(control: bytes, data: bytes, count: int) -> np.ndarray:
-    size = LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:count]
-    raw = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.uint32)
-    at = np.cumsum(size) - size
-    out = raw[at]
+LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.uint8)
+
+
+def _padded(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each number when every document's are padded to a multiple of four;
+    control bytes of each document."""
+    quads = -(-counts // 4)
+    shift = (np.cumsum(quads) - quads) * 4 - (np.cumsum(counts) - counts)
+    return np.arange(counts.sum()) + np.repeat(shift, counts), quads
+
+
+def _runs(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """(from, to): neighbours that hold about ``most`` together, at least one each."""
+    at = 0
+    while at < len(sizes):
+        to, room = at, most
+        while to < len(sizes) and (room > 0 or to == at):
+            room -= sizes[to]
+            to += 1
+        yield at, to
+        at = to
+
+
+def _joined(column: pa.Array, dtype) -> np.ndarray:
+    """The values of a binary column end to end, without copies."""
+    if not len(column):
+        return np.zeros(0, dtype)
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
+    raw = column.buffers()[2]
+    return np.frombuffer(raw, np.uint8)[ends[0]:ends[-1]].view(dtype) if raw else np.zeros(0, dtype)
+
+
+def _binary(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """A binary column of consecutive pieces (``sizes`` in bytes) of ``values``."""
+    ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(values)])
+
+
+def encode_ranks(ranks: np.ndarray, counts: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Control bytes and data bytes of each document, from the unsigned 32-bit numbers
+    of all documents end to end and how many each has."""
+    ranks, counts = np.ascontiguousarray(ranks, "<u4"), np.asarray(counts, np.int64)
+    size = np.ones(len(ranks), np.uint8)
+    for top in (0xFF, 0xFFFF, 0xFFFFFF):
+        size += ranks > top
+    place, quads = _padded(counts)
+    codes = np.zeros(quads.sum() * 4, np.uint8)
+    codes[place] = size - 1
+    control = codes.reshape(-1, 4) @ np.array([1, 4, 16, 64], np.uint8)
+    ends = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
+    data = np.empty(ends[-1], np.uint8)
+    data[ends[:-1]] = ranks.astype(np.uint8)          # the lowest byte
     for k in (1, 2, 3):
         longer = np.nonzero(size > k)[0]
-        out[longer] |= raw[at[longer] + k] << np.uint32(8 * k)
+        data[ends[longer] + k] = (ranks[longer] >> np.uint32(8 * k)).astype(np.uint8)
+    last = np.cumsum(counts)
+    return _binary(control, quads), _binary(data, ends[last] - ends[last - counts])
+
+
+def decode_ranks(control: pa.Array, data: pa.Array, counts: np.ndarray) -> np.ndarray:
+    """The numbers of all documents end to end."""
+    place, _ = _padded(np.asarray(counts, np.int64))
+    size = LENGTHS[_joined(control, np.uint8)].ravel()[place]
+    raw = _joined(data, np.uint8)
+    at = np.cumsum(size, dtype=np.int64) - size
+    out = raw[at].astype(np.uint32)
+    for k in (1, 2, 3):
+        longer = np.nonzero(size > k)[0]
+        out[longer] |= raw[at[longer] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
 
 
 # ---------------------------------------------------------------- tokenizer
 
-_SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace()]
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Letters (Latin up to U+024F), ASCII marks but the apostrophe, perhaps a line end and the like again.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)(?:\n([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*))?")
+_LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+")
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: The byte-level alphabet: printable Latin-1 bytes are themselves, the others follow from U+0100 on.
+_ALPHABET = {b: b for b in _PRINTABLE} | {b: 256 + n for n, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
+
+
+class _Memory:
+    """Word -> ids: what was met lately, in two generations of ``room`` words."""
+
+    def __init__(self, encode, room: int):
+        self.encode, self.room, self.young, self.old = encode, room, {}, {}
+
+    def __getitem__(self, word: str) -> bytes:
+        ids = self.young.get(word)
+        if ids is None:
+            ids = self.old.get(word)
+            if ids is None:
+                ids = self.encode(word)
+            if len(self.young) >= self.room:
+                self.old, self.young = self.young, {}
+            self.young[word] = ids
+        return ids
 
 
 class WordEncoder:
     """Whole-text encoding through a word memory.
 
-    A byte-level tokenizer without an added prefix space never joins
-    characters across a single space between two non-space characters: the
-    space starts the next word. So a text's ids are the ids of its first word
-    and of each following " word", and each distinct word is given to the
-    tokenizer once. Texts that hold an added token's string go to the
-    tokenizer as a whole.
+    The byte-level tokenizer's words never cross from a space that stands
+    between two other characters into the text before it: the space starts the
+    next word. So a text's ids are those of its first piece and of each
+    following " piece", and a piece that is plain letters and marks falls into
+    a letter word, a mark word, a line end and so on in the same way. Each
+    distinct word is given to the tokenizer library once and remembered. All
+    other texts and pieces (added tokens, doubled spaces, digits, other
+    scripts) go to the tokenizer as they are, and so does everything when the
+    file holds another kind of tokenizer.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        spec = json.loads(self.tokenizer.to_str())
+        splitter, model = spec["pre_tokenizer"] or {}, spec["model"]
+        self.by_word = (spec["normalizer"] is None and splitter.get("type") == "ByteLevel"
+                        and splitter.get("use_regex") and not splitter.get("add_prefix_space")
+                        and model["type"] == "BPE" and not model.get("dropout") and not model.get("unk_token"))
+        self.model = self.tokenizer.model
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        starts = [i for token, i in self.tokenizer.get_vocab().items() if token.startswith("Ġ")]
-        self.opens = np.zeros(size, bool)              # ids whose bytes begin with a space
-        self.opens[starts] = True
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.spaced = _Memory(lambda word: self._word(" " + word), SPACED_WORDS)    # letter words after a space
+        self.plain = _Memory(self._word, PLAIN_WORDS)                               # letter words and marks
+
+    def _word(self, word: str) -> bytes:
+        if not word.isascii() or word == "\n":
+            word = word.encode().decode("latin-1").translate(_ALPHABET)
+        elif word[0] == " ":
+            word = "Ġ" + word[1:]
+        return array(self.code, [t.id for t in self.model.tokenize(word)]).tobytes()
+
+    def _piece(self, piece: str, before: str) -> bytes | None:
+        """Ids of a piece with ``before`` (a space, or nothing) in front; None if a space at
+        its edge has white space on the other side, where the text must not be cut."""
+        match = _PLAIN.fullmatch(piece)
+        if not match:
+            if before and not piece or piece and (piece[-1].isspace() or before and piece[0].isspace()):
+                return None
+            return self._whole([before + piece])[0] if piece else b""
+        word, marks, next_word, next_marks = match.groups()
+        plain = self.plain
+        ids = (self.spaced if before else plain)[word]
+        if marks:
+            ids += plain[marks]
+        if next_word:
+            ids += plain["\n"] + plain[next_word] + (plain[next_marks] if next_marks else b"")
+        return ids
+
+    def _look_up(self, pieces: list[str]) -> list[bytes | None]:
+        """Ids of distinct pieces that follow a space. Only letter words are remembered:
+        other pieces are made of them."""
+        out = list(map(self.spaced.young.get, pieces))
+        for i, ids in enumerate(out):
+            if ids is None:
+                piece = pieces[i]
+                out[i] = self.spaced[piece] if piece.isalpha() and (piece.isascii() or _LATIN.fullmatch(piece)) \
+                    else self._piece(piece, " ")
+        return out
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes()
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array(self.code, e.ids).tobytes()
                 for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    @staticmethod
-    def words(text: str) -> list[str]:
-        ragged = text[:1] == " " or text[-1:] == " " or any(
-            s in text and (s + " " in text or " " + s in text) for s in _SPACES)
-        return _CUT.split(text) if ragged else text.split(" ")
-
-    def _learn(self, needed: set[str]) -> None:
-        if len(self.young) > CACHE_WORDS:
-            self.old, self.young = self.young, {}
-        missing = needed.difference(self.young)
-        again = missing.intersection(self.old)
-        self.young.update((w, self.old[w]) for w in again)
-        missing = list(missing - again)
-        plain = [w for w in missing if " " not in w]
-        for at in range(0, len(plain), WORD_RUN):
-            run = plain[at:at + WORD_RUN]
-            ids = np.array(self.tokenizer.encode(" " + " ".join(run), add_special_tokens=False).ids, self.dtype)
-            cuts = np.nonzero(self.opens[ids])[0].tolist() + [len(ids)]
-            raw, width = ids.tobytes(), self.dtype.itemsize
-            self.young.update((w, raw[a * width:b * width]) for w, a, b in zip(run, cuts, cuts[1:]))
-        ragged = [w for w in missing if " " in w]
-        self.young.update(zip(ragged, self._ids([" " + w for w in ragged])))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian ids of each text, without the end id."""
-        whole = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
-        split = [self.words(t) for t in texts]
-        for i in whole:
-            split[i] = [""]
-        self._learn(set().union(*(s[1:] for s in split)) if split else set())
-        heads = self._ids([s[0] for s in split])
-        out = [h + b"".join(map(self.young.__getitem__, s[1:])) for h, s in zip(heads, split)]
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
-            out[i] = ids
-        return out
+    def _slow(self, text: str) -> np.ndarray:
+        """Ids of one text that is not cut at every space."""
+        if not self.by_word or any(a in text for a in self.added):
+            ids = self._whole([text])[0]
+        else:
+            head, *rest = _CUT.split(text)
+            ids = self._piece(head, "") or self._whole([head])[0]
+            ids += b"".join([self._piece(p, " ") or self._whole([" " + p])[0] for p in rest])
+        return np.frombuffer(ids, self.dtype)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, each with the end id, and how many each has."""
+        collects = gc.isenabled()
+        gc.disable()                       # millions of short-lived strings, no cycles
+        try:
+            return self._encode(pc.fill_null(texts, "").cast(pa.large_string()))
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Arrow numbers the pieces between spaces; each distinct one is looked up once."""
+        lists = pc.split_pattern(texts, " ")
+        starts = lists.offsets.to_numpy()
+        pieces = lists.values
+        coded = pieces.dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()       # quicker than to_pylist
+        heads = pieces.take(pa.array(starts[:-1])).to_pylist()
+        codes = coded.indices.to_numpy().copy()
+        codes[starts[:-1]] = len(words) + np.arange(len(heads))
+        slow = np.zeros(len(texts), bool) if self.by_word else np.ones(len(texts), bool)
+        for added in self.added:
+            slow |= pc.match_substring(texts, added).to_numpy(zero_copy_only=False)
+        ids = [None] * (len(words) + len(heads)) if slow.all() else \
+            self._look_up(words) + [self._piece(w, "") for w in heads]
+        ragged = np.array([x is None for x in ids], bool)
+        if ragged.any():
+            slow |= np.logical_or.reduceat(ragged[codes], starts[:-1])
+            ids = [x or b"" for x in ids]
+        ids.append(np.array([END_ID], self.dtype).tobytes())
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+        first = np.cumsum(size) - size
+        flat = np.frombuffer(b"".join(ids), self.dtype)
+        out, counts = [], []
+        for a, b in _runs(np.diff(starts).tolist(), WORD_RUN):
+            run = np.insert(codes[starts[a]:starts[b]], starts[a + 1:b + 1] - starts[a], len(ids) - 1)
+            taken = size[run]
+            spot = np.repeat(first[run] - (np.cumsum(taken) - taken), taken) + np.arange(taken.sum())
+            out.append(flat[spot])
+            counts.append(np.add.reduceat(taken, starts[a:b] - starts[a] + np.arange(b - a)))
+        done, counts = np.concatenate(out), np.concatenate(counts)
+        if slow.any():
+            parts = np.split(done, np.cumsum(counts)[:-1])
+            for i in np.nonzero(slow)[0]:
+                parts[i] = np.append(self._slow(texts[i].as_py()), self.dtype.type(END_ID))
+            done, counts = np.concatenate(parts), np.array([len(p) for p in parts])
+        return done, counts
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -146,41 +285,47 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+def release() -> None:
+    """Forget all words. Called by name, so that a task's closure never carries the encoders."""
+    _ENCODERS.clear()
+
+
 # ---------------------------------------------------------------- Spark side
 
 def _tokenize(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows in order; ``before`` counts the ids of the part in front of each row."""
         part, before, tokens = TaskContext.get().partitionId(), 0, encoder(path)
-        end = np.array([END_ID], tokens.dtype).tobytes()
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            at = 0
-            while at < len(texts):
-                to, room = at, TEXT_RUN
-                while to < len(texts) and (room > 0 or to == at):
-                    room -= len(texts[to])
-                    to += 1
-                ids = [x + end for x in tokens.encode(texts[at:to])]
-                counts = np.array([len(x) // tokens.dtype.itemsize for x in ids], np.int64)
+            texts = batch.column("text")
+            for at, to in _runs(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), TEXT_RUN):
+                ids, counts = tokens.encode(texts.slice(at, to - at))
                 starts = before + np.cumsum(counts) - counts
                 before += int(counts.sum())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(to - at, part, np.int32)), pa.array(starts),
-                     batch.column("doc_id").slice(at, to - at), pa.array(counts), pa.array(ids, pa.binary())],
+                     batch.column("doc_id").slice(at, to - at), pa.array(counts),
+                     _binary(ids, counts * ids.itemsize)],
                     ["part", "before", "doc_id", "n_tokens", "ids"])
-                at = to
     return run
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at, to in _runs(batch.column("n_tokens").to_pylist(), ID_RUN):
+            yield batch.slice(at, to - at)
+
+
 def _count(dtype: np.dtype):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()                          # all texts are tokenized: the worker needs its memory elsewhere
         total = np.zeros(0, np.int64)
         for batch in batches:
-            seen = np.bincount(np.frombuffer(b"".join(x.as_py() for x in batch.column(0)), dtype),
-                               minlength=len(total))
-            seen[:len(total)] += total
-            total = seen
+            ids = _joined(batch.column(0), dtype)
+            for at in range(0, len(ids), ID_RUN):
+                seen = np.bincount(ids[at:at + ID_RUN], minlength=len(total))
+                seen[:len(total)] += total
+                total = seen
         used = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["id", "n"])
     return run
@@ -209,7 +354,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, doc_id: str =
     raw_path = scratch_path(spark, "token-ids")
     (placed.mapInArrow(_tokenize(tokenizer_path),
                        f"part int, before long, doc_id {id_type}, n_tokens long, ids binary")
-     .write.option("compression", "zstd").parquet(raw_path))
+     .write.parquet(raw_path))
     raw = spark.read.parquet(raw_path)
     counts = raw.select("ids").mapInArrow(_count(dtype), "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
     ranked = [r.id for r in counts.orderBy(F.desc("n"), "id").collect()]     # at most the vocabulary
@@ -219,15 +364,17 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, doc_id: str =
     shared = spark.sparkContext.broadcast(rank_of)
 
     def recode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            coded = [encode_ranks(shared.value[np.frombuffer(x.as_py(), dtype)]) for x in batch.column("ids")]
+        release()
+        for batch in _slices(batches):
+            ids = _joined(batch.column("ids"), dtype)
+            control, data = encode_ranks(shared.value[ids], batch.column("n_tokens").to_numpy())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in ("part", "before", "doc_id", "n_tokens")]
-                + [pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary())],
+                + [control, data],
                 ["part", "before", "doc_id", "n_tokens", "control", "data"])
 
     (raw.mapInArrow(recode, f"part int, before long, doc_id {id_type}, n_tokens long, control binary, data binary")
-     .write.option("compression", "zstd").parquet(f"{path}/ids"))
+     .write.parquet(f"{path}/ids"))
     (spark.read.parquet(f"{path}/ids").groupBy("part").agg(F.sum("n_tokens").alias("n_tokens"))
      .write.parquet(f"{path}/parts"))
     drop(spark, raw_path)
@@ -242,14 +389,20 @@ def read_tokens(spark: SparkSession, path: str, digest: bool = False) -> DataFra
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            last = []
-            for control, data, n in zip(*(batch.column(c).to_pylist() for c in ("control", "data", "n_tokens"))):
-                ids = shared.value[decode_ranks(control, data, n)]
-                last.append(zlib.crc32(ids.astype("<u4").tobytes()) if digest else ids)
+        release()
+        for batch in _slices(batches):
+            counts = batch.column("n_tokens").to_numpy()
+            ids = shared.value[decode_ranks(batch.column("control"), batch.column("data"), counts)]
+            ends = np.concatenate(([0], np.cumsum(counts)))
+            if digest:
+                raw = memoryview(ids.astype("<u4")).cast("B")
+                last = pa.array([zlib.crc32(raw[4 * a:4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())],
+                                pa.int64())
+            else:
+                last = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in ("part", "before", "doc_id", "n_tokens")]
-                + [pa.array(last, pa.int64() if digest else pa.list_(pa.int64()))],
+                + [last],
                 ["part", "before", "doc_id", "n_tokens", "last"])
 
     out = "ids_crc32" if digest else "ids"
