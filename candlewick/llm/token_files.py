@@ -175,16 +175,19 @@ class WordEncoder:
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.spaced = _Memory(lambda word: self._word(" " + word), SPACED_WORDS)    # letter words after a space
+        self.spaced = _Memory(self._spaced_word, SPACED_WORDS)                      # letter words after a space
         self.plain = _Memory(self._word, PLAIN_WORDS)                               # letter words and marks
 
     def _word(self, word: str) -> bytes:
         if not word.isascii() or word == "\n":
             word = word.encode().decode("latin-1").translate(_ALPHABET)
-        elif word[0] == " ":
-            word = "Ġ" + word[1:]
         return array(self.code, [t.id for t in self.model.tokenize(word)]).tobytes()
 
+    def _spaced_word(self, word: str) -> bytes:
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_ALPHABET)
+        return array(self.code, [t.id for t in self.model.tokenize("Ġ" + word)]).tobytes()
+
     def _piece(self, piece: str, before: str) -> bytes | None:
         """Ids of a piece with ``before`` (a space, or nothing) in front; None if a space at
         its edge has white space on the other side, where the text must not be cut."""
@@ -194,12 +197,15 @@ class WordEncoder:
                 return None
             return self._whole([before + piece])[0] if piece else b""
         word, marks, next_word, next_marks = match.groups()
-        plain = self.plain
-        ids = (self.spaced if before else plain)[word]
+        words, plain = self.spaced if before else self.plain, self.plain
+        known = plain.young.get                # most words and marks are: no call for them
+        ids = words.young.get(word) or words[word]
         if marks:
-            ids += plain[marks]
+            ids += known(marks) or plain[marks]
         if next_word:
-            ids += plain["\n"] + plain[next_word] + (plain[next_marks] if next_marks else b"")
+            ids += plain["\n"] + (known(next_word) or plain[next_word])
+            if next_marks:
+                ids += known(next_marks) or plain[next_marks]
         return ids
 
     def _look_up(self, pieces: list[str]) -> list[bytes | None]:
@@ -302,11 +308,14 @@ def _tokenize(path: str):
                 ids, counts = tokens.encode(texts.slice(at, to - at))
                 starts = before + np.cumsum(counts) - counts
                 before += int(counts.sum())
+                seen, times = _histogram(ids)
+                once = pa.array([0] + [len(seen)] * (to - at), pa.int32())       # all in the run's first row
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(to - at, part, np.int32)), pa.array(starts),
                      batch.column("doc_id").slice(at, to - at), pa.array(counts),
-                     _binary(ids, counts * ids.itemsize)],
-                    ["part", "before", "doc_id", "n_tokens", "ids"])
+                     _binary(ids, counts * ids.itemsize),
+                     pa.ListArray.from_arrays(once, pa.array(seen)), pa.ListArray.from_arrays(once, pa.array(times))],
+                    ["part", "before", "doc_id", "n_tokens", "ids", "seen", "times"])
     return run
 
 
@@ -316,19 +325,15 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, to - at)
 
 
-def _count(dtype: np.dtype):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()                          # all texts are tokenized: the worker needs its memory elsewhere
-        total = np.zeros(0, np.int64)
-        for batch in batches:
-            ids = _joined(batch.column(0), dtype)
-            for at in range(0, len(ids), ID_RUN):
-                seen = np.bincount(ids[at:at + ID_RUN], minlength=len(total))
-                seen[:len(total)] += total
-                total = seen
-        used = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["id", "n"])
-    return run
+def _histogram(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids and how often each occurs."""
+    total = np.zeros(0, np.int64)
+    for at in range(0, len(ids), ID_RUN):
+        run = np.bincount(ids[at:at + ID_RUN], minlength=len(total))
+        run[:len(total)] += total
+        total = run
+    seen = np.nonzero(total)[0]
+    return seen.astype(np.int32), total[seen]
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, doc_id: str = "doc_id",
@@ -353,10 +358,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, doc_id: str =
     id_type = placed.schema["doc_id"].dataType.simpleString()
     raw_path = scratch_path(spark, "token-ids")
     (placed.mapInArrow(_tokenize(tokenizer_path),
-                       f"part int, before long, doc_id {id_type}, n_tokens long, ids binary")
+                       f"part int, before long, doc_id {id_type}, n_tokens long, ids binary, seen array<int>, times array<long>")
      .write.parquet(raw_path))
     raw = spark.read.parquet(raw_path)
-    counts = raw.select("ids").mapInArrow(_count(dtype), "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = (raw.select(F.explode(F.arrays_zip("seen", "times")).alias("e"))
+              .groupBy(F.col("e.seen").alias("id")).agg(F.sum("e.times").alias("n")))
     ranked = [r.id for r in counts.orderBy(F.desc("n"), "id").collect()]     # at most the vocabulary
     spark.createDataFrame(list(enumerate(ranked)), "rank int, id int").coalesce(1).write.parquet(f"{path}/ranks")
     rank_of = np.zeros(max(ranked, default=0) + 1, np.uint32)
@@ -364,7 +370,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, doc_id: str =
     shared = spark.sparkContext.broadcast(rank_of)
 
     def recode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
+        release()                          # all texts are tokenized: the worker needs its memory elsewhere
         for batch in _slices(batches):
             ids = _joined(batch.column("ids"), dtype)
             control, data = encode_ranks(shared.value[ids], batch.column("n_tokens").to_numpy())
@@ -373,7 +379,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, doc_id: str =
                 + [control, data],
                 ["part", "before", "doc_id", "n_tokens", "control", "data"])
 
-    (raw.mapInArrow(recode, f"part int, before long, doc_id {id_type}, n_tokens long, control binary, data binary")
+    (raw.drop("seen", "times").mapInArrow(recode, f"part int, before long, doc_id {id_type}, n_tokens long, control binary, data binary")
      .write.parquet(f"{path}/ids"))
     (spark.read.parquet(f"{path}/ids").groupBy("part").agg(F.sum("n_tokens").alias("n_tokens"))
      .write.parquet(f"{path}/parts"))
