@@ -57,11 +57,12 @@ def rest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------------------- stream messages
 
-def stream_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(value): per bar a closed kline message and an unclosed update; repeats
-    of the closed message (trade_num >= 2), malformed text (trade_num >= 3),
-    ticker messages (zero volume) and envelopes without data (trade_num = 1)."""
-    k0 = fx.event_bars(spark, sf_dir)
+def stream_messages(spark: SparkSession, sf_dir: str, k0: DataFrame | None = None) -> DataFrame:
+    """(value): per bar (of ``k0``, by default every event bar) a closed kline
+    message and an unclosed update; repeats of the closed message (trade_num >= 2),
+    malformed text (trade_num >= 3), ticker messages (zero volume) and envelopes
+    without data (trade_num = 1)."""
+    k0 = fx.event_bars(spark, sf_dir) if k0 is None else k0
 
     def kline(closed: bool, close: Column) -> Column:
         k = F.struct(_ms("open_time").alias("t"), _close_ms().alias("T"), F.col("symbol").alias("s"),
