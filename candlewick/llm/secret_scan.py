@@ -4,7 +4,9 @@ Base spans come from three fixed patterns. Beside them, two first-order
 Markov models over characters, one of random strings and one of ordinary
 identifiers and words, are compared: a run of token characters whose
 log-likelihood ratio favours the random model is a secret too (kind
-``markov``). Both are trained on labelled samples that the patterns give:
+``markov``), and so is the part of a run, of any length and with dots, that the
+random model explains best, whatever ordinary words it is joined to. What is
+left of a run beside base spans is scanned as well. Both models are trained on labelled samples that the patterns give:
 values of the base spans are random strings, words and numbers of the texts are
 ordinary. Transition counts cover all documents; only their sums (one number
 a character pair and class) reach the driver.
@@ -28,6 +30,7 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_ALNUM = re.compile(r"[A-Za-z0-9]+")
 LEAST_VALUE, LEAST_ACCESS = 6, 20
 #: A run is a secret if its log-likelihood ratio is this much in all and a character.
 MIN_RATIO, MIN_RATIO_PER_CHAR = 12.0, 0.4
@@ -93,16 +96,28 @@ def train(docs: DataFrame, text: str = "text") -> np.ndarray:
 
     Without any random sample the ratio is zero throughout, so nothing is added.
     """
+    return tables(docs, text)[0]
+
+
+def tables(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """``train``'s ratios for whole runs, and those for parts of runs: there a separator
+    ends a word, and ordinary text may end a word and begin another between any two
+    characters, so that a change from letters to digits or of case alone is no evidence."""
     rows = (docs.select(F.col(text).alias("text")).mapInArrow(_count, "label int, pair int, n long")
             .groupBy("label", "pair").agg(F.sum("n").alias("n")).collect())       # at most 2 * 69 * 69
     counts = np.zeros((2, _SIZE * _SIZE))
     for r in rows:
         counts[r.label, r.pair] = r.n
     if not counts[0].any() or not counts[1].any():
-        return np.zeros((_SIZE, _SIZE))
+        return np.zeros((_SIZE, _SIZE)), np.zeros((_SIZE, _SIZE))
     counts = counts.reshape(2, _SIZE, _SIZE) + SMOOTHING
     chance = np.log(counts / counts.sum(2, keepdims=True))
-    return chance[1] - chance[0]
+    end, alnum = _SIZE - 1, np.array([c.isalnum() for c in _ALPHABET] + [False])
+    part = chance[1] - np.maximum(chance[0], chance[0][:, [end]] + chance[0][[end], :])
+    part[:, ~alnum] = (chance[1] - chance[0])[:, [end]]
+    part[~alnum, :] = (chance[1] - chance[0])[[end], :]
+    part[np.ix_(~alnum, ~alnum)] = 0
+    return chance[1] - chance[0], part
 
 
 def ratio(table: np.ndarray, string: str) -> float:
@@ -110,15 +125,72 @@ def ratio(table: np.ndarray, string: str) -> float:
     return float(table[classes[:-1], classes[1:]].sum())
 
 
-def markov_spans(text: str, table: np.ndarray, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Runs of token characters that the random model explains better, outside ``taken``."""
+def _left(start: int, end: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What is left of a stretch after cutting out the taken ones (sorted)."""
     out = []
-    for m in _RUN.finditer(text):
-        if any(s < m.end() and m.start() < e for _, s, e in taken):
+    for s, e in taken:
+        if e <= start or s >= end:
             continue
-        score = ratio(table, m[0])
-        if score >= MIN_RATIO and score >= MIN_RATIO_PER_CHAR * len(m[0]):
-            out.append(("markov", *m.span()))
+        if s > start:
+            out.append((start, s))
+        start = e
+    return out + [(start, end)] if start < end else out
+
+
+def _likely(text: str, part: np.ndarray) -> list[tuple[int, int]]:
+    """The runs whose favourable transitions alone come up to ``MIN_RATIO``."""
+    classes = _CLASS[np.frombuffer(("\n" + text + "\n").encode("latin-1", "replace"), np.uint8)]
+    gain = np.maximum(part[classes[:-1], classes[1:]], 0).cumsum()
+    inside = classes != _SIZE - 1
+    starts = np.flatnonzero(inside[1:] & ~inside[:-1])           # of the text, not of the padded one
+    ends = np.flatnonzero(inside[:-1] & ~inside[1:])
+    before = np.where(starts > 0, gain[starts - 1], 0)
+    hit = gain[ends] - before >= MIN_RATIO
+    return list(zip(starts[hit].tolist(), ends[hit].tolist()))
+
+
+def _parts(text: str, start: int, end: int, part: np.ndarray) -> Iterator[tuple[int, int]]:
+    """The best-scoring part of a stretch, then those of what is left on either side; each
+    grown to the borders of the letters and digits it begins and ends in."""
+    todo = [(start, end)]
+    while todo:
+        a, b = todo.pop()
+        if a >= b:
+            continue
+        classes = _CLASS[np.frombuffer(("\n" + text[a:b] + "\n").encode("latin-1", "replace"), np.uint8)]
+        sums = np.concatenate(([0.0], part[classes[:-1], classes[1:]].cumsum()))
+        gains = sums - np.minimum.accumulate(sums)
+        last = int(gains.argmax())
+        first = int(sums[:last + 1].argmin())
+        if gains[last] < MIN_RATIO:
+            continue
+        s, e = a + max(first - 1, 0), a + min(last, b - a)
+        if gains[last] >= MIN_RATIO_PER_CHAR * (e - s):
+            while s < e and not _ALNUM.match(text[s]):
+                s += 1
+            while s > a and _ALNUM.match(text[s - 1]):
+                s -= 1
+            while e < b and _ALNUM.match(text[e]):
+                e += 1
+            yield s, e
+        todo += [(a, s), (e, b)]
+
+
+def markov_spans(text: str, table: np.ndarray, taken: list[tuple[str, int, int]],
+                 part: np.ndarray | None = None) -> list[tuple[str, int, int]]:
+    """Runs of token characters, and with ``part`` parts of them, that the random model
+    explains better, outside ``taken``."""
+    used, out = sorted((s, e) for _, s, e in taken), []
+    for m in _RUN.finditer(text):
+        for s, e in _left(*m.span(), used):
+            score = ratio(table, text[s:e]) if e - s >= 16 else 0.0
+            if score >= MIN_RATIO and score >= MIN_RATIO_PER_CHAR * (e - s):
+                out.append(("markov", s, e))
+    if part is not None and part.any():
+        used = sorted(used + [(s, e) for _, s, e in out])
+        for run in _likely(text, part):
+            for rest in _left(*run, used):
+                out += [("markov", s, e) for s, e in _parts(text, *rest, part)]
     return out
 
 
@@ -135,7 +207,7 @@ def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     they went in; other columns are not read; an empty table gives an empty
     result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs, text))      # 69 * 69 numbers
+    shared = docs.sparkSession.sparkContext.broadcast(tables(docs, text))     # 2 * 69 * 69 numbers
     thin = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
@@ -144,7 +216,7 @@ def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             rows = []
             for t in batch.column("text").to_pylist():
                 base = base_spans(t or "")
-                spans = base + markov_spans(t or "", shared.value, base)
+                spans = base + markov_spans(t or "", shared.value[0], base, shared.value[1])
                 spans.sort(key=lambda x: (x[1], KINDS.index(x[0])))
                 rows.append([{"kind": k, "start": s, "end": e} for k, s, e in spans])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, span)], ["doc_id", "spans"])

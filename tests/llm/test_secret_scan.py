@@ -71,3 +71,22 @@ def test_without_samples(spark):
     df = spark.createDataFrame([(1, "no secrets in here at all, only ordinaryidentifierwords")], "doc_id long, text string")
     assert [r.spans for r in secrets_digest(df).collect()] == [""]
     assert secrets_digest(df.limit(0)).count() == 0
+
+
+def test_secrets_joined_to_words_and_beside_base_spans(spark):
+    rng = random.Random(5)
+    text, key = corpus(rng)
+    rows = [(k, f"{text()} password = {key()} {text()}") for k in range(200)]
+    hidden = key()
+    path = "/configuration/description/temperature/internationalization/configuration/description/temperature/"
+    access = "AKIA" + "A1B2C3D4E5F6G7H8"
+    rows += [(900, f"{text()} {path}{hidden} {text()}"), (901, f"{text()} {path}of {text()}"),
+             (902, f"of {access}/{hidden} the"), (903, f"of the.{hidden}.of the")]
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in
+           find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for doc in (900, 902, 903):
+        at = dict(rows)[doc].index(hidden)
+        assert any(k == "markov" and s <= at and at + 32 <= e <= at + 33 for k, s, e in got[doc])
+    assert got[901] == [] and ("access", 3, 23) in got[902]
+    at = rows[200][1].index(hidden)
+    assert got[900] == [("markov", at, at + 32)]
