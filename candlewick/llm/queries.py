@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from candlewick.llm import hamming_topk, mixing, sharding
+from candlewick.llm.collocations import ORACLE as COLLOCATIONS, collocations
 from candlewick.llm.common import table
 from candlewick.llm.decontam import contaminated_pairs
 from candlewick.llm.pii import pii_digest
@@ -65,6 +66,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
@@ -76,10 +81,12 @@ LLM_QUERIES = {
     "op8_pii": op8_pii,
     "op9_secrets": op9_secrets,
     "op10_toxicity": op10_toxicity,
+    "op12_collocations": op12_collocations,
 }
 
 LLM_ORACLES: dict[str, str] = {
     "op3_hamming_topk": hamming_topk.ORACLE,
     "op4_sharding": sharding.ORACLE,
     "op7_mixing": mixing.ORACLE,
+    "op12_collocations": COLLOCATIONS,
 }
