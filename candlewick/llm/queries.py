@@ -12,6 +12,7 @@ from candlewick.llm import hamming_topk, mixing, sharding
 from candlewick.llm.collocations import ORACLE as COLLOCATIONS, collocations
 from candlewick.llm.common import table
 from candlewick.llm.decontam import contaminated_pairs
+from candlewick.llm.hard_negatives import ORACLE as HARD_NEGATIVES, hard_negatives
 from candlewick.llm.pii import pii_digest
 from candlewick.llm.quality import score_quality
 from candlewick.llm.secret_scan import secrets_digest
@@ -66,6 +67,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
@@ -81,6 +86,7 @@ LLM_QUERIES = {
     "op8_pii": op8_pii,
     "op9_secrets": op9_secrets,
     "op10_toxicity": op10_toxicity,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_collocations": op12_collocations,
 }
 
@@ -88,5 +94,6 @@ LLM_ORACLES: dict[str, str] = {
     "op3_hamming_topk": hamming_topk.ORACLE,
     "op4_sharding": sharding.ORACLE,
     "op7_mixing": mixing.ORACLE,
+    "op11_hard_negatives": HARD_NEGATIVES,
     "op12_collocations": COLLOCATIONS,
 }
