@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from candlewick.llm import hamming_topk, mixing, sharding
 from candlewick.llm.collocations import ORACLE as COLLOCATIONS, collocations
 from candlewick.llm.common import table
+from candlewick.llm.context_mixing import score_language
 from candlewick.llm.decontam import contaminated_pairs
 from candlewick.llm.hard_negatives import ORACLE as HARD_NEGATIVES, hard_negatives
 from candlewick.llm.pii import pii_digest
@@ -75,6 +76,10 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_language(table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
@@ -88,6 +93,7 @@ LLM_QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_collocations": op12_collocations,
+    "op13_lm_scoring": op13_lm_scoring,
 }
 
 LLM_ORACLES: dict[str, str] = {

@@ -15,7 +15,7 @@ def rows_of(columns, rows):
 
 
 def test_registered():
-    assert {f"op{n}" for n in range(1, 13)} == {k.split("_")[0] for k in LLM_QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in LLM_QUERIES}
     assert set(LLM_QUERIES) | {"pipeline"} <= set(entry.queries()) and set(LLM_ORACLES) <= set(entry.oracle_sql())
 
 
