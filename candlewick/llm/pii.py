@@ -1,18 +1,24 @@
 """Personal data: fixed patterns plus bootstrapped contextual extraction.
 
 Base spans (e-mail, IP address, card, phone) come from fixed patterns; they
-are the seed entities. A seed's neighbourhood induces lexical patterns (the
-two words in front of it; the word in front and the word behind). Patterns
-induced by at least ``MIN_SEEDS`` distinct seeds are candidates; every token
-in a candidate's slot is its instance, grown over the digit groups and the
-spelled-out address (``bob at host dot org``) that it begins.
-
-A pattern is scored by known evidence only: the share of seeds among its seeds
-and its known others. An instance that is no seed is a known other if it stands
-more often outside the candidates' slots than in them; all others are unseen
-identifiers or neutral, however many there are. So the score is final after one
-count and needs no rounds. Patterns that reach ``CONFIDENCE`` discover the
-instances that are not known others (kind ``found``).
+are the seed entities, trusted from the start. A trusted entity's neighbourhood
+induces lexical patterns (the two words in front of it; the word in front and
+the word behind). A pattern that ``MIN_SEEDS`` distinct trusted entities share
+is a candidate, if they fill at least ``MIN_SHARE`` of its slots; every token
+in its slots is an instance, grown over the digit groups and the spelled-out
+address (``bob at host dot org``) that it begins. An instance that stands more
+often outside the candidates' slots than in them is a known other; all others
+are unseen identifiers for the time being.
+
+Patterns and instances score each other, in rounds, until no score moves by
+``TOLERANCE``: an unseen instance is worth its best pattern's confidence, a
+pattern the mean worth of its instances, where trusted entities count 1, known
+others 0, and all unseen ones together weigh no more than what is known (so a
+round halves the error at least, and unseen ones alone move nothing: the limit
+is then the trusted share of what is known). Patterns that reach ``CONFIDENCE``
+are trusted and so are their unseen instances. These induce patterns in turn,
+wherever they stand, until nothing new is found. Found identifiers are marked
+in every slot of a trusted pattern and wherever else they stand whole.
 """
 
 from __future__ import annotations
@@ -21,22 +27,20 @@ import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
-from zlib import crc32
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlewick.llm.common import written
+from candlewick.llm.common import drop, written
+from candlewick.llm.marks import marked, marks_of
 
 KINDS = ("email", "ip", "card", "phone", "found")
 CONFIDENCE = 0.9
-MIN_SEEDS = 3
-#: Rounds of the graph in the brute-force test; ``good_patterns`` needs none.
-ROUNDS = 3
-#: Entries of the filters that go to the tasks in place of patterns and identifiers (16 MB each).
-_FILTER = 1 << 24
+#: Distinct trusted entities that make a pattern a candidate, and their least share of its slots.
+MIN_SEEDS, MIN_SHARE = 3, 0.05
+#: The rounds end when no confidence moves by this much.
+TOLERANCE = 0.001
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -175,7 +179,7 @@ def instances(text: str, base: list[tuple[str, int, int]],
     token, grown to the whole identifier and stripped of marks at its edges; with
     ``marks`` only of the tokens behind a marked word."""
     words = text.lower().split()
-    hits = None if marks is None else {w for w in set(words) if _passes(marks, w)}
+    hits = None if marks is None else {w for w in set(words) if marked(marks, w)}
     if hits is not None and not hits:
         return []
     of = _Words(text, words)
@@ -197,7 +201,7 @@ def instances(text: str, base: list[tuple[str, int, int]],
             continue
         following = words[k + 1:k + 2]
         grows = following and (_DIGIT.search(following[0]) or _SIGN.fullmatch(following[0]) or _AT.fullmatch(following[0]))
-        if hits is not None and not grows and not any(_passes(marks, p) for p in _patterns(words[max(0, k - 2):k], following)):
+        if hits is not None and not grows and not any(marked(marks, p) for p in _patterns(words[max(0, k - 2):k], following)):
             continue                                        # most tokens: in no marked slot
         last = of.grown(k) if grows else k
         while last > k and not free(*of.span(k, last)):
@@ -225,30 +229,21 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           pa.array([i for _, i in pairs], pa.string())], ["pattern", "identifier"])
 
 
-def _filter(values: DataFrame, *columns: Column) -> bytes:
-    """Marks at the hashes of columns: of bounded size for any number of values. It lets
-    some other values pass too, which the exact joins behind it remove."""
-    marks = np.zeros(_FILTER, np.uint8)
-    hashes = F.explode(F.array(*[F.crc32(c.cast("binary")) % _FILTER for c in columns]))
-    for r in values.select(hashes.alias("h")).distinct().toLocalIterator():
-        marks[r.h] = 1
-    return marks.tobytes()
-
-
-def _pattern_filter(patterns: DataFrame) -> bytes:
+def _pattern_marks(patterns: DataFrame) -> bytes:
     """Marks of patterns and of the word in front of their slot."""
     words = F.split("pattern", " ")
-    return _filter(patterns, F.col("pattern"), F.when(words[1] == "_", words[0]).otherwise(words[1]))
+    return marks_of(patterns, F.col("pattern"), F.when(words[1] == "_", words[0]).otherwise(words[1]))
 
 
-def _passes(marks: bytes, value: str) -> int:
-    return marks[crc32(value.encode()) % _FILTER]
+def _identifier_marks(identifiers: DataFrame) -> bytes:
+    """Marks of identifiers and of the token that each begins with."""
+    return marks_of(identifiers, F.col("identifier"), F.split("identifier", r"\s")[0])
 
 
 def _slots(text: str, base: list[tuple[str, int, int]], marks: bytes) -> Iterator[tuple[int, int, str, list[str]]]:
     """The instances that are no seeds in slots of marked patterns."""
     for s, e, _, identifier, patterns in instances(text, base, marks):
-        hit = [p for p in patterns if _passes(marks, p)]
+        hit = [p for p in patterns if marked(marks, p)]
         if hit:
             yield s, e, identifier, hit
 
@@ -267,6 +262,28 @@ def _pairs(marks) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
     return scan
 
 
+def _shares(patterns, identifiers) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(pattern, trusted, slots): how many slots of a marked pattern there are, and hold a trusted entity."""
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            trusted, slots = Counter(), Counter()
+            for t in batch.column("text").to_pylist():
+                base = base_spans(t or "")
+                of = _Words(t) if base else None
+                for _, s, e in base:
+                    hit = [p for p in of.around(s, e) if marked(patterns.value, p)]
+                    trusted.update(hit)
+                    slots.update(hit)
+                for _, _, identifier, hit in _slots(t or "", base, patterns.value):
+                    slots.update(hit)
+                    if marked(identifiers.value, identifier):
+                        trusted.update(hit)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(slots), pa.string()), pa.array([trusted[p] for p in slots], pa.int64()),
+                 pa.array(list(slots.values()), pa.int64())], ["pattern", "trusted", "slots"])
+    return scan
+
+
 def _tokens(marks) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(identifier, total): how often tokens of marked identifiers stand anywhere."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,15 +293,42 @@ def _tokens(marks) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
                 raw.update((t or "").split())
             for token, n in raw.items():
                 token = token.strip(_EDGE)
-                if token and _passes(marks.value, token):
+                if token and marked(marks.value, token):
                     total[token] += n
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())],
                                              ["identifier", "total"])
     return scan
 
 
-def _extract(marks) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The base spans and the slots of marked patterns, a row a text."""
+def _standing(text: str, base: list[tuple[str, int, int]], marks: bytes) -> Iterator[tuple[int, int, str, list[str]]]:
+    """(start, end, identifier, patterns) wherever a marked identifier stands whole, outside base spans."""
+    first = {w for w in set(text.split()) if marked(marks, w.strip(_EDGE)) or marked(marks, w)}
+    if not first:
+        return
+    of = _Words(text)
+    for k, (a, b) in enumerate(of.at):
+        if text[a:b] in first:
+            last = of.grown(k)
+            s, e = of.span(k, last)
+            if s < e and marked(marks, text[s:e]) and not any(x < e and s < y for _, x, y in base):
+                yield s, e, text[s:e], _patterns(of.words[max(0, k - 2):k], of.words[last + 1:last + 2])
+
+
+def _contexts(marks) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(pattern, identifier) wherever marked identifiers stand, each once a batch."""
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = set()
+            for t in batch.column("text").to_pylist():
+                for _, _, identifier, patterns in _standing(t or "", base_spans(t or ""), marks.value):
+                    pairs.update((p, identifier) for p in patterns)
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in pairs], pa.string()),
+                                              pa.array([i for _, i in pairs], pa.string())], ["pattern", "identifier"])
+    return scan
+
+
+def _extract(patterns, identifiers) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The base spans, the slots of marked patterns and the places of marked identifiers, a row a text."""
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     slot = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("identifier", pa.string()),
                                ("patterns", pa.list_(pa.string()))]))
@@ -295,35 +339,88 @@ def _extract(marks) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
             for t in batch.column("text").to_pylist():
                 base = base_spans(t or "")
                 bases.append([{"kind": k, "start": s, "end": e} for k, s, e in base])
-                found.append([dict(zip(("start", "end", "identifier", "patterns"), x))
-                              for x in _slots(t or "", base, marks.value)])
+                spots = []
+                if patterns is not None:
+                    spots = [*_slots(t or "", base, patterns.value), *_standing(t or "", base, identifiers.value)]
+                found.append([dict(zip(("start", "end", "identifier", "patterns"), x)) for x in spots])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bases, span), pa.array(found, slot)],
                                              ["doc_id", "base", "slots"])
     return scan
 
 
-def good_patterns(thin: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pattern) of the patterns to trust and (identifier) of the known others."""
-    send = thin.sparkSession.sparkContext.broadcast
-    candidates, _ = written(thin.mapInArrow(_seeds, "pattern string, identifier string").distinct()
-                            .groupBy("pattern").agg(F.count("*").alias("seeds"))
-                            .where(F.col("seeds") >= MIN_SEEDS), "pii-candidates")
-    marks = send(_pattern_filter(candidates))
-    pairs, _ = written(thin.mapInArrow(_pairs(marks), "pattern string, identifier string, n long")
-                       .groupBy("pattern", "identifier").agg(F.sum("n").alias("n"))
-                       .join(candidates.select("pattern"), "pattern"), "pii-pairs")
-    # an occurrence in two slots counts twice as inside, which is on the side of the neutral
-    inside = pairs.groupBy("identifier").agg(F.sum("n").alias("inside"))
-    marks = send(_filter(pairs, F.col("identifier")))
-    total = (thin.select("text").mapInArrow(_tokens(marks), "identifier string, total long")
-             .groupBy("identifier").agg(F.sum("total").alias("total")))
-    others, _ = written(inside.join(total, "identifier").where(F.col("total") - F.col("inside") > F.col("inside"))
-                        .select("identifier"), "pii-others")
-    against = pairs.join(others, "identifier").groupBy("pattern").agg(F.count("*").alias("others"))
-    trusted, _ = written(candidates.join(against, "pattern", "left")
-                         .where(F.col("seeds") / (F.col("seeds") + F.coalesce("others", F.lit(0))) >= CONFIDENCE)
-                         .select("pattern"), "pii-trusted")
-    return trusted, others
+def confidences(candidates: DataFrame, pairs: DataFrame, others: DataFrame) -> DataFrame:
+    """(pattern, confidence) at the end of the rounds, each written once.
+
+    ``candidates`` (pattern, seeds: its distinct trusted entities), ``pairs`` (pattern, identifier: its
+    other instances), ``others`` (identifier: those that are known others)."""
+    spark = pairs.sparkSession
+    known = pairs.join(others, "identifier").groupBy("pattern").agg(F.count("*").alias("others"))
+    edges, edges_path = written(pairs.select("pattern", "identifier").join(others, "identifier", "left_anti"), "pii-edges")
+    unseen = edges.groupBy("pattern").agg(F.count("*").alias("unseen"))
+    state = (candidates.select("pattern", "seeds").join(known, "pattern", "left").join(unseen, "pattern", "left")
+             .fillna(0, ["others", "unseen"]).withColumn("weight", F.least(
+                 F.lit(1.0), (F.col("seeds") + F.col("others")) / F.greatest(F.col("unseen"), F.lit(1)))))
+    now, path = written(state.withColumn("confidence", F.col("seeds") / (F.col("seeds") + F.col("others"))), "pii-scores")
+    while True:
+        worth = edges.join(now.select("pattern", "confidence"), "pattern").groupBy("identifier").agg(F.max("confidence").alias("worth"))
+        mass = edges.join(worth, "identifier").groupBy("pattern").agg(F.sum("worth").alias("mass"))
+        weighed = F.col("weight") * F.coalesce("mass", F.lit(0.0))
+        new, new_path = written(
+            now.withColumnRenamed("confidence", "before").join(mass, "pattern", "left").withColumn(
+                "confidence", (F.col("seeds") + weighed) / (F.col("seeds") + F.col("others") + F.col("weight") * F.col("unseen")))
+            .drop("mass"), "pii-scores")
+        moved = new.agg(F.max(F.abs(F.col("confidence") - F.col("before")))).first()[0]
+        drop(spark, path)
+        now, path = new.drop("before"), new_path
+        if moved is None or moved < TOLERANCE:
+            drop(spark, edges_path)
+            return now.select("pattern", "confidence")
+
+
+def discover(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """(trusted patterns, known others, found identifiers) of ``texts`` (text); None if nothing is found.
+
+    Every turn scans the texts for what the newest trusted entities induce. A turn ends
+    the search if it finds no identifier that was not trusted before."""
+    spark, send = texts.sparkSession, texts.sparkSession.sparkContext.broadcast
+    pair, result = "pattern string, identifier string", None
+    support, _ = written(texts.mapInArrow(_seeds, pair).distinct(), "pii-support")
+    newest, found = support, spark.createDataFrame([], "identifier string")
+    while True:
+        candidates, _ = written(
+            support.join(newest.select("pattern").distinct(), "pattern").groupBy("pattern")
+            .agg(F.count_distinct("identifier").alias("seeds")).where(F.col("seeds") >= MIN_SEEDS), "pii-candidates")
+        if candidates.isEmpty():
+            return result
+        shares = (texts.mapInArrow(_shares(send(_pattern_marks(candidates)), send(_identifier_marks(found))),
+                                   "pattern string, trusted long, slots long")
+                  .groupBy("pattern").agg(F.sum("trusted").alias("trusted"), F.sum("slots").alias("slots")))
+        open_, _ = written(candidates.join(shares, "pattern").where(F.col("trusted") >= MIN_SHARE * F.col("slots"))
+                           .select("pattern", "seeds"), "pii-open")
+        if open_.isEmpty():
+            return result
+        pairs, _ = written(texts.mapInArrow(_pairs(send(_pattern_marks(open_))), pair + ", n long")
+                           .groupBy("pattern", "identifier").agg(F.sum("n").alias("n"))
+                           .join(open_.select("pattern"), "pattern").join(found, "identifier", "left_anti"), "pii-pairs")
+        # an occurrence in two slots counts twice as inside, which is on the side of the unseen
+        inside = pairs.groupBy("identifier").agg(F.sum("n").alias("inside"))
+        total = (texts.mapInArrow(_tokens(send(marks_of(pairs, F.col("identifier")))), "identifier string, total long")
+                 .groupBy("identifier").agg(F.sum("total").alias("total")))
+        others, _ = written(inside.join(total, "identifier").where(F.col("total") - F.col("inside") > F.col("inside"))
+                            .select("identifier"), "pii-others")
+        trusted, _ = written(confidences(open_, pairs, others).where(F.col("confidence") >= CONFIDENCE - 1e-9)
+                             .select("pattern"), "pii-trusted")
+        new, _ = written(pairs.join(trusted, "pattern", "left_semi").join(others, "identifier", "left_anti")
+                         .select("identifier").distinct(), "pii-found")
+        if result is not None:
+            trusted, others = trusted.union(result[0]).distinct(), others.union(result[1]).distinct()
+        found = found.union(new)
+        result = trusted, others, found
+        if new.isEmpty():
+            return result
+        newest, _ = written(texts.mapInArrow(_contexts(send(_identifier_marks(new))), pair).distinct()
+                            .join(new, "identifier", "left_semi").select("pattern", "identifier"), "pii-support")
+        support = support.union(newest)
 
 
 def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -335,26 +432,32 @@ def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     repeated rows come back as often as they went in; other columns are not
     read; an empty table gives an empty result.
 
-    Texts are scanned four times: for seeds, for what stands in the candidates'
-    slots, for how often that stands elsewhere, and for the spans. Only the last
-    scan gives a row a text, with the slots of trusted patterns only.
+    Texts are scanned for seeds, for the slots of their patterns, up to three
+    times more for each turn that has patterns to trust, and for the spans.
     """
+    spark = docs.sparkSession
     thin = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     id_type = thin.schema["doc_id"].dataType.simpleString()
-    trusted, others = good_patterns(thin)
-    marks = docs.sparkSession.sparkContext.broadcast(_pattern_filter(trusted))
-    rows, _ = written(thin.mapInArrow(_extract(marks), f"doc_id {id_type}, base {_SPANS}, slots {_FOUND}")
+    known = discover(thin.select("text"))
+    marks = (None, None) if known is None else (_pattern_marks(known[0]), _identifier_marks(known[2]))
+    marks = [None if m is None else spark.sparkContext.broadcast(m) for m in marks]
+    rows, _ = written(thin.mapInArrow(_extract(*marks), f"doc_id {id_type}, base {_SPANS}, slots {_FOUND}")
                       .withColumn("row", F.monotonically_increasing_id()), "pii-rows")
-    spots = (rows.select("row", F.explode("slots").alias("i"))
-             .select("row", "i.start", "i.end", "i.identifier", F.explode("i.patterns").alias("pattern")))
-    found = (spots.join(trusted, "pattern", "left_semi").join(others, "identifier", "left_anti")
+    if known is None:
+        return rows.select("doc_id", "base", F.array().cast("array<struct<start:int,end:int>>").alias("found"))
+    trusted, others, found = known
+    spots = rows.select("row", F.inline("slots"))
+    by_pattern = (spots.select("row", "start", "end", "identifier", F.explode("patterns").alias("pattern"))
+                  .join(trusted, "pattern", "left_semi").join(others, "identifier", "left_anti"))
+    by_identifier = spots.join(found, "identifier", "left_semi")
+    spans = (by_pattern.select("row", "start", "end").union(by_identifier.select("row", "start", "end"))
              .groupBy("row", "start").agg(F.max("end").alias("end"))
              # of an identifier found from two of its groups the longer span stays
              .withColumn("before", F.max("end").over(Window.partitionBy("row").orderBy("start")
                                                      .rowsBetween(Window.unboundedPreceding, -1)))
              .where(F.col("before").isNull() | (F.col("end") > F.col("before")))
              .groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("found")))
-    return (rows.join(found, "row", "left")
+    return (rows.join(spans, "row", "left")
             .select("doc_id", "base", F.coalesce("found", F.array().cast("array<struct<start:int,end:int>>"))
                     .alias("found")))
 
