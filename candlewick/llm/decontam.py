@@ -1,6 +1,7 @@
 """Benchmark decontamination by greedy string tiling.
 
-Texts are sequences of lower-cased words. Documents and test items are joined
+Texts are sequences of lower-cased words; in scripts without spaces every
+character is a word. Documents and test items are joined
 on shared five-word seeds; for each pair that shares any, greedy string
 tiling (Wise's running Karp-Rabin form) covers the item with the longest
 matches that do not overlap in the item nor in the document, in whatever
@@ -8,8 +9,12 @@ order they come, down to ``MIN_MATCH`` words. A document is contaminated by an
 item if the tiles cover at least ``MIN_COVERAGE`` of the item's words, so a
 passage whose sentences were put in another order is caught too.
 
-The item side is held in blocks of at most ``BLOCK_WORDS`` words (plus the
-item that crosses the mark); each block is broadcast and the documents are
+An item of ``SHORT_LEAST`` to four words is its own seed: it matches where it
+stands whole. Shorter ones are too common to tell a copy from chance and match
+nothing.
+
+The item side is held in blocks of at most ``BLOCK_BYTES`` bytes of text (plus
+the item that crosses the mark); each block is broadcast and the documents are
 scanned once a block, without a shuffle. A tile contains a seed, so only the
 parts of a document that seeds cover enter the tiling.
 """
@@ -26,17 +31,21 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from candlewick.llm.common import fresh
+from candlewick.llm.common import fresh, give_back
 from candlewick.llm.prefix import running
 
 MIN_MATCH = 5
 MIN_COVERAGE = 0.5
-BLOCK_WORDS = 2_000_000
+SHORT_LEAST = 3
+BLOCK_BYTES = 16 << 20
 #: Length with which the search for tiles starts.
 FIRST_LENGTH = 20
 
-_WORD = re.compile(r"\w+")
+#: Characters of scripts without spaces (Thai to Khmer, kana, Han): each is a word.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORD = re.compile(rf"[{_UNSPACED}]|[^\W{_UNSPACED}]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -114,8 +123,11 @@ class Matcher:
     """Test items of one block, indexed by their seeds."""
 
     def __init__(self, items: list[tuple[object, str | None]]):
-        """Items with fewer than ``MIN_MATCH`` words cannot be told from chance and match nothing."""
         split = [(key, words_of(text)) for key, text in items]
+        self.short: dict[int, dict[tuple[str, ...], list]] = {}       # words -> the items that consist of them
+        for key, words in split:
+            if SHORT_LEAST <= len(words) < MIN_MATCH:
+                self.short.setdefault(len(words), {}).setdefault(tuple(words), []).append(key)
         split = [(key, words) for key, words in split if len(words) >= MIN_MATCH]
         self.keys = [key for key, _ in split]
         self.vocabulary: dict[str, int] = {}
@@ -134,6 +146,20 @@ class Matcher:
         """(item key, item words, covered words, tiles (document word, item word, length))
         of the items that cover enough."""
         words = words_of(text)
+        return self._whole(words) + self._tiled(words)
+
+    def _whole(self, words: list[str]) -> list[tuple[object, int, int, list[tuple[int, int, int]]]]:
+        """The short items that stand whole in the text, at their first place."""
+        out = []
+        for n, items in self.short.items():
+            first = {}
+            for at, run in enumerate(zip(*[words[k:] for k in range(n)])):
+                if run in items:
+                    first.setdefault(run, at)
+            out += [(key, n, n, [(at, 0, n)]) for run, at in first.items() for key in items[run]]
+        return out
+
+    def _tiled(self, words: list[str]) -> list[tuple[object, int, int, list[tuple[int, int, int]]]]:
         ids = np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int64, len(words))
         if len(ids) < MIN_MATCH or not len(self.seeds):
             return []
@@ -168,15 +194,14 @@ def matchers(benchmark: DataFrame, item_id: str = "item_id", text: str = "text")
     """A broadcast matcher for each block of test items."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col(item_id).alias("item_id"), F.col(text).alias("text"),
-                             F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(\w+)"), F.lit(1)))
-                             .cast("long").alias("words"))
-    total = items.agg(F.sum("words")).first()[0] or 0
-    if total <= BLOCK_WORDS:
+                             F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"))
+    total = items.agg(F.sum("bytes")).first()[0] or 0
+    if total <= BLOCK_BYTES:
         blocks = [items]
     else:
-        numbered = running(items, [F.col("item_id"), F.col("text")], {"before": "words"}) \
-            .withColumn("block", F.expr(f"before div {BLOCK_WORDS}"))
-        blocks = [numbered.where(F.col("block") == b) for b in range(-(-total // BLOCK_WORDS))]
+        numbered = running(items, [F.col("item_id"), F.col("text")], {"before": "bytes"}) \
+            .withColumn("block", F.expr(f"before div {BLOCK_BYTES}"))
+        blocks = [numbered.where(F.col("block") == b) for b in range(-(-total // BLOCK_BYTES))]
     for block in blocks:
         rows = block.select("item_id", "text").orderBy("item_id", "text").collect()
         yield spark.sparkContext.broadcast(Matcher([(r.item_id, r.text) for r in rows]))
@@ -188,13 +213,15 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
     document and test item whose coverage is ``MIN_COVERAGE`` or more.
 
     ``tiles`` lists (document word, item word, length), longest first. Null
-    and empty texts match nothing; repeated documents and items give their
-    rows as often as they occur; other columns are not read; if either table
-    is empty, so is the result.
+    and empty texts and items under ``SHORT_LEAST`` words match nothing, texts of
+    any length are tiled whole; of tiles that are equally long the first in the
+    item is taken; repeated documents and items give their rows as often as
+    they occur; ids may be of any type; other columns are not read; if either
+    table is empty, so is the result.
     """
     thin = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     doc_type = thin.schema["doc_id"].dataType.simpleString()
-    item_type = benchmark.schema[item_id].dataType.simpleString()
+    item_type, item_kind = (f(benchmark.schema[item_id].dataType) for f in (lambda t: t.simpleString(), to_arrow_type))
     schema = (f"doc_id {doc_type}, item_id {item_type}, item_words int, covered_words int, coverage double, "
               "tiles array<struct<doc_word:int,item_word:int,length:int>>")
     tile = pa.list_(pa.struct([("doc_word", pa.int32()), ("item_word", pa.int32()), ("length", pa.int32())]))
@@ -208,7 +235,7 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
                     continue
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").take(pa.array([i for i, _ in rows], pa.int64())),
-                     pa.array([m[0] for _, m in rows]), pa.array([m[1] for _, m in rows], pa.int32()),
+                     pa.array([m[0] for _, m in rows], item_kind), pa.array([m[1] for _, m in rows], pa.int32()),
                      pa.array([m[2] for _, m in rows], pa.int32()),
                      pa.array([m[2] / m[1] for _, m in rows], pa.float64()),
                      pa.array([[dict(zip(("doc_word", "item_word", "length"), x)) for x in m[3]]
@@ -225,11 +252,16 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
                       item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``docs`` without the documents that any test item contaminates; columns unchanged."""
+    """``docs`` without the documents that any test item contaminates; columns unchanged.
+
+    Null and empty texts stay, repeated rows stay or go together, other columns
+    are passed on whatever their names; an empty table of either kind drops nothing."""
     def flag(shared):
         @F.pandas_udf("boolean")
         def run(texts: pd.Series) -> pd.Series:
-            return pd.Series([bool(shared.value.matches(t)) for t in texts], dtype=bool)
+            out = pd.Series([bool(shared.value.matches(t)) for t in texts], dtype=bool)
+            give_back()
+            return out
         return run
     for shared in matchers(benchmark, item_id, item_text):
         name = fresh(docs, "contaminated")

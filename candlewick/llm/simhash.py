@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlewick.llm.common import fresh, written
+from candlewick.llm.common import fresh, give_back, written
 from candlewick.llm.components import connected_components
 
 SHINGLE_WORDS = 3
@@ -84,6 +84,7 @@ def fingerprint_column(text: Column, words: int = SHINGLE_WORDS) -> Column:
     @F.pandas_udf("long")
     def run(texts: pd.Series) -> pd.Series:
         values = np.fromiter((fingerprint(t, words) for t in texts), np.uint64, len(texts))
+        give_back()
         return pd.Series(values.view(np.int64))
     return run(text)
 

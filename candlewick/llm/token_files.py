@@ -33,12 +33,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from candlewick.llm.common import drop, written
+from candlewick.llm.common import drop, give_back, written
 from candlewick.session import scratch_path
 
 END_ID = 0
-#: Words whose ids a Python worker remembers, behind a space and otherwise: two generations of this many.
-SPACED_WORDS, PLAIN_WORDS = 250_000, 50_000
+#: Bytes of words and ids that a Python worker remembers, behind a space and otherwise: two
+#: generations of this many; what an entry takes besides its word and ids.
+SPACED_BYTES, PLAIN_BYTES, ENTRY = 24 << 20, 6 << 20, 150
 #: Characters of text whose words are looked up together; words, and ids, handled at a time
 #: (few enough for the arrays to stay in a core's cache).
 TEXT_RUN, WORD_RUN, ID_RUN = 8_000_000, 40_000, 100_000
@@ -130,10 +131,10 @@ _ALPHABET = {b: b for b in _PRINTABLE} | {b: 256 + n for n, b in enumerate(sorte
 
 
 class _Memory:
-    """Word -> ids: what was met lately, in two generations of ``room`` words."""
+    """Word -> ids: what was met lately, in two generations of ``room`` bytes."""
 
     def __init__(self, encode, room: int):
-        self.encode, self.room, self.young, self.old = encode, room, {}, {}
+        self.encode, self.room, self.held, self.young, self.old = encode, room, 0, {}, {}
 
     def __getitem__(self, word: str) -> bytes:
         ids = self.young.get(word)
@@ -141,9 +142,10 @@ class _Memory:
             ids = self.old.get(word)
             if ids is None:
                 ids = self.encode(word)
-            if len(self.young) >= self.room:
-                self.old, self.young = self.young, {}
+            if self.held >= self.room:
+                self.old, self.young, self.held = self.young, {}, 0
             self.young[word] = ids
+            self.held += ENTRY + len(word) + len(ids)
         return ids
 
 
@@ -175,8 +177,8 @@ class WordEncoder:
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.spaced = _Memory(self._spaced_word, SPACED_WORDS)                      # letter words after a space
-        self.plain = _Memory(self._word, PLAIN_WORDS)                               # letter words and marks
+        self.spaced = _Memory(self._spaced_word, SPACED_BYTES)                      # letter words after a space
+        self.plain = _Memory(self._word, PLAIN_BYTES)                               # letter words and marks
 
     def _word(self, word: str) -> bytes:
         if not word.isascii() or word == "\n":
@@ -293,7 +295,10 @@ def encoder(path: str) -> WordEncoder:
 
 def release() -> None:
     """Forget all words. Called by name, so that a task's closure never carries the encoders."""
-    _ENCODERS.clear()
+    if _ENCODERS:
+        _ENCODERS.clear()
+        gc.collect()
+    give_back()
 
 
 # ---------------------------------------------------------------- Spark side
@@ -316,6 +321,8 @@ def _tokenize(path: str):
                      _binary(ids, counts * ids.itemsize),
                      pa.ListArray.from_arrays(once, pa.array(seen)), pa.ListArray.from_arrays(once, pa.array(times))],
                     ["part", "before", "doc_id", "n_tokens", "ids", "seen", "times"])
+                del ids
+                give_back()
     return run
 
 

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candlewick.llm.common import doc_remainder, fresh
+from candlewick.llm.common import doc_remainder, fresh, give_back
 
 #: Labelled clean and toxic texts that training reads at most (lowest id hash first).
 SAMPLE = (3000, 1500)
@@ -219,7 +219,9 @@ def score_column(spark, model: SubwordModel, text: Column) -> Column:
 
     @F.pandas_udf("double")
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.score(texts))
+        out = pd.Series(shared.value.score(texts))
+        give_back()
+        return out
     return run(text)
 
 
@@ -240,7 +242,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows that score ``THRESHOLD`` or more; columns unchanged."""
+    """``docs`` without the rows that score ``THRESHOLD`` or more; columns unchanged.
+
+    Null and empty texts score the bias; repeated rows stay or go together; other
+    columns are passed on whatever their names; an empty table stays empty."""
     score = fresh(docs, "toxicity")
     model = fit(docs, labels, doc_id=doc_id, text=text)
     return (docs.withColumn(score, score_column(docs.sparkSession, model, F.col(text)))

@@ -86,7 +86,7 @@ def test_reordered_and_partial(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string, item_id string")
     bench = spark.createDataFrame([(9, " ".join(item)), (10, "too short"), (11, None)], "item_id long, text string")
     for block in (2_000_000, 1):                                  # one block, or one item a block
-        monkeypatch.setattr(decontam, "BLOCK_WORDS", block)
+        monkeypatch.setattr(decontam, "BLOCK_BYTES", block)
         got = contaminated_pairs(docs, bench).collect()
         assert sorted(r.doc_id or 0 for r in got) == [0, 1, 3] and {r.item_id for r in got} == {9}
         kept = drop_contaminated(docs, bench)
@@ -95,3 +95,24 @@ def test_reordered_and_partial(spark, monkeypatch):
     assert sorted((t.item_word, t.length) for t in tiles) == [(0, 20), (20, 20)]
     assert contaminated_pairs(docs.limit(0), bench).count() == 0
     assert contaminated_pairs(docs, bench.limit(0)).count() == 0 and drop_contaminated(docs, bench.limit(0)).count() == 8
+
+
+def test_short_and_unspaced_items_and_int_ids(spark):
+    han = "".join(chr(0x4e00 + 37 * k % 900) for k in range(24))
+    docs = spark.createDataFrame([(1, "see the Lazy dog again, today"), (2, f"前{han[12:]}中{han[:12]}后"), (3, "lazy dog, once again"),
+                                  (4, "lazy dog again lazy dog again"), (5, "the dog"), (6, han[:8])], "doc_id int, text string")
+    bench = spark.createDataFrame([(7, "lazy dog again"), (8, han), (9, "dog"), (10, "the dog"), (7, "lazy dog again")],
+                                  "item_id int, text string")
+    got = [(r.doc_id, r.item_id, r.item_words, [tuple(t) for t in r.tiles]) for r in contaminated_pairs(docs, bench).collect()]
+    assert sorted(got) == [(1, 7, 3, [(2, 0, 3)])] * 2 + [(2, 8, 24, [(1, 12, 12), (14, 0, 12)])] + [(4, 7, 3, [(0, 0, 3)])] * 2 \
+        or sorted(got) == [(1, 7, 3, [(2, 0, 3)])] * 2 + [(2, 8, 24, [(14, 0, 12), (1, 12, 12)])] + [(4, 7, 3, [(0, 0, 3)])] * 2
+    assert sorted(r.doc_id for r in drop_contaminated(docs, bench).collect()) == [3, 5, 6]
+
+
+def test_very_long_text(spark):
+    rng = random.Random(3)
+    item = " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(30))
+    long = " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(200_000))
+    docs = spark.createDataFrame([(1, f"{long} {item}"), (2, long)], "doc_id long, text string")
+    bench = spark.createDataFrame([("a", item)], "item_id string, text string")
+    assert [(r.doc_id, r.item_id, r.covered_words) for r in contaminated_pairs(docs, bench).collect()] == [(1, "a", 30)]
