@@ -1,7 +1,8 @@
-"""Bit maps of hashed strings: sets of bounded size that go to tasks.
+"""Sets of strings that go to tasks, of bounded size for any number of strings.
 
-A map lets some strings pass that are not in the set, so an exact join follows
-wherever that matters.
+Up to ``EXACT`` strings of together ``EXACT_BYTES`` go as they are, more of them as a
+bit map of their hashes. A map lets some strings pass that are not in the set, so
+an exact join follows wherever that matters.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 #: Bits a map has at most (16 MB), and a string gets at first.
 MOST_BITS, BITS_EACH = 1 << 27, 16
+EXACT, EXACT_BYTES = 100_000, 8 << 20
 
 
 def marks_of(values: DataFrame, *columns: Column) -> bytes:
@@ -29,6 +31,29 @@ def marks_of(values: DataFrame, *columns: Column) -> bytes:
     return out.tobytes()
 
 
-def marked(marks: bytes, value: str) -> int:
-    at = crc32(value.encode()) & (len(marks) * 8 - 1)
-    return marks[at >> 3] >> (at & 7) & 1
+class Members:
+    """A set of strings, or a bit map that holds them."""
+
+    def __init__(self, strings: frozenset[str] | None = None, marks: bytes = b""):
+        self.strings, self.marks = strings, marks
+
+    def __contains__(self, value: str) -> bool:
+        if self.strings is not None:
+            return value in self.strings
+        at = crc32(value.encode()) & (len(self.marks) * 8 - 1)
+        return bool(self.marks[at >> 3] >> (at & 7) & 1)
+
+    def __bool__(self) -> bool:
+        return self.strings is None or bool(self.strings)
+
+    def among(self, values: set[str]) -> set[str]:
+        return values & self.strings if self.strings is not None else {v for v in values if v in self}
+
+
+def members_of(values: DataFrame, *columns: Column) -> Members:
+    """The strings of all ``columns``."""
+    strings = values.select(F.explode(F.array(*columns)).alias("s")).where(F.col("s").isNotNull()).distinct()
+    count, size = strings.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("s")), F.lit(0))).first()
+    if count <= EXACT and size <= EXACT_BYTES:
+        return Members(frozenset(r.s for r in strings.collect()))
+    return Members(marks=marks_of(values, *columns))

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candlewick.llm.common import drop, written
-from candlewick.llm.marks import marked, marks_of
+from candlewick.llm.marks import Members, members_of
 
 KINDS = ("email", "ip", "card", "phone", "found")
 CONFIDENCE = 0.9
@@ -174,12 +174,12 @@ def _patterns(before: list[str], after: list[str]) -> list[str]:
 
 
 def instances(text: str, base: list[tuple[str, int, int]],
-              marks: bytes | None = None) -> list[tuple[int, int, bool, str, list[str]]]:
+              marks: Members | None = None) -> list[tuple[int, int, bool, str, list[str]]]:
     """(start, end, is seed, identifier, patterns) of every base span and every other
     token, grown to the whole identifier and stripped of marks at its edges; with
     ``marks`` only of the tokens behind a marked word."""
     words = text.lower().split()
-    hits = None if marks is None else {w for w in set(words) if marked(marks, w)}
+    hits = None if marks is None else marks.among(set(words))
     if hits is not None and not hits:
         return []
     of = _Words(text, words)
@@ -201,7 +201,7 @@ def instances(text: str, base: list[tuple[str, int, int]],
             continue
         following = words[k + 1:k + 2]
         grows = following and (_DIGIT.search(following[0]) or _SIGN.fullmatch(following[0]) or _AT.fullmatch(following[0]))
-        if hits is not None and not grows and not any(marked(marks, p) for p in _patterns(words[max(0, k - 2):k], following)):
+        if hits is not None and not grows and not any(p in marks for p in _patterns(words[max(0, k - 2):k], following)):
             continue                                        # most tokens: in no marked slot
         last = of.grown(k) if grows else k
         while last > k and not free(*of.span(k, last)):
@@ -229,21 +229,26 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           pa.array([i for _, i in pairs], pa.string())], ["pattern", "identifier"])
 
 
-def _pattern_marks(patterns: DataFrame) -> bytes:
-    """Marks of patterns and of the word in front of their slot."""
+def _pattern_members(patterns: DataFrame) -> Members:
+    """Patterns and the word in front of their slot."""
     words = F.split("pattern", " ")
-    return marks_of(patterns, F.col("pattern"), F.when(words[1] == "_", words[0]).otherwise(words[1]))
+    return members_of(patterns, F.col("pattern"), F.when(words[1] == "_", words[0]).otherwise(words[1]))
 
 
-def _identifier_marks(identifiers: DataFrame) -> bytes:
-    """Marks of identifiers and of the token that each begins with."""
-    return marks_of(identifiers, F.col("identifier"), F.split("identifier", r"\s")[0])
+#: Marks at a token's edge, as white space.
+_BARE = str.maketrans(_EDGE, " " * len(_EDGE))
 
 
-def _slots(text: str, base: list[tuple[str, int, int]], marks: bytes) -> Iterator[tuple[int, int, str, list[str]]]:
+def _identifier_members(identifiers: DataFrame) -> Members:
+    """Identifiers and the first word that each holds besides marks."""
+    bare = F.split(F.trim(F.translate("identifier", _EDGE, " " * len(_EDGE))), r"\s+")[0]
+    return members_of(identifiers, F.col("identifier"), bare)
+
+
+def _slots(text: str, base: list[tuple[str, int, int]], marks: Members) -> Iterator[tuple[int, int, str, list[str]]]:
     """The instances that are no seeds in slots of marked patterns."""
     for s, e, _, identifier, patterns in instances(text, base, marks):
-        hit = [p for p in patterns if marked(marks, p)]
+        hit = [p for p in patterns if p in marks]
         if hit:
             yield s, e, identifier, hit
 
@@ -263,54 +268,62 @@ def _pairs(marks) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
 
 
 def _shares(patterns, identifiers) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(pattern, trusted, slots): how many slots of a marked pattern there are, and hold a trusted entity."""
+    """(pattern, trusted, slots): how many tokens stand in a member pattern's slot, and how often a
+    trusted entity does."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_patterns, known = patterns.value, identifiers.value
         for batch in batches:
             trusted, slots = Counter(), Counter()
             for t in batch.column("text").to_pylist():
-                base = base_spans(t or "")
-                of = _Words(t) if base else None
+                words = (t or "").lower().split()
+                hits = of_patterns.among(set(words))
+                if not hits:
+                    continue
+                for a, b, c in zip([None, *words], words, [*words[2:], None]):
+                    if b in hits:
+                        if a is not None and (p := f"{a} {b} _") in of_patterns:
+                            slots[p] += 1
+                        if c is not None and (p := f"{b} _ {c}") in of_patterns:
+                            slots[p] += 1
+                base = base_spans(t)
+                of = _Words(t, words) if base else None
                 for _, s, e in base:
-                    hit = [p for p in of.around(s, e) if marked(patterns.value, p)]
-                    trusted.update(hit)
-                    slots.update(hit)
-                for _, _, identifier, hit in _slots(t or "", base, patterns.value):
-                    slots.update(hit)
-                    if marked(identifiers.value, identifier):
-                        trusted.update(hit)
+                    trusted.update(p for p in of.around(s, e) if p in of_patterns)
+                for _, _, _, found in _standing(t, base, known):
+                    trusted.update(p for p in found if p in of_patterns)
+            names = list(slots | trusted)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(slots), pa.string()), pa.array([trusted[p] for p in slots], pa.int64()),
-                 pa.array(list(slots.values()), pa.int64())], ["pattern", "trusted", "slots"])
+                [pa.array(names, pa.string()), pa.array([trusted[p] for p in names], pa.int64()),
+                 pa.array([slots[p] for p in names], pa.int64())], ["pattern", "trusted", "slots"])
     return scan
 
 
 def _tokens(marks) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(identifier, total): how often tokens of marked identifiers stand anywhere."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = marks.value
         for batch in batches:
             raw, total = Counter(), Counter()
             for t in batch.column("text").to_pylist():
                 raw.update((t or "").split())
             for token, n in raw.items():
                 token = token.strip(_EDGE)
-                if token and marked(marks.value, token):
+                if token and token in known:
                     total[token] += n
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())],
                                              ["identifier", "total"])
     return scan
 
 
-def _standing(text: str, base: list[tuple[str, int, int]], marks: bytes) -> Iterator[tuple[int, int, str, list[str]]]:
+def _standing(text: str, base: list[tuple[str, int, int]], marks: Members) -> Iterator[tuple[int, int, str, list[str]]]:
     """(start, end, identifier, patterns) wherever a marked identifier stands whole, outside base spans."""
-    first = {w for w in set(text.split()) if marked(marks, w.strip(_EDGE)) or marked(marks, w)}
-    if not first:
+    if not marks or not marks.among(set(text.translate(_BARE).split())):
         return
     of = _Words(text)
     for k, (a, b) in enumerate(of.at):
-        if text[a:b] in first:
-            last = of.grown(k)
-            s, e = of.span(k, last)
-            if s < e and marked(marks, text[s:e]) and not any(x < e and s < y for _, x, y in base):
+        if any(w in marks for w in text[a:b].translate(_BARE).split()[:1]):
+            s, e = of.span(k, last := of.grown(k))
+            if s < e and text[s:e] in marks and not any(x < e and s < y for _, x, y in base):
                 yield s, e, text[s:e], _patterns(of.words[max(0, k - 2):k], of.words[last + 1:last + 2])
 
 
@@ -392,19 +405,19 @@ def discover(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame] | None:
             .agg(F.count_distinct("identifier").alias("seeds")).where(F.col("seeds") >= MIN_SEEDS), "pii-candidates")
         if candidates.isEmpty():
             return result
-        shares = (texts.mapInArrow(_shares(send(_pattern_marks(candidates)), send(_identifier_marks(found))),
+        shares = (texts.mapInArrow(_shares(send(_pattern_members(candidates)), send(_identifier_members(found))),
                                    "pattern string, trusted long, slots long")
                   .groupBy("pattern").agg(F.sum("trusted").alias("trusted"), F.sum("slots").alias("slots")))
         open_, _ = written(candidates.join(shares, "pattern").where(F.col("trusted") >= MIN_SHARE * F.col("slots"))
                            .select("pattern", "seeds"), "pii-open")
         if open_.isEmpty():
             return result
-        pairs, _ = written(texts.mapInArrow(_pairs(send(_pattern_marks(open_))), pair + ", n long")
+        pairs, _ = written(texts.mapInArrow(_pairs(send(_pattern_members(open_))), pair + ", n long")
                            .groupBy("pattern", "identifier").agg(F.sum("n").alias("n"))
                            .join(open_.select("pattern"), "pattern").join(found, "identifier", "left_anti"), "pii-pairs")
         # an occurrence in two slots counts twice as inside, which is on the side of the unseen
         inside = pairs.groupBy("identifier").agg(F.sum("n").alias("inside"))
-        total = (texts.mapInArrow(_tokens(send(marks_of(pairs, F.col("identifier")))), "identifier string, total long")
+        total = (texts.mapInArrow(_tokens(send(members_of(pairs, F.col("identifier")))), "identifier string, total long")
                  .groupBy("identifier").agg(F.sum("total").alias("total")))
         others, _ = written(inside.join(total, "identifier").where(F.col("total") - F.col("inside") > F.col("inside"))
                             .select("identifier"), "pii-others")
@@ -418,7 +431,7 @@ def discover(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame] | None:
         result = trusted, others, found
         if new.isEmpty():
             return result
-        newest, _ = written(texts.mapInArrow(_contexts(send(_identifier_marks(new))), pair).distinct()
+        newest, _ = written(texts.mapInArrow(_contexts(send(_identifier_members(new))), pair).distinct()
                             .join(new, "identifier", "left_semi").select("pattern", "identifier"), "pii-support")
         support = support.union(newest)
 
@@ -439,7 +452,7 @@ def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     thin = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     id_type = thin.schema["doc_id"].dataType.simpleString()
     known = discover(thin.select("text"))
-    marks = (None, None) if known is None else (_pattern_marks(known[0]), _identifier_marks(known[2]))
+    marks = (None, None) if known is None else (_pattern_members(known[0]), _identifier_members(known[2]))
     marks = [None if m is None else spark.sparkContext.broadcast(m) for m in marks]
     rows, _ = written(thin.mapInArrow(_extract(*marks), f"doc_id {id_type}, base {_SPANS}, slots {_FOUND}")
                       .withColumn("row", F.monotonically_increasing_id()), "pii-rows")
