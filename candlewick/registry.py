@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlewick import fixtures as fx
-from candlewick.plans.store import BarStore
+from candlewick.plans.store import BarStore, one_bar_per_key
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -734,6 +734,7 @@ def q_stale(spark, sf_dir):
 # availableNow trigger, so each query ends once the landed data is consumed.
 
 from candlewick.streaming import bars as ST  # noqa: E402
+from candlewick.streaming.batches import collect_batches  # noqa: E402
 
 LANDING_CHUNK_DAYS = 5
 
@@ -784,13 +785,12 @@ def bars_with_messages(spark, sf_dir):
 
 @register("stream_closed_bars", fx.with_sql(fx.K0_SQL, K0_SELECT))
 def q_stream_closed(spark, sf_dir):
-    """T1 over landed messages in several micro-batches. Files arrive in no
-    time order here, so the watermark delay covers the whole fixture month."""
+    """T1 over landed messages, in no time order and some of them repeated, in several
+    micro-batches; however late, none is dropped, and one a key is kept when read."""
     landing = _stream_messages_landed(spark, sf_dir)
     out, ck = scratch_path(spark, "stream-bars"), scratch_path(spark, "stream-bars-ck")
-    s = ST.closed_bar_stream(spark, landing, delay="31 days", max_files_per_trigger=2)
-    ST.run_available_now(s.select(*fx.BAR_COLUMNS), out, ck)
-    return spark.read.parquet(out)
+    ST.run_available_now(ST.closed_bar_stream(spark, landing, max_files_per_trigger=2).select(*fx.BAR_COLUMNS), out, ck)
+    return one_bar_per_key(spark.read.parquet(out))
 
 
 @register("stream_resample_60m_off15", fx.with_sql(fx.K1_SQL, resample_sql("k1", 60, 15) + """
@@ -806,24 +806,69 @@ def q_stream_resample(spark, sf_dir):
     return spark.read.parquet(out)
 
 
-@register("collect_complete_batches", fx.with_sql(fx.K1_SQL, f""",
+COMPLETE_BATCHES = fx.with_sql(fx.K1_SQL, f""",
 n AS (SELECT count(DISTINCT symbol) AS total FROM k1),
 c AS (SELECT open_time + INTERVAL '15 minutes' AS run_time, count(DISTINCT symbol) AS got FROM k1 GROUP BY 1)
 SELECT {BAR_SELECT} FROM k1
-WHERE open_time + INTERVAL '15 minutes' IN (SELECT run_time FROM c, n WHERE got = total)"""))
+WHERE open_time + INTERVAL '15 minutes' IN (SELECT run_time FROM c, n WHERE got = total)""")
+
+
+def _always_listed_symbols(bars):
+    return bars.select("symbol").distinct().withColumns(
+        {"from_time": F.lit(None).cast("timestamp_ntz"), "to_time": F.lit(None).cast("timestamp_ntz")})
+
+
+@register("collect_complete_batches", COMPLETE_BATCHES)
 def q_collect(spark, sf_dir):
-    """T2 + T8: a batch (close time) is released only when every listed symbol
-    delivered its bar; the listed set is re-read each micro-batch."""
+    """T2 + T8: a batch (time slot) is released from Spark's state only when every symbol listed
+    at the slot has delivered its bar."""
     k1 = fx.dense_bars(spark, sf_dir)
-    listed = scratch_path(spark, "listed")
-    k1.select("symbol").distinct().write.parquet(listed)
     landing = land_in_order(k1, scratch_path(spark, "landing-batches"))
-    collector = ST.CompleteBatchCollector(spark, scratch_path(spark, "collector"),
-                                          lambda: spark.read.parquet(listed), fx.BASE_MINUTES)
-    ck = scratch_path(spark, "collector-ck")
+    listing = materialize(_always_listed_symbols(k1), "listed")
+    out, ck = scratch_path(spark, "collected"), scratch_path(spark, "collected-ck")
     stream_in_order(spark, k1.schema, landing, lambda src: (
-        src.writeStream.foreachBatch(collector).option("checkpointLocation", ck).trigger(availableNow=True).start()))
-    return spark.read.parquet(collector.output).select(*fx.BAR_COLUMNS)
+        collect_batches(src, listing, fx.BASE_MINUTES).filter("complete").select(*fx.BAR_COLUMNS).writeStream
+        .format("parquet").option("checkpointLocation", ck).trigger(availableNow=True).start(out)))
+    return spark.read.schema(k1.select(*fx.BAR_COLUMNS).schema).parquet(out)
+
+
+class FailsOnce:
+    """A ``foreachBatch`` handler that dies before its first delivery of every batch id and is
+    given each batch twice afterwards."""
+
+    def __init__(self, handler):
+        self.handler, self.seen = handler, set()
+
+    def __call__(self, batch, batch_id):
+        if batch_id not in self.seen:
+            self.seen.add(batch_id)
+            raise RuntimeError(f"the sink of batch {batch_id} died")
+        self.handler(batch, batch_id)
+        self.handler(batch, batch_id)
+
+
+@register("collect_replayed_batches", fx.with_sql(fx.K1_SQL, f"SELECT {BAR_SELECT} FROM k1"))
+def q_collect_replayed(spark, sf_dir):
+    """The driver dies between a batch's release and its sink, once for every batch id,
+    and every batch is delivered twice after that; all bars are stored once."""
+    from pyspark.errors import StreamingQueryException
+    k1 = fx.dense_bars(spark, sf_dir).select(*fx.BAR_COLUMNS)
+    landing, store = scratch_path(spark, "landing-replay"), fresh_store(spark, "replay")
+    k1.repartition(4, "symbol").write.parquet(landing)              # no slot is whole in one file
+    live = ST.LiveUpdater(spark, store, fx.MARKET)
+    sink, listing = FailsOnce(live), materialize(_always_listed_symbols(k1), "listed")
+    while True:
+        stream = spark.readStream.schema(k1.schema).option("maxFilesPerTrigger", 2).parquet(landing)
+        try:
+            (collect_batches(stream, listing, fx.BASE_MINUTES).writeStream.foreachBatch(sink)
+             .option("checkpointLocation", live.checkpoint).trigger(availableNow=True).start()).awaitTermination()
+        except StreamingQueryException as e:
+            if "died" not in str(e):
+                raise
+            continue
+        break
+    live.flush()
+    return store.scan("recent", fx.MARKET)
 
 
 @register("stream_sink_recent", fx.with_sql(fx.K0_SQL, K0_SELECT))
@@ -1103,29 +1148,29 @@ def q_counts_all(spark, sf_dir):
     return store.describe_tables()
 
 
-@register("live_update_with_backfill", fx.with_sql(fx.K0_SQL, K0_SELECT))
+@register("live_update_with_backfill", fx.with_sql(fx.K0_SQL, f"SELECT {BAR_SELECT}, 0 AS open_ranges FROM k0"))
 def q_live(spark, sf_dir):
     """T1, T2, T6, T8 with T3-T5: messages in no time order, some of which never come, go through
-    the collector and the sink while the expected set changes between micro-batches, and REST
-    pages that land in three calls answer the backfill requests; every closed bar ends up in
-    the recent tier."""
+    the collector and the sink, with listing intervals under which every slot expects other
+    symbols; REST pages that land in three calls answer the backfill requests. Every closed bar
+    ends up in the recent tier, and no requested range stays open."""
     landing, store = _stream_messages_landed(spark, sf_dir, bars_with_messages(spark, sf_dir)), fresh_store(spark, "live")
-    symbols = fx.event_bars(spark, sf_dir).select("symbol").distinct()
-    calls = []
-
-    def expected():
-        calls.append(1)                                 # delisted: symbols drop out one residue at a time
-        return symbols.filter(F.pmod(F.hash("symbol"), F.lit(5)) >= min(len(calls) - 1, 4))
-
-    live = ST.LiveUpdater(spark, store, fx.MARKET, expected)
-    (ST.closed_bar_stream(spark, landing, max_files_per_trigger=2).writeStream.foreachBatch(live)
-     .option("checkpointLocation", scratch_path(spark, "live-ck")).trigger(availableNow=True).start()).awaitTermination()
+    listing = materialize(bar_intervals(fx.event_bars(spark, sf_dir)), "listing")
+    live = ST.LiveUpdater(spark, store, fx.MARKET)
+    live.run(ST.closed_bar_stream(spark, landing, max_files_per_trigger=3), listing)
     live.flush()
     pages = materialize(FF.rest_pages(spark, sf_dir), "pages")
     for call in range(3):
-        ST.serve_backfill(store, fx.MARKET, SB.parse_rest_bars(pages.filter(F.pmod(F.hash("value"), F.lit(3)) == call)),
-                          symbols)
-    return store.scan("recent", fx.MARKET)
+        left = ST.serve_backfill(store, fx.MARKET, SB.parse_rest_bars(
+            pages.filter(F.pmod(F.hash("value"), F.lit(3)) == call)), listing)
+    ranges = left.agg(F.count("*").cast("int").alias("open_ranges"))
+    return store.scan("recent", fx.MARKET).crossJoin(F.broadcast(ranges))          # one row
+
+
+def bar_intervals(bars):
+    """(symbol, from_time, to_time): listed from each bar's open to its close."""
+    step = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(fx.BASE_MINUTES))
+    return bars.select("symbol", F.col("open_time").alias("from_time"), (F.col("open_time") + step).alias("to_time"))
 
 
 @register("rejected_csv_lines", """
