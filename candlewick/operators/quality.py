@@ -169,13 +169,18 @@ def bar_batches(bars: DataFrame, interval_minutes: int) -> DataFrame:
 def suspended_bars(bars: DataFrame, windows: DataFrame) -> DataFrame:
     """Drop bars inside per-symbol suspension windows [start, end].
 
-    ``windows`` (symbol, start, end) is small (a handful per symbol); rows with
-    start after end are ignored. The range test runs as a join on symbol with
-    a between condition.
+    ``windows`` has (symbol, start, end); rows with start after end are ignored. Windows are cut to the
+    time of the bars and exploded into days, and bars meet the windows of their own
+    symbol and day only, so neither a symbol with thousands of windows nor one with a
+    third of all bars is compared with all of the other side.
     """
-    w = windows.filter(F.col("start") <= F.col("end")).select(
-        F.col("symbol").alias("_ws"), F.col("start").alias("_w0"), F.col("end").alias("_w1"))
-    cond = (F.col("symbol") == F.col("_ws")) & F.col("open_time").between(F.col("_w0"), F.col("_w1"))
+    span = bars.agg(F.min("open_time").alias("_low"), F.max("open_time").alias("_high"))          # one row
+    w = (windows.filter(F.col("start") <= F.col("end")).crossJoin(F.broadcast(span))
+         .select(F.col("symbol").alias("_ws"), F.greatest("start", "_low").alias("_w0"), F.least("end", "_high").alias("_w1"))
+         .filter(F.col("_w0") <= F.col("_w1"))
+         .select("_ws", "_w0", "_w1", F.explode(F.sequence(F.to_date("_w0"), F.to_date("_w1"))).alias("_wd")))
+    cond = ((F.col("symbol") == F.col("_ws")) & (F.to_date("open_time") == F.col("_wd"))
+            & F.col("open_time").between(F.col("_w0"), F.col("_w1")))
     return bars.join(w, cond, "left_anti").select(*[c for c in bars.columns])
 
 

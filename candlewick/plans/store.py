@@ -4,6 +4,7 @@ instruments and a small key/value state table, and the query API on top.
 Storage layout under ``root`` (all Parquet, Hive-style partitions)::
 
     archive/market=<m>/interval=<n>m/period=<YYYY-MM>/part-*.parquet
+    activity/market=<m>/interval=<n>m/period=<YYYY-MM>/part-*.parquet   (a row per symbol)
     recent/market=<m>/interval=<n>m/period=<YYYY-MM>/part-*.parquet
     instruments/market=<m>/part-*.parquet
     state/part-*.parquet                       (append-only key/value log)
@@ -39,8 +40,9 @@ log = logging.getLogger(__name__)
 
 TIERS = ("archive", "recent")
 
-# Files a period is written to: one per bucket of the symbol hash.
-FILES_PER_PERIOD = 8
+# Bytes of staged bars that one file of a period is meant to hold, and the buckets of the
+# symbol hash that a period has at most; a larger period is cut along its time as well.
+FILE_BYTES, SYMBOL_BUCKETS = 128 << 20, 8
 # The state log is compacted when it has grown to this many files.
 STATE_FILES = 200
 
@@ -405,28 +407,56 @@ class BarStore:
         the same (open_time, symbol), which replaces them (a corrected reload).
         Only touched periods are read and rewritten.
         """
-        x = (bars.select(*BAR_COLUMNS).withColumn("period", period_label("open_time", self.period_months))
-             .withColumn("market", F.lit(market)).withColumn("interval", F.lit(self.interval_label)))
-        stored, staged = set(self.periods("archive", market)), None
-        if stored:
-            staged = scratch_path(self.spark, "archive-batch")
-            x.write.partitionBy("period").parquet(staged)      # computed once; its folders name the periods
-            touched = sorted(stored & set(partition_values(self.spark, staged, "period")))
-            x = self.spark.read.schema(x.schema).parquet(staged)
-            if touched:
-                before = self.tier("archive", market).filter(F.col("period").isin(*touched))
-                x = x.unionByName(before.join(x.select(*_KEY), list(_KEY), "left_anti"))
+        staged = scratch_path(self.spark, "archive-batch")
+        (bars.select(*BAR_COLUMNS).withColumn("period", period_label("open_time", self.period_months))
+         .withColumn("market", F.lit(market)).withColumn("interval", F.lit(self.interval_label))
+         .write.partitionBy("period").parquet(staged))         # computed once; its folders name the periods
+        folder = self._folder("archive", market)
+        touched = partition_values(self.spark, staged, "period")
+        if not touched:
+            drop_path(self.spark, staged)
+            return
+        held = sorted(set(self.periods("archive", market)) & set(touched))
+        schema = T.StructType(BAR_SCHEMA.fields + [T.StructField(c, T.StringType()) for c in ("market", "interval", "period")])
+        x = self.spark.read.schema(schema).parquet(staged)
+        if held:
+            before = self.tier("archive", market).filter(F.col("period").isin(*held))
+            x = x.unionByName(before.join(x.select(*_KEY), list(_KEY), "left_anti"))
+        size = {p: folder_bytes(self.spark, f"{staged}/period={p}")
+                + (folder_bytes(self.spark, f"{folder}/period={p}") if p in held else 0) for p in touched}
         # the newest bar written is observed during the write itself (no extra pass)
         obs = Observation("archive_write")
-        _write_partitioned(x.observe(obs, F.max("open_time").alias("max_time")), self.path("archive"))
-        if staged:
-            drop_path(self.spark, staged)
+        _write_partitioned(x.observe(obs, F.max("open_time").alias("max_time")), self.path("archive"), size, self.period_months)
+        drop_path(self.spark, staged)
         written = obs.get.get("max_time")
         if written is not None:
+            self.refresh_activity(market, touched)
             before = self.get_state_value(self._archive_key(market))
             top = max(written, to_time(before)) if before else written
             self.put_state(self._archive_key(market), top.isoformat(sep=" "))
 
+    def refresh_activity(self, market: str, periods: list[str]) -> None:
+        """Summarise the symbols of archive periods anew (A7, A8): a row a symbol and period."""
+        bars = self.tier("archive", market).filter(F.col("period").isin(*periods))
+        traded = F.when(F.col("volume") > 0, F.col("open_time"))
+        (bars.groupBy("market", "interval", "period", "symbol")
+         .agg(F.min(traded).alias("first_candle"), F.max(traded).alias("last_candle"), F.sum("volume").alias("total_volume"))
+         .repartition("market", "interval", "period").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("market", "interval", "period").parquet(self.path("activity")))
+
+    def activity(self, market: str) -> DataFrame:
+        """(symbol, first_candle, last_candle, total_volume) of the archive, merged from the summaries
+        of its periods: no bar is read. Periods written before there were summaries get theirs first."""
+        folder = f"{self.path('activity')}/market={market}/interval={self.interval_label}"
+        stored, held = self.periods("archive", market), partition_values(self.spark, folder, "period")
+        lacking = sorted(set(stored) - set(held))
+        if lacking:
+            self.refresh_activity(market, lacking)
+        if not stored:
+            return self.spark.createDataFrame([], ACTIVITY_SCHEMA)
+        rows = self.spark.read.schema(ACTIVITY_SCHEMA + ", period string").parquet(folder)
+        return merge_activity(rows.filter(F.col("period").isin(*stored)))
+
     def append_recent(self, new: DataFrame, market: str) -> None:
         """Insert bars into the recent tier; on (open_time, symbol) conflict the
         stored bar stays (K2).
@@ -453,7 +483,10 @@ class BarStore:
     def compact_recent(self, market: str) -> None:
         """Rewrite the recent tier's periods, many small appended files each, as files
         sorted by (symbol, open_time), which prune on symbol as well."""
-        _write_partitioned(self.tier("recent", market), self.path("recent"))
+        folder, periods = self._folder("recent", market), self.periods("recent", market)
+        if periods:
+            _write_partitioned(self.tier("recent", market), self.path("recent"),
+                               {p: folder_bytes(self.spark, f"{folder}/period={p}") for p in periods}, self.period_months)
 
     def commit_batch(self, bars: DataFrame, market: str, watermark: _dt.datetime) -> None:
         """Bars first, watermark last (K9). Plain Parquet has no multi-table
@@ -523,7 +556,9 @@ class BarStore:
                            .unionByName(self._not_archived(affected, market, limit)), "keep")
         survivors = {r["period"] for r in keep.select("period").distinct().collect()}      # one row a period
         if survivors:
-            _write_partitioned(keep, self.path("recent"))
+            folder = self._folder("recent", market)
+            _write_partitioned(keep, self.path("recent"),
+                               {p: folder_bytes(self.spark, f"{folder}/period={p}") for p in survivors}, self.period_months)
         _delete_partitions(self.spark, self.path("recent"), market, self.interval_label,
                            [p for p in affected_periods if p not in survivors])
 
@@ -548,7 +583,8 @@ class BarStore:
         seed = materialize(seed.select(*BAR_COLUMNS), "seed")
         self.append_recent(seed, market)
         last = seed.agg(F.max("open_time")).first()[0]
-        _delete_partitions(self.spark, self.path("archive"), market, self.interval_label, [newest])
+        for table in ("archive", "activity"):
+            _delete_partitions(self.spark, self.path(table), market, self.interval_label, [newest])
         self.put_state(self._archive_key(market), self._scan_archive_watermark(market).isoformat(sep=" "))
         watermark = (last + _dt.timedelta(minutes=self.base)) if last else SENTINEL_TIME
         self.put_state(f"{market}_recent_time", watermark.isoformat(sep=" "))
@@ -566,22 +602,56 @@ def _period_text(t: _dt.datetime, period_months: int) -> str:
 _KEY = ("period", "open_time", "symbol")
 
 
-def _write_partitioned(df: DataFrame, path: str) -> None:
+ACTIVITY_SCHEMA = "symbol string, first_candle timestamp_ntz, last_candle timestamp_ntz, total_volume double"
+
+
+def merge_activity(*summaries: DataFrame) -> DataFrame:
+    """One row a symbol from summaries (symbol, first_candle, last_candle, total_volume)."""
+    rows = summaries[0]
+    for more in summaries[1:]:
+        rows = rows.unionByName(more)
+    return rows.groupBy("symbol").agg(F.min("first_candle").alias("first_candle"), F.max("last_candle").alias("last_candle"),
+                                      F.sum("total_volume").alias("total_volume"))
+
+
+def layout(size: int) -> tuple[int, int]:
+    """(buckets of the symbol hash, stretches of time) of a period of ``size`` bytes."""
+    files = max(1, -(-size // FILE_BYTES))
+    symbols = min(SYMBOL_BUCKETS, files)
+    return symbols, -(-files // symbols)
+
+
+def _write_partitioned(df: DataFrame, path: str, size: dict[str, int], period_months: int) -> None:
     """Replace the period partitions that ``df`` has rows for, files sorted by (symbol,
     open_time) for row-group skipping on symbol and time.
 
-    A period is dealt to ``FILES_PER_PERIOD`` buckets of the symbol hash, so
-    files = periods x buckets without a range-sampling pass over the input;
-    one key holds one symbol's share of one period. A dynamic overwrite moves
-    new files in place only when the job is done, so ``df`` may read the
-    partitions that it replaces."""
-    bucket = F.pmod(F.hash("symbol"), F.lit(FILES_PER_PERIOD))
-    (df.repartition(F.col("market"), F.col("interval"), F.col("period"), bucket)
+    ``size``: bytes a period; its files follow from them (``layout``), without a
+    sampling pass. A period is dealt to buckets of the symbol hash and, beyond
+    ``SYMBOL_BUCKETS`` files, to stretches of its time, so a symbol that holds a third
+    of a large period is spread over all stretches. A dynamic overwrite moves new
+    files in place only when the job is done, so ``df`` may read the partitions
+    that it replaces."""
+    def of_period(values: dict):
+        return F.coalesce(F.create_map(*[F.lit(v) for kv in values.items() for v in kv])[F.col("period")], F.lit(1))
+
+    shape = {p: layout(n) for p, n in size.items()}
+    start = F.unix_seconds(F.concat(F.col("period"), F.lit("-01")).cast("timestamp"))
+    passed = (F.unix_seconds(F.col("open_time").cast("timestamp")) - start) / F.lit(period_months * 31 * 86400)
+    bucket = F.pmod(F.hash("symbol"), of_period({p: s for p, (s, _) in shape.items()}))
+    stretch = F.floor(passed * of_period({p: t for p, (_, t) in shape.items()}))
+    (df.repartition(F.col("market"), F.col("interval"), F.col("period"), bucket, stretch)
        .sortWithinPartitions("period", "symbol", "open_time")
        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
        .partitionBy("market", "interval", "period").parquet(path))
 
 
+def folder_bytes(spark: SparkSession, folder: str) -> int:
+    """Bytes under a folder, from one metadata call."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return int(fs.getContentSummary(path).getLength()) if fs.exists(path) else 0
+
+
 def partition_values(spark: SparkSession, folder: str, column: str) -> list[str]:
     """Values of a folder's ``column=`` subfolders, from one directory glob."""
     pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{column}=*")

@@ -103,8 +103,8 @@ def _unzip_text(batches):
                             yield pd.DataFrame({"path": [path], "chunk": [rest]})
 
 
-def zip_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, modificationTime, length, content) of every *.zip under ``root``."""
+def zip_files(spark: SparkSession, root: str | list[str]) -> DataFrame:
+    """(path, modificationTime, length, content) of every *.zip under ``root``, or of the files given."""
     return (spark.read.format("binaryFile").option("pathGlobFilter", "*.zip")
             .option("recursiveFileLookup", "true").load(root))
 
@@ -116,17 +116,17 @@ def checksum_files(spark: SparkSession, root: str) -> DataFrame:
                     F.lower(F.split(F.trim("value"), r"\s+").getItem(0)).alias("expected")))
 
 
-def zip_lines(spark: SparkSession, root: str, verified_only: bool = False) -> DataFrame:
-    """(path, line, fields) of every non-empty CSV line of the zips under ``root``,
-    header rows (first field 'open_time') left out.
+def zip_lines(spark: SparkSession, root: str, verified_only: bool = False, files: list[str] | None = None) -> DataFrame:
+    """(path, line, fields) of every non-empty CSV line of the zips under ``root`` (only
+    those in ``files``, if given), header rows (first field 'open_time') left out.
 
     With ``verified_only`` a zip is read only when its content hashes to its
     sidecar's checksum; the hash is taken in the same scan."""
-    files = zip_files(spark, root).select("path", "content")
+    zips = zip_files(spark, files or root).select("path", "content")
     if verified_only:
-        files = (files.join(checksum_files(spark, root), "path")
-                 .filter(F.sha2("content", 256) == F.col("expected")).select("path", "content"))
-    lines = (files.mapInPandas(_unzip_text, "path string, chunk string")
+        zips = (zips.join(checksum_files(spark, root), "path")
+                .filter(F.sha2("content", 256) == F.col("expected")).select("path", "content"))
+    lines = (zips.mapInPandas(_unzip_text, "path string, chunk string")
              .select("path", F.explode(F.split("chunk", "\n")).alias("line"))
              .select("path", F.trim(F.regexp_replace("line", "\r$", "")).alias("line")).filter(F.col("line") != ""))
     return (lines.withColumn("fields", F.split("line", ","))
@@ -140,15 +140,16 @@ def rejected_lines(spark: SparkSession, root: str, verified_only: bool = False)
             .select("path", "line"))
 
 
-def read_zip_csv(spark: SparkSession, root: str, verified_only: bool = False) -> DataFrame:
-    """All CSV bars from zips under ``root`` with source path, before de-duplication.
+def read_zip_csv(spark: SparkSession, root: str, verified_only: bool = False, files: list[str] | None = None) -> DataFrame:
+    """All CSV bars from zips under ``root`` (only those in ``files``, if given) with source
+    path, before de-duplication.
 
     The symbol is the folder holding the zip; daily files rank above monthly
     ones and, within a kind, later file dates rank higher (``source_rank``).
     Lines with another number of fields than a kline record are left to
     ``rejected_lines``.
     """
-    lines = zip_lines(spark, root, verified_only).filter(F.size("fields") == len(KLINE_FIELDS))
+    lines = zip_lines(spark, root, verified_only, files).filter(F.size("fields") == len(KLINE_FIELDS))
     fields = {name: F.col("fields")[i] for i, name in enumerate(KLINE_FIELDS)}
     symbol = F.regexp_extract("path", r"/([^/]+)/[^/]+\.zip$", 1)
     daily = F.col("path").contains("/daily_klines/")
