@@ -175,3 +175,103 @@ def test_export_defaults_to_recent_watermark(spark, tmp_store_root):
     s.commit_batch(bars_df(spark, rows), "usdt_perp", dt.datetime(2024, 2, 20, 1, 0))
     info = s.export_period("usdt_perp", retention_days=7)     # 2024-02-20 01:00 - 7 days -> January closed
     assert info["exported"] and str(info["period_start"].date()) == "2024-01-01"
+
+
+def _plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_files_of_a_period_follow_its_bytes(spark, tmp_store_root, monkeypatch):
+    """A period beyond eight files is cut along its time too, so a hot symbol has several files."""
+    from candlewick.plans import store as st
+    assert st.layout(0) == st.layout(1) == (1, 1) and st.layout(st.FILE_BYTES * 5) == (5, 1)
+    assert st.layout(st.FILE_BYTES * 80) == (8, 10) and st.layout(10 ** 14)[0] == 8
+    rows = series("2024-01-01 00:00", 96 * 30) + [r for k in range(20) for r in series("2024-01-05 00:00", 20, symbol=f"S{k}")]
+    monkeypatch.setattr(st, "FILE_BYTES", 4000)
+    s, merging = BarStore(spark, tmp_store_root, base_minutes=15), "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merging, "false")                     # else Spark puts such small shares into one task
+    try:
+        s.write_archive(bars_df(spark, rows), "usdt_perp")
+        s.write_archive(bars_df(spark, [bar("2024-01-03 00:00", "LATE")]), "usdt_perp")
+    finally:
+        spark.conf.unset(merging)
+    assert s.scan("archive", "usdt_perp").count() == len(rows) + 1
+    folder = s._folder("archive", "usdt_perp")
+    held = spark.read.parquet(folder).filter("symbol = 'AAAUSDT'")
+    from pyspark.sql import functions as F
+    assert held.select(F.input_file_name()).distinct().count() > 1
+
+
+def test_activity_is_merged_from_period_summaries(spark, tmp_store_root):
+    s = BarStore(spark, tmp_store_root, base_minutes=15)
+    dead = [bar(r[0], "DEAD", v=0.0) for r in series("2024-01-05 00:00", 3)]
+    s.write_archive(bars_df(spark, series("2024-01-31 23:30", 4, v=2.0) + dead), "usdt_perp")
+    s.write_archive(bars_df(spark, series("2024-03-01 00:00", 2)), "usdt_perp")
+    got = {r.symbol: tuple(r)[1:] for r in s.activity("usdt_perp").collect()}
+    assert got == {"AAAUSDT": (dt.datetime(2024, 1, 31, 23, 30), dt.datetime(2024, 3, 1, 0, 15), 10.0), "DEAD": (None, None, 0.0)}
+    assert "/archive/" not in "".join(s.activity("usdt_perp").inputFiles())            # no bar is read
+    s.bootstrap_recent("usdt_perp", as_of=dt.datetime(2024, 3, 5), days=30)           # March leaves the archive
+    assert {r.symbol: r.total_volume for r in s.activity("usdt_perp").collect()} == {"AAAUSDT": 8.0, "DEAD": 0.0}
+    assert BarStore(spark, tmp_store_root + "-none", base_minutes=15).activity("usdt_perp").count() == 0
+
+
+def _land(root, kind, symbol, date, rows, good=True):
+    import hashlib
+    import os
+    import zipfile
+    folder = os.path.join(root, kind, symbol)
+    os.makedirs(folder, exist_ok=True)
+    path = os.path.join(folder, f"{symbol}-15m-{date}.zip")
+    with zipfile.ZipFile(path, "w") as zf:
+        zf.writestr("x.csv", "\n".join(
+            f"{int(t.replace(tzinfo=dt.timezone.utc).timestamp() * 1000)},{c},{c},{c},{c},1,0,{c},1,0,0,0" for t, c in rows))
+    digest = hashlib.sha256(open(path, "rb").read()).hexdigest()
+    with open(path + ".CHECKSUM", "w") as f:
+        f.write(f"{digest if good else 'wrong'}  x.zip\n")
+
+
+def test_second_load_opens_only_what_is_new(spark, tmp_store_root, tmp_path):
+    from candlewick.plans.load import files_to_load, landed_files, load_history
+    root, t = str(tmp_path / "landing"), dt.datetime(2024, 1, 1)
+    step = dt.timedelta(minutes=15)
+    _land(root, "monthly_klines", "AUSDT", "2024-01", [(t, 1.0), (t + step, 2.0)])
+    _land(root, "monthly_klines", "AUSDT", "2024-02", [(dt.datetime(2024, 2, 1), 3.0)])
+    _land(root, "daily_klines", "BUSDT", "2024-01-01", [(t, 5.0)], good=False)
+    s = BarStore(spark, tmp_store_root, base_minutes=15)
+
+    def todo():
+        return sorted(p.rsplit("/", 1)[1] for p in files_to_load(s, "usdt_perp", landed_files(spark, root)))
+
+    def closes():
+        return sorted((r.symbol, r.open_time, r.close) for r in s.scan("archive", "usdt_perp").collect())
+
+    assert len(todo()) == 3
+    load_history(spark, root, s, "usdt_perp")
+    assert [c for *_, c in closes()] == [1.0, 2.0, 3.0] and todo() == []
+    assert load_history(spark, root, s, "usdt_perp").count() == 0
+    # a daily file opens its symbol's month again, in which daily bars win; February stays shut
+    _land(root, "daily_klines", "AUSDT", "2024-01-01", [(t, 9.0)])
+    assert todo() == ["AUSDT-15m-2024-01-01.zip", "AUSDT-15m-2024-01.zip"]
+    load_history(spark, root, s, "usdt_perp")
+    assert [c for *_, c in closes()] == [9.0, 2.0, 3.0]
+    # a mended checksum is a change, and so is a monthly file that comes again: the daily bar still wins
+    _land(root, "daily_klines", "BUSDT", "2024-01-01", [(t, 5.0)])
+    _land(root, "monthly_klines", "AUSDT", "2024-01", [(t, 7.0), (t + step, 8.0), (t + 2 * step, 8.5)])
+    assert len(todo()) == 3
+    load_history(spark, root, s, "usdt_perp")
+    assert closes()[0][2] == 9.0 and [c for *_, c in closes()] == [9.0, 8.0, 8.5, 3.0, 5.0]
+
+
+def test_suspensions_meet_bars_of_their_day_only(spark):
+    from pyspark.sql import functions as F
+    from candlewick.operators.quality import suspended_bars
+    rows = series("2024-01-01 00:00", 96 * 3) + series("2024-01-01 00:00", 5, symbol="B")
+    start = dt.datetime(2024, 1, 1)
+    many = [("AAAUSDT", start + dt.timedelta(minutes=k), start + dt.timedelta(minutes=k, seconds=1)) for k in range(0, 4000, 3)]
+    long = [("B", dt.datetime(1990, 1, 1), dt.datetime(2090, 1, 1)), ("AAAUSDT", start, start - dt.timedelta(1)), (None, start, start)]
+    windows = spark.createDataFrame(many + long, "symbol string, start timestamp_ntz, end timestamp_ntz")
+    got = suspended_bars(bars_df(spark, rows), windows)
+    want = sorted(r[0] for r in rows if r[1] != "B" and not any(a <= r[0] <= b for _, a, b in many))
+    assert sorted(r.open_time for r in got.select(F.col("open_time")).collect()) == want
+    assert "_wd" in _plan(got) and suspended_bars(bars_df(spark, rows), windows.limit(0)).count() == len(rows)
+    assert suspended_bars(bars_df(spark, []), windows).count() == 0
