@@ -27,6 +27,7 @@ import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -173,6 +174,17 @@ def _patterns(before: list[str], after: list[str]) -> list[str]:
     return out
 
 
+def _may_hold(words: list[str], hits: set[str], marks: Members) -> bool:
+    """Whether a token, or what may grow from it, stands in a member pattern's slot."""
+    for a, b, c in zip([None, *words], words[:-1], [*words[2:], None]):
+        if b in hits:
+            if a is not None and f"{a} {b} _" in marks:
+                return True
+            if c is not None and (f"{b} _ {c}" in marks or _DIGIT.search(c) or _SIGN.fullmatch(c) or _AT.fullmatch(c)):
+                return True
+    return False
+
+
 def instances(text: str, base: list[tuple[str, int, int]],
               marks: Members | None = None) -> list[tuple[int, int, bool, str, list[str]]]:
     """(start, end, is seed, identifier, patterns) of every base span and every other
@@ -180,7 +192,7 @@ def instances(text: str, base: list[tuple[str, int, int]],
     ``marks`` only of the tokens behind a marked word."""
     words = text.lower().split()
     hits = None if marks is None else marks.among(set(words))
-    if hits is not None and not hits:
+    if hits is not None and not (hits and _may_hold(words, hits, marks)):
         return []
     of = _Words(text, words)
     out = [] if marks is not None else [(s, e, True, text[s:e], of.around(s, e)) for _, s, e in base]
@@ -279,12 +291,14 @@ def _shares(patterns, identifiers) -> Callable[[Iterator[pa.RecordBatch]], Itera
                 hits = of_patterns.among(set(words))
                 if not hits:
                     continue
-                for a, b, c in zip([None, *words], words, [*words[2:], None]):
+                held = []
+                for a, b, c in zip([None, *words], words[:-1], [*words[2:], None]):
                     if b in hits:
                         if a is not None and (p := f"{a} {b} _") in of_patterns:
-                            slots[p] += 1
+                            held.append(p)
                         if c is not None and (p := f"{b} _ {c}") in of_patterns:
-                            slots[p] += 1
+                            held.append(p)
+                slots.update(held)
                 base = base_spans(t)
                 of = _Words(t, words) if base else None
                 for _, s, e in base:
@@ -303,13 +317,12 @@ def _tokens(marks) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = marks.value
         for batch in batches:
-            raw, total = Counter(), Counter()
+            total = Counter()
             for t in batch.column("text").to_pylist():
-                raw.update((t or "").split())
-            for token, n in raw.items():
-                token = token.strip(_EDGE)
-                if token and token in known:
-                    total[token] += n
+                bare = list(map(str.strip, (t or "").split(), repeat(_EDGE)))
+                hits = known.among(set(bare))
+                if hits:
+                    total.update(w for w in bare if w in hits)
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())],
                                              ["identifier", "total"])
     return scan
