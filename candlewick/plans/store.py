@@ -41,8 +41,11 @@ log = logging.getLogger(__name__)
 TIERS = ("archive", "recent")
 
 # Bytes of staged bars that one file of a period is meant to hold, and the buckets of the
-# symbol hash that a period has at most; a larger period is cut along its time as well.
-FILE_BYTES, SYMBOL_BUCKETS = 128 << 20, 8
+# symbol hash that a period has at most; a larger period is cut along its time as well, a
+# small one gets as many buckets as leave SMALL_BYTES each.
+FILE_BYTES, SMALL_BYTES, SYMBOL_BUCKETS = 128 << 20, 4 << 20, 8
+# Row groups that a scan can share out among tasks and skip one by one.
+ROW_GROUP_BYTES = 16 << 20
 # The state log is compacted when it has grown to this many files.
 STATE_FILES = 200
 
@@ -477,7 +480,8 @@ class BarStore:
             # AQE sizes the files of a period; each is sorted by time (latest bars, conflict
             # checks), so its row-group statistics prune on open_time
             (fresh.hint("rebalance", F.col("period")).sortWithinPartitions("open_time", "symbol")
-             .write.mode("append").partitionBy("market", "interval", "period").parquet(self.path("recent")))
+             .write.mode("append").option("parquet.block.size", ROW_GROUP_BYTES)
+             .partitionBy("market", "interval", "period").parquet(self.path("recent")))
         drop_path(self.spark, staged)
 
     def compact_recent(self, market: str) -> None:
@@ -545,18 +549,26 @@ class BarStore:
         partitions holding expired rows are touched: partitions with survivors
         are rewritten (dynamic overwrite), partitions left empty are deleted.
         The day of overlap keeps the tiers overlapping, which the hybrid merge
-        relies on. One writer at a time: nothing may append meanwhile."""
+        relies on. One writer at a time: if files have come to the affected periods
+        since they were read, nothing is replaced and the job starts over; after
+        three such turns it raises."""
         limit = to_time(period_end) - _dt.timedelta(days=1)
         last_label = _period_text(limit, self.period_months)
         affected_periods = [p for p in self.periods("recent", market) if p <= last_label]
         if not affected_periods:
             return
-        affected = self.tier("recent", market).filter(F.col("period").isin(*affected_periods))
-        keep = materialize(affected.filter(F.col("open_time") >= F.lit(limit))
-                           .unionByName(self._not_archived(affected, market, limit)), "keep")
+        folder = self._folder("recent", market)
+        for turn in range(3):
+            seen = period_files(self.spark, folder, affected_periods)
+            affected = self.tier("recent", market).filter(F.col("period").isin(*affected_periods))
+            keep = materialize(affected.filter(F.col("open_time") >= F.lit(limit))
+                               .unionByName(self._not_archived(affected, market, limit)), "keep")
+            if period_files(self.spark, folder, affected_periods) == seen:
+                break
+        else:
+            raise RuntimeError(f"bars kept coming into {folder} while it was to expire")
         survivors = {r["period"] for r in keep.select("period").distinct().collect()}      # one row a period
         if survivors:
-            folder = self._folder("recent", market)
             _write_partitioned(keep, self.path("recent"),
                                {p: folder_bytes(self.spark, f"{folder}/period={p}") for p in survivors}, self.period_months)
         _delete_partitions(self.spark, self.path("recent"), market, self.interval_label,
@@ -616,7 +628,7 @@ def merge_activity(*summaries: DataFrame) -> DataFrame:
 
 def layout(size: int) -> tuple[int, int]:
     """(buckets of the symbol hash, stretches of time) of a period of ``size`` bytes."""
-    files = max(1, -(-size // FILE_BYTES))
+    files = max(1, -(-size // FILE_BYTES), min(SYMBOL_BUCKETS, size // SMALL_BYTES))
     symbols = min(SYMBOL_BUCKETS, files)
     return symbols, -(-files // symbols)
 
@@ -641,10 +653,21 @@ def _write_partitioned(df: DataFrame, path: str, size: dict[str, int], period_mo
     stretch = F.floor(passed * of_period({p: t for p, (_, t) in shape.items()}))
     (df.repartition(F.col("market"), F.col("interval"), F.col("period"), bucket, stretch)
        .sortWithinPartitions("period", "symbol", "open_time")
-       .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+       .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("parquet.block.size", ROW_GROUP_BYTES)
        .partitionBy("market", "interval", "period").parquet(path))
 
 
+def period_files(spark: SparkSession, folder: str, periods: list[str]) -> set[str]:
+    """Names of the files of some period partitions."""
+    out = set()
+    for period in periods:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/period={period}")
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(path):
+            out |= {f"{period}/{st.getPath().getName()}" for st in fs.listStatus(path)}
+    return out
+
+
 def folder_bytes(spark: SparkSession, folder: str) -> int:
     """Bytes under a folder, from one metadata call."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)

@@ -735,6 +735,7 @@ def q_stale(spark, sf_dir):
 
 from candlewick.streaming import bars as ST  # noqa: E402
 from candlewick.streaming.batches import collect_batches  # noqa: E402
+from candlewick.streaming.upserts import BucketUpserts  # noqa: E402
 
 LANDING_CHUNK_DAYS = 5
 
@@ -871,6 +872,19 @@ def q_collect_replayed(spark, sf_dir):
     return store.scan("recent", fx.MARKET)
 
 
+@register("stream_resample_upserts", fx.with_sql(fx.K1_SQL, resample_sql("k1", 60, 15)))
+def q_stream_upserts(spark, sf_dir):
+    """T7 with late bars: files hold every symbol's bars in no time order, and each corrects the
+    buckets that it touches; the result is the batch resample of everything."""
+    k1, store = fx.dense_bars(spark, sf_dir).select(*fx.BAR_COLUMNS), fresh_store(spark, "upserts")
+    landing = scratch_path(spark, "landing-upserts")
+    k1.repartition(4, F.xxhash64("open_time", "symbol")).write.parquet(landing)
+    merge = BucketUpserts(store, fx.MARKET, 60, 15)
+    (spark.readStream.schema(k1.schema).option("maxFilesPerTrigger", 2).parquet(landing).writeStream.foreachBatch(merge)
+     .option("checkpointLocation", scratch_path(spark, "upserts-ck")).trigger(availableNow=True).start()).awaitTermination()
+    return merge.buckets().drop("period")
+
+
 @register("stream_sink_recent", fx.with_sql(fx.K0_SQL, K0_SELECT))
 def q_stream_sink(spark, sf_dir):
     """T6 + K9: closed bars appended to the recent tier per micro-batch, the

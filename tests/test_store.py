@@ -184,7 +184,8 @@ def _plan(df):
 def test_files_of_a_period_follow_its_bytes(spark, tmp_store_root, monkeypatch):
     """A period beyond eight files is cut along its time too, so a hot symbol has several files."""
     from candlewick.plans import store as st
-    assert st.layout(0) == st.layout(1) == (1, 1) and st.layout(st.FILE_BYTES * 5) == (5, 1)
+    assert st.layout(0) == st.layout(1) == (1, 1) and st.layout(st.SMALL_BYTES * 5) == (5, 1) == st.layout(st.SMALL_BYTES * 6 - 1)
+    assert st.layout(st.FILE_BYTES) == st.layout(st.FILE_BYTES * 8) == (8, 1)
     assert st.layout(st.FILE_BYTES * 80) == (8, 10) and st.layout(10 ** 14)[0] == 8
     rows = series("2024-01-01 00:00", 96 * 30) + [r for k in range(20) for r in series("2024-01-05 00:00", 20, symbol=f"S{k}")]
     monkeypatch.setattr(st, "FILE_BYTES", 4000)
@@ -275,3 +276,24 @@ def test_suspensions_meet_bars_of_their_day_only(spark):
     assert sorted(r.open_time for r in got.select(F.col("open_time")).collect()) == want
     assert "_wd" in _plan(got) and suspended_bars(bars_df(spark, rows), windows.limit(0)).count() == len(rows)
     assert suspended_bars(bars_df(spark, []), windows).count() == 0
+
+
+def test_expiry_starts_over_when_bars_come_meanwhile(spark, tmp_store_root, monkeypatch):
+    from candlewick.plans import store as st
+    s = BarStore(spark, tmp_store_root, base_minutes=15)
+    rows = series("2024-01-10 00:00", 8)
+    s.append_recent(bars_df(spark, rows), "usdt_perp")
+    s.write_archive(bars_df(spark, rows), "usdt_perp")
+    real, calls = st.materialize, []
+
+    def meanwhile(df, name="x"):
+        out = real(df, name)
+        if name == "keep" and not calls:
+            calls.append(1)
+            s.append_recent(bars_df(spark, series("2024-01-20 00:00", 3)), "usdt_perp")
+        return out
+
+    monkeypatch.setattr(st, "materialize", meanwhile)
+    s.expire_recent("usdt_perp", dt.datetime(2024, 2, 1))
+    assert s.scan("recent", "usdt_perp").count() == 3 and calls          # not archived: they stay
+    assert s.scan("archive", "usdt_perp").count() == 8
