@@ -8,7 +8,11 @@ log-likelihood ratio favours the random model is a secret too (kind
 random model explains best, whatever ordinary words it is joined to. What is
 left of a run beside base spans is scanned as well. Both models are trained on labelled samples that the patterns give:
 values of the base spans are random strings, words and numbers of the texts are
-ordinary. Transition counts cover all documents; only their sums (one number
+ordinary. As the values may all be of one kind (hex, say), the random model also
+gets the transitions of generated strings over usual alphabets, in proportion.
+Where a string falls back far in between, as two keys joined by a path do, its
+pieces are looked at one by one. A string without a letter (a number, a version,
+an address) or of few characters is no secret. Transition counts cover all documents; only their sums (one number
 a character pair and class) reach the driver.
 """
 
@@ -30,10 +34,16 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-_ALNUM = re.compile(r"[A-Za-z0-9]+")
+_ALNUM, _LETTER = re.compile(r"[A-Za-z0-9]+"), re.compile(r"[A-Za-z]")
 LEAST_VALUE, LEAST_ACCESS = 6, 20
 #: A run is a secret if its log-likelihood ratio is this much in all and a character.
 MIN_RATIO, MIN_RATIO_PER_CHAR = 12.0, 0.4
+#: A string that falls back this far in between is two; no secret is shorter than this.
+MOST_DROP, LEAST_CHARS = 12.0, 8
+#: Alphabets of generated random strings: together they count as much as the labelled ones.
+GENERATED = ("0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+             "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
+             "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
 #: Counts that every transition starts with.
 SMOOTHING = 0.5
 
@@ -77,6 +87,28 @@ def _ordinary_pairs(texts: list[str]) -> np.ndarray:
     return np.bincount((classes[:-1] * _SIZE + classes[1:])[keep], minlength=_SIZE * _SIZE)
 
 
+def _generated(total: float) -> np.ndarray:
+    """Expected transitions of random strings of 32 characters over the usual alphabets, ``total`` in all."""
+    out = np.zeros((_SIZE, _SIZE))
+    for alphabet in GENERATED:
+        at = [_ALPHABET.index(c) for c in alphabet]
+        out[np.ix_(at, at)] += 31 / len(at) ** 2
+        out[-1, at] += 1 / len(at)
+        out[at, -1] += 1 / len(at)
+    return out * (total / out.sum())
+
+
+def _fall(sums: np.ndarray) -> tuple[float, int, int]:
+    """The deepest fall of running sums: how deep, from where and to where."""
+    falls = np.maximum.accumulate(sums) - sums
+    to = int(falls.argmax())
+    return float(falls[to]), int(sums[:to + 1].argmax()), to
+
+
+def _secret(string: str) -> bool:
+    return len(string) >= LEAST_CHARS and _LETTER.search(string) is not None
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros((2, _SIZE * _SIZE), np.int64)
     for batch in batches:
@@ -110,7 +142,9 @@ def tables(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray]
         counts[r.label, r.pair] = r.n
     if not counts[0].any() or not counts[1].any():
         return np.zeros((_SIZE, _SIZE)), np.zeros((_SIZE, _SIZE))
-    counts = counts.reshape(2, _SIZE, _SIZE) + SMOOTHING
+    counts = counts.reshape(2, _SIZE, _SIZE)
+    counts[1] += _generated(counts[1].sum()) if counts[1].any() else 0
+    counts += SMOOTHING
     chance = np.log(counts / counts.sum(2, keepdims=True))
     end, alnum = _SIZE - 1, np.array([c.isalnum() for c in _ALPHABET] + [False])
     part = chance[1] - np.maximum(chance[0], chance[0][:, [end]] + chance[0][[end], :])
@@ -149,6 +183,32 @@ def _likely(text: str, part: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[hit].tolist(), ends[hit].tolist()))
 
 
+def _whole(text: str, s: int, e: int, a: int, b: int, part: np.ndarray) -> Iterator[tuple[int, int]]:
+    """A stretch inside [a, b) grown to the borders of the letters and digits it begins and ends
+    in; an ordinary word of which it only holds the beginning or the end is left off."""
+    while s < e and not _ALNUM.match(text[s]):
+        s += 1
+    first, last = s, e
+    while first > a and _ALNUM.match(text[first - 1]):
+        first -= 1
+    while last < b and _ALNUM.match(text[last]):
+        last += 1
+    runs = [m.span() for m in _ALNUM.finditer(text, first, last)]
+    while len(runs) > 1 and _gain(text, *runs[-1], part) < 0:
+        runs.pop()
+    while len(runs) > 1 and _gain(text, *runs[0], part) < 0:
+        runs.pop(0)
+    if runs:
+        end = last if runs[-1][1] == last or text[runs[-1][1]:last].strip("=") == "" else runs[-1][1]
+        if _secret(text[runs[0][0]:end]):
+            yield runs[0][0], end
+
+
+def _gain(text: str, s: int, e: int, part: np.ndarray) -> float:
+    classes = _CLASS[np.frombuffer(("\n" + text[s:e] + "\n").encode("latin-1", "replace"), np.uint8)]
+    return float(part[classes[:-1], classes[1:]].sum())
+
+
 def _parts(text: str, start: int, end: int, part: np.ndarray) -> Iterator[tuple[int, int]]:
     """The best-scoring part of a stretch, then those of what is left on either side; each
     grown to the borders of the letters and digits it begins and ends in."""
@@ -165,14 +225,14 @@ def _parts(text: str, start: int, end: int, part: np.ndarray) -> Iterator[tuple[
         if gains[last] < MIN_RATIO:
             continue
         s, e = a + max(first - 1, 0), a + min(last, b - a)
+        deep, high, low = _fall(sums[first:last + 1])
+        if deep >= MOST_DROP:                  # two strings with something ordinary in between
+            todo += [(a, a + first + high), (max(a + first + low - 1, a + first + high), b)]
+            continue
         if gains[last] >= MIN_RATIO_PER_CHAR * (e - s):
-            while s < e and not _ALNUM.match(text[s]):
-                s += 1
-            while s > a and _ALNUM.match(text[s - 1]):
-                s -= 1
-            while e < b and _ALNUM.match(text[e]):
-                e += 1
-            yield s, e
+            for x, y in _whole(text, s, e, a, b, part):
+                yield x, y
+                s, e = min(s, x), max(e, y)
         todo += [(a, s), (e, b)]
 
 
@@ -183,7 +243,11 @@ def markov_spans(text: str, table: np.ndarray, taken: list[tuple[str, int, int]]
     used, out = sorted((s, e) for _, s, e in taken), []
     for m in _RUN.finditer(text):
         for s, e in _left(*m.span(), used):
-            score = ratio(table, text[s:e]) if e - s >= 16 else 0.0
+            score = ratio(table, text[s:e]) if e - s >= 16 and _secret(text[s:e]) else 0.0
+            if score >= MIN_RATIO and part is not None and part.any():
+                classes = _CLASS[np.frombuffer(("\n" + text[s:e] + "\n").encode("latin-1", "replace"), np.uint8)]
+                if _fall(part[classes[:-1], classes[1:]].cumsum()[:-1])[0] >= MOST_DROP:
+                    continue                   # left to its parts
             if score >= MIN_RATIO and score >= MIN_RATIO_PER_CHAR * (e - s):
                 out.append(("markov", s, e))
     if part is not None and part.any():

@@ -90,3 +90,24 @@ def test_secrets_joined_to_words_and_beside_base_spans(spark):
     assert got[901] == [] and ("access", 3, 23) in got[902]
     at = rows[200][1].index(hidden)
     assert got[900] == [("markov", at, at + 32)]
+
+
+def test_hex_samples_find_keys_of_other_alphabets_and_no_numbers(spark):
+    """All labelled strings are hex; keys of 16 and more characters are found all the same, apart
+    where a path joins them, and numbers, versions and addresses are left alone."""
+    rng = random.Random(6)
+    text, _ = corpus(rng)
+    key = lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
+    rows = [(k, f"{text()} {''.join(rng.choice('0123456789abcdef') for _ in range(40))} {text()}") for k in range(150)]
+    rows += [(1000 + k, f"{text()} 10.{k}.22.{k} Version 2.{k} 2024-01-{k:02d} the.2.0 of") for k in range(60)]
+    single = {2000 + k: key(16 + k % 30) for k in range(200)}
+    pairs = {3000 + k: (key(32), key(32)) for k in range(100)}
+    rows += [(d, f"the {v} of") for d, v in single.items()]
+    rows += [(d, f"of {a}/configuration/description/temperature/{b} the") for d, (a, b) in pairs.items()]
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "markov"] for r in
+           find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    assert not any(got[1000 + k] for k in range(60))
+    near = lambda spans, t, v: any(abs(s - t.index(v)) <= 1 and abs(e - t.index(v) - len(v)) <= 1 for s, e in spans)
+    assert sum(near(got[d], texts[d], v) for d, v in single.items()) >= 190
+    assert sum(len(got[d]) == 2 and all(near(got[d], texts[d], v) for v in both) for d, both in pairs.items()) >= 95
