@@ -71,3 +71,26 @@ def test_get_symbol_has_no_single_task(spark, tmp_store_root):
 def test_fixture_plan_has_no_python(spark):
     p = plan(fx.dense_bars(spark, "/root/testdata/sf0.001"))
     assert "PythonUDF" not in p and "ArrowEvalPython" not in p
+
+
+def _executed(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_dense_bars_stay_dealt_by_symbol(spark):
+    """Filling the slots and resampling them shuffles sparse bars only; tiers are cut without a join."""
+    from candlewick.operators.resample import resample
+    done = _executed(resample(fx.dense_bars(spark, "/root/testdata/sf0.001"), 60, 15, 15))
+    assert done[:done.index("Generate")].count("Exchange") == 0 and done.count("Exchange") == 2
+    for tier in fx.tiers(spark, "/root/testdata/sf0.001"):
+        assert "Join" not in plan(tier)
+
+
+def test_symbol_sets_and_stored_keys_are_not_broadcast_row_by_row(spark):
+    from candlewick.operators.symbols import onboarded
+    from candlewick.plans.store import rows_to_insert
+    archive, recent = fx.tiers(spark, "/root/testdata/sf0.001")
+    right = plan(onboarded(archive, recent))
+    assert right.split("Generate")[0].count("Join") == 1 and "BroadcastExchange" in right and right.count("HashAggregate(keys=[symbol#") >= 8   # both sides one row a symbol
+    assert "BroadcastExchange" not in plan(rows_to_insert(recent, archive))
