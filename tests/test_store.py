@@ -297,3 +297,21 @@ def test_expiry_starts_over_when_bars_come_meanwhile(spark, tmp_store_root, monk
     s.expire_recent("usdt_perp", dt.datetime(2024, 2, 1))
     assert s.scan("recent", "usdt_perp").count() == 3 and calls          # not archived: they stay
     assert s.scan("archive", "usdt_perp").count() == 8
+
+
+def test_writes_merge_in_one_pass_without_staged_copies(spark, tmp_store_root, monkeypatch):
+    """Bars go straight to the tier that they are for, archive, export and recent alike."""
+    from pyspark.sql.readwriter import DataFrameWriter
+    real, paths = DataFrameWriter.parquet, []
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **k: (paths.append(path), real(self, path, *a, **k))[1])
+    s = BarStore(spark, tmp_store_root, base_minutes=15)
+    rows = series("2024-01-30 23:00", 8)
+    s.append_recent(bars_df(spark, rows + [bar("2024-01-30 23:00", o=0.5)]), "usdt_perp")      # two copies of a key
+    s.append_recent(bars_df(spark, [bar("2024-01-30 23:15", o=9.0), bar("2024-02-01 00:00", "B")]), "usdt_perp")
+    assert s.scan("recent", "usdt_perp").count() == 9
+    assert s.export_period("usdt_perp", as_of=dt.datetime(2024, 2, 20), retention_days=7)["exported"]
+    s.write_archive(bars_df(spark, [bar("2024-01-30 23:15", o=7.0)]), "usdt_perp")
+    assert {r.open_time.minute: r.open for r in s.scan("archive", "usdt_perp").filter("hour(open_time) = 23").collect()}[15] == 7.0
+    assert s.scan("archive", "usdt_perp").count() == 8
+    others = [p for p in paths if not p.startswith(tmp_store_root)]
+    assert all("/keep-" in p or "/lacking-" in p for p in others), others                  # expiry's alone
