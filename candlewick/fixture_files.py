@@ -3,7 +3,7 @@ REST kline pages, stream messages, zipped CSV files with checksum sidecars,
 and bucket-listing XML pages. Expected output is K0 itself (or K0 with the
 documented change), so DuckDB stays the oracle.
 
-The zip writer uses Python file IO inside ``applyInPandas`` and so needs a
+The zip writer uses Python file IO inside ``mapInArrow`` and so needs a
 folder every task can write to (the session's checkpoint root on a shared
 file system).
 """
@@ -12,10 +12,13 @@ from __future__ import annotations
 
 import hashlib
 import io
+import itertools
 import os
 import zipfile
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,30 +92,42 @@ def stream_messages(spark: SparkSession, sf_dir: str, k0: DataFrame | None = Non
 
 # ---------------------------------------------------------------------------- zipped CSV
 
-def _put(path: str, data: bytes) -> None:
-    """Write one object to the store that the path's scheme names (hdfs, s3, file)."""
-    from pyarrow import fs
-    store, name = fs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
-    store.create_dir(os.path.dirname(name), recursive=True)
+def _put(store: fs.FileSystem, name: str, data: bytes) -> None:
     with store.open_output_stream(name) as out:
         out.write(data)
 
 
-def _write_zip_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    path = pdf["path"].iloc[0]
-    lines = pdf.sort_values("open_time")["line"].tolist()
-    if bool(pdf["header"].iloc[0]):
+def _write_zip(path: str, lines: list[str], header: bool, good_sum: bool, made: set[str]) -> str:
+    """Write a zip and its sidecar to the store that the path's scheme names (hdfs, s3, file)."""
+    store, name = fs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
+    if os.path.dirname(name) not in made:
+        store.create_dir(os.path.dirname(name), recursive=True)
+        made.add(os.path.dirname(name))
+    if header:
         lines = [",".join(("open_time", "open", "high", "low", "close", "volume", "close_time", "quote_volume",
                            "count", "taker_buy_volume", "taker_buy_quote_volume", "ignore"))] + lines
     buf = io.BytesIO()
     with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
         zf.writestr(os.path.basename(path)[:-4] + ".csv", "\n".join(lines) + "\n")
     data = buf.getvalue()
-    _put(path, data)
+    _put(store, name, data)
     digest = hashlib.sha256(data).hexdigest()
-    sidecar = digest if bool(pdf["good_sum"].iloc[0]) else hashlib.sha256(b"").hexdigest()
-    _put(path + ".CHECKSUM", f"{sidecar}  {os.path.basename(path)}\n".encode())
-    return pd.DataFrame({"path": [path], "sha256": [digest]})
+    sidecar = digest if good_sum else hashlib.sha256(b"").hexdigest()
+    _put(store, name + ".CHECKSUM", f"{sidecar}  {os.path.basename(path)}\n".encode())
+    return digest
+
+
+def _write_zips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task code: one zip a path from lines in order of path and time; one file's lines are held at a time."""
+    def rows():
+        for batch in batches:
+            yield from zip(*(batch.column(c).to_pylist() for c in ("path", "line", "header", "good_sum")))
+
+    made: set[str] = set()
+    for path, group in itertools.groupby(rows(), key=lambda r: r[0]):
+        _, first, header, good_sum = next(group)
+        digest = _write_zip(path, [first, *(r[1] for r in group)], header, good_sum, made)
+        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([digest])], ["path", "sha256"])
 
 
 def write_zip_archive(spark: SparkSession, sf_dir: str, root: str) -> DataFrame:
@@ -152,7 +167,8 @@ def write_zip_archive(spark: SparkSession, sf_dir: str, root: str) -> DataFrame:
 def write_zips(lines: DataFrame) -> DataFrame:
     """Write (path, open_time, line, header, good_sum) rows as one zip and sidecar a path
     (a symbol's month or day); returns (path, sha256) per file."""
-    return lines.groupBy("path").applyInPandas(_write_zip_group, "path string, sha256 string")
+    return (lines.repartition("path").sortWithinPartitions("path", "open_time")
+            .mapInArrow(_write_zips, "path string, sha256 string"))
 
 
 # ---------------------------------------------------------------------------- listing pages

@@ -315,3 +315,21 @@ def test_writes_merge_in_one_pass_without_staged_copies(spark, tmp_store_root, m
     assert s.scan("archive", "usdt_perp").count() == 8
     others = [p for p in paths if not p.startswith(tmp_store_root)]
     assert all("/keep-" in p or "/lacking-" in p for p in others), others                  # expiry's alone
+
+
+def test_landed_files_are_listed_and_read_by_tasks(spark, tmp_path):
+    """Files of any depth with their sidecars, hidden ones left out; the driver reads no folder, so the plan
+    holds no file scan, and a digest counts by the first word of the sidecar."""
+    from candlewick.sources.bars import listed_files, read_zip_csv, verify_checksums
+    root, t = str(tmp_path / "landing"), dt.datetime(2024, 1, 1)
+    for k in range(40):
+        _land(root, "monthly_klines", f"S{k}USDT", "2024-01", [(t, float(k))], good=k % 2 == 0)
+    _land(root, "daily_klines", "_HIDDEN", "2024-01-01", [(t, 1.0)])
+    files = listed_files(spark, root)
+    assert "FileScan" not in files._jdf.queryExecution().toString()
+    assert {(r.path.endswith(".zip"), r.sidecar) for r in files.collect()} == {(True, True), (False, False)}
+    assert files.count() == 80
+    assert verify_checksums(spark, root).filter("verified").count() == 20
+    assert sorted(r.close for r in read_zip_csv(spark, root, verified_only=True).collect()) == [float(k) for k in range(0, 40, 2)]
+    assert read_zip_csv(spark, f"{root}/monthly_klines").count() == 40           # one level fewer
+    assert read_zip_csv(spark, f"{root}/monthly_klines/S3USDT").count() == 1     # files in the root itself
