@@ -14,8 +14,10 @@ The counts cover all training texts. Each task counts into its own tables and
 sends them as compressed blocks; blocks are added up sixteen at a time, so no group
 grows with the number of tasks. The number of slots of a table follows the training
 bytes up to ``MOST_SLOTS``, the bound of what is broadcast (one byte a slot and
-predictor). The first weights are fitted on a bounded sample of training texts
-(``FIT_TEXTS`` of at most ``FIT_BYTES`` bytes), whose own counts are taken off for that.
+predictor). The first weights are fitted on every decision of all training texts: a second
+scan looks each one up in the finished tables, less itself, and counts it by its gate and the
+levels (``LEVELS``) of what the predictors say. That table of bounded size holds all that
+the fit needs; its Newton steps run on the driver and grow with no text.
 
 The base score is that of an add-one unigram model over all training words. The
 most frequent words are broadcast; all others meet their counts in a join.
@@ -45,26 +47,37 @@ PREDICTORS = len(ORDERS) + 1
 BYTES_A_SLOT, LEAST_SLOTS, MOST_SLOTS = 8, 1 << 16, (1 << 20, 1 << 22, 1 << 22)
 #: Slots a block; blocks that are added up in one group.
 BLOCK, FAN_IN = 1 << 15, 16
-#: Texts, and their greatest size, that the first weights are fitted on.
-FIT_TEXTS, FIT_BYTES = 256, 8192
 #: Count added to both branches; log odds are stored in steps of 1 / STEP.
 PRIOR, STEP = 0.4, 12
 #: A weight moves by RATE times the gradient, by FAR at most for all decisions of a gate and block.
 RATE, FAR = 0.004, 0.1
 #: Symbols of a text before its weights move for the first time (then twice as many, up to MOST_BLOCK).
 FIRST_BLOCK, MOST_BLOCK = 128, 2048
-#: Words that are broadcast, and their greatest size; bytes of words and of decisions handled together.
-HEAD_WORDS, HEAD_BYTES = 1 << 16, 256
-WORD_RUN, TEXT_RUN = 1 << 20, 1 << 17
+#: Words that are broadcast at most, and their greatest size; bytes of words and of decisions handled together.
+HEAD_WORDS, HEAD_BYTES = 1 << 18, 256
+WORD_RUN, TEXT_RUN = 1 << 22, 1 << 16
 END = 256
 #: Gates: kind of the byte before, depth in the tree, and whether the word's table knows nothing, little or more.
 DEPTHS, TRUSTS, LITTLE = 4, 3, 15
 
 _WHITE = byte_table(WHITE)
 _LETTER = byte_table(bytes([*b"abcdefghijklmnopqrstuvwxyz0123456789", *range(128, 256)]))
+_LETTER_BITS = np.where(_LETTER, 0xFFFFFFFF, 0).astype(np.uint32)
 #: Gate of the byte before: nothing, a letter, white space, something else.
 _KIND = np.concatenate(([0], np.where(_LETTER, 1, np.where(_WHITE, 2, 3)))).astype(np.int32)
 GATES = 4 * DEPTHS * TRUSTS
+#: What a predictor says for the branch that was taken, in levels: 0, and from these steps on, for and against it.
+#: LITTLE ends a level, so that a level tells the trust.
+_EDGES = np.array([1, 4, 8, 12, 16, 21, 27, 34, 43, 55, 71, 93])
+LEVELS = 2 * len(_EDGES) + 1
+_FOR = np.searchsorted(_EDGES, np.arange(128), "right")
+_LEVEL = np.concatenate((-_FOR[:0:-1], _FOR)).astype(np.int8) + np.int8(len(_EDGES))     #: of steps -127 to 127
+#: The middle of each level in steps.
+_MIDDLE = np.bincount(_LEVEL, np.arange(-127, 128)) / np.bincount(_LEVEL)
+#: Counts of decisions by kind, depth and all levels, filled up to whole blocks.
+SEEN = -(-4 * DEPTHS * LEVELS ** PREDICTORS // (2 * BLOCK)) * 2 * BLOCK
+#: Newton steps of the fit, the most a weight moves in one, and what holds it at its start (decisions).
+NEWTON, NEWTON_FAR, HOLD, START = 12, 0.5, 16.0, 1 / PREDICTORS + 0.1
 
 
 # ---------------------------------------------------------------- decisions
@@ -91,11 +104,13 @@ def _paths(counts: np.ndarray) -> list[list[tuple[int, int]]]:
 
 @dataclass
 class Code:
-    """The trees: of each byte before (0: none) and symbol the path as a stretch of hashed nodes and bits."""
+    """The trees: of each byte before (0: none) and symbol the path as a stretch of hashed nodes and bits
+    (and both as one number, ``branch``)."""
     length: np.ndarray
     first: np.ndarray
     hashed: np.ndarray
     bit: np.ndarray
+    branch: np.ndarray
     row: np.ndarray                        #: row of the weights that the depth selects
 
     @classmethod
@@ -108,57 +123,90 @@ class Code:
         paths = [path for tree in trees for path in tree]
         length = np.array([len(p) for p in paths])
         first = np.cumsum(length) - length
-        hashed = (np.array([n for p in paths for n, _ in p], np.uint32) + np.uint32(1)) * np.uint32(0x2C1B3C6D)
-        depth = np.minimum(np.arange(len(hashed)) - np.repeat(first, length), DEPTHS - 1)
-        return cls(length, first, hashed ^ (hashed >> np.uint32(12)),
-                   np.array([b for p in paths for _, b in p], np.uint8), depth * TRUSTS)
+        node = np.array([n for p in paths for n, _ in p])
+        depth = np.minimum(np.arange(len(node)) - np.repeat(first, length), DEPTHS - 1)
+        hashed = (node & 63) ^ ((node >> 6) * 0x2C1B3C40 & LEAST_SLOTS - 1)   # 64 nodes of a context are neighbours
+        bit = np.array([b for p in paths for _, b in p], np.uint8)
+        return cls(length, first, hashed, bit, hashed * 2 + bit, depth * TRUSTS)
 
 
 def _contexts(buf: np.ndarray, place: np.ndarray, skip: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Of each byte from ``skip`` on: its hashed contexts, the byte before it plus one (0: none), and
     that one's kind. ``place`` is each byte's position in its own text; nothing reaches across its beginning."""
     size, prime, out = len(buf) - skip, np.uint32(0x9E3779B1), []
-    padded = np.concatenate((np.zeros(WORD_REACH, np.uint32), buf.astype(np.uint32) + 1))
-    letter = np.concatenate((np.zeros(WORD_REACH, bool), _LETTER[buf]))
-    near = np.minimum(place[skip:], 255).astype(np.uint8)
-    h, word, inside = np.zeros(size, np.uint32), np.full(size, 77, np.uint32), np.ones(size, bool)
+    padded = np.concatenate((np.zeros(WORD_REACH, np.uint32), buf.astype(np.uint32) + np.uint32(1)))
+    letter = np.concatenate((np.zeros(WORD_REACH, np.uint32), _LETTER_BITS.take(buf)))
+    begin = np.flatnonzero(place[skip:] == 0)
+    outside = begin[:0]
+    h, word, inside = np.zeros(size, np.uint32), np.full(size, 77, np.uint32), np.full(size, 0xFFFFFFFF, np.uint32)
     for lag in range(1, WORD_REACH + 1):
-        cut, outside = slice(skip + WORD_REACH - lag, len(padded) - lag), np.flatnonzero(near < lag)
-        b = padded[cut].copy()
-        b[outside] = 0
-        if lag == 1:
-            last, kind = b.astype(np.int64), _KIND[b]
+        cut = slice(skip + WORD_REACH - lag, len(padded) - lag)
+        outside = np.concatenate((outside, begin + (lag - 1)))              # all places less than the lag
+        outside = outside[outside < size]
+        b = padded[cut]
         if lag <= max(ORDERS):
-            h = (h + b) * prime
+            b = b.copy()
+            b[outside] = 0
+            h += b
+            h *= prime
             h ^= h >> np.uint32(15)
             if lag in ORDERS:
                 out.append((h + np.uint32(lag)) * np.uint32(0x85EBCA6B))
+        if lag == 1:
+            last, kind = b.astype(np.int64), _KIND.take(b)
         inside &= letter[cut]
-        inside[outside] = False
-        word = np.where(inside, (word + b) * prime, word)
+        inside[outside] = 0
+        longer = word + b
+        longer *= prime
+        longer ^= word
+        longer &= inside                                     # the word stays where its beginning was passed
+        word ^= longer
     out.append((word ^ (word >> np.uint32(15))) * np.uint32(0xC2B2AE35))
-    return [c ^ (c >> np.uint32(13)) for c in out], last, kind
+    for c in out:
+        c ^= c >> np.uint32(13)
+    return out, last, kind
 
 
 @dataclass
 class Decisions:
     """The decisions of a stretch of texts in order of the symbols: which symbol, where in the code, branch."""
+    code: Code
     symbol: np.ndarray
     path: np.ndarray
-    node: np.ndarray
-    bit: np.ndarray
+    ends: np.ndarray                       #: of each symbol, the decisions up to its end
 
     @classmethod
     def of(cls, code: Code, symbols: np.ndarray, last: np.ndarray) -> Decisions:
         index = last * (END + 1) + symbols
         length = code.length.take(index)
+        ends = np.cumsum(length)
         of = np.repeat(np.arange(len(symbols)), length)
-        path = np.arange(len(of)) + (code.first.take(index) - (np.cumsum(length) - length)).take(of)
-        return cls(of, path, code.hashed.take(path), code.bit.take(path))
+        path = (code.first.take(index) - ends + length).take(of)
+        path += np.arange(len(of))
+        return cls(code, of, path, ends)
+
+    def slots(self, contexts: list[np.ndarray], slots: list[int]) -> Iterator[np.ndarray]:
+        """Slots of each predictor, from its context hash of each symbol."""
+        node = self.code.hashed.take(self.path)
+        for context, n in zip(contexts, slots):
+            yield _spread(context & np.uint32(n - 1), self.symbol, node)
+
+    def branches(self, contexts: list[np.ndarray], slots: list[int]) -> Iterator[np.ndarray]:
+        """The same, twice each slot and the branch that was taken."""
+        branch = self.code.branch.take(self.path)
+        for context, n in zip(contexts, slots):
+            yield _spread((context & np.uint32(n - 1)) << np.uint32(1), self.symbol, branch)
+
+
+def _look(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Entries of a table; the mask keeps all slots inside, and numpy clips faster than it checks."""
+    return table.take(at, mode="clip")
 
-    def slots(self, context: np.ndarray, slots: int) -> np.ndarray:
-        """Slots of one predictor, from its context hash of each symbol."""
-        return ((context.take(self.symbol) ^ self.node) & np.uint32(slots - 1)).astype(np.intp)
+
+def _spread(context: np.ndarray, symbol: np.ndarray, node: np.ndarray) -> np.ndarray:
+    out = context.astype(np.intp).take(symbol)
+    out ^= node
+    return out
 
 
 def _stretches(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, int]]:
@@ -186,19 +234,23 @@ _TABLES = "predictor int, block int, part int, counts binary"
 
 
 def _packed(counts: np.ndarray) -> bytes:
-    return pa.compress(np.ascontiguousarray(counts, "<i8").tobytes(), codec="zstd", asbytes=True)
+    """A block of counts, each in as many bytes (told by the first one) as the greatest takes."""
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or counts.max() < 1 << 8 * w)
+    return bytes([width]) + pa.compress(counts.astype(f"<u{width}").tobytes(), codec="zstd", asbytes=True)
 
 
 def _unpacked(raw: bytes) -> np.ndarray:
-    return np.frombuffer(pa.decompress(raw, BLOCK * 2 * 8, codec="zstd", asbytes=True), "<i8")
+    width = raw[0]
+    counts = pa.decompress(memoryview(raw)[1:], BLOCK * 2 * width, codec="zstd", asbytes=True)
+    return np.frombuffer(counts, f"<u{width}").astype(np.int64)
 
 
 def _count_into(tables: list[np.ndarray], code: Code, buf: np.ndarray, symbol: np.ndarray, place: np.ndarray,
                 skip: int) -> None:
     contexts, last, _ = _contexts(buf, place, skip)
     d = Decisions.of(code, symbol[skip:], last)
-    for table, context in zip(tables, contexts):
-        np.add.at(table, d.slots(context, len(table) // 2) * 2 + d.bit, np.int32(1))
+    for table, at in zip(tables, d.branches(contexts, [len(t) // 2 for t in tables])):
+        np.add.at(table, at, np.int32(1))
 
 
 def _count_tables(shared, slots: list[int]):
@@ -208,17 +260,21 @@ def _count_tables(shared, slots: list[int]):
         for batch in batches:
             for _, _, *stretch in _stretches(batch.column("text")):
                 _count_into(tables, code, *stretch)
-        for predictor, table in enumerate(tables):
-            for block, cut in enumerate(table.reshape(-1, BLOCK * 2)):
-                if cut.any():
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([predictor], pa.int32()), pa.array([block], pa.int32()), pa.array([part], pa.int32()),
-                         pa.array([_packed(cut)], pa.binary())], ["predictor", "block", "part", "counts"])
-        del tables, table
+        yield from _blocks(tables, part)
+        del tables
         give_back()
     return run
 
 
+def _blocks(tables: list[np.ndarray], part: int) -> Iterator[pa.RecordBatch]:
+    for predictor, table in enumerate(tables):
+        for block, cut in enumerate(table.reshape(-1, BLOCK * 2)):
+            if cut.any():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([predictor], pa.int32()), pa.array([block], pa.int32()), pa.array([part], pa.int32()),
+                     pa.array([_packed(cut)], pa.binary())], ["predictor", "block", "part", "counts"])
+
+
 def _add_up(fan_in: int):
     def run(table: pa.Table) -> pa.Table:
         first = table.slice(0, 1)
@@ -255,10 +311,12 @@ def _odds(counts: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(np.log((counts[:, 1] + PRIOR) / (counts[:, 0] + PRIOR)) * STEP), -127, 127).astype(np.int8)
 
 
-def _gates(code: Code, d: Decisions, kind: np.ndarray, word: np.ndarray, text: np.ndarray | int = 0) -> np.ndarray:
+def _gates(d: Decisions, kind: np.ndarray, word: np.ndarray, text: np.ndarray) -> np.ndarray:
     """Each decision's row of the weights; ``word``: what the word's table says in steps."""
-    trust = (word != 0).view(np.int8) + (np.abs(word) > LITTLE).view(np.int8)
-    return ((text * 4 + kind) * (DEPTHS * TRUSTS)).take(d.symbol) + code.row.take(d.path) + trust
+    out = ((text * 4 + kind) * (DEPTHS * TRUSTS)).take(d.symbol)
+    out += d.code.row.take(d.path)
+    out += (word != 0).view(np.int8) + (np.abs(word) > LITTLE).view(np.int8)
+    return out
 
 
 def _block_of(done: np.ndarray) -> np.ndarray:
@@ -306,18 +364,18 @@ class Reader:
         text = np.cumsum(place == 0) - 1 if texts > 1 else np.zeros(len(symbol), np.int64)
         block = _block_of(place)
         if texts > 1:
-            order = np.argsort(block, kind="stable")
+            order = np.argsort(block.astype(np.uint16), kind="stable")
             symbol, text, block, last, kind = symbol[order], text[order], block[order], last[order], kind[order]
             contexts = [c[order] for c in contexts]
         d = Decisions.of(model.code, symbol, last)
-        x = [odds.take(d.slots(c, len(odds))) for odds, c in zip(model.odds, contexts)]
-        row = _gates(model.code, d, kind, x[-1], text)
+        x = [_look(odds, at) for odds, at in zip(model.odds, d.slots(contexts, [len(odds) for odds in model.odds]))]
+        row, bit = _gates(d, kind, x[-1], text), model.code.bit.take(d.path)
         x = [inputs * np.float32(1 / STEP) for inputs in x]
-        ends, out = np.cumsum(model.code.length[last * (END + 1) + symbol]), np.zeros(texts)
+        ends, out = d.ends, np.zeros(texts)
         for a, b in _bounds(block):
             spot = slice(ends[a - 1] if a else 0, ends[b - 1])
             xs = [inputs[spot] for inputs in x]
-            cost, error = _mix(xs, self.weights, row[spot], d.bit[spot])
+            cost, error = _mix(xs, self.weights, row[spot], bit[spot])
             held = [a + c for c, _ in _bounds(text[a:b])]                        # one run a text
             begin = np.array([(ends[c - 1] if c else 0) - spot.start for c in held])
             out[text[held]] += np.add.reduceat(cost, begin, dtype=np.float64)
@@ -331,16 +389,52 @@ def _bounds(values: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges, edges[1:]))
 
 
-def _fit(x: list[np.ndarray], gate: np.ndarray, bit: np.ndarray) -> np.ndarray:
-    """First weights (predictors x gates): gradient steps over all decisions in a fixed shuffled order."""
-    weights = np.full((len(x), GATES), 1.0 / len(x) + 0.1)
-    order = np.random.default_rng(5).permutation(len(bit))
-    for size in (512, 2048, 8192):
-        for at in range(0, len(order), size):
-            some = order[at:at + size]
-            xs = [inputs[some] for inputs in x]
-            _, error = _mix(xs, weights, gate[some], bit[some])
-            _step(weights, gate[some], xs, error)
+# ---------------------------------------------------------------- first weights
+
+def _levels(counts: np.ndarray) -> np.ndarray:
+    """What the counts (slots x 2), less the decision itself, say for each branch when it is taken, as a level."""
+    own, other = np.maximum(counts - 1, 0) + PRIOR, counts[:, ::-1] + PRIOR
+    return _LEVEL[np.clip(np.rint(np.log(own / other) * STEP), -127, 127).astype(np.int64) + 127].astype(np.uint8).ravel()
+
+
+def _see(seen: np.ndarray, code: Code, levels: list[np.ndarray], buf: np.ndarray, symbol: np.ndarray,
+         place: np.ndarray, skip: int) -> None:
+    """Count all decisions of a stretch by kind, depth and the predictors' levels."""
+    contexts, last, kind = _contexts(buf, place, skip)
+    d = Decisions.of(code, symbol[skip:], last)
+    spot = (kind * DEPTHS).take(d.symbol) + (code.row // TRUSTS).astype(np.int32).take(d.path)
+    for table, at in zip(levels, d.branches(contexts, [len(t) // 2 for t in levels])):
+        spot *= np.int32(LEVELS)
+        spot += _look(table, at)
+    np.add.at(seen, spot, np.int64(1))
+
+
+def _seen_tables(shared):
+    """Task code: the task's decisions by kind, depth and levels, in blocks as those of the counts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (code, levels), seen, part = shared.value, np.zeros(SEEN, np.int64), TaskContext.get().partitionId()
+        for batch in batches:
+            for _, _, *stretch in _stretches(batch.column("text")):
+                _see(seen, code, levels, *stretch)
+        yield from _blocks([seen], part)
+        give_back()
+    return run
+
+
+def _fit(seen: np.ndarray) -> np.ndarray:
+    """First weights (predictors x gates): least cost of all decisions seen, by Newton steps."""
+    spots = np.flatnonzero(seen)
+    gate, *level = np.unravel_index(spots, (SEEN // LEVELS ** PREDICTORS, *[LEVELS] * PREDICTORS))
+    away = np.abs(level[-1] - len(_EDGES))
+    row = gate * TRUSTS + (away > 0) + (away > np.searchsorted(_EDGES, LITTLE, "right"))
+    x, times = [_MIDDLE[v] / STEP for v in level], seen[spots].astype(float)
+    weights = np.full((PREDICTORS, GATES), START)
+    for _ in range(NEWTON):
+        error = 1 / (1 + np.exp(np.clip(sum(v * w[row] for v, w in zip(x, weights)), -60, 60)))
+        slope = np.array([np.bincount(row, times * error * v, GATES) for v in x]) - HOLD * (weights - START)
+        bend = np.array([[np.bincount(row, times * error * (1 - error) * v * u, GATES) for u in x] for v in x])
+        step = np.linalg.solve(bend.transpose(2, 0, 1) + HOLD * np.eye(PREDICTORS), slope.T[..., None])[..., 0].T
+        weights += np.clip(step, -NEWTON_FAR, NEWTON_FAR)
     return weights
 
 
@@ -353,18 +447,21 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in runs(pc.fill_null(pc.binary_length(text), 0).to_numpy(), WORD_RUN):
             buf, starts = joined(text.slice(a, b - a))
             words = words_of(buf, starts, _WHITE)
-            count = np.bincount(words.code, minlength=len(words.names))
+            count, names = np.bincount(words.code, minlength=len(words.names)), words.names
             held = np.flatnonzero(count)
-            symbol = buf.astype(np.int64)
+            del words
+            symbol = buf.astype(np.int32)
             symbol[np.append(starts[1:], len(buf)) - 1] = END
-            last = np.concatenate(([0], buf[:-1].astype(np.int64) + 1))
+            last = np.concatenate((np.zeros(1, np.int32), buf[:-1].astype(np.int32) + 1))
             last[starts] = 0
-            pairs = np.bincount(last * (END + 1) + symbol, minlength=(END + 1) ** 2)
+            last *= np.int32(END + 1)
+            last += symbol
+            pairs = np.bincount(last, minlength=(END + 1) ** 2)
             some = np.flatnonzero(pairs)
             yield pa.RecordBatch.from_arrays(
-                [words.names.take(pa.array(held)).cast(pa.string()), pa.nulls(len(held), pa.int32()),
+                [names.take(pa.array(held)).cast(pa.string()), pa.nulls(len(held), pa.int32()),
                  pa.array(count[held].astype(np.int64))], ["word", "pair", "f"])
-            del words, symbol, last
+            del names, symbol, last
             give_back()
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(pairs[some].astype(np.int64))],
@@ -407,6 +504,19 @@ def _score(shared):
     return run
 
 
+def _head(words: DataFrame) -> pa.Table:
+    """The most frequent words and their counts: whole levels of counts (32 a doubling), as many as
+    HEAD_WORDS holds. Nothing is sorted, and no task sees more than its own words."""
+    short = words.where(F.octet_length("word") <= HEAD_BYTES).select("word", "f", F.floor(F.log2("f") * 32).alias("level"))
+    room, least = HEAD_WORDS, None
+    for r in sorted(short.groupBy("level").count().collect(), reverse=True):              # 2,016 levels at most
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["level"]
+    return short.where(F.col("level") >= F.lit(least)).select("word", "f").toArrow()
+
+
 def train(texts: DataFrame, counts: DataFrame) -> Model:
     """The model of the training ``texts`` (text) with their ``counts`` (word, pair, f)."""
     spark = texts.sparkSession
@@ -417,29 +527,23 @@ def train(texts: DataFrame, counts: DataFrame) -> Model:
     wanted = 1 << int(pairs.sum() / BYTES_A_SLOT).bit_length()
     slots = [min(most, max(LEAST_SLOTS, wanted)) for most in MOST_SLOTS]
     tables, path = _merged(texts.mapInArrow(_count_tables(spark.sparkContext.broadcast(code), slots), _TABLES))
-    sample = (texts.where(F.octet_length("text") <= FIT_BYTES)
-              .orderBy(F.xxhash64("text"), "text").limit(FIT_TEXTS).toArrow()["text"].combine_chunks())
-    seen = []
-    for _, _, buf, symbol, place, skip in _stretches(sample):
-        contexts, last, kind = _contexts(buf, place, skip)
-        seen.append((contexts, kind, Decisions.of(code, symbol[skip:], last)))
-    odds, x = [], []
+    odds, levels = [], []
     for predictor, size in enumerate(slots):
-        total = np.zeros(size * 2, np.int64)
+        odds.append(np.zeros(size, np.int8))
+        levels.append(np.full(size * 2, len(_EDGES), np.uint8))
         for r in tables.where(F.col("predictor") == predictor).toArrow().to_pylist():     # MOST_SLOTS bound it
-            total.reshape(-1, BLOCK * 2)[r["block"]] = _unpacked(r["counts"])
-        odds.append(_odds(total.reshape(-1, 2)))
-        at = [d.slots(contexts[predictor], size) for contexts, _, d in seen]
-        for slot, (_, _, d) in zip(at, seen):                # the sample's own counts are taken off
-            np.subtract.at(total, slot * 2 + d.bit, np.int64(1))
-        own = _odds(np.maximum(total, 0).reshape(-1, 2))
-        x.append([own[slot] for slot in at])
+            at, total = r["block"] * BLOCK, _unpacked(r["counts"]).reshape(-1, 2)
+            odds[-1][at:at + BLOCK] = _odds(total)
+            levels[-1][at * 2:(at + BLOCK) * 2] = _levels(total)
+    drop(spark, path)
+    shared = spark.sparkContext.broadcast((code, levels))
+    tables, path = _merged(texts.mapInArrow(_seen_tables(shared), _TABLES))
+    seen = np.zeros(SEEN, np.int64)
+    for r in tables.toArrow().to_pylist():                                                # SEEN bounds it
+        seen[r["block"] * BLOCK * 2:(r["block"] + 1) * BLOCK * 2] = _unpacked(r["counts"])
     drop(spark, path)
-    if not seen:
-        return Model(code, odds, np.full((PREDICTORS, GATES), 1 / PREDICTORS))
-    gate = np.concatenate([_gates(code, d, kind, word) for (_, kind, d), word in zip(seen, x[-1])])
-    inputs = [np.concatenate(part) * np.float32(1 / STEP) for part in x]
-    return Model(code, odds, _fit(inputs, gate, np.concatenate([d.bit for _, _, d in seen])))
+    shared.unpersist()
+    return Model(code, odds, _fit(seen))
 
 
 def score_language(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -465,8 +569,7 @@ def score_language(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     total, distinct = words.agg(F.coalesce(F.sum("f"), F.lit(0)), F.count("*")).first()
     total, distinct = total + documents, distinct + (documents > 0)
     model = train(texts, counts)
-    head = (words.where(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("f"), "word").limit(HEAD_WORDS)
-            .select("word", "f").toArrow())
+    head = _head(words)
     model.words = head["word"].combine_chunks().cast(pa.large_string())
     model.word_counts = head["f"].to_numpy()
     scored, _ = written(thin.mapInArrow(_score(spark.sparkContext.broadcast(model)), f"doc_id {id_type}, {_SCORED}")

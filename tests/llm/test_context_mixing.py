@@ -176,6 +176,72 @@ def test_blocks_add_up(spark):
     assert sorted(got) == [0, 1, 2] and all((got[p] == counts[:, p].sum(0)).all() for p in range(3))
 
 
+def slow_seen(texts, code, tables):
+    """How often decisions of kind, depth and levels occur, decision by decision."""
+    out = Counter()
+    for t in texts:
+        data = lowered(t).encode()
+        for i, s in enumerate([*data, cm.END]):
+            for slots, gate, bit in slow_path(code, data, i, s, SIZES):
+                spot = gate // cm.TRUSTS
+                for table, slot in zip(tables, slots):
+                    own, other = table[slot * 2 + bit] - 1, table[slot * 2 + 1 - bit]
+                    said = max(-127, min(127, round(math.log((own + cm.PRIOR) / (other + cm.PRIOR)) * cm.STEP)))
+                    level = sum(abs(said) >= e for e in cm._EDGES)
+                    spot = spot * cm.LEVELS + len(cm._EDGES) + (level if said > 0 else -level)
+                out[spot] += 1
+    return out
+
+
+def test_fit_sees_every_decision():
+    texts = texts_of(8) + ["", "The cat sat. " * 700]
+    model, tables = small_model(texts)
+    seen = np.zeros(cm.SEEN, np.int64)
+    for _, _, *stretch in cm._stretches(pa.array(texts, pa.string())):
+        cm._see(seen, model.code, [cm._levels(t.reshape(-1, 2)) for t in tables], *stretch)
+    assert {int(i): int(seen[i]) for i in np.flatnonzero(seen)} == slow_seen(texts, model.code, tables)
+
+
+def test_fit_costs_least():
+    rng = np.random.default_rng(9)
+    seen = np.zeros(cm.SEEN, np.int64)
+    spots = rng.integers(0, 4 * cm.DEPTHS * cm.LEVELS ** cm.PREDICTORS, 5000)
+    seen[spots] = rng.integers(1, 1000, len(spots))
+    level = np.array([spots // cm.LEVELS ** k % cm.LEVELS for k in (2, 1, 0)])
+    word = abs(cm._MIDDLE[level[2]])
+    row = spots // cm.LEVELS ** 3 * cm.TRUSTS + (word > 0) + (word > cm.LITTLE)
+
+    def cost(weights):
+        t = sum(w[row] * cm._MIDDLE[v] / cm.STEP for w, v in zip(weights, level))
+        held = cm.HOLD / 2 * ((weights - cm.START) ** 2).sum()
+        return (seen[spots] * np.log1p(np.exp(-t))).sum() + held
+
+    best = cm._fit(seen)
+    least = cost(best)
+    assert least < cost(np.full_like(best, cm.START))
+    for _ in range(20):
+        assert cost(best + rng.normal(0, 0.01, best.shape)) > least
+    assert (cm._fit(np.zeros(cm.SEEN, np.int64)) == cm.START).all()
+
+
+def test_first_weights_come_from_all_training_texts(spark):
+    """Texts above 8,192 bytes and more than 256 texts once had no part in the first weights."""
+    texts = texts_of(10, 300) + [" ".join(texts_of(seed, 60)) for seed in (11, 12)] + [None]
+    assert max(len(t or "") for t in texts) > 8192
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    counts = docs.mapInArrow(cm._count_words, "word string, pair int, f long").groupBy("word", "pair").sum("f").toDF("word", "pair", "f")
+    got = cm.train(docs, counts)
+    whole = [np.zeros(len(o) * 2, np.int32) for o in got.odds]
+    seen = np.zeros(cm.SEEN, np.int64)
+    stretches = [stretch for _, _, *stretch in cm._stretches(pa.array(texts, pa.string()))]
+    for stretch in stretches:
+        cm._count_into(whole, got.code, *stretch)
+    for stretch in stretches:
+        cm._see(seen, got.code, [cm._levels(t.reshape(-1, 2)) for t in whole], *stretch)
+    assert seen.sum() == whole[0].sum()
+    assert np.allclose(got.weights, cm._fit(seen))
+
+
 def test_base_columns(spark, monkeypatch):
     monkeypatch.setattr(cm, "HEAD_WORDS", 3)             # the others meet their counts in the join
     rows = list(enumerate(texts_of(7, 60))) + [(None, None), (None, ""), (3, "the " * 9), (3, "the " * 9), (61, "w" * 5000 + " new")]
@@ -190,6 +256,14 @@ def test_base_columns(spark, monkeypatch):
     assert len(twice) == 2 and twice[0] == pytest.approx(twice[1])
 
 
+def test_head_takes_whole_levels(spark, monkeypatch):
+    counts = {"a": 1000, "b": 1000, "c": 40, "d" * 300: 5000, "e": 7, "f": 1}
+    words = spark.createDataFrame(list(counts.items()), "word string, f long")
+    for most, want in ((1, ""), (2, "ab"), (3, "abc"), (4, "abce"), (9, "abcef")):
+        monkeypatch.setattr(cm, "HEAD_WORDS", most)
+        assert {r["word"]: r["f"] for r in cm._head(words).to_pylist()} == {w: counts[w] for w in want}
+
+
 def test_held_out_texts(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = cm.score_language(docs).toPandas()
