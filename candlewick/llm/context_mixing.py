@@ -181,34 +181,38 @@ class Decisions:
         length = code.length.take(index)
         ends = np.cumsum(length)
         of = np.repeat(np.arange(len(symbols)), length)
-        path = (code.first.take(index) - ends + length).take(of)
+        path = _look(code.first.take(index) - ends + length, of)
         path += np.arange(len(of))
         return cls(code, of, path, ends)
 
     def slots(self, contexts: list[np.ndarray], slots: list[int]) -> Iterator[np.ndarray]:
         """Slots of each predictor, from its context hash of each symbol."""
-        node = self.code.hashed.take(self.path)
+        node = _look(self.code.hashed, self.path)
         for context, n in zip(contexts, slots):
-            yield _spread(context & np.uint32(n - 1), self.symbol, node)
+            out = _look((context & np.uint32(n - 1)).astype(np.intp), self.symbol)
+            out ^= node
+            yield out
 
-    def branches(self, contexts: list[np.ndarray], slots: list[int]) -> Iterator[np.ndarray]:
-        """The same, twice each slot and the branch that was taken."""
-        branch = self.code.branch.take(self.path)
-        for context, n in zip(contexts, slots):
-            yield _spread((context & np.uint32(n - 1)) << np.uint32(1), self.symbol, branch)
+
+def _by_depth(code: Code, symbols: np.ndarray, last: np.ndarray, contexts: list[np.ndarray], slots: list[int],
+              kind: np.ndarray) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+    """The same decisions where their order does not matter: (depth, kinds, of each predictor twice
+    the slots plus the branch). Long paths come first, so that a depth is a beginning of the symbols."""
+    index = last * (END + 1) + symbols
+    length = code.length.take(index)
+    order = np.argsort((255 - length).astype(np.uint8), kind="stable")
+    first, kind = code.first.take(index.take(order)), kind.take(order)
+    doubled = [((c & np.uint32(n - 1)) << np.uint32(1)).take(order).astype(np.intp) for c, n in zip(contexts, slots)]
+    for depth, n in enumerate((len(length) - np.cumsum(np.bincount(length))).tolist()[:-1]):
+        branch = _look(code.branch, first[:n] + depth)
+        yield depth, kind[:n], [c[:n] ^ branch for c in doubled]
 
 
 def _look(table: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Entries of a table; the mask keeps all slots inside, and numpy clips faster than it checks."""
+    """Entries of a table; all places are inside it, and numpy clips faster than it checks."""
     return table.take(at, mode="clip")
 
 
-def _spread(context: np.ndarray, symbol: np.ndarray, node: np.ndarray) -> np.ndarray:
-    out = context.astype(np.intp).take(symbol)
-    out ^= node
-    return out
-
-
 def _stretches(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, int]]:
     """(first text, texts, bytes, symbols, places, bytes to skip): all texts in stretches of about
     TEXT_RUN bytes; a longer text comes in several, which overlap by the reach of the contexts."""
@@ -247,10 +251,10 @@ def _unpacked(raw: bytes) -> np.ndarray:
 
 def _count_into(tables: list[np.ndarray], code: Code, buf: np.ndarray, symbol: np.ndarray, place: np.ndarray,
                 skip: int) -> None:
-    contexts, last, _ = _contexts(buf, place, skip)
-    d = Decisions.of(code, symbol[skip:], last)
-    for table, at in zip(tables, d.branches(contexts, [len(t) // 2 for t in tables])):
-        np.add.at(table, at, np.int32(1))
+    contexts, last, kind = _contexts(buf, place, skip)
+    for _, _, at in _by_depth(code, symbol[skip:], last, contexts, [len(t) // 2 for t in tables], kind):
+        for table, spots in zip(tables, at):
+            np.add.at(table, spots, np.int32(1))
 
 
 def _count_tables(shared, slots: list[int]):
@@ -313,8 +317,8 @@ def _odds(counts: np.ndarray) -> np.ndarray:
 
 def _gates(d: Decisions, kind: np.ndarray, word: np.ndarray, text: np.ndarray) -> np.ndarray:
     """Each decision's row of the weights; ``word``: what the word's table says in steps."""
-    out = ((text * 4 + kind) * (DEPTHS * TRUSTS)).take(d.symbol)
-    out += d.code.row.take(d.path)
+    out = _look((text * 4 + kind) * (DEPTHS * TRUSTS), d.symbol)
+    out += _look(d.code.row, d.path)
     out += (word != 0).view(np.int8) + (np.abs(word) > LITTLE).view(np.int8)
     return out
 
@@ -322,16 +326,17 @@ def _gates(d: Decisions, kind: np.ndarray, word: np.ndarray, text: np.ndarray) -
 def _block_of(done: np.ndarray) -> np.ndarray:
     """Which block a text's symbol belongs to, by how many came before it."""
     doubling = int(np.log2(MOST_BLOCK // FIRST_BLOCK))
-    edge = FIRST_BLOCK * ((1 << doubling) - 1)
-    early = np.repeat(np.arange(doubling), FIRST_BLOCK << np.arange(doubling))
-    return np.where(done < edge, early.take(np.minimum(done, edge - 1)), doubling + (done - edge) // MOST_BLOCK)
+    step = np.arange(done.max() // FIRST_BLOCK + 1)                              # all edges are whole first blocks
+    early = (1 << doubling) - 1
+    return np.where(step < early, np.log2(step + 1).astype(np.int64), doubling + (step - early) // (MOST_BLOCK // FIRST_BLOCK)
+                    ).take(done // FIRST_BLOCK)
 
 
 def _mix(x: list[np.ndarray], weights: np.ndarray, row: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Cost (nats) and error of each decision, from its inputs and its row of the weights."""
-    t = x[0] * weights[0].take(row)
+    t = x[0] * _look(weights[0], row)
     for inputs, w in zip(x[1:], weights[1:]):
-        t += inputs * w.take(row)
+        t += inputs * _look(w, row)
     sign = bit.astype(np.float32) * 2 - 1
     e = np.exp(-t * sign)                                # odds of the branch that was not taken
     return np.log(1 + e), e / (1 + e) * sign
@@ -361,7 +366,8 @@ class Reader:
             self.weights = np.tile(model.weights.astype(np.float32), texts)       # predictors x (text, gate)
         contexts, last, kind = _contexts(buf, place, skip)
         symbol, place = symbol[skip:], place[skip:]
-        text = np.cumsum(place == 0) - 1 if texts > 1 else np.zeros(len(symbol), np.int64)
+        begin = np.append(np.flatnonzero(place == 0), len(place)) if texts > 1 else np.array([0, len(place)])
+        text = np.repeat(np.arange(texts), np.diff(begin))
         block = _block_of(place)
         if texts > 1:
             order = np.argsort(block.astype(np.uint16), kind="stable")
@@ -369,7 +375,7 @@ class Reader:
             contexts = [c[order] for c in contexts]
         d = Decisions.of(model.code, symbol, last)
         x = [_look(odds, at) for odds, at in zip(model.odds, d.slots(contexts, [len(odds) for odds in model.odds]))]
-        row, bit = _gates(d, kind, x[-1], text), model.code.bit.take(d.path)
+        row, bit = _gates(d, kind, x[-1], text), _look(model.code.bit, d.path)
         x = [inputs * np.float32(1 / STEP) for inputs in x]
         ends, out = d.ends, np.zeros(texts)
         for a, b in _bounds(block):
@@ -401,12 +407,12 @@ def _see(seen: np.ndarray, code: Code, levels: list[np.ndarray], buf: np.ndarray
          place: np.ndarray, skip: int) -> None:
     """Count all decisions of a stretch by kind, depth and the predictors' levels."""
     contexts, last, kind = _contexts(buf, place, skip)
-    d = Decisions.of(code, symbol[skip:], last)
-    spot = (kind * DEPTHS).take(d.symbol) + (code.row // TRUSTS).astype(np.int32).take(d.path)
-    for table, at in zip(levels, d.branches(contexts, [len(t) // 2 for t in levels])):
-        spot *= np.int32(LEVELS)
-        spot += _look(table, at)
-    np.add.at(seen, spot, np.int64(1))
+    for depth, kinds, at in _by_depth(code, symbol[skip:], last, contexts, [len(t) // 2 for t in levels], kind):
+        spot = kinds * np.int32(DEPTHS) + np.int32(min(depth, DEPTHS - 1))
+        for table, spots in zip(levels, at):
+            spot *= np.int32(LEVELS)
+            spot += _look(table, spots)
+        np.add.at(seen, spot, np.int64(1))
 
 
 def _seen_tables(shared):
