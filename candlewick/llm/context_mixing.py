@@ -55,7 +55,7 @@ RATE, FAR = 0.004, 0.1
 FIRST_BLOCK, MOST_BLOCK = 128, 2048
 #: Words that are broadcast at most, and their greatest size; bytes of words and of decisions handled together.
 HEAD_WORDS, HEAD_BYTES = 1 << 18, 256
-WORD_RUN, TEXT_RUN = 1 << 22, 1 << 16
+WORD_RUN, TEXT_RUN, PAIR_RUN = 1 << 22, 1 << 16, 1 << 16
 END = 256
 #: Gates: kind of the byte before, depth in the tree, and whether the word's table knows nothing, little or more.
 DEPTHS, TRUSTS, LITTLE = 4, 3, 15
@@ -446,6 +446,22 @@ def _fit(seen: np.ndarray) -> np.ndarray:
 
 # ---------------------------------------------------------------- Spark side
 
+def _pairs(buf: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """How often each symbol stands behind each byte or a beginning, a few bytes at a time."""
+    out, ends = np.zeros((END + 1) ** 2, np.int64), np.append(starts[1:], len(buf)) - 1
+    for at in range(0, len(buf), PAIR_RUN):
+        cut = buf[at:at + PAIR_RUN]
+        last, symbol = np.ones(len(cut), np.intp), cut.astype(np.intp)
+        last[1:] += cut[:-1]
+        last[0] += buf[max(at - 1, 0)]                                # the first byte of all is a beginning
+        for places, values, value in ((starts, last, 0), (ends, symbol, END)):
+            values[places[slice(*np.searchsorted(places, (at, at + len(cut))))] - at] = value
+        last *= END + 1
+        last += symbol
+        out += np.bincount(last, minlength=len(out))
+    return out
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often each word occurs, and each symbol behind each byte."""
     for batch in batches:
@@ -456,18 +472,12 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             count, names = np.bincount(words.code, minlength=len(words.names)), words.names
             held = np.flatnonzero(count)
             del words
-            symbol = buf.astype(np.int32)
-            symbol[np.append(starts[1:], len(buf)) - 1] = END
-            last = np.concatenate((np.zeros(1, np.int32), buf[:-1].astype(np.int32) + 1))
-            last[starts] = 0
-            last *= np.int32(END + 1)
-            last += symbol
-            pairs = np.bincount(last, minlength=(END + 1) ** 2)
+            pairs = _pairs(buf, starts)
             some = np.flatnonzero(pairs)
             yield pa.RecordBatch.from_arrays(
                 [names.take(pa.array(held)).cast(pa.string()), pa.nulls(len(held), pa.int32()),
                  pa.array(count[held].astype(np.int64))], ["word", "pair", "f"])
-            del names, symbol, last
+            del names
             give_back()
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(pairs[some].astype(np.int64))],

@@ -256,6 +256,19 @@ def test_base_columns(spark, monkeypatch):
     assert len(twice) == 2 and twice[0] == pytest.approx(twice[1])
 
 
+def test_pairs_in_pieces(monkeypatch):
+    texts = [*texts_of(13, 30), "", "", "a", None, "é" * 50]
+    want = Counter()
+    for t in texts:
+        data = lowered(t).encode()
+        want.update((data[i - 1] + 1 if i else 0) * (cm.END + 1) + s for i, s in enumerate([*data, cm.END]))
+    buf, starts = cm.joined(pa.array(texts, pa.string()))
+    for size in (1, 7, 1000, 1 << 20):
+        monkeypatch.setattr(cm, "PAIR_RUN", size)
+        got = cm._pairs(buf, starts)
+        assert {int(i): int(got[i]) for i in np.flatnonzero(got)} == want
+
+
 def test_head_takes_whole_levels(spark, monkeypatch):
     counts = {"a": 1000, "b": 1000, "c": 40, "d" * 300: 5000, "e": 7, "f": 1}
     words = spark.createDataFrame(list(counts.items()), "word string, f long")
