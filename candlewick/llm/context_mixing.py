@@ -6,18 +6,19 @@ the training bytes. Several predictors each look a decision up in a table of
 hashed contexts (the last 3 or 5 bytes; the letters of the word so far) that
 holds how often each branch was taken in the training texts. Their log odds are
 mixed by weights that a gate selects (kind of the byte before, depth in the
-tree, what the word's table knows), and the weights are refined by gradient steps while a text is read: each decision is predicted with
-the weights that came out of the blocks of decisions before it. The sum of all
-decisions' costs is the text's total in bits, and so its probability.
+tree, what the word's table knows), and the weights are refined by gradient steps
+while a text is read: each decision is predicted with the weights that came out of
+the blocks of decisions before it. The sum of all decisions' costs is the text's
+total in bits, and so its probability.
 
 The counts cover all training texts. Each task counts into its own tables and
 sends them as compressed blocks; blocks are added up sixteen at a time, so no group
 grows with the number of tasks. The number of slots of a table follows the training
 bytes up to ``MOST_SLOTS``, the bound of what is broadcast (one byte a slot and
-predictor). The first weights are fitted on every decision of all training texts: a second
-scan looks each one up in the finished tables, less itself, and counts it by its gate and the
-levels (``LEVELS``) of what the predictors say. That table of bounded size holds all that
-the fit needs; its Newton steps run on the driver and grow with no text.
+predictor; two for the fit). The first weights are fitted on every decision of all
+training texts: a second scan looks each one up in the finished tables, less itself,
+and counts it by its gate and the levels (``LEVELS``) of what the predictors say. Newton
+steps on that table, whose size is bounded, find the weights on the driver.
 
 The base score is that of an add-one unigram model over all training words. The
 most frequent words are broadcast; all others meet their counts in a join.
