@@ -18,7 +18,8 @@ bytes up to ``MOST_SLOTS``, the bound of what is broadcast (one byte a slot and
 predictor; two for the fit). The first weights are fitted on every decision of all
 training texts: a second scan looks each one up in the finished tables, less itself,
 and counts it by its gate and the levels (``LEVELS``) of what the predictors say. Newton
-steps on that table, whose size is bounded, find the weights on the driver.
+steps on that table, whose size is bounded, find the weights on the driver. Both scans take
+equal symbols in equal contexts together, some megabytes of text at a time.
 
 The base score is that of an add-one unigram model over all training words. The
 most frequent words are broadcast; all others meet their counts in a join.
@@ -43,6 +44,7 @@ from candlewick.llm.common import doc_remainder, drop, give_back, written
 HELD_OUT_MODULUS, HELD_OUT = 7, 2
 #: Contexts: so many bytes before; the word so far (the last one) reaches back this far.
 ORDERS, WORD_REACH = (3, 5), 8
+REACH = max(*ORDERS, WORD_REACH)
 PREDICTORS = len(ORDERS) + 1
 #: Slots of a table: one for so many training bytes, from LEAST_SLOTS to what each predictor has at most.
 BYTES_A_SLOT, LEAST_SLOTS, MOST_SLOTS = 8, 1 << 16, (1 << 20, 1 << 22, 1 << 22)
@@ -57,12 +59,17 @@ FIRST_BLOCK, MOST_BLOCK = 128, 2048
 #: Words that are broadcast at most, and their greatest size; bytes of words and of decisions handled together.
 HEAD_WORDS, HEAD_BYTES = 1 << 18, 256
 WORD_RUN, TEXT_RUN, PAIR_RUN = 1 << 22, 1 << 16, 1 << 16
+#: Bytes whose equal symbols in equal contexts are counted together, and handled together; bits of a pair's number.
+GRAM_RUN, GRAM_PIECE, PAIR_BITS = 1 << 22, 1 << 15, 14
 END = 256
+#: Bytes that lower-cased texts do not hold: the end or no byte, a byte that no context sees.
+OUTSIDE, UNSEEN = b"AB"
 #: Gates: kind of the byte before, depth in the tree, and whether the word's table knows nothing, little or more.
 DEPTHS, TRUSTS, LITTLE = 4, 3, 15
 
 _WHITE = byte_table(WHITE)
 _LETTER = byte_table(bytes([*b"abcdefghijklmnopqrstuvwxyz0123456789", *range(128, 256)]))
+_BREAK = ~_LETTER
 _LETTER_BITS = np.where(_LETTER, 0xFFFFFFFF, 0).astype(np.uint32)
 #: Gate of the byte before: nothing, a letter, white space, something else.
 _KIND = np.concatenate(([0], np.where(_LETTER, 1, np.where(_WHITE, 2, 3)))).astype(np.int32)
@@ -113,6 +120,7 @@ class Code:
     bit: np.ndarray
     branch: np.ndarray
     row: np.ndarray                        #: row of the weights that the depth selects
+    other: np.ndarray                      #: what turns steps for branch 1 into log odds of the branch not taken
 
     @classmethod
     def of(cls, counts: np.ndarray) -> Code:
@@ -128,26 +136,37 @@ class Code:
         depth = np.minimum(np.arange(len(node)) - np.repeat(first, length), DEPTHS - 1)
         hashed = (node & 63) ^ ((node >> 6) * 0x2C1B3C40 & LEAST_SLOTS - 1)   # 64 nodes of a context are neighbours
         bit = np.array([b for p in paths for _, b in p], np.uint8)
-        return cls(length, first, hashed, bit, hashed * 2 + bit, depth * TRUSTS)
+        other = np.where(bit, -1 / STEP, 1 / STEP).astype(np.float32)
+        return cls(length, first, hashed, bit, hashed * 2 + bit, depth * TRUSTS, other)
 
 
 def _contexts(buf: np.ndarray, place: np.ndarray, skip: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Of each byte from ``skip`` on: its hashed contexts, the byte before it plus one (0: none), and
     that one's kind. ``place`` is each byte's position in its own text; nothing reaches across its beginning."""
-    size, prime, out = len(buf) - skip, np.uint32(0x9E3779B1), []
-    padded = np.concatenate((np.zeros(WORD_REACH, np.uint32), buf.astype(np.uint32) + np.uint32(1)))
-    letter = np.concatenate((np.zeros(WORD_REACH, np.uint32), _LETTER_BITS.take(buf)))
-    begin = np.flatnonzero(place[skip:] == 0)
-    outside = begin[:0]
+    def lags() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        padded = np.concatenate((np.zeros(WORD_REACH, np.uint32), buf.astype(np.uint32) + np.uint32(1)))
+        letter = np.concatenate((np.zeros(WORD_REACH, np.uint32), _LETTER_BITS.take(buf)))
+        begin = np.flatnonzero(place[skip:] == 0)
+        outside = begin[:0]
+        for lag in range(1, WORD_REACH + 1):
+            cut = slice(skip + WORD_REACH - lag, len(padded) - lag)
+            outside = np.concatenate((outside, begin + (lag - 1)))          # all places less than the lag
+            outside = outside[outside < len(buf) - skip]
+            b = padded[cut]
+            if lag <= max(ORDERS):
+                b = b.copy()
+                b[outside] = 0
+            yield b, letter[cut], outside
+    return _hashed(len(buf) - skip, lags())
+
+
+def _hashed(size: int, lags: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]
+            ) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The contexts from the bytes at each lag from 1 on: (byte plus one or 0, its letter bits, where no byte is)."""
+    prime, out = np.uint32(0x9E3779B1), []
     h, word, inside = np.zeros(size, np.uint32), np.full(size, 77, np.uint32), np.full(size, 0xFFFFFFFF, np.uint32)
-    for lag in range(1, WORD_REACH + 1):
-        cut = slice(skip + WORD_REACH - lag, len(padded) - lag)
-        outside = np.concatenate((outside, begin + (lag - 1)))              # all places less than the lag
-        outside = outside[outside < size]
-        b = padded[cut]
+    for lag, (b, letter, outside) in enumerate(lags, 1):
         if lag <= max(ORDERS):
-            b = b.copy()
-            b[outside] = 0
             h += b
             h *= prime
             h ^= h >> np.uint32(15)
@@ -155,7 +174,7 @@ def _contexts(buf: np.ndarray, place: np.ndarray, skip: int) -> tuple[list[np.nd
                 out.append((h + np.uint32(lag)) * np.uint32(0x85EBCA6B))
         if lag == 1:
             last, kind = b.astype(np.int64), _KIND.take(b)
-        inside &= letter[cut]
+        inside &= letter
         inside[outside] = 0
         longer = word + b
         longer *= prime
@@ -170,43 +189,34 @@ def _contexts(buf: np.ndarray, place: np.ndarray, skip: int) -> tuple[list[np.nd
 
 @dataclass
 class Decisions:
-    """The decisions of a stretch of texts in order of the symbols: which symbol, where in the code, branch."""
-    code: Code
+    """The decisions of a stretch of texts in order of the symbols: which symbol, where in the code."""
     symbol: np.ndarray
     path: np.ndarray
     ends: np.ndarray                       #: of each symbol, the decisions up to its end
 
     @classmethod
-    def of(cls, code: Code, symbols: np.ndarray, last: np.ndarray) -> Decisions:
-        index = last * (END + 1) + symbols
+    def of(cls, code: Code, index: np.ndarray) -> Decisions:
+        """``index``: of each symbol, the byte before it (plus one) times 257 and itself."""
         length = code.length.take(index)
         ends = np.cumsum(length)
-        of = np.repeat(np.arange(len(symbols)), length)
-        path = _look(code.first.take(index) - ends + length, of)
-        path += np.arange(len(of))
-        return cls(code, of, path, ends)
-
-    def slots(self, contexts: list[np.ndarray], slots: list[int]) -> Iterator[np.ndarray]:
-        """Slots of each predictor, from its context hash of each symbol."""
-        node = _look(self.code.hashed, self.path)
-        for context, n in zip(contexts, slots):
-            out = _look((context & np.uint32(n - 1)).astype(np.intp), self.symbol)
-            out ^= node
-            yield out
+        symbol = np.repeat(np.arange(len(index)), length)
+        path = _look(code.first.take(index) - ends + length, symbol)
+        path += np.arange(len(path))
+        return cls(symbol, path, ends)
 
 
 def _by_depth(code: Code, symbols: np.ndarray, last: np.ndarray, contexts: list[np.ndarray], slots: list[int],
-              kind: np.ndarray) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
-    """The same decisions where their order does not matter: (depth, kinds, of each predictor twice
+              kind: np.ndarray, times: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """The same decisions where their order does not matter: (depth, kinds, times, of each predictor twice
     the slots plus the branch). Long paths come first, so that a depth is a beginning of the symbols."""
     index = last * (END + 1) + symbols
     length = code.length.take(index)
     order = np.argsort((255 - length).astype(np.uint8), kind="stable")
-    first, kind = code.first.take(index.take(order)), kind.take(order)
+    first, kind, times = code.first.take(index.take(order)), kind.take(order), times.take(order)
     doubled = [((c & np.uint32(n - 1)) << np.uint32(1)).take(order).astype(np.intp) for c, n in zip(contexts, slots)]
     for depth, n in enumerate((len(length) - np.cumsum(np.bincount(length))).tolist()[:-1]):
         branch = _look(code.branch, first[:n] + depth)
-        yield depth, kind[:n], [c[:n] ^ branch for c in doubled]
+        yield depth, kind[:n], times[:n], [c[:n] ^ branch for c in doubled]
 
 
 def _look(table: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -214,25 +224,113 @@ def _look(table: np.ndarray, at: np.ndarray) -> np.ndarray:
     return table.take(at, mode="clip")
 
 
-def _stretches(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, int]]:
-    """(first text, texts, bytes, symbols, places, bytes to skip): all texts in stretches of about
-    TEXT_RUN bytes; a longer text comes in several, which overlap by the reach of the contexts."""
-    reach = max(*ORDERS, WORD_REACH)
-    for a, b in runs(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), TEXT_RUN):
+def _stretches(texts: pa.Array, run: int | None = None
+               ) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, int]]:
+    """(first text, texts, bytes, symbols, places, bytes to skip): all texts in stretches of about ``run``
+    (TEXT_RUN) bytes; a longer text comes in several, which overlap by the reach of the contexts."""
+    run = run or TEXT_RUN
+    for a, b in runs(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), run):
         buf, starts = joined(texts.slice(a, b - a))
         ends = np.append(starts[1:], len(buf))
-        symbol = buf.astype(np.int64)
+        symbol = buf.astype(np.int16)
         symbol[ends - 1] = END
-        place = np.arange(len(buf)) - np.repeat(starts, ends - starts)
+        place = np.arange(len(buf), dtype=np.int32)
+        place -= np.repeat(starts.astype(np.int32), ends - starts)
         if b - a > 1:
             yield a, b - a, buf, symbol, place, 0
             continue
-        for at in range(0, len(buf), TEXT_RUN):
-            low = max(0, at - reach)
-            cut = slice(low, at + TEXT_RUN)
+        for at in range(0, len(buf), run):
+            low = max(0, at - REACH)
+            cut = slice(low, at + run)
             yield a, 1, buf[cut], symbol[cut], place[cut], at - low
 
 
+def _grams(buf: np.ndarray, symbol: np.ndarray, place: np.ndarray, skip: int) -> Iterator[tuple]:
+    """(symbols, last, contexts, kinds, times): the different symbols with all that their contexts see, and
+    how often each occurs in the stretch, a few at a time.
+
+    A gram is one number: four pairs of bytes before the symbol, numbered within the stretch, the nearest
+    first, and the symbol. Sorted, equal ones are neighbours, and so are those of like contexts. Bytes that
+    no context sees are left out. A stretch of too many different pairs is halved."""
+    size = len(buf) - skip
+    head = np.concatenate((np.full(REACH - min(skip, REACH), OUTSIDE, np.uint8), buf[max(0, skip - REACH):]))
+    head[np.flatnonzero(symbol[skip:] == END) + REACH] = OUTSIDE             # the end, and no byte for what comes later
+    begun = np.flatnonzero(place[:skip + 1] == 0)[-1:]                       # a text that began among the skipped bytes
+    head[:max([0, *(begun + REACH - skip)])] = OUTSIDE
+    held = np.zeros(1 << 16, bool)
+    held[UNSEEN::256] = True                                                 # of all bytes: nothing is seen before them
+    for a in range(0, len(head), GRAM_PIECE):
+        held[_byte_pairs(head[a:a + GRAM_PIECE + 1])] = True
+    names = np.flatnonzero(held).astype(np.uint16)
+    if len(names) > 1 << PAIR_BITS and size > 1:
+        middle = skip + size // 2
+        low = max(0, middle - REACH)
+        yield from _grams(buf[:middle], symbol[:middle], place[:middle], skip)
+        yield from _grams(buf[low:], symbol[low:], place[low:], middle - low)
+        return
+    number, key = np.cumsum(held, dtype=np.uint16) - np.uint16(1), np.empty(size, np.uint64)
+    for a in range(0, size, GRAM_PIECE):
+        key[a:a + GRAM_PIECE] = _gram_keys(head[a:a + GRAM_PIECE + REACH], number)
+    key.sort()
+    last = np.flatnonzero(np.append(key[1:] != key[:-1], [True] * (size > 0)))
+    key, times = key[last], np.diff(last, prepend=-1).astype(np.int32)
+    for a in range(0, len(key), GRAM_PIECE):
+        yield *_gram_parts(key[a:a + GRAM_PIECE], names), times[a:a + GRAM_PIECE]
+
+
+def _byte_pairs(head: np.ndarray) -> np.ndarray:
+    """Each byte but the first, and the one before it, as a number."""
+    out = head[1:].astype(np.uint16)
+    out <<= 8
+    out |= head[:-1]
+    return out
+
+
+def _gram_keys(head: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """The grams of all symbols of ``head`` but the first REACH; ``number``: of the pairs of bytes."""
+    size, coded, breaks = len(head) - REACH, number.take(_byte_pairs(head)), _BREAK.take(head)
+    near, mid, far, farthest = (coded[REACH - lag:REACH - lag + size] for lag in range(2, REACH + 1, 2))
+    cut = breaks[REACH - 1:-1].copy()
+    for lag in range(2, max(ORDERS) + 1):
+        cut |= breaks[REACH - lag:-lag]                      # the word began later, and no order reaches further
+    far = np.where(cut, number[UNSEEN::256].take(head[REACH - 5:-5]), far)
+    cut |= breaks[REACH - 6:-6]
+    farthest = np.where(cut, number[UNSEEN], farthest)
+    key = _joined_bits(near, mid).astype(np.uint64)
+    key <<= np.uint64(2 * PAIR_BITS)
+    key |= _joined_bits(far, farthest).astype(np.uint64)
+    key <<= np.uint64(8)
+    key |= head[REACH:].astype(np.uint64)
+    return key
+
+
+def _joined_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Two numbers of pairs as one."""
+    out = a.astype(np.uint32)
+    out <<= np.uint32(PAIR_BITS)
+    out |= b.astype(np.uint32)
+    return out
+
+
+def _gram_parts(key: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """Symbols, last bytes, contexts and kinds of grams; ``names``: the pairs by number."""
+    def lags() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        inside = np.ones(len(key), bool)
+        for k in range(REACH // 2):
+            shift = 8 + PAIR_BITS * (REACH // 2 - 1 - k)
+            pair = names.take((key >> np.uint64(shift) & np.uint64((1 << PAIR_BITS) - 1)).astype(np.intp))
+            for byte in ((pair >> np.uint16(8)).astype(np.uint8), pair.astype(np.uint8)):
+                inside &= byte != OUTSIDE
+                b = byte.astype(np.uint32)
+                b += np.uint32(1)
+                b *= inside
+                yield b, _LETTER_BITS.take(byte), byte[:0]               # OUTSIDE is no letter, so the word ends there
+    contexts, last, kind = _hashed(len(key), lags())
+    symbol = (key & np.uint64(255)).astype(np.int64)
+    symbol[symbol == OUTSIDE] = END
+    return symbol, last, contexts, kind
+
+
 # ---------------------------------------------------------------- counts
 
 _TABLES = "predictor int, block int, part int, counts binary"
@@ -252,10 +350,11 @@ def _unpacked(raw: bytes) -> np.ndarray:
 
 def _count_into(tables: list[np.ndarray], code: Code, buf: np.ndarray, symbol: np.ndarray, place: np.ndarray,
                 skip: int) -> None:
-    contexts, last, kind = _contexts(buf, place, skip)
-    for _, _, at in _by_depth(code, symbol[skip:], last, contexts, [len(t) // 2 for t in tables], kind):
-        for table, spots in zip(tables, at):
-            np.add.at(table, spots, np.int32(1))
+    slots = [len(t) // 2 for t in tables]
+    for symbols, last, contexts, kind, times in _grams(buf, symbol, place, skip):
+        for _, _, often, at in _by_depth(code, symbols, last, contexts, slots, kind, times):
+            for table, spots in zip(tables, at):
+                np.add.at(table, spots, often)
 
 
 def _count_tables(shared, slots: list[int]):
@@ -263,7 +362,7 @@ def _count_tables(shared, slots: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, tables, part = shared.value, [np.zeros(n * 2, np.int32) for n in slots], TaskContext.get().partitionId()
         for batch in batches:
-            for _, _, *stretch in _stretches(batch.column("text")):
+            for _, _, *stretch in _stretches(batch.column("text"), GRAM_RUN):
                 _count_into(tables, code, *stretch)
         yield from _blocks(tables, part)
         del tables
@@ -316,31 +415,30 @@ def _odds(counts: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(np.log((counts[:, 1] + PRIOR) / (counts[:, 0] + PRIOR)) * STEP), -127, 127).astype(np.int8)
 
 
-def _gates(d: Decisions, kind: np.ndarray, word: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """Each decision's row of the weights; ``word``: what the word's table says in steps."""
-    out = _look((text * 4 + kind) * (DEPTHS * TRUSTS), d.symbol)
-    out += _look(d.code.row, d.path)
+def _gates(code: Code, d: Decisions, gate: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Each decision's row of the weights, from its symbol's first one; ``word``: what the word's table says in steps."""
+    out = _look(gate, d.symbol)
+    out += _look(code.row, d.path)
     out += (word != 0).view(np.int8) + (np.abs(word) > LITTLE).view(np.int8)
     return out
 
 
-def _block_of(done: np.ndarray) -> np.ndarray:
-    """Which block a text's symbol belongs to, by how many came before it."""
-    doubling = int(np.log2(MOST_BLOCK // FIRST_BLOCK))
-    step = np.arange(done.max() // FIRST_BLOCK + 1)                              # all edges are whole first blocks
-    early = (1 << doubling) - 1
-    return np.where(step < early, np.log2(step + 1).astype(np.int64), doubling + (step - early) // (MOST_BLOCK // FIRST_BLOCK)
-                    ).take(done // FIRST_BLOCK)
+def _block_edges(size: int) -> np.ndarray:
+    """The places of a text of ``size`` symbols where its blocks begin, and one beyond its end."""
+    early = FIRST_BLOCK * ((1 << np.arange(int(np.log2(MOST_BLOCK // FIRST_BLOCK)) + 1)) - 1)
+    return np.append(early, np.arange(early[-1] + MOST_BLOCK, max(size, early[-1]) + MOST_BLOCK + 1, MOST_BLOCK))
 
 
-def _mix(x: list[np.ndarray], weights: np.ndarray, row: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cost (nats) and error of each decision, from its inputs and its row of the weights."""
-    t = x[0] * _look(weights[0], row)
+def _mix(x: list[np.ndarray], weights: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cost (nats) of each decision and the probability of the other branch, from its inputs (positive ones
+    speak for that other branch) and its row of the weights."""
+    e = x[0] * _look(weights[0], row)
     for inputs, w in zip(x[1:], weights[1:]):
-        t += inputs * _look(w, row)
-    sign = bit.astype(np.float32) * 2 - 1
-    e = np.exp(-t * sign)                                # odds of the branch that was not taken
-    return np.log(1 + e), e / (1 + e) * sign
+        e += inputs * _look(w, row)
+    np.exp(e, out=e)                                     # odds of the branch that was not taken
+    whole = e + np.float32(1)
+    e /= whole
+    return np.log(whole, out=whole), e
 
 
 def _step(weights: np.ndarray, row: np.ndarray, x: list[np.ndarray], error: np.ndarray) -> None:
@@ -348,7 +446,7 @@ def _step(weights: np.ndarray, row: np.ndarray, x: list[np.ndarray], error: np.n
     count = np.bincount(row, minlength=weights.shape[1])
     rate = np.minimum(RATE, FAR / np.maximum(count, 1))
     for k in range(len(weights)):
-        weights[k] += rate * np.bincount(row, error * x[k], weights.shape[1])
+        weights[k] -= rate * np.bincount(row, error * x[k], weights.shape[1])
 
 
 class Reader:
@@ -356,6 +454,19 @@ class Reader:
 
     def __init__(self, model: Model):
         self.model = model
+        # the slots of all predictors side by side in one number
+        bits = [len(odds).bit_length() - 1 for odds in model.odds]
+        self.shifts = [sum(bits[:k]) for k in range(PREDICTORS)]
+        self.nodes = np.bitwise_or.reduce([model.code.hashed << shift for shift in self.shifts])
+
+    def _inputs(self, d: Decisions, contexts: np.ndarray) -> Iterator[np.ndarray]:
+        """What each predictor says of the decisions."""
+        slots = _look(contexts, d.symbol)
+        slots ^= _look(self.nodes, d.path)
+        for odds, shift in zip(self.model.odds, self.shifts):
+            at = slots >> shift
+            at &= len(odds) - 1
+            yield _look(odds, at)
 
     def cost(self, first: int, texts: int, buf: np.ndarray, symbol: np.ndarray, place: np.ndarray, skip: int) -> np.ndarray:
         """Nats of each text of a stretch (a longer text's stretches follow each other).
@@ -365,27 +476,35 @@ class Reader:
         model = self.model
         if place[0] == 0:
             self.weights = np.tile(model.weights.astype(np.float32), texts)       # predictors x (text, gate)
-        contexts, last, kind = _contexts(buf, place, skip)
-        symbol, place = symbol[skip:], place[skip:]
-        begin = np.append(np.flatnonzero(place == 0), len(place)) if texts > 1 else np.array([0, len(place)])
-        text = np.repeat(np.arange(texts), np.diff(begin))
-        block = _block_of(place)
+        hashes, last, kind = _contexts(buf, place, skip)
+        place, index = place[skip:], last * (END + 1) + symbol[skip:]
+        contexts = np.zeros(len(place), np.int64)
+        for c, odds, shift in zip(hashes, model.odds, self.shifts):
+            contexts |= (c & np.uint32(len(odds) - 1)).astype(np.int64) << shift
+        begin = np.flatnonzero(place == 0) if texts > 1 else -place[:1].astype(np.int64)
+        size = np.append(begin[1:], len(place)) - begin
+        # runs of a text's symbols of a block, by block and text
+        edges = _block_edges(size.max())[:, None]
+        low, high = np.maximum(begin + edges[:-1], 0), begin + np.minimum(edges[1:], size)
+        block, text = np.nonzero(low < high)
+        low, many = low[block, text], (high - low)[block, text]
+        until = np.cumsum(many)
+        gate = kind * (DEPTHS * TRUSTS)
         if texts > 1:
-            order = np.argsort(block.astype(np.uint16), kind="stable")
-            symbol, text, block, last, kind = symbol[order], text[order], block[order], last[order], kind[order]
-            contexts = [c[order] for c in contexts]
-        d = Decisions.of(model.code, symbol, last)
-        x = [_look(odds, at) for odds, at in zip(model.odds, d.slots(contexts, [len(odds) for odds in model.odds]))]
-        row, bit = _gates(d, kind, x[-1], text), _look(model.code.bit, d.path)
-        x = [inputs * np.float32(1 / STEP) for inputs in x]
-        ends, out = d.ends, np.zeros(texts)
+            order = np.repeat(low - until + many, many)
+            order += np.arange(len(order))
+            index, gate, contexts = (_look(v, order) for v in (index, gate, contexts))
+        d = Decisions.of(model.code, index)
+        x = list(self._inputs(d, contexts))
+        row = _gates(model.code, d, gate + np.repeat(text * GATES, many), x[-1])
+        other = _look(model.code.other, d.path)
+        x = [inputs * other for inputs in x]
+        ends, out = np.append(0, d.ends[until - 1]), np.zeros(texts)             # of the runs, in decisions
         for a, b in _bounds(block):
-            spot = slice(ends[a - 1] if a else 0, ends[b - 1])
+            spot = slice(ends[a], ends[b])
             xs = [inputs[spot] for inputs in x]
-            cost, error = _mix(xs, self.weights, row[spot], bit[spot])
-            held = [a + c for c, _ in _bounds(text[a:b])]                        # one run a text
-            begin = np.array([(ends[c - 1] if c else 0) - spot.start for c in held])
-            out[text[held]] += np.add.reduceat(cost, begin, dtype=np.float64)
+            cost, error = _mix(xs, self.weights, row[spot])
+            out[text[a:b]] += np.add.reduceat(cost.astype(np.float64), ends[a:b] - ends[a])
             _step(self.weights, row[spot], xs, error)
         return out
 
@@ -407,13 +526,14 @@ def _levels(counts: np.ndarray) -> np.ndarray:
 def _see(seen: np.ndarray, code: Code, levels: list[np.ndarray], buf: np.ndarray, symbol: np.ndarray,
          place: np.ndarray, skip: int) -> None:
     """Count all decisions of a stretch by kind, depth and the predictors' levels."""
-    contexts, last, kind = _contexts(buf, place, skip)
-    for depth, kinds, at in _by_depth(code, symbol[skip:], last, contexts, [len(t) // 2 for t in levels], kind):
-        spot = kinds * np.int32(DEPTHS) + np.int32(min(depth, DEPTHS - 1))
-        for table, spots in zip(levels, at):
-            spot *= np.int32(LEVELS)
-            spot += _look(table, spots)
-        np.add.at(seen, spot, np.int64(1))
+    slots = [len(t) // 2 for t in levels]
+    for symbols, last, contexts, kind, times in _grams(buf, symbol, place, skip):
+        for depth, kinds, often, at in _by_depth(code, symbols, last, contexts, slots, kind, times.astype(np.int64)):
+            spot = kinds * np.int32(DEPTHS) + np.int32(min(depth, DEPTHS - 1))
+            for table, spots in zip(levels, at):
+                spot *= np.int32(LEVELS)
+                spot += _look(table, spots)
+            np.add.at(seen, spot, often)
 
 
 def _seen_tables(shared):
@@ -421,7 +541,7 @@ def _seen_tables(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (code, levels), seen, part = shared.value, np.zeros(SEEN, np.int64), TaskContext.get().partitionId()
         for batch in batches:
-            for _, _, *stretch in _stretches(batch.column("text")):
+            for _, _, *stretch in _stretches(batch.column("text"), GRAM_RUN):
                 _see(seen, code, levels, *stretch)
         yield from _blocks([seen], part)
         give_back()

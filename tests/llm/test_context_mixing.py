@@ -142,6 +142,38 @@ def test_counts_and_costs_equal_one_by_one():
     assert np.allclose(costs(model, some), [slow_cost(model, t) for t in some], rtol=1e-4)
 
 
+def grams_of(texts, run=None):
+    """(contexts, kind, last, symbol) of all grams and how often they occur, and how many grams there were."""
+    out, grams = Counter(), 0
+    for _, _, *stretch in cm._stretches(pa.array(texts, pa.string()), run):
+        for symbols, last, contexts, kind, times in cm._grams(*stretch):
+            for s, b, *c, k, n in zip(symbols, last, *contexts, kind, times):
+                out[*map(int, c), int(k), int(b), int(s)] += int(n)
+            grams += len(symbols)
+    return out, grams
+
+
+def test_equal_symbols_in_equal_contexts_are_taken_once(monkeypatch):
+    """The scans once looked up every occurrence, at the cost of all of them."""
+    texts = texts_of(14, 60) + ["", None, "a", "\n", "the cat sat " * 3000, "é" * 9, "日本" * 40]
+    want = Counter()
+    for t in texts:
+        data = lowered(t).encode()
+        for i, s in enumerate([*data, cm.END]):
+            contexts, kind = slow_contexts(data, i)
+            want[*contexts, kind, data[i - 1] + 1 if i else 0, s] += 1
+    got, grams = grams_of(texts, cm.GRAM_RUN)
+    assert got == want and grams < sum(want.values()) / 5
+    twice, again = grams_of(texts * 2, cm.GRAM_RUN)
+    assert twice == Counter({g: 2 * n for g, n in want.items()})
+    assert again < grams + len(texts)                    # what stands before a text may tell its first symbols apart
+    assert grams_of(texts, 50)[0] == want
+    monkeypatch.setattr(cm, "GRAM_PIECE", 100)
+    assert grams_of(texts)[0] == want
+    monkeypatch.setattr(cm, "PAIR_BITS", 9)              # stretches are halved until their pairs fit
+    assert grams_of(texts, cm.GRAM_RUN)[0] == want
+
+
 def test_long_texts_in_stretches(monkeypatch):
     long = " ".join(texts_of(3, 200))
     model, tables = small_model([long, "", None, "the"])
