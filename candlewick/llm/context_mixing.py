@@ -605,6 +605,15 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ["word", "pair", "f"])
 
 
+def _numbers(names: pa.Array, words: pa.Array) -> np.ndarray:
+    """Of each name its place among ``words``, or -1; both without repeats. The names, which are
+    fewer, are what gets hashed."""
+    out, at = np.full(len(names), -1, np.int64), pc.index_in(words, value_set=names)
+    held = pc.is_valid(at).to_numpy(zero_copy_only=False)
+    out[at.drop_null().to_numpy()] = np.flatnonzero(held)
+    return out
+
+
 _SCORED = "cost double, n_bytes long, n_words long, head_known long, head_log double, " \
           "tail array<struct<word:string,n:long>>"
 
@@ -623,7 +632,7 @@ def _score(shared):
             for a, b in runs(pc.fill_null(pc.binary_length(text), 0).to_numpy(), WORD_RUN):
                 buf, starts = joined(text.slice(a, b - a))
                 words, texts = words_of(buf, starts, _WHITE), b - a
-                known = pc.fill_null(pc.index_in(words.names, value_set=model.words), -1).to_numpy()[words.code]
+                known = _numbers(words.names, model.words)[words.code]
                 head = known >= 0
                 key, times = np.unique(words.doc[~head] * np.int64(len(words.names) + 1) + words.code[~head], return_counts=True)
                 of, code = np.divmod(key, len(words.names) + 1)

@@ -274,6 +274,14 @@ def test_first_weights_come_from_all_training_texts(spark):
     assert np.allclose(got.weights, cm._fit(seen))
 
 
+def test_numbers_of_names():
+    names, words = ["b", "", " ", "é", "zz"], ["é", "a", "b", "zzz", "zz"]
+    for some in (words, words[:1], []):
+        got = cm._numbers(pa.array(names, pa.large_string()), pa.array(some, pa.large_string()))
+        assert got.tolist() == [some.index(n) if n in some else -1 for n in names]
+    assert cm._numbers(pa.array([], pa.large_string()), pa.array(words, pa.large_string())).tolist() == []
+
+
 def test_base_columns(spark, monkeypatch):
     monkeypatch.setattr(cm, "HEAD_WORDS", 3)             # the others meet their counts in the join
     rows = list(enumerate(texts_of(7, 60))) + [(None, None), (None, ""), (3, "the " * 9), (3, "the " * 9), (61, "w" * 5000 + " new")]
